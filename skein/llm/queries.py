@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from skein.llm import decontamination
+from skein.llm import decontamination, quality, urls
 
 
 def queries() -> dict:
-    return {"op1_decontamination": decontamination.op1_decontamination}
+    return {
+        "op1_decontamination": decontamination.op1_decontamination,
+        "op3_url_filters": urls.op3_url_filters,
+        "op8_quality_rules": quality.op8_quality_rules,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontamination.OP1_SQL}
+    return {"op1_decontamination": decontamination.OP1_SQL, "op8_quality_rules": quality.OP8_SQL}
