@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from skein.llm import decontamination, quality, suffix_dedup, urls
+from skein.llm import decontamination, near_join, quality, suffix_dedup, urls
 
 
 def queries() -> dict:
     return {
         "op1_decontamination": decontamination.op1_decontamination,
+        "op2_near_join": near_join.op2_near_join,
         "op3_url_filters": urls.op3_url_filters,
         "op5_suffix_array_dedup": suffix_dedup.op5_suffix_array_dedup,
         "op8_quality_rules": quality.op8_quality_rules,

@@ -26,38 +26,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import anchors
-from skein.llm.common import stored, table, utf8
+from skein.llm.common import key_filter, stored, table, utf8
 
 WINDOW = 200
 GRAM = 64
 #: Starts in a block of the third digit.
 BLOCK = 16
-#: A key filter has one bit in BITS_A_KEY set or fewer, and at most MOST_BITS bits (32 MB).
-BITS_A_KEY, MOST_BITS = 16, 1 << 28
-BITMAP = 1 << 15
-
-
-def key_filter(keys: DataFrame, key: str, n: int):
-    """A function that drops most rows of a DataFrame whose column isn't among keys; none that is. n: how many."""
-    bits = BITMAP
-    while bits < min(MOST_BITS, BITS_A_KEY * n):
-        bits *= 2
-    place = lambda c: F.col(c).bitwiseAND(F.lit(bits - 1).cast("long"))
-    maps = keys.select(F.shiftright(place(key), 15).alias("kf_map"), place(key).bitwiseAND(F.lit(BITMAP - 1).cast("long")).alias("kf_bit"))
-    maps = maps.groupBy("kf_map").agg(F.bitmap_construct_agg("kf_bit").alias("kf_bits"))
-
-    def kept(df: DataFrame, column: str, inverse: bool = False) -> DataFrame:
-        bit = place(column).bitwiseAND(F.lit(BITMAP - 1).cast("long"))
-        byte = F.conv(F.hex(F.substring(F.col("kf_bits"), (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-        told = df.withColumn("kf_map", F.shiftright(place(column), 15)).join(F.broadcast(maps), "kf_map", "left")
-        there = F.coalesce(F.getbit(byte, bit.bitwiseAND(F.lit(7).cast("long")).cast("int")) == 1, F.lit(False))
-        return told.filter(~there if inverse else there).drop("kf_map", "kf_bits")
-
-    return kept
 
 
 def keyed(docs: DataFrame) -> DataFrame:
