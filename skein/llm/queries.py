@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skein.llm import decontamination, near_join, quality, suffix_dedup, urls
+from skein.llm import bpe, decontamination, near_join, quality, suffix_dedup, urls
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_url_filters": urls.op3_url_filters,
         "op5_suffix_array_dedup": suffix_dedup.op5_suffix_array_dedup,
         "op8_quality_rules": quality.op8_quality_rules,
+        "op9_bpe": bpe.op9_bpe,
     }
 
 
