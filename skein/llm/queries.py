@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skein.llm import bpe, decontamination, html_extract, near_join, quality, suffix_dedup, toxicity, urls
+from skein.llm import bpe, decontamination, html_extract, langid, near_join, quality, suffix_dedup, toxicity, urls
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_url_filters": urls.op3_url_filters,
         "op5_suffix_array_dedup": suffix_dedup.op5_suffix_array_dedup,
         "op6_toxicity": toxicity.op6_toxicity,
+        "op7_language_id": langid.op7_language_id,
         "op8_quality_rules": quality.op8_quality_rules,
         "op9_bpe": bpe.op9_bpe,
         "op10_html_extraction": html_extract.op10_html_extraction,
