@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skein.llm import bpe, decontamination, html_extract, langid, near_join, quality, suffix_dedup, toxicity, urls
+from skein.llm import bpe, decontamination, html_extract, langid, near_join, quality, suffix_dedup, toxicity, training_order, urls
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_decontamination": decontamination.op1_decontamination,
         "op2_near_join": near_join.op2_near_join,
         "op3_url_filters": urls.op3_url_filters,
+        "op4_training_order": training_order.op4_training_order,
         "op5_suffix_array_dedup": suffix_dedup.op5_suffix_array_dedup,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_language_id": langid.op7_language_id,
