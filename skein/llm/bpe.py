@@ -16,12 +16,14 @@ import functools
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import ArrayType, IntegerType
 
 from skein.llm.common import table
 
@@ -56,9 +58,11 @@ def byte_letters() -> dict[str, int]:
 
 
 class Codec:
-    """Encodes and decodes by one vocabulary file."""
+    """Encodes and decodes by one vocabulary file. Encoded ids are decimals joined by commas or, if packed, 32-bit
+    integers in a row."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, packed: bool = False):
+        self.packed = packed
         told = json.load(open(path, encoding="utf-8"))
         vocab, merges = told["model"]["vocab"], told["model"]["merges"]
         letters = byte_letters()
@@ -194,12 +198,12 @@ class Codec:
                     begin += n
 
     def _keep(self, word: str, ids: list[int]) -> None:
-        self.ids[word] = ",".join(map(str, ids)).encode()
+        self.ids[word] = array("i", ids).tobytes() if self.packed else ",".join(map(str, ids)).encode()
         self.texts[word] = b"".join([self.bytes_of[i] for i in ids])
 
     def encoded(self, texts: list[str | None]) -> Iterator[tuple[bytes, bytes]]:
-        """For each text its ids as decimals joined by commas, and the bytes that they decode to."""
-        at = 0
+        """For each text its ids, and the bytes that they decode to."""
+        at, comma = 0, b"" if self.packed else b","
         while at < len(texts):
             split, size = [], 0
             while at < len(texts) and (size < CHUNK or not split):
@@ -212,42 +216,44 @@ class Codec:
             ids, found = self.ids, self.texts
             self.learn(list({w for words in split for w in words if w not in ids}))
             for words in split:
-                yield b",".join([ids[w] for w in words]), b"".join([found[w] for w in words])
+                yield comma.join([ids[w] for w in words]), b"".join([found[w] for w in words])
 
     def encode(self, text: str | None) -> list[int]:
         joined = next(self.encoded([text]))[0]
-        return [int(x) for x in joined.split(b",")] if joined else []
+        return np.frombuffer(joined, np.int32).tolist() if self.packed else [int(x) for x in joined.split(b",") if x]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join([self.bytes_of[i] for i in ids]).decode("utf-8", "replace")
 
 
-@functools.lru_cache(maxsize=2)
-def codec(path: str) -> Codec:
+@functools.lru_cache(maxsize=1)
+def codec(path: str, packed: bool) -> Codec:
     """One a Python worker; it stays for later tasks."""
-    return Codec(path)
+    return Codec(path, packed)
 
 
-def _rows(batches: Iterator[pa.RecordBatch], path: str):
+def _rows(batches: Iterator[pa.RecordBatch], path: str, packed: bool):
     for whole in batches:
         for at in range(0, whole.num_rows, 1000):
             batch = whole.slice(at, 1000)
-            yield batch, codec(path).encoded(batch.column("text").to_pylist())
+            yield batch, codec(path, packed).encoded(batch.column("text").to_pylist())
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
-    """The columns of docs and token_ids array<int>."""
-    kept = [c for c in docs.columns if c != "token_ids"]
+    """The columns of docs, token_ids array<int> and round_trip, whether they decode to the text."""
+    kept = [c for c in docs.columns if c not in ("token_ids", "round_trip")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, found in _rows(batches, path):
-            ids = [np.array(x.split(b","), np.int32) if x else np.empty(0, np.int32) for x, _ in found]
-            ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*ids, np.empty(0, np.int32)])))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), lists], [*kept, "token_ids"])
+        for batch, found in _rows(batches, path, True):
+            parts, same = [], []
+            for (ids, data), text in zip(found, batch.column("text"), strict=True):
+                parts.append(ids)
+                same.append(data == (text.as_py() or "").encode())
+            ends = np.cumsum([0, *(len(x) // 4 for x in parts)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), np.int32)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), lists, pa.array(same, pa.bool_())], [*kept, "token_ids", "round_trip"])
 
-    schema = docs.select(*kept).schema.add("token_ids", "array<int>")
-    return docs.select(*kept).mapInArrow(run, schema)
+    return docs.select(*kept).mapInArrow(run, docs.select(*kept).schema.add("token_ids", ArrayType(IntegerType())).add("round_trip", "boolean"))
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
@@ -256,7 +262,7 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [codec(path).decode(ids or []) for ids in batch.column("token_ids").to_pylist()]
+            texts = [codec(path, True).decode(ids or []) for ids in batch.column("token_ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string())], [*kept, "decoded"])
 
     return encoded.select(*kept).mapInArrow(run, encoded.select(*kept).schema.add("decoded", "string"))
@@ -266,7 +272,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens and SHA-256 of ids and decoded text, without carrying both through the engine."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, found in _rows(batches, path):
+        for batch, found in _rows(batches, path, False):
             n, first, second = [], [], []
             for ids, data in found:
                 n.append(ids.count(b",") + 1 if ids else 0)

@@ -81,3 +81,10 @@ def key_filter(keys: DataFrame, key: str, n: int):
         return told.filter(~there if inverse else there).drop("kf_map", "kf_bits")
 
     return kept
+
+
+def semi(df: DataFrame, keys: DataFrame, on: list[str], inverse: bool = False) -> DataFrame:
+    """The rows of df whose on is among keys (stored); or, inverse, the others. Few of the rest are shuffled; on: longs."""
+    sieve = key_filter(keys, on[0], keys.count())
+    joined = sieve(df, on[0]).join(keys.select(*on), on, "left_anti" if inverse else "left_semi")
+    return sieve(df, on[0], inverse=True).unionByName(joined) if inverse else joined

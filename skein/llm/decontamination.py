@@ -53,9 +53,13 @@ def covered(intervals: Column) -> Column:
     return F.aggregate(F.array_sort(intervals), F.struct(F.lit(0).alias("end"), F.lit(0).alias("total")), step, lambda acc: acc["total"])
 
 
+def hashed(docs: DataFrame) -> DataFrame:
+    return docs.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")})
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """doc_id, n_words, n_hit, items (sorted strings) per document row."""
-    docs = docs.select("doc_id", "text")
+    """doc_id, h1, h2 (a 128-bit key of the text), n_words, n_hit, items (sorted strings) per document row."""
+    docs = hashed(docs.select("doc_id", "text"))
     windows = stored(benchmark_windows(benchmark, width), "windows")
     # 64 bytes a word is over what a word, its offset and its share of the row take
     size = windows.agg(F.coalesce(F.sum(F.length(F.concat_ws(" ", "window_words")) + 64 * F.col("window_len")), F.lit(0)).alias("b")).head()["b"]
@@ -67,7 +71,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, br
     sentinel = tokens.sparkSession.sql("SELECT cast(NULL AS array<string>) window_words, '' token, -1 offset, 0 window_len, cast(NULL AS array<string>) items")
     tokens = tokens.select("window_words", "token", "offset", "window_len", "items").unionByName(sentinel)
     tokens = tokens.groupBy("token").agg(F.collect_list(F.struct("window_words", "offset", "window_len", "items")).alias("cands")) if small else tokens.select("token", F.array(F.struct("window_words", "offset", "window_len", "items")).alias("cands"))
-    spread = docs.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), F.concat(words(F.col("text")), F.array(F.lit(""))).alias("w"))
+    spread = docs.select("doc_id", "h1", "h2", F.concat(words(F.col("text")), F.array(F.lit(""))).alias("w"))
     spread = spread.select("doc_id", "h1", "h2", "w", F.posexplode("w").alias("pos", "word"))
     n = F.size("w") - 1
     if small:
@@ -89,7 +93,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, br
         F.collect_set(F.when(~own, F.col("c.items"))).alias("items"),
     )
     result = per.select(
-        "doc_id", F.col("n_words").cast("long").alias("n_words"), covered(F.col("found")).cast("long").alias("n_hit"),
+        "doc_id", "h1", "h2", F.col("n_words").cast("long").alias("n_words"), covered(F.col("found")).cast("long").alias("n_hit"),
         F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"), F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("copy"),
     )
     return result.drop("copy")

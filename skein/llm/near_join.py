@@ -202,9 +202,15 @@ def comparisons(sets: DataFrame) -> DataFrame:
     return stored(whole.unionByName(apart), "groups")
 
 
+def row_keyed(docs: DataFrame) -> DataFrame:
+    """docs and d1, d2, a 128-bit key that rows of equal id and text share."""
+    return docs.withColumns({"d1": F.xxhash64("doc_id", "text"), "d2": F.xxhash64(F.lit(1), "text", "doc_id")})
+
+
 def near_classes(docs: DataFrame, similarity: float = NEAR_SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """doc_id, d1, d2 (row key), class_id (least doc_id), n_links (other texts within the similarity), n_copies."""
-    docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("d1"), F.xxhash64(F.lit(1), "text", "doc_id").alias("d2"))
+    """doc_id, d1, d2 (row key), r1, r2 (class key), class_id (least doc_id), n_links (other texts within the
+    similarity), n_copies."""
+    docs = row_keyed(docs.select("doc_id", "text"))
     signed = stored(shingled(docs, "doc_id", "d1", "d2").mapInArrow(*sign(prefix_depth(similarity, recall), TREES)), "signed")
     some = signed.filter("n > 0")
     sets = some.groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.min(F.struct("d1", "d2")).alias("d"))
@@ -225,9 +231,9 @@ def near_classes(docs: DataFrame, similarity: float = NEAR_SIMILARITY, recall: f
     known = sets.select("s1", "s2", "rows", "least").join(roots, ["s1", "s2"], "left").join(links, ["s1", "s2"], "left")
     known = known.withColumn("root", F.coalesce("root", F.struct("s1", "s2")))
     least = known.groupBy("root").agg(F.min("least").alias("class_id"))
-    known = known.join(least, "root").select("s1", "s2", "class_id", F.coalesce("links", F.lit(0)).alias("n_links"), (F.col("rows") - 1).alias("n_copies"))
+    known = known.join(least, "root").select("s1", "s2", F.col("root.s1").alias("r1"), F.col("root.s2").alias("r2"), "class_id", F.coalesce("links", F.lit(0)).alias("n_links"), (F.col("rows") - 1).alias("n_copies"))
     result = some.select("doc_id", "d1", "d2", "s1", "s2").join(known, ["s1", "s2"]).drop("s1", "s2")
-    none = signed.filter("n = 0").select("doc_id", "d1", "d2", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_copies"))
+    none = signed.filter("n = 0").select("doc_id", "d1", "d2", F.col("d1").alias("r1"), F.col("d2").alias("r2"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_copies"))
     return result.unionByName(none)
 
 

@@ -38,9 +38,9 @@ GRAM = 64
 BLOCK = 16
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, data (the text's bytes) and d1, d2, a 128-bit key that equal rows share."""
-    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("d1"), F.xxhash64(F.lit(1), "text", "doc_id").alias("d2"), utf8(F.col("text")).alias("data"))
+def keyed(docs: DataFrame, carried: list[str]) -> DataFrame:
+    """rest (doc_id and the carried columns), data (the text's bytes) and d1, d2, a 128-bit key that equal rows share."""
+    return docs.select(F.struct("doc_id", *carried).alias("rest"), F.xxhash64("doc_id", "text").alias("d1"), F.xxhash64(F.lit(1), "text", "doc_id").alias("d2"), utf8(F.col("text")).alias("data"))
 
 
 def joined_texts(batch: pa.RecordBatch, most: int = anchors.CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -144,18 +144,18 @@ def kept_bytes(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, i
 
 
 def remove_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for data, spans in zip(batch.column("data"), batch.column("spans"), strict=True):
-            data = data.as_py()
-            rows.append((*kept_bytes(data, list(zip(*(spans.values.field(k).to_pylist() for k in ("a", "b")), strict=True)) if spans.is_valid else []), len(data)))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").cast(pa.int64()), batch.column("d1"), batch.column("d2"), pa.array([r[3] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()),
-             pa.array([hashlib.sha256(r[0]).hexdigest() for r in rows], pa.string()), pa.array([r[0] for r in rows], pa.binary())],
-            ["doc_id", "d1", "d2", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-
-REMOVED = "doc_id long, d1 long, d2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    for whole in batches:
+        for at in range(0, whole.num_rows, 500):
+            batch = whole.slice(at, 500)
+            rows = []
+            for data, spans in zip(batch.column("data"), batch.column("spans"), strict=True):
+                data = data.as_py()
+                kept, removed, runs = kept_bytes(data, list(zip(*(spans.values.field(k).to_pylist() for k in ("a", "b")), strict=True)) if spans.is_valid else [])
+                # a character of which a byte went goes as a whole
+                rows.append((len(data), removed, runs, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
+            n, removed, runs, digest, text = zip(*rows, strict=True) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([batch.column("rest"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digest, pa.string()), pa.array(text, pa.string())],
+                                             ["rest", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
 def sorted_out(rows: DataFrame, name: str) -> DataFrame:
@@ -178,7 +178,7 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     # equal rows share their key: each run is listed once a row, so counts are right
     runs = stored(near.groupBy("d1", "d2").agg(F.collect_list(F.struct("gram", "at", "lo", "hi")).alias("runs")), "runs")
     sieve = key_filter(runs, "d1", runs.count())
-    once = sieve(docs, "d1").groupBy("d1", "d2").agg(F.first("doc_id").alias("doc_id"), F.first("data").alias("data"), F.count(F.lit(1)).alias("copies"))
+    once = sieve(docs, "d1").groupBy("d1", "d2").agg(F.collect_list("rest").alias("copies"), F.first("data").alias("data"))
     touched = stored(once.join(runs, ["d1", "d2"], "left"), "touched")
     whole = sorted_out(touched.select("d1", "d2", "data", "runs").filter("runs IS NOT NULL").mapInArrow(run_contexts, CONTEXTS), "contexts")
     again = lambda flagged: touched.select("d1", "d2", "data").join(flagged.filter("listed").groupBy("d1", "d2").agg(F.collect_list(F.struct("at", "lo", "hi")).alias("runs")), ["d1", "d2"])
@@ -190,15 +190,15 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return sieve(docs, "d1", inverse=True), touched, full.unionByName(single)
 
 
-def dedup_bytes(docs: DataFrame) -> DataFrame:
-    """doc_id, d1, d2, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes) per document row."""
-    docs = keyed(docs)
+def dedup_bytes(docs: DataFrame, *carried: str) -> DataFrame:
+    """doc_id, the carried columns, n_bytes, n_removed, n_spans, kept_sha256, kept (text) per document row."""
+    docs = keyed(docs, list(carried))
     rest, touched, spans = repeated_spans(docs)
     spans = spans.groupBy("d1", "d2").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
-    cut = touched.select("doc_id", "d1", "d2", "data", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).join(spans, ["d1", "d2"], "left").select("doc_id", "d1", "d2", "data", "spans").mapInArrow(remove_spans, REMOVED)
-    whole = rest.select(F.col("doc_id").cast("long").alias("doc_id"), "d1", "d2", F.octet_length("data").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"),
-                        F.sha2("data", 256).alias("kept_sha256"), F.col("data").alias("kept"))
-    return whole.unionByName(cut)
+    cut = touched.select("d1", "d2", "data", "copies").join(spans, ["d1", "d2"], "left").select("data", "spans", F.explode("copies").alias("rest"))
+    none = F.lit(0).cast("long")
+    whole = rest.select("rest", F.octet_length("data").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2("data", 256).alias("kept_sha256"), F.col("data").cast("string").alias("kept"))
+    return whole.unionByName(cut.mapInArrow(remove_spans, whole.schema)).select("rest.*", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
