@@ -20,15 +20,26 @@ VALUES = (_byte_values(11), _byte_values(12))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> U(32))
-    x = x * MIX
-    return x ^ (x >> U(29))
+    y = x >> U(32)
+    y ^= x
+    y *= MIX
+    y ^= y >> U(29)
+    return y
+
+
+_kept_powers: dict[int, np.ndarray] = {}
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    powers = np.full(n, base, U)
-    powers[:1] = 1
-    return np.multiply.accumulate(powers, out=powers)
+    """base ** 0 to base ** (n - 1), kept for the next texts."""
+    kept = _kept_powers.get(base)
+    if kept is None or len(kept) < n:
+        kept = np.full(max(n, CHUNK + (CHUNK >> 2)), base, U)
+        kept[0] = 1
+        np.multiply.accumulate(kept, out=kept)
+        if len(kept) <= 8 * CHUNK:
+            _kept_powers[base] = kept
+    return kept[:n]
 
 
 class RunHash:
@@ -39,11 +50,20 @@ class RunHash:
         self.powers = _powers(BASES[which], n + 1)
         self.sums = np.zeros(n + 1, U)
         # sums of value[j] / base ** j; the difference times base ** a no longer depends on a
-        np.cumsum(VALUES[which][data] * _powers(pow(BASES[which], -1, 1 << 64), n), out=self.sums[1:])
+        weighed = VALUES[which][data]
+        weighed *= _powers(pow(BASES[which], -1, 1 << 64), n)
+        np.cumsum(weighed, out=self.sums[1:])
 
     def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return mixed((self.sums[b] - self.sums[a]) * self.powers[a] + b.astype(U) - a.astype(U))
 
+    def each(self, width: int) -> np.ndarray:
+        """The hash of every run of that width."""
+        x = self.sums[width:] - self.sums[:-width]
+        x *= self.powers[: len(x)]
+        x += U(width)
+        return mixed(x)
+
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     """The least of each width values in a row."""
@@ -62,22 +82,21 @@ def select(data: np.ndarray, ends: np.ndarray, window: int, gram: int):
     the windows that select it, text number). A window selects its gram of least hash, the last one at ties."""
     hashed = RunHash(data, 0)
     n = len(data)
-    width = window - gram + 1
-    empty = np.empty(0, np.int64)
     if n < window:
-        return hashed, empty, empty, empty, empty
-    at = np.arange(n - gram + 1)
-    keys = (hashed(at, at + gram) & U(0xFFFFFFFFFF000000)) | (U(0xFFFFFF) - at.astype(U) % U(1 << 24))
-    chosen = (U(0xFFFFFF) - (sliding_min(keys, width) & U(0xFFFFFF))).astype(np.int64)
+        none = np.empty(0, np.int64)
+        return hashed, none, none, none, none
+    keys = hashed.each(gram)
+    keys &= U(0xFFFFFFFFFF000000)
+    keys |= U(0xFFFFFF) - np.arange(len(keys), dtype=U) % U(1 << 24) if n > 1 << 24 else np.arange(0xFFFFFF, 0xFFFFFF - len(keys), -1, dtype=np.int64).view(U)
+    least = sliding_min(keys, window - gram + 1)
+    begins = np.append(0, ends[:-1])
+    first = np.union1d(np.flatnonzero(least[1:] != least[:-1]) + 1, begins[begins < len(least)])
+    text = np.searchsorted(ends, first, "right")
+    last = np.minimum(np.append(first[1:], len(least)) - 1, ends[text] - window)
+    fits = last >= first
+    first, last, text = first[fits], last[fits], text[fits]
+    chosen = (U(0xFFFFFF) - (least[first] & U(0xFFFFFF))).astype(np.int64)
     if n > 1 << 24:  # places are modulo 2**24
-        starts = np.arange(len(chosen))
-        chosen += (starts >> 24) << 24
-        chosen[chosen < starts] += 1 << 24
-    begins = np.concatenate([[0], ends[:-1]])
-    text = np.repeat(np.arange(len(ends)), ends - begins)[: len(chosen)]
-    inside = np.arange(len(chosen)) + window <= ends[text]
-    new = np.ones(len(chosen), bool)
-    new[1:] = (chosen[1:] != chosen[:-1]) | (text[1:] != text[:-1])
-    first = np.flatnonzero(new & inside)
-    stop = np.flatnonzero(np.append(new[1:] | ~inside[1:], True) & inside)
-    return hashed, chosen[first], first, stop, text[first]
+        chosen += (first >> 24) << 24
+        chosen[chosen < first] += 1 << 24
+    return hashed, chosen, first, last, text
