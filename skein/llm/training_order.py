@@ -1,16 +1,18 @@
 """Training-order materialisation: fixed-size sequences of token ids in a keyed random order, in binary shards.
 
-Every sequence has a number from 0 to n - 1: its place in the scan of an immutable table, whose partitions Spark
-plans alike each time. A keyed Feistel network over the next power of four, walked until it falls below n, permutes
-the numbers; the result is the sequence's global slot. Shard k holds slots k * size to (k + 1) * size - 1 in order,
-each a record of the same stride, so a reader finds slot s at byte (s mod size) * stride of shard s div size and may
-resume anywhere. The payload is shuffled once, to its shard. Shards are written by Spark's text writer, whose commit
-protocol survives lost executors: a record is SEQUENCE ids of WIDTH bytes, and the writer's line end.
+The texts of each partition of the scan, each with its END, stand end to end and are cut into sequences; only a
+partition's last one is filled up. Every sequence has a number from 0 to n - 1: its place in the scan of an immutable
+table, whose partitions Spark plans alike each time. A keyed Feistel network over the next power of four, walked until
+it falls below n, permutes the numbers; the result is the sequence's global slot. Shard k holds slots k * size to
+(k + 1) * size - 1 in order, each a record of the same stride, so a reader finds slot s at byte (s mod size) * stride
+of shard s div size and may resume anywhere. The payload is shuffled once, to its shard. Shards are written by Spark's
+text writer, whose commit protocol survives lost executors: a record is SEQUENCE ids of WIDTH bytes, and the writer's
+line end.
 
 Ids here are UTF-8 bytes of one byte each, and END and PAD, two bytes that never occur in UTF-8.
 
-Cases: null and empty texts are one sequence of END; long texts are as many sequences as they need; equal rows each
-give their own; an empty table has no slot and no shard; further columns are ignored.
+Cases: null and empty texts are one END; long texts go over as many sequences as they need; equal rows each
+stand for themselves; an empty table has no slot and no shard; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm.anchors import mixed
-from skein.llm.common import shared_dir, table
+from skein.llm.common import shared_dir, table, utf8
 
 SEQUENCE, WIDTH = 512, 1
 SHARD = 1 << 14
@@ -53,43 +55,51 @@ def feistel(numbers: np.ndarray, n: int, key: int = KEY, inverse: bool = False)
     return out.astype(np.int64)
 
 
-def sequence_count(length: int) -> int:
-    """Sequences of a text of that many ids and its END."""
-    return length // SEQUENCE + 1
-
-
 def cut(starts: list[int], n: int, key: int):
-    """Python over (doc_id, data): a record for each sequence, with its slot."""
+    """Python over (doc_id, data): a record for each sequence, with its number, slot, and the document and place in it
+    at which it begins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, number = TaskContext.get().partitionId(), None
+        tail, tail_doc, tail_at = b"", None, 0
+
+        def records(stream: bytes, count: int, docs: list, at: list, used: int) -> pa.RecordBatch:
+            numbers = np.arange(number, number + count)
+            ends = pa.array(np.arange(count + 1, dtype=np.int32) * SEQUENCE)
+            data = pa.Array.from_buffers(pa.binary(), count, [None, ends.buffers()[1], pa.py_buffer(stream)])
+            sizes = np.full(count, SEQUENCE, np.int32)
+            sizes[-1] = used
+            return pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(feistel(numbers, n, key)), pa.array(docs, pa.int64()), pa.array(at, pa.int64()), pa.array(sizes), data], ["number", "slot", "doc_id", "doc_offset", "n_ids", "record"])
+
         for whole in batches:
-            number = starts[p] if number is None and whole.num_rows else number
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                records, owner, part, used = [], [], [], []
-                for doc, data in zip(batch.column("doc_id").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                    data += bytes([END])
-                    for k in range(0, len(data), SEQUENCE):
-                        piece = data[k : k + SEQUENCE]
-                        records.append(piece.ljust(SEQUENCE, bytes([PAD])))
-                        used.append(len(piece))
-                        part.append(k // SEQUENCE)
-                        owner.append(doc)
-                slots = feistel(np.arange(number, number + len(records)), n, key)
-                number += len(records)
-                yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(part, pa.int32()), pa.array(slots), pa.array(used, pa.int32()), pa.array(records, pa.binary())], ["doc_id", "part", "slot", "n_ids", "record"])
+            for begin in range(0, whole.num_rows, 500):
+                batch = whole.slice(begin, 500)
+                number = starts[p] if number is None else number
+                ids, texts = batch.column("doc_id").to_pylist(), batch.column("data").to_pylist()
+                first = np.cumsum([len(tail), *(len(t) + 1 for t in texts)])[:-1]
+                stream = b"".join([tail, *(x for t in texts for x in (t, bytes([END])))])
+                count = len(stream) // SEQUENCE
+                places = np.arange(count + 1) * SEQUENCE
+                owner = np.searchsorted(first, places, "right") - 1
+                docs = [ids[k] if k >= 0 else tail_doc for k in owner.tolist()]
+                at = [x - first[k] if k >= 0 else tail_at for x, k in zip(places.tolist(), owner.tolist(), strict=True)]
+                if count:
+                    yield records(stream[: count * SEQUENCE], count, docs[:-1], at[:-1], SEQUENCE)
+                    number += count
+                tail, tail_doc, tail_at = stream[count * SEQUENCE :], docs[-1], at[-1]
+        if tail:
+            yield records(tail.ljust(SEQUENCE, bytes([PAD])), 1, [tail_doc], [tail_at], len(tail))
+            number += 1
         if number is not None and number != starts[p + 1]:
             raise RuntimeError("the table changed between its two scans")
 
-    return run, "doc_id long, part int, slot long, n_ids int, record binary"
+    return run, "number long, slot long, doc_id long, doc_offset long, n_ids int, record binary"
 
 
 def ordered_sequences(docs: DataFrame, key: int = KEY) -> tuple[DataFrame, int]:
-    """doc_id, part, slot, n_ids, record of every sequence, and their number. docs: a scan of files."""
-    data = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    rows = docs.select("doc_id", data.alias("data"))
-    per = rows.select(F.spark_partition_id().alias("p"), (F.floor(F.octet_length("data") / SEQUENCE) + 1).alias("n")).groupBy("p").agg(F.sum("n").alias("n"))
+    """number, slot, doc_id, doc_offset, n_ids, record of every sequence, and how many there are. docs: a scan of files."""
+    rows = docs.select("doc_id", utf8(F.col("text")).alias("data"))
+    per = rows.select(F.spark_partition_id().alias("p"), (F.octet_length("data") + 1).cast("long").alias("n")).groupBy("p").agg(F.ceil(F.sum("n") / SEQUENCE).alias("n"))
     # one number for each partition of the scan
     counts = {r["p"]: r["n"] for r in per.collect()}
     last = max(counts, default=-1)
@@ -118,12 +128,12 @@ def read_slots(spark: SparkSession, path: str, first: int, last: int, shard: int
 
 
 def materialise(docs: DataFrame, path: str, key: int = KEY, shard: int = SHARD) -> DataFrame:
-    """Writes the shards; returns doc_id, part, slot, n_ids, shard, offset of every sequence."""
+    """Writes the shards; returns number, slot, doc_id, doc_offset, n_ids, shard, offset of every sequence."""
     sequences, n = ordered_sequences(docs, key)
     if n:
         write_shards(sequences, path, n, shard)
     place = F.expr(f"slot div {shard}").alias("shard"), ((F.col("slot") % shard) * (SEQUENCE * WIDTH + 1)).alias("offset")
-    return sequences.select("doc_id", "part", "slot", "n_ids", *place)
+    return sequences.select("number", "slot", "doc_id", "doc_offset", "n_ids", *place)
 
 
 def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
