@@ -1,0 +1 @@
+"""Hybrid retrieval and text analytics as plain DataFrame plans."""
