@@ -63,10 +63,11 @@ def labelled_pages(n: int, seed: int = 7) -> Iterator[str]:
         named = tag in ("div", "section") or rng.random() < 0.3
         attr = f' {rng.choice(["class", "id"])}="{rng.choice(MAIN_NAMES)}"' if named else ""
         parts = [f'<h1 data-main="1">{sentence(2, 9)}</h1>'] if rng.random() < 0.85 else []
-        for _ in range(rng.randint(1, 9)):
-            x = rng.random()
+        short = rng.random() < 0.25
+        for _ in range(1 if short else rng.randint(1, 9)):
+            x = 0.0 if short else rng.random()
             if x < 0.8:
-                parts.append(prose("p", 1))
+                parts.append(prose("p", 1, 1, 2 if short else 6))
             elif x < 0.86:
                 parts.append(f'<h2 data-main="1">{sentence(1, 5)}</h2>')
             elif x < 0.92:
