@@ -53,6 +53,13 @@ def matches(words: Column, query: str) -> Column:
     return reduce(lambda a, b: a & b, (reduce(lambda a, b: a | b, (~_holds(words, t) if neg else _holds(words, t) for neg, t in group)) for group in groups))
 
 
+def may_match(text: Column, query: str) -> Column:
+    """A cheap condition that every text which fits the query meets: it holds the words somewhere."""
+    low = F.lower(text)
+    needed = [group for group in websearch(query) if not any(neg for neg, _ in group)]
+    return reduce(lambda a, b: a & b, (reduce(lambda a, b: a | b, (reduce(lambda a, b: a & b, (low.contains(t) for t in terms)) for _, terms in group)) for group in needed), F.lit(True))
+
+
 def query_words(query: str) -> list[str]:
     return sorted({t for group in websearch(query) for neg, terms in group if not neg for t in terms})
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skein.functions.lexical import matches, term_frequency, tokens
+from skein.functions.lexical import matches, may_match, term_frequency, tokens
 from skein.functions.vector import cosine_distance
 from skein.operators.predicates import suffix_match
 from skein.operators.scope import in_scope, normal, scope_ids
@@ -35,7 +35,7 @@ def vector_topk(rows: DataFrame, query: Sequence[float], n: int, keep_null: bool
 
 def text_topk(rows: DataFrame, text: Column, query: str, n: int) -> DataFrame:
     """id, score, rank of the n best matches by term frequency."""
-    found = rows.select("id", tokens(text).alias("words")).filter(matches(F.col("words"), query)).select("id", term_frequency(F.col("words"), query).alias("score"))
+    found = rows.filter(may_match(text, query)).select("id", tokens(text).alias("words")).filter(matches(F.col("words"), query)).select("id", term_frequency(F.col("words"), query).alias("score"))
     order = F.col("score").desc(), F.col("id").asc()
     return ranked(found.orderBy(*order).limit(n), *order)
 
