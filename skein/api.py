@@ -77,7 +77,7 @@ class Engine:
         return F.lit(True) if semantic else knowledge_candidate()
 
     def extraction_stats(self, workspace: str, projects: Sequence[str] = (), stage: str = "rules", semantic: bool = False) -> DataFrame:
-        return reports.extraction_stats(self.tables, indexable(self.tables.chunks, self.tables.projects), self._candidate(stage, semantic), workspace, projects, stage)
+        return reports.extraction_stats(self.tables, indexable(self.tables.chunks_text, self.tables.projects), self._candidate(stage, semantic), workspace, projects, stage)
 
     def extraction_queue(self, workspace: str, projects: Sequence[str] = (), stage: str = "rules", semantic: bool = False, refresh: bool = False, limit: int | None = None) -> DataFrame:
-        return reports.extraction_queue(self.tables, indexable(self.tables.chunks, self.tables.projects), self._candidate(stage, semantic), workspace, projects, stage, refresh, limit)
+        return reports.extraction_queue(self.tables, indexable(self.tables.chunks_text, self.tables.projects), self._candidate(stage, semantic), workspace, projects, stage, refresh, limit)

@@ -28,29 +28,43 @@ class Tables:
         return self.raw("documents").select(F.col("lang").alias("workspace_id"), project_id().alias("project_id")).distinct()
 
     @property
-    def chunks(self) -> DataFrame:
-        vectors = self.raw("embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    def chunks_text(self) -> DataFrame:
+        """Chunks without vectors, which are stored apart here."""
         return self.raw("documents").select(
             F.col("doc_id").alias("id"), project_id().alias("project_id"), file_path().alias("file_path"), F.col("lang").alias("language"), F.lit("file").alias("chunk_type"), symbol_name().alias("symbol_name"),
             F.col("text").alias("content"), F.sha2("text", 256).alias("content_hash"), stamp("doc_id").alias("updated_at"),
-        ).join(vectors, "id", "left")
+        )
+
+    def _with_vectors(self, rows: DataFrame) -> DataFrame:
+        return rows.join(self.raw("embeddings").select(F.col("vec_id").alias("id"), "embedding"), "id", "left")
+
+    @property
+    def chunks(self) -> DataFrame:
+        return self._with_vectors(self.chunks_text)
 
     def _facts(self) -> DataFrame:
-        vectors = self.raw("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
         status = F.when(F.col("toxic") == 1, "rejected").when(F.col("quality") == 1, "accepted").otherwise("candidate")
         evidence = F.when(F.col("doc_id") % 11 == 0, F.lit("  ")).otherwise(F.substring("text", 1, 80))
-        return self.raw("documents").join(self.raw("labels"), "doc_id").join(vectors, "doc_id", "left").select(
+        return self.raw("documents").join(self.raw("labels"), "doc_id").select(
             F.col("doc_id").alias("id"), project_id().alias("project_id"), F.col("doc_id").alias("chunk_id"), F.substring("text", 1, 40).alias("title"), F.substring("text", 1, 120).alias("body"),
             F.when(F.col("doc_id") % 13 != 0, file_path()).alias("source"), symbol_name().alias("symbol_name"), status.alias("status"), evidence.alias("evidence"), F.sha2("text", 256).alias("content_hash"),
-            ((F.col("n_chars") % 86 + 10) / 100).cast("decimal(5,2)").alias("confidence"), "embedding", stamp("doc_id").alias("updated_at"),
+            ((F.col("n_chars") % 86 + 10) / 100).cast("decimal(5,2)").alias("confidence"), stamp("doc_id").alias("updated_at"),
         )
 
     @property
     def rules(self) -> DataFrame:
-        return self._facts().withColumnsRenamed({"body": "description", "source": "source_file"})
+        return self._with_vectors(self.rules_text)
 
     @property
     def knowledge(self) -> DataFrame:
+        return self._with_vectors(self.knowledge_text)
+
+    @property
+    def rules_text(self) -> DataFrame:
+        return self._facts().withColumnsRenamed({"body": "description", "source": "source_file"})
+
+    @property
+    def knowledge_text(self) -> DataFrame:
         kinds = F.array(*map(F.lit, ("integration", "pattern", "technical_risk", "architecture", "configuration")))
         return self._facts().withColumnRenamed("body", "content").withColumn("kind", F.get(kinds, (F.col("id") % 5).cast("int")))
 

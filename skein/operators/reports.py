@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.operators.predicates import multi_contains
-from skein.operators.scope import filtered_projects, in_list, normal
+from skein.operators.scope import Scope, filtered_projects, in_list, normal
 
 KEY = "project_id"
 
@@ -25,23 +25,22 @@ def _joined(rows: list[DataFrame]) -> DataFrame:
 
 def overview(tables, workspace: str | None = None, project: str | None = None) -> DataFrame:
     workspace, project = normal(workspace), normal(project)
-    own = _ids(filtered_projects(tables, workspace, project))
+    own = Scope(_ids(filtered_projects(tables, workspace, project)))
     spaces = tables.workspaces if workspace is None else tables.workspaces.filter(F.col("name") == workspace)
     if project is not None:
-        spaces = spaces.join(tables.workspace_projects.join(own, KEY, "left_semi").select(F.col("workspace_id").alias("id")), "id", "left_semi")
-    chunks = tables.chunks.join(own, KEY, "left_semi")
+        spaces = spaces.join(own(tables.workspace_projects).select(F.col("workspace_id").alias("id")), "id", "left_semi")
     count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
     return _joined([
-        spaces.agg(F.count_distinct("id").alias("workspaces")), count(own, "projects"),
-        chunks.agg(F.count(F.lit(1)).alias("chunks"), F.count_distinct(F.concat(F.col(KEY).cast("string"), F.lit(":"), "file_path")).alias("files"), F.max("updated_at").alias("last_updated")),
-        count(tables.rules.join(own, KEY, "left_semi"), "business_rules"), count(tables.knowledge.join(own, KEY, "left_semi"), "knowledge"),
+        spaces.agg(F.count_distinct("id").alias("workspaces")), count(own(_ids(tables.projects)), "projects"),
+        own(tables.chunks_text).agg(F.count(F.lit(1)).alias("chunks"), F.count_distinct(F.concat(F.col(KEY).cast("string"), F.lit(":"), "file_path")).alias("files"), F.max("updated_at").alias("last_updated")),
+        count(own(tables.rules_text), "business_rules"), count(own(tables.knowledge_text), "knowledge"),
     ])
 
 
 def _per_project(tables) -> tuple[DataFrame, DataFrame, DataFrame]:
-    chunks = tables.chunks.groupBy(KEY).agg(F.count(F.lit(1)).alias("chunks"), F.count_distinct("file_path").alias("files"), F.max("updated_at").alias("last_updated"))
+    chunks = tables.chunks_text.groupBy(KEY).agg(F.count(F.lit(1)).alias("chunks"), F.count_distinct("file_path").alias("files"), F.max("updated_at").alias("last_updated"))
     count = lambda df, name: df.groupBy(KEY).agg(F.count(F.lit(1)).alias(name))
-    return chunks, count(tables.rules, "business_rules"), count(tables.knowledge, "knowledge")
+    return chunks, count(tables.rules_text, "business_rules"), count(tables.knowledge_text, "knowledge")
 
 
 def workspace_summary(tables, workspace: str | None = None, project: str | None = None) -> DataFrame:
@@ -58,7 +57,7 @@ def workspace_summary(tables, workspace: str | None = None, project: str | None
 def project_summary(tables, workspace: str | None = None, project: str | None = None, limit: int = 50) -> DataFrame:
     own = filtered_projects(tables, workspace, project).withColumnRenamed("id", KEY)
     names = tables.workspace_projects.join(tables.workspaces.select(F.col("id").alias("workspace_id"), F.col("name").alias("w")), "workspace_id").groupBy(KEY).agg(F.array_sort(F.collect_set("w")).alias("workspaces"))
-    spoken = tables.chunks.groupBy(KEY).agg(F.array_sort(F.collect_set("language")).alias("languages"))
+    spoken = tables.chunks_text.groupBy(KEY).agg(F.array_sort(F.collect_set("language")).alias("languages"))
     rows = reduce(lambda a, b: a.join(b, KEY, "left"), [own, *_per_project(tables), names, spoken])
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     text = lambda c, sep: F.coalesce(F.array_join(c, sep), F.lit("")).alias(c)
@@ -82,11 +81,11 @@ def _facts(rows: DataFrame, tables, workspace: str | None, project: str | None,
 
 
 def rules_listing(tables, workspace: str | None = None, project: str | None = None, search: str | None = None, limit: int = 100) -> DataFrame:
-    return _facts(tables.rules, tables, workspace, project, search, ["title", "description", "source_file", "symbol_name", "status", "evidence", "confidence", "updated_at"], limit)
+    return _facts(tables.rules_text, tables, workspace, project, search, ["title", "description", "source_file", "symbol_name", "status", "evidence", "confidence", "updated_at"], limit)
 
 
 def knowledge_listing(tables, workspace: str | None = None, project: str | None = None, search: str | None = None, limit: int = 100) -> DataFrame:
-    return _facts(tables.knowledge, tables, workspace, project, search, ["kind", "title", "content", "source", "symbol_name", "status", "evidence", "confidence", "updated_at"], limit)
+    return _facts(tables.knowledge_text, tables, workspace, project, search, ["kind", "title", "content", "source", "symbol_name", "status", "evidence", "confidence", "updated_at"], limit)
 
 
 def duplicate_names(projects: DataFrame) -> DataFrame:
@@ -99,20 +98,21 @@ def blank(column: str) -> Column:
 
 def health(tables, workspace: str | None = None, project: str | None = None) -> DataFrame:
     projects = filtered_projects(tables, workspace, project, by_path=False)
-    own, all_ids = _ids(projects), _ids(tables.projects)
+    ids, all_ids = _ids(projects), _ids(tables.projects)
+    own = Scope(ids)
     live = F.col("status") != "rejected"
-    rules, knowledge = tables.rules.join(own, KEY, "left_semi"), tables.knowledge.join(own, KEY, "left_semi")
+    rules, knowledge = own(tables.rules_text), own(tables.knowledge_text)
     count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
     facts = lambda df, name, source: df.agg(F.count_if(F.col("status") == "candidate").alias(f"candidate_{name}"), F.count_if(live & blank("evidence")).alias(f"{name}_without_evidence"), F.count_if(live & blank(source)).alias(f"{name}_without_source"))
     return _joined([
-        count(tables.chunks.filter(F.col("embedding").isNull()).join(own, KEY, "left_semi"), "chunks_without_embedding"), count(own.join(tables.chunks, KEY, "left_anti"), "projects_without_chunks"),
-        count(duplicate_names(projects), "duplicate_project_names"), count(tables.chunks.join(all_ids, KEY, "left_anti"), "broken_chunk_references"), facts(rules, "business_rules", "source_file"), facts(knowledge, "knowledge", "source"),
+        count(own(tables.chunks.filter(F.col("embedding").isNull())), "chunks_without_embedding"), count(ids.join(own(tables.chunks_text).select(KEY).distinct(), KEY, "left_anti"), "projects_without_chunks"),
+        count(duplicate_names(projects), "duplicate_project_names"), count(tables.chunks_text.join(all_ids, KEY, "left_anti"), "broken_chunk_references"), facts(rules, "business_rules", "source_file"), facts(knowledge, "knowledge", "source"),
     ])
 
 
 def chunks_per_project(tables) -> DataFrame:
     names = tables.projects.select(F.col("id").alias(KEY), "name")
-    return names.join(tables.chunks.groupBy(KEY).agg(F.count(F.lit(1)).alias("n")), KEY, "left").groupBy("name").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("chunks"))
+    return names.join(tables.chunks_text.groupBy(KEY).agg(F.count(F.lit(1)).alias("n")), KEY, "left").groupBy("name").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("chunks"))
 
 
 def _work(tables, chunks: DataFrame, workspace: str, projects: Sequence[str], stage: str) -> DataFrame:

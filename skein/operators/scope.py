@@ -33,8 +33,29 @@ def scope_ids(tables, scope: str | None) -> DataFrame | None:
     return members(tables).filter(fits).select(F.col("id").alias("project_id")).distinct()
 
 
+#: So many project ids at most go into a plan as values; more are joined.
+VALUES = 1000
+
+
+class Scope:
+    """Restricts tables to project ids (project_id). Few ids become a filter that reaches the scan; they are looked up
+    once, whatever number of tables are restricted. None: no restriction."""
+
+    def __init__(self, ids: DataFrame | None):
+        self.ids = None if ids is None else ids.select("project_id").distinct()
+        found = [] if ids is None else self.ids.limit(VALUES + 1).collect()
+        self.values = None if ids is None or len(found) > VALUES else [r["project_id"] for r in found]
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        if self.ids is None:
+            return df
+        if self.values is None:
+            return df.join(self.ids, "project_id", "left_semi")
+        return df.filter(F.col("project_id").isin(*self.values) if self.values else F.lit(False))
+
+
 def in_scope(df: DataFrame, ids: DataFrame | None) -> DataFrame:
-    return df if ids is None else df.join(ids, "project_id", "left_semi")
+    return Scope(ids)(df)
 
 
 def filtered_projects(tables, workspace: str | None = None, project: str | None = None, by_path: bool = True) -> DataFrame:

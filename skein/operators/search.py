@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from skein.functions.lexical import matches, may_match, term_frequency, tokens
 from skein.functions.vector import cosine_distance
 from skein.operators.predicates import suffix_match
-from skein.operators.scope import in_scope, normal, scope_ids
+from skein.operators.scope import Scope, in_scope, normal, scope_ids
 
 RRF = 60.0
 
@@ -60,8 +60,9 @@ def fact_text(body: str) -> Column:
     return F.concat_ws(" ", "title", body, "evidence")
 
 
-def _hybrid(tables, rows: DataFrame, text: Column, query: Sequence[float], words: str, k: int, columns: list[str], keep_null: bool = False) -> DataFrame:
-    best = fused(vector_topk(rows, query, candidates(k), keep_null), text_topk(rows, text, words, candidates(k)), k)
+def _hybrid(tables, vectors: DataFrame, rows: DataFrame, text: Column, query: Sequence[float], words: str, k: int, columns: list[str], keep_null: bool = False) -> DataFrame:
+    """vectors and rows: the same rows, with vectors and with text."""
+    best = fused(vector_topk(vectors, query, candidates(k), keep_null), text_topk(rows, text, words, candidates(k)), k)
     projects = tables.projects.select(F.col("id").alias("project_id"), F.col("name").alias("project"))
     # at most k rows on the left
     return F.broadcast(best).join(rows, "id").join(projects, "project_id", "left").select("id", "project", *columns, "rrf_score").orderBy(F.col("rrf_score").desc(), "id")
@@ -69,22 +70,22 @@ def _hybrid(tables, rows: DataFrame, text: Column, query: Sequence[float], words
 
 def search(tables, query: Sequence[float], words: str, k: int = 10) -> DataFrame:
     """Over all chunks, with or without a vector."""
-    return _hybrid(tables, tables.chunks, chunk_text(), query, words.strip(), k, ["file_path", "symbol_name", "content"], keep_null=True)
+    return _hybrid(tables, tables.chunks, tables.chunks_text, chunk_text(), query, words.strip(), k, ["file_path", "symbol_name", "content"], keep_null=True)
 
 
 def search_code(tables, query: Sequence[float], words: str, k: int = 10, scope: str | None = None) -> DataFrame:
-    rows = in_scope(tables.chunks, scope_ids(tables, scope))
-    return _hybrid(tables, rows, chunk_text(), query, words.strip(), k, ["file_path", "language", "chunk_type", "symbol_name", "content"])
+    own = Scope(scope_ids(tables, scope))
+    return _hybrid(tables, own(tables.chunks), own(tables.chunks_text), chunk_text(), query, words.strip(), k, ["file_path", "language", "chunk_type", "symbol_name", "content"])
 
 
 def search_rules(tables, query: Sequence[float], words: str, k: int = 10, scope: str | None = None) -> DataFrame:
-    rows = in_scope(tables.rules.filter(F.col("status") != "rejected"), scope_ids(tables, scope))
-    return _hybrid(tables, rows, fact_text("description"), query, words.strip(), k, ["title", "description", "source_file", "symbol_name", "status", "evidence", "confidence"])
+    own, live = Scope(scope_ids(tables, scope)), F.col("status") != "rejected"
+    return _hybrid(tables, own(tables.rules.filter(live)), own(tables.rules_text.filter(live)), fact_text("description"), query, words.strip(), k, ["title", "description", "source_file", "symbol_name", "status", "evidence", "confidence"])
 
 
 def search_knowledge(tables, query: Sequence[float], words: str, k: int = 10, scope: str | None = None) -> DataFrame:
-    rows = in_scope(tables.knowledge.filter(F.col("status") != "rejected"), scope_ids(tables, scope))
-    return _hybrid(tables, rows, fact_text("content"), query, words.strip(), k, ["kind", "title", "content", "source", "symbol_name", "status", "evidence", "confidence"])
+    own, live = Scope(scope_ids(tables, scope)), F.col("status") != "rejected"
+    return _hybrid(tables, own(tables.knowledge.filter(live)), own(tables.knowledge_text.filter(live)), fact_text("content"), query, words.strip(), k, ["kind", "title", "content", "source", "symbol_name", "status", "evidence", "confidence"])
 
 
 def related_files(tables, query: Sequence[float], k: int = 10, scope: str | None = None, exclude: str | None = None) -> DataFrame:
@@ -108,7 +109,7 @@ def char_budget(rows: DataFrame, most: int, key: list[str], length: Column, *tie
 
 def file_chunks(tables, path: str, scope: str | None = None, most: int = 20_000) -> DataFrame:
     """A file's chunks under a character budget."""
-    rows = in_scope(tables.chunks, scope_ids(tables, scope)).filter(suffix_match(F.col("file_path"), path)).withColumn("all", F.lit(1))
+    rows = in_scope(tables.chunks_text, scope_ids(tables, scope)).filter(suffix_match(F.col("file_path"), path)).withColumn("all", F.lit(1))
     return char_budget(rows, most, ["all"], F.length("content"), "id").drop("all")
 
 

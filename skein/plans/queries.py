@@ -97,7 +97,7 @@ def vector_topk(t):
 
 @query(f"SELECT id, s AS score, row_number() OVER (ORDER BY s DESC, id) AS rank FROM (SELECT id, {SCORE} AS s FROM (SELECT id, {TOKENS.format('content')} AS w FROM chunks) WHERE list_contains(w, 'thble')) ORDER BY s DESC, id LIMIT 100".replace("IN ('thble', 'thatin')", "IN ('thble')"))
 def text_topk(t):
-    return search.text_topk(t.chunks, F.col("content"), "thble", 100)
+    return search.text_topk(t.chunks_text, F.col("content"), "thble", 100)
 
 
 @query(f"SELECT id, round({DIST}, 6) AS distance FROM chunks WHERE embedding IS NOT NULL")
@@ -164,22 +164,22 @@ LIKE = " OR ".join(f"content ILIKE '%{w}%'" for w in WORDS)
 
 @query(f"SELECT id FROM chunks WHERE {LIKE}")
 def pred_ilike_any(t):
-    return t.chunks.filter(predicates.rule_candidate(WORDS)).select("id")
+    return t.chunks_text.filter(predicates.rule_candidate(WORDS)).select("id")
 
 
 @query("SELECT id FROM chunks WHERE file_path ILIKE '%7.txt' OR file_path ILIKE '%src1/%' OR content ILIKE '%license%' OR content ILIKE '%HttpClient%'")
 def pred_knowledge(t):
-    return t.chunks.filter(predicates.knowledge_candidate(("%7.txt", "%src1/%"), ("license", "HttpClient"))).select("id")
+    return t.chunks_text.filter(predicates.knowledge_candidate(("%7.txt", "%src1/%"), ("license", "HttpClient"))).select("id")
 
 
 @query(f"SELECT id FROM chunks WHERE ({LIKE} OR file_path ILIKE '%src1%' OR symbol_name ILIKE '%Sym1%') AND NOT (file_path ILIKE '%/es/%' OR file_path ILIKE '%9.txt' OR content ILIKE '%IEntityTypeConfiguration<%' OR content ILIKE '%EntityTypeBuilder<%' OR (chunk_type = 'type' AND content ILIKE '% interface %'))")
 def pred_semantic(t):
-    return t.chunks.filter(predicates.semantic_candidate(WORDS, ("src1",), ("Sym1",), ("es",), ("%9.txt",))).select("id")
+    return t.chunks_text.filter(predicates.semantic_candidate(WORDS, ("src1",), ("Sym1",), ("es",), ("%9.txt",))).select("id")
 
 
 @query("SELECT id FROM chunks WHERE content ILIKE '%public license%' OR content ILIKE 'the%' OR symbol_name ILIKE '%m_2%'")
 def pred_dynamic(t):
-    return t.chunks.filter(predicates.ilike_any(F.col("content"), ["public license", "the%"]) | predicates.ilike_any(F.col("symbol_name"), ["m_2"])).select("id")
+    return t.chunks_text.filter(predicates.ilike_any(F.col("content"), ["public license", "the%"]) | predicates.ilike_any(F.col("symbol_name"), ["m_2"])).select("id")
 
 
 MARK = "content ILIKE '%licensed under%'"
@@ -187,17 +187,17 @@ MARK = "content ILIKE '%licensed under%'"
 
 @query(f"SELECT DISTINCT project_id, file_path FROM chunks WHERE {MARK}")
 def marker_files(t):
-    return predicates.marked_files(t.chunks, predicates.ilike_any(F.col("content"), ["licensed under"]))
+    return predicates.marked_files(t.chunks_text, predicates.ilike_any(F.col("content"), ["licensed under"]))
 
 
 @query(f"SELECT id FROM chunks c WHERE EXISTS (SELECT 1 FROM chunks m WHERE m.project_id = c.project_id AND m.file_path = c.file_path AND m.{MARK})")
 def marker_semi(t):
-    return predicates.with_marker(t.chunks, predicates.ilike_any(F.col("content"), ["licensed under"])).select("id")
+    return predicates.with_marker(t.chunks_text, predicates.ilike_any(F.col("content"), ["licensed under"])).select("id")
 
 
 @query(f"SELECT id FROM chunks c WHERE NOT EXISTS (SELECT 1 FROM chunks m WHERE m.project_id = c.project_id AND m.file_path = c.file_path AND m.{MARK})")
 def marker_anti(t):
-    return predicates.without_marker(t.chunks, predicates.ilike_any(F.col("content"), ["licensed under"])).select("id")
+    return predicates.without_marker(t.chunks_text, predicates.ilike_any(F.col("content"), ["licensed under"])).select("id")
 
 
 PATHS = "CASE id % 5 WHEN 0 THEN '/tests/' WHEN 1 THEN '/bin/' WHEN 2 THEN '/Spec/' ELSE '/src/' END"
@@ -207,7 +207,7 @@ PATHS = "CASE id % 5 WHEN 0 THEN '/tests/' WHEN 1 THEN '/bin/' WHEN 2 THEN '/Spe
 SELECT id FROM f WHERE regexp_matches(project, '(?i)(^|[._-])(test|tests|unittests|integrationtests|functionaltests|acceptancetests|spec|specs)([._-]|$)') OR regexp_matches(project, '(?i)(tests|specs)$') OR path ILIKE '%/test/%' OR path ILIKE '%/tests/%' OR path ILIKE '%/spec/%' OR path ILIKE '%/specs/%' OR regexp_matches(path, '(?i)(tests|specs)\\.cs$')""")
 def test_file_pred(t):
     folder = F.when(F.col("id") % 5 == 0, "/tests/").when(F.col("id") % 5 == 1, "/bin/").when(F.col("id") % 5 == 2, "/Spec/").otherwise("/src/")
-    rows = t.chunks.select("id", F.concat(F.lit("p"), F.col("project_id").cast("string"), F.when(F.col("project_id") % 4 == 0, ".Tests").otherwise("")).alias("project"),
+    rows = t.chunks_text.select("id", F.concat(F.lit("p"), F.col("project_id").cast("string"), F.when(F.col("project_id") % 4 == 0, ".Tests").otherwise("")).alias("project"),
                            F.concat(F.lit("a"), folder, F.col("id").cast("string"), F.when(F.col("id") % 7 == 0, "Tests.cs").otherwise(".cs")).alias("path"))
     return rows.filter(predicates.test_path(F.col("project"), F.col("path"))).select("id")
 
@@ -216,7 +216,7 @@ INDEXABLE = f"NOT EXISTS (SELECT 1 FROM chunks m WHERE m.project_id = c.project_
 
 
 def indexable_chunks(t):
-    return predicates.indexable(t.chunks, t.projects, predicates.ilike_any(F.col("content"), ["licensed under"]), predicates.ilike_any(F.col("content"), ["[Fact"]))
+    return predicates.indexable(t.chunks_text, t.projects, predicates.ilike_any(F.col("content"), ["licensed under"]), predicates.ilike_any(F.col("content"), ["[Fact"]))
 
 
 @query(f"SELECT id FROM chunks c WHERE {INDEXABLE}")
@@ -226,7 +226,7 @@ def indexable(t):
 
 @query(f"SELECT c.id FROM chunks c JOIN projects p ON p.id = c.project_id WHERE {SCOPED.replace('src1', 'fr/src3')}")
 def scope_filter(t):
-    return scope.in_scope(t.chunks, scope.scope_ids(t, "fr/src3")).select("id")
+    return scope.in_scope(t.chunks_text, scope.scope_ids(t, "fr/src3")).select("id")
 
 
 FILTERED = "SELECT DISTINCT p.id, p.name, p.root_path FROM projects p LEFT JOIN workspace_projects wp ON wp.project_id = p.id LEFT JOIN workspaces w ON w.id = wp.workspace_id WHERE w.name = 'de' AND (p.name = 'src1' OR p.root_path ILIKE '%src1%' OR w.name || '/' || p.name = 'src1')"
@@ -244,12 +244,12 @@ def list_filter(t):
 
 @query("SELECT id FROM chunks WHERE file_path ILIKE '%/de/1%' OR language ILIKE '%/de/1%' OR chunk_type ILIKE '%/de/1%' OR symbol_name ILIKE '%/de/1%'")
 def multi_contains(t):
-    return t.chunks.filter(predicates.multi_contains([F.col(c) for c in ("file_path", "language", "chunk_type", "symbol_name")], " /de/1 ")).select("id")
+    return t.chunks_text.filter(predicates.multi_contains([F.col(c) for c in ("file_path", "language", "chunk_type", "symbol_name")], " /de/1 ")).select("id")
 
 
 @query("SELECT id FROM chunks WHERE file_path = 'en/1_.txt' OR file_path ILIKE '%en/1_.txt'")
 def suffix_match(t):
-    return t.chunks.filter(predicates.suffix_match(F.col("file_path"), "en/1_.txt")).select("id")
+    return t.chunks_text.filter(predicates.suffix_match(F.col("file_path"), "en/1_.txt")).select("id")
 
 
 # text -----------------------------------------------------------------------------------------------------------
@@ -314,7 +314,7 @@ def evidence_gate(t):
 
 @query("SELECT id, content_hash FROM chunks")
 def content_hash(t):
-    return t.chunks.select("id", "content_hash")
+    return t.chunks_text.select("id", "content_hash")
 
 
 LANGS = "CASE id % 5 WHEN 0 THEN 'csharp' WHEN 1 THEN 'sql' WHEN 2 THEN 'markdown' WHEN 3 THEN 'json' END"
@@ -325,14 +325,14 @@ CASE WHEN l IN ('csharp', 'sql') THEN 'Symbol: ' || symbol_name WHEN l = 'markdo
 FROM (SELECT *, {LANGS} AS l FROM chunks) c JOIN projects p ON p.id = c.project_id""")
 def contextual_content(t):
     lang = F.get(F.array(*map(F.lit, ("csharp", "sql", "markdown", "json"))), (F.col("id") % 5).cast("int"))
-    rows = t.chunks.join(t.projects.select(F.col("id").alias("project_id"), "name"), "project_id")
+    rows = t.chunks_text.join(t.projects.select(F.col("id").alias("project_id"), "name"), "project_id")
     return rows.select("id", F.md5(X.contextual(F.col("name"), F.col("file_path"), lang, F.col("symbol_name"), F.col("chunk_type"), F.col("content")).cast("binary")).alias("digest"))
 
 
 @query("SELECT id, CASE id % 4 WHEN 0 THEN 'csharp' WHEN 1 THEN 'markdown' WHEN 2 THEN 'yml' ELSE '' END AS language FROM chunks")
 def lang_map(t):
     ext = F.get(F.array(*map(F.lit, (".CS", ".md", ".Yml", ""))), (F.col("id") % 4).cast("int"))
-    return t.chunks.select("id", X.language_of(F.concat(F.lit("a.b/c"), ext)).alias("language"))
+    return t.chunks_text.select("id", X.language_of(F.concat(F.lit("a.b/c"), ext)).alias("language"))
 
 
 @query("SELECT doc_id, md5(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> ''), chr(10))) AS digest FROM documents")
@@ -357,7 +357,7 @@ def simple_symbol(t):
 
 @query()
 def compress_code(t):
-    return t.chunks.select("id", compress.compressed("content", "symbol_name").alias("content"))
+    return t.chunks_text.select("id", compress.compressed("content", "symbol_name").alias("content"))
 
 
 # reports --------------------------------------------------------------------------------------------------------
@@ -421,18 +421,18 @@ def duplicate_names(t):
 
 @query("SELECT id, name FROM projects p WHERE NOT EXISTS (SELECT 1 FROM chunks c WHERE c.project_id = p.id AND c.language = 'es' AND c.id % 3 = 0)")
 def projects_without_chunks(t):
-    some = t.chunks.filter("language = 'es' AND id % 3 = 0").select(F.col("project_id").alias("id"))
+    some = t.chunks_text.filter("language = 'es' AND id % 3 = 0").select(F.col("project_id").alias("id"))
     return t.projects.join(some, "id", "left_anti").select("id", "name")
 
 
 @query("SELECT c.id FROM chunks c LEFT JOIN (SELECT * FROM projects WHERE id % 2 = 0) p ON p.id = c.project_id WHERE p.id IS NULL")
 def broken_refs(t):
-    return t.chunks.join(t.projects.filter("id % 2 = 0").select(F.col("id").alias("project_id")), "project_id", "left_anti").select("id")
+    return t.chunks_text.join(t.projects.filter("id % 2 = 0").select(F.col("id").alias("project_id")), "project_id", "left_anti").select("id")
 
 
 @query("SELECT c.id, p.name AS project FROM chunks c JOIN projects p ON p.id = c.project_id")
 def join_inner(t):
-    return t.chunks.join(t.projects.select(F.col("id").alias("project_id"), F.col("name").alias("project")), "project_id").select("id", "project")
+    return t.chunks_text.join(t.projects.select(F.col("id").alias("project_id"), F.col("name").alias("project")), "project_id").select("id", "project")
 
 
 @query("SELECT w.id AS workspace_id, p.id AS project_id FROM (SELECT * FROM workspaces WHERE name = 'de') w, (SELECT * FROM projects WHERE name = 'src2') p")
@@ -443,7 +443,7 @@ def cross_link(t):
 
 @query("SELECT project_id, string_agg(DISTINCT symbol_name, ', ' ORDER BY symbol_name) AS symbols FROM chunks GROUP BY project_id")
 def string_agg_distinct(t):
-    return t.chunks.groupBy("project_id").agg(F.nullif(F.array_join(F.array_sort(F.collect_set("symbol_name")), ", "), F.lit("")).alias("symbols"))
+    return t.chunks_text.groupBy("project_id").agg(F.nullif(F.array_join(F.array_sort(F.collect_set("symbol_name")), ", "), F.lit("")).alias("symbols"))
 
 
 WORK = f", work AS (SELECT c.*, p.name AS project, s.status AS state, s.content_hash AS state_hash FROM chunks c JOIN projects p ON p.id = c.project_id JOIN workspace_projects wp ON wp.project_id = p.id JOIN workspaces w ON w.id = wp.workspace_id LEFT JOIN extraction_state s ON s.chunk_id = c.id AND s.stage = 'rules' WHERE w.name = 'en' AND ({INDEXABLE}))"
@@ -497,13 +497,13 @@ FILES = ", f AS (SELECT DISTINCT '/src/' || file_path AS path FROM chunks), r AS
 
 @query(f"{FILES} SELECT path, arg_min(root, position) AS root FROM f LEFT JOIN r ON starts_with(lower(path), lower(root)) GROUP BY path")
 def prefix_assign(t):
-    paths = t.chunks.select(F.concat(F.lit("/src/"), "file_path").alias("path")).distinct()
+    paths = t.chunks_text.select(F.concat(F.lit("/src/"), "file_path").alias("path")).distinct()
     return predicates.prefix_assign(paths, t.projects.select(F.col("root_path").alias("root"), F.col("id").alias("position")))
 
 
 @query(f"{FILES} SELECT path FROM f WHERE NOT EXISTS (SELECT 1 FROM r WHERE position % 3 = 0 AND starts_with(path, root || '/'))")
 def anti_prefix_join(t):
-    paths = t.chunks.select(F.concat(F.lit("/src/"), "file_path").alias("path")).distinct()
+    paths = t.chunks_text.select(F.concat(F.lit("/src/"), "file_path").alias("path")).distinct()
     return predicates.anti_prefix(paths, t.projects.filter("id % 3 = 0").select(F.col("root_path").alias("folder")))
 
 
@@ -538,7 +538,7 @@ def insert_ignore(t):
 @query("SELECT chunk_id, stage, CASE WHEN chunk_id % 3 = 0 THEN 'failed' ELSE status END AS status, CASE WHEN chunk_id % 3 = 0 THEN length(substr(content, 1, 2000)) END::INT AS error_length FROM extraction_state s JOIN (SELECT id AS cid, content FROM chunks) c ON c.cid = s.chunk_id")
 def upsert_state(t):
     state = t.extraction_state.withColumn("error", F.lit(None).cast("string")).withColumn("updated_at", F.timestamp_seconds(F.col("id")))
-    fresh = state.filter("chunk_id % 3 = 0").join(t.chunks.select(F.col("id").alias("chunk_id"), "content"), "chunk_id").withColumns({"error": F.col("content"), "status": F.lit("failed")}).select(*state.columns)
+    fresh = state.filter("chunk_id % 3 = 0").join(t.chunks_text.select(F.col("id").alias("chunk_id"), "content"), "chunk_id").withColumns({"error": F.col("content"), "status": F.lit("failed")}).select(*state.columns)
     return merge.upsert_state(state, fresh).select("chunk_id", "stage", "status", F.length("error").alias("error_length"))
 
 
@@ -549,7 +549,7 @@ def upsert_symbols(t):
 
 
 def _candidates(t, kind: bool = False):
-    rows = t.knowledge if kind else t.rules
+    rows = t.knowledge_text if kind else t.rules_text
     odd = rows.select((F.col("id") + 1_000_000).alias("cand_id"), F.when(F.col("id") % 10 == 0, F.lit(-1)).otherwise(F.col("chunk_id")).alias("chunk_id"), F.when(F.col("id") % 3 == 0, F.lower("title")).otherwise(F.concat(F.lit("x"), "title")).alias("title"),
                       F.when(F.col("id") % 5 == 0, F.col("content_hash")).otherwise(F.concat(F.lit("n"), "content_hash")).alias("content_hash"), *([F.upper("kind").alias("kind")] if kind else []))
     return odd
@@ -563,33 +563,33 @@ UPSERT_RULES = UPSERT.format(CANDS.format("", "rules"), "rules", "")
 
 @query(UPSERT_RULES)
 def upsert_rules(t):
-    return merge.upsert_facts(t.rules, _candidates(t), t.chunks)
+    return merge.upsert_facts(t.rules_text, _candidates(t), t.chunks_text)
 
 
 @query(UPSERT.format(CANDS.format(", upper(kind) AS kind", "knowledge"), "knowledge", " AND lower(r.kind) = lower(k.kind)"))
 def upsert_knowledge(t):
-    return merge.upsert_facts(t.knowledge, _candidates(t, True), t.chunks, by_kind=True)
+    return merge.upsert_facts(t.knowledge_text, _candidates(t, True), t.chunks_text, by_kind=True)
 
 
 @query(", u AS (SELECT * FROM (WITH RECURSIVE " + CTES.strip() + UPSERT_RULES + ")) SELECT action, count(*) AS n FROM u WHERE reported GROUP BY action")
 def upsert_action_counts(t):
-    return merge.action_counts(merge.upsert_facts(t.rules, _candidates(t), t.chunks))
+    return merge.action_counts(merge.upsert_facts(t.rules_text, _candidates(t), t.chunks_text))
 
 
 @query(f"SELECT id FROM chunks c WHERE NOT EXISTS (SELECT 1 FROM chunks m WHERE m.project_id = c.project_id AND m.file_path = c.file_path AND m.{MARK} AND m.project_id % 2 = 0)")
 def delete_marker_files(t):
-    doomed = predicates.marked_files(t.chunks.filter("project_id % 2 = 0"), predicates.ilike_any(F.col("content"), ["licensed under"]))
-    return merge.delete_files(t.chunks, doomed).select("id")
+    doomed = predicates.marked_files(t.chunks_text.filter("project_id % 2 = 0"), predicates.ilike_any(F.col("content"), ["licensed under"]))
+    return merge.delete_files(t.chunks_text, doomed).select("id")
 
 
 @query("SELECT id FROM chunks c WHERE NOT EXISTS (SELECT 1 FROM chunks m WHERE m.project_id = c.project_id AND m.file_path = c.file_path AND m.content ILIKE '%public license%')")
 def delete_test_files(t):
-    return merge.delete_files(t.chunks, predicates.test_files(t.chunks, t.projects, predicates.ilike_any(F.col("content"), ["public license"]))).select("id")
+    return merge.delete_files(t.chunks_text, predicates.test_files(t.chunks_text, t.projects, predicates.ilike_any(F.col("content"), ["public license"]))).select("id")
 
 
 @query("SELECT id FROM chunks WHERE project_id <> 3 OR file_path ILIKE '%/en/%'")
 def orphan_delete(t):
-    return merge.delete_orphans(t.chunks, t.chunks.filter(F.col("file_path").contains("/en/")).select("file_path"), 3).select("id")
+    return merge.delete_orphans(t.chunks_text, t.chunks_text.filter(F.col("file_path").contains("/en/")).select("file_path"), 3).select("id")
 
 
 # extraction and chunks ------------------------------------------------------------------------------------------
@@ -603,7 +603,7 @@ def _code(t):
     text = F.when(F.col("id") % 4 == 0, F.concat(F.lit('throw new My.BusinessException("Cliente '), n, F.lit(' não pode comprar.")')))
     text = text.when(F.col("id") % 4 == 1, F.concat(F.lit('x.WithMessage("Campo '), m, F.lit(' deve existir");\n  y.WithMessage("campo '), m, F.lit(' DEVE existir")')))
     text = text.when(F.col("id") % 4 == 2, F.concat(F.lit('AddErro<T>(a, "Pedido '), n, F.lit(' cancelado")'))).otherwise("nada")
-    return t.chunks.join(t.projects.select(F.col("id").alias("project_id"), F.col("name").alias("project")), "project_id").select("id", "project", "file_path", "symbol_name", text.alias("content"))
+    return t.chunks_text.join(t.projects.select(F.col("id").alias("project_id"), F.col("name").alias("project")), "project_id").select("id", "project", "file_path", "symbol_name", text.alias("content"))
 
 
 @query(""", m AS (SELECT id, project, CASE id % 4 WHEN 0 THEN 'Cliente ' || id || ' não pode comprar' WHEN 1 THEN 'Campo ' || (id % 3) || ' deve existir' WHEN 2 THEN 'Pedido ' || id || ' cancelado' END AS message, CASE id % 4 WHEN 0 THEN 0.88 WHEN 1 THEN 0.78 ELSE 0.84 END::DOUBLE AS confidence,
@@ -617,7 +617,7 @@ def extract_rules(t):
 @query("""SELECT c.id AS chunk_id, 'technical_risk' AS kind, p.name || ': license' AS title, 'O projeto ' || p.name || ' contém marcador técnico que precisa de revisão: License.' AS content, 0.62::DOUBLE AS confidence, sha256(p.name || '|knowledge|technical_risk|license|' || file_path) AS content_hash
 FROM chunks c JOIN projects p ON p.id = c.project_id WHERE contains(lower(content), 'license')""")
 def keyword_knowledge(t):
-    rows = t.chunks.join(t.projects.select(F.col("id").alias("project_id"), F.col("name").alias("project")), "project_id").select("id", "project", "file_path", "symbol_name", "content")
+    rows = t.chunks_text.join(t.projects.select(F.col("id").alias("project_id"), F.col("name").alias("project")), "project_id").select("id", "project", "file_path", "symbol_name", "content")
     found = extraction.keyword_knowledge(rows, [("License", "license", "technical_risk", 0.62), ("Kafka", "usa Kafka", "integration", 0.82)])
     return found.select("chunk_id", "kind", "title", "content", F.col("confidence").cast("double").alias("confidence"), "content_hash")
 
@@ -644,8 +644,8 @@ def dedup_keep_last(t):
 @query()
 def json_rules_parse(t):
     text = F.concat(F.lit('{"Rules": [ // found\n {"TITLE": "Pedido deve ter cliente", "description": "O pedido deve ter um cliente", "evidence": "'), F.substring(F.regexp_replace("content", r'[\s"\\]+', " "), 1, 12), F.lit('", "confidence": 2.0,},]}'))
-    rows = t.chunks.join(t.projects.select(F.col("id").alias("project_id"), F.col("name").alias("project")), "project_id").select("id", "project", "content")
-    return extraction.semantic_rules(rows, t.chunks.select("id", text.alias("reply")))
+    rows = t.chunks_text.join(t.projects.select(F.col("id").alias("project_id"), F.col("name").alias("project")), "project_id").select("id", "project", "content")
+    return extraction.semantic_rules(rows, t.chunks_text.select("id", text.alias("reply")))
 
 
 @query(r""", s AS (SELECT doc_id AS id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS x FROM documents),
@@ -716,7 +716,7 @@ NAMES = tuple(schemas.TABLES)
 
 
 def _checks(t):
-    actual = schemas.columns_of(t.spark, {"projects": t.projects, "workspaces": t.workspaces, "chunks": t.chunks.drop("embedding")})
+    actual = schemas.columns_of(t.spark, {"projects": t.projects, "workspaces": t.workspaces, "chunks": t.chunks_text})
     return schemas.schema_check(schemas.required_columns(t.spark).filter(F.col("table_name").isin("projects", "workspaces", "chunks")), actual)
 
 

@@ -49,6 +49,7 @@ class Few:
         facts = "id long, project_id int, status string, evidence string, {} string"
         self.rules = spark.createDataFrame([(1, 1, "candidate", " ", None)], facts.format("source_file"))
         self.knowledge = spark.createDataFrame([], facts.format("source"))
+        self.chunks_text, self.rules_text, self.knowledge_text = self.chunks, self.rules, self.knowledge
 
 
 def test_fan_out_is_not_counted_twice(spark):
