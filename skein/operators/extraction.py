@@ -152,3 +152,18 @@ def generated(chunks: DataFrame, generate: Callable[[str], str], prompt: Column)
         return prompts.map(generate)
 
     return chunks.select("id", ask(prompt).alias("reply"))
+
+
+def prompt(root: str, fields: str, about: str) -> Column:
+    """What to ask a text model about each chunk; fields: the JSON object of one item."""
+    head = f'Read the chunk and list {about}. Answer with JSON alone, as {{"{root}": [{fields}]}}. Copy each evidence word by word from the chunk; leave out what has none. An empty list is fine.\n\n'
+    where = F.concat_ws("\n", *(F.concat(F.lit(f"{c}: "), F.coalesce(c, F.lit(""))) for c in ("project", "file_path", "language", "chunk_type", "symbol_name")))
+    return F.concat(F.lit(head), where, F.lit("\n\n"), F.col("content"))
+
+
+def rules_prompt() -> Column:
+    return prompt("rules", '{"title": "", "description": "", "evidence": "", "confidence": 0.0}', "the rules of the business that it states or enforces (limits, permissions, validations, states, required data), and no technical detail")
+
+
+def knowledge_prompt() -> Column:
+    return prompt("knowledge", f'{{"kind": "{"|".join(X.KINDS)}", "title": "", "content": "", "evidence": "", "confidence": 0.0}}', "what it tells about the technology in use (integrations, patterns, storage, configuration, risks), and no rule of the business")

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 
 def _struct(**columns: str) -> T.StructType:
-    kinds = {"s": T.StringType(), "i": T.IntegerType(), "l": T.LongType(), "t": T.TimestampType(), "c": T.DecimalType(5, 2), "v": T.ArrayType(T.FloatType(), False)}
+    kinds = {"s": T.StringType(), "i": T.IntegerType(), "l": T.LongType(), "t": T.TimestampType(), "c": T.DecimalType(5, 2), "v": T.ArrayType(T.FloatType())}
     return T.StructType([T.StructField(name, kinds[kind[0]], not kind.endswith("!")) for name, kind in columns.items()])
 
 
