@@ -88,3 +88,9 @@ def semi(df: DataFrame, keys: DataFrame, on: list[str], inverse: bool = False) -
     sieve = key_filter(keys, on[0], keys.count())
     joined = sieve(df, on[0]).join(keys.select(*on), on, "left_anti" if inverse else "left_semi")
     return sieve(df, on[0], inverse=True).unionByName(joined) if inverse else joined
+
+
+def forget(spark: SparkSession) -> None:
+    """Deletes every intermediate table in the shared folder; results that still read them are void."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/skein")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

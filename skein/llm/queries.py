@@ -21,4 +21,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontamination.OP1_SQL, "op8_quality_rules": quality.OP8_SQL}
+    return {
+        "op1_decontamination": decontamination.OP1_SQL,
+        "op2_near_join": near_join.OP2_SQL,
+        "op3_url_filters": urls.OP3_SQL,
+        "op5_suffix_array_dedup": suffix_dedup.OP5_SQL,
+        "op8_quality_rules": quality.OP8_SQL,
+    }

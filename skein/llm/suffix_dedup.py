@@ -162,8 +162,9 @@ def sorted_out(rows: DataFrame, name: str) -> DataFrame:
     """One pass: of rows (g1, g2, c1, c2, d1, d2, at, lo, hi), those whose digit c others share (full), and one row for
     each c whose group g has other digits (listed), to be told apart by the next pass."""
     rows = stored(rows, name)
-    groups = rows.groupBy("g1", "g2", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d1", "d2", "lo")).alias("own"))
-    many = groups.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    groups = stored(rows.groupBy("g1", "g2", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d1", "d2", "lo")).alias("own")), f"{name}-groups")
+    # both written, so that the sides of the next joins are plain shuffles, which Spark can split at a hot gram
+    many = stored(groups.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"), f"{name}-many")
     told = groups.join(many, ["g1", "g2"], "left").filter("n > 1 OR kinds > 1")
     flagged = rows.join(told, ["g1", "g2", "c1", "c2"]).select(
         "d1", "d2", "at", "lo", "hi", (F.col("n") > 1).alias("full"), (F.col("kinds").isNotNull() & (F.col("own") == F.struct("d1", "d2", "lo"))).alias("listed"))
@@ -203,3 +204,16 @@ def dedup_bytes(docs: DataFrame, *carried: str) -> DataFrame:
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_bytes(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+#: DuckDB, by every window of every text; for tables of small size.
+OP5_SQL = """
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT rid, s, md5(substr(x, 2 * s + 1, 400)) AS k FROM (SELECT rid, x, unnest(range(0, len(x) // 2 - 199)) AS s FROM t WHERE len(x) >= 400)),
+r AS (SELECT rid, s FROM (SELECT rid, s, count(*) OVER (PARTITION BY k) AS c FROM w) WHERE c > 1),
+g AS (SELECT rid, s, sum(CASE WHEN s - p <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY rid ORDER BY s) AS g FROM (SELECT rid, s, lag(s) OVER (PARTITION BY rid ORDER BY s) AS p FROM r)),
+runs AS (SELECT rid, min(s) AS a, max(s) + 200 AS b FROM g GROUP BY rid, g),
+cuts AS (SELECT rid, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS e FROM runs),
+kept AS (SELECT t.rid, sum(b - a) AS removed, count(*) AS spans, string_agg(substr(x, 2 * e + 1, 2 * (a - e)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1) AS y FROM cuts JOIN t USING (rid) GROUP BY t.rid)
+SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(y, x))) AS kept_sha256 FROM t LEFT JOIN kept USING (rid)
+"""

@@ -69,7 +69,7 @@ def judged_templates(rows: DataFrame) -> DataFrame:
     order = W.partitionBy("host", F.col("share").isNull()).orderBy("share", "template")
     chained = per.withColumn("share", share).withColumn("p0", F.lag("share").over(order)).withColumn("n0", F.lag("labels").over(order))
     pooled = (F.col("share") * F.col("labels") + F.col("p0") * F.col("n0")) / (F.col("labels") + F.col("n0"))
-    error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("labels") + 1 / F.col("n0")))
+    error = F.sqrt(F.greatest(F.lit(0.0), pooled * (1 - pooled) * (1 / F.col("labels") + 1 / F.col("n0"))))
     apart = F.coalesce(F.col("share") - F.col("p0") > Z * error, F.lit(True))
     grouped = chained.withColumn("branch", F.sum(apart.cast("int")).over(order)).withColumn("open", F.col("share").isNull())
     total = grouped.groupBy("host", "open", "branch").agg(F.sum("labels").alias("all_labels"), F.sum("blocked").alias("all_blocked"))
@@ -92,3 +92,29 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _sql() -> str:
+    """The same in DuckDB."""
+    ordered = sorted(RULES, key=lambda r: (len(r[1] + r[2]), r), reverse=True)
+    case = lambda k: "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{(said, h + p)[k]}'" for said, h, p in ordered) + " END"
+    part = lambda k: f"coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', {k}), '')"
+    levels = ""
+    for k in range(DEPTH):
+        seg = f"parts[{k + 1}]" if k < DEPTH - 1 else f"CASE WHEN len(parts) >= {DEPTH} THEN array_to_string(parts[{DEPTH}:], '/') END"
+        levels += f""",
+s{k} AS (SELECT *, {seg} AS seg FROM t{k}), c{k} AS (SELECT host, template, seg, count(*) AS n FROM s{k} WHERE seg IS NOT NULL GROUP BY ALL),
+l{k} AS (SELECT host, template, seg FROM (SELECT *, sum(n) OVER (PARTITION BY host, template) AS total FROM c{k}) WHERE n >= {LEAST} AND n * {SHARE} >= total),
+t{k + 1} AS (SELECT s.page_id, s.host, s.path, s.rule, s.verdict, s.parts, CASE WHEN s.seg IS NULL THEN s.template WHEN l.seg IS NOT NULL THEN s.template || '/' || s.seg ELSE s.template || '/*' END AS template FROM s{k} s LEFT JOIN l{k} l ON l.host = s.host AND l.template = s.template AND l.seg = s.seg)"""
+    return f"""WITH u AS (SELECT page_id, translate({part(1)}, '{UPPER}', '{UPPER.lower()}') AS host, {part(2)} AS path FROM pages),
+t0 AS (SELECT page_id, host, path, {case(1)} AS rule, {case(0)} AS verdict, string_split(CASE WHEN starts_with(path, '/') THEN path[2:] ELSE path END, '/') AS parts, '' AS template FROM u){levels},
+p AS (SELECT host, template, count(verdict) AS labels, count(*) FILTER (verdict = 'block') AS blocked FROM t{DEPTH} GROUP BY ALL),
+q AS (SELECT *, CASE WHEN labels >= {MIN_LABELS} THEN blocked / labels END AS share FROM p),
+x AS (SELECT *, lag(share) OVER w AS p0, lag(labels) OVER w AS n0 FROM q WINDOW w AS (PARTITION BY host, share IS NULL ORDER BY share, template)),
+y AS (SELECT *, coalesce(share - p0 > {Z} * sqrt(greatest(0, (share * labels + p0 * n0) / (labels + n0) * (1 - (share * labels + p0 * n0) / (labels + n0)) * (1 / labels + 1 / n0))), true) AS apart FROM x),
+z AS (SELECT *, sum(apart::INT) OVER (PARTITION BY host, share IS NULL ORDER BY share, template) AS branch FROM y),
+j AS (SELECT host, template, sum(blocked) OVER b / (sum(labels) OVER b + {SMOOTHING}) >= {REJECT} AS rejected FROM z WINDOW b AS (PARTITION BY host, share IS NULL, branch))
+SELECT page_id, t.host, path, rule, coalesce(verdict, CASE WHEN rejected THEN 'block' ELSE 'allow' END) AS verdict FROM t{DEPTH} t LEFT JOIN j ON j.host = t.host AND j.template = t.template"""
+
+
+OP3_SQL = _sql()
