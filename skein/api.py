@@ -16,24 +16,25 @@ from skein.sources.embedding import QueryCache, hashed_vector
 
 
 class Engine:
-    """tables: the logical tables as attributes (see skein.fixtures.Tables); embed: a query's vector."""
+    """tables: the logical tables as attributes (see skein.fixtures.Tables); embed: a query's vector; code_language and
+    fact_language: whose stop words and endings are left out of full text (None: plain words)."""
 
-    def __init__(self, tables, embed: Callable[[str], Sequence[float]] = hashed_vector):
-        self.tables, self.embed = tables, QueryCache(embed)
+    def __init__(self, tables, embed: Callable[[str], Sequence[float]] = hashed_vector, code_language: str | None = "english", fact_language: str | None = "portuguese"):
+        self.tables, self.embed, self.code_language, self.fact_language = tables, QueryCache(embed), code_language, fact_language
 
     def search(self, query: str, k: int | None = None) -> DataFrame:
-        return search.search(self.tables, self.embed(query), query, clamp(k, 10, 1, 50))
+        return search.search(self.tables, self.embed(query), query, clamp(k, 10, 1, 50), self.code_language)
 
     def search_code(self, query: str, k: int | None = None, project: str | None = None, max_content_chars: int | None = None) -> DataFrame:
-        found = search.search_code(self.tables, self.embed(query), query, clamp(k, 10, 1, 50), project)
+        found = search.search_code(self.tables, self.embed(query), query, clamp(k, 10, 1, 50), project, self.code_language)
         best = search.reranked(found, query)
         return best.withColumn("content", truncated(compressed("content", "symbol_name"), clamp(max_content_chars, 1200, 200, 10_000)))
 
     def search_business_rules(self, query: str, k: int | None = None, project: str | None = None) -> DataFrame:
-        return search.search_rules(self.tables, self.embed(query), query, clamp(k, 10, 1, 50), project).withColumn("evidence", compress_evidence(F.col("evidence")))
+        return search.search_rules(self.tables, self.embed(query), query, clamp(k, 10, 1, 50), project, self.fact_language).withColumn("evidence", compress_evidence(F.col("evidence")))
 
     def search_knowledge(self, query: str, k: int | None = None, project: str | None = None) -> DataFrame:
-        return search.search_knowledge(self.tables, self.embed(query), query, clamp(k, 10, 1, 50), project).withColumn("evidence", compress_evidence(F.col("evidence")))
+        return search.search_knowledge(self.tables, self.embed(query), query, clamp(k, 10, 1, 50), project, self.fact_language).withColumn("evidence", compress_evidence(F.col("evidence")))
 
     def find_related_files(self, query: str, k: int | None = None, project: str | None = None, exclude: str | None = None) -> DataFrame:
         return search.related_files(self.tables, self.embed(query), clamp(k, 10, 1, 50), project, exclude)

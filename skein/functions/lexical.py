@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -14,21 +15,43 @@ from pyspark.sql.types import DoubleType
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 
 
-def tokens(text: Column) -> Column:
-    """Lower-cased runs of letters and digits."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), TOKEN_SPLIT), lambda t: t != "")
+#: Endings that a light stemmer takes off, longest first.
+SUFFIXES = {"english": ("ingly", "edly", "ing", "ed", "ly", "es", "s"), "portuguese": ("mente", "ções", "ção", "ando", "endo", "ar", "er", "ir", "os", "as", "s")}
+
+
+def ending(language: str) -> str:
+    return f"(?<=.{{3}})(?:{'|'.join(SUFFIXES[language])})$"
+
+
+def stemmed(word: Column, language: str = "english") -> Column:
+    """The word without one ending, if three letters stay."""
+    return F.regexp_replace(word, ending(language), "")
+
+
+def stop_words(language: str) -> list[str]:
+    return StopWordsRemover.loadDefaultStopWords(language)
 
 
-def websearch(query: str) -> list[list[tuple[bool, list[str]]]]:
+def tokens(text: Column, language: str | None = None) -> Column:
+    """Lower-cased runs of letters and digits; with a language, stems without stop words."""
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), TOKEN_SPLIT), lambda t: t != "")
+    if language is None:
+        return words
+    return F.transform(F.filter(words, lambda t: ~t.isin(*stop_words(language))), lambda t: stemmed(t, language))
+
+
+def websearch(query: str, language: str | None = None) -> list[list[tuple[bool, list[str]]]]:
     """A web-style query as alternatives of conjunctions of (negated, phrase). Bare words and "phrases" are joined by
     and, OR separates alternatives of its neighbours, - negates."""
     groups: list[list[tuple[bool, list[str]]]] = []
     either = False
+    stops = set(stop_words(language)) if language else set()
     for minus, phrase, word in re.findall(r'(-?)(?:"([^"]*)"|([^\s"]+))', query):
         if not phrase and word.upper() == "OR" and not minus:
             either = bool(groups)
             continue
-        terms = re.findall(r"[^\W_]+", (phrase or word).lower())
+        terms = [t for t in re.findall(r"[^\W_]+", (phrase or word).lower()) if t not in stops]
+        terms = [re.sub(ending(language), "", t) for t in terms] if language else terms
         if not terms:
             continue
         if either:
@@ -42,31 +65,31 @@ def websearch(query: str) -> list[list[tuple[bool, list[str]]]]:
 def _holds(words: Column, terms: list[str]) -> Column:
     if len(terms) == 1:
         return F.array_contains(words, terms[0])
-    return F.exists(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), lambda i: F.slice(words, i, len(terms)) == F.array(*map(F.lit, terms)))
+    return F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")).contains(f" {' '.join(terms)} ")
 
 
-def matches(words: Column, query: str) -> Column:
+def matches(words: Column, query: str, language: str | None = None) -> Column:
     """Whether a token array fits a web-style query; an empty query fits nothing."""
-    groups = websearch(query)
+    groups = websearch(query, language)
     if not groups:
         return F.lit(False)
     return reduce(lambda a, b: a & b, (reduce(lambda a, b: a | b, (~_holds(words, t) if neg else _holds(words, t) for neg, t in group)) for group in groups))
 
 
-def may_match(text: Column, query: str) -> Column:
+def may_match(text: Column, query: str, language: str | None = None) -> Column:
     """A cheap condition that every text which fits the query meets: it holds the words somewhere."""
     low = F.lower(text)
-    needed = [group for group in websearch(query) if not any(neg for neg, _ in group)]
+    needed = [group for group in websearch(query, language) if not any(neg for neg, _ in group)]
     return reduce(lambda a, b: a & b, (reduce(lambda a, b: a | b, (reduce(lambda a, b: a & b, (low.contains(t) for t in terms)) for _, terms in group)) for group in needed), F.lit(True))
 
 
-def query_words(query: str) -> list[str]:
-    return sorted({t for group in websearch(query) for neg, terms in group if not neg for t in terms})
+def query_words(query: str, language: str | None = None) -> list[str]:
+    return sorted({t for group in websearch(query, language) for neg, terms in group if not neg for t in terms})
 
 
-def term_frequency(words: Column, query: str) -> Column:
+def term_frequency(words: Column, query: str, language: str | None = None) -> Column:
     """How many tokens are words of the query."""
-    wanted = query_words(query)
+    wanted = query_words(query, language)
     return F.size(F.filter(words, lambda t: t.isin(*wanted))) if wanted else F.lit(0)
 
 
@@ -98,11 +121,3 @@ def cover_density_rank(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterat
             out.append(cover_density(list(places.values())))
         yield pd.Series(out)
 
-
-#: Endings that a light stemmer takes off, longest first.
-SUFFIXES = {"english": ("ingly", "edly", "ing", "ed", "ly", "es", "s"), "portuguese": ("mente", "ções", "ção", "ando", "endo", "ar", "er", "ir", "os", "as", "s")}
-
-
-def stemmed(word: Column, language: str = "english") -> Column:
-    """The word without one ending, if three letters stay."""
-    return F.regexp_replace(word, f"(?<=.{{3}})(?:{'|'.join(SUFFIXES[language])})$", "")

@@ -33,9 +33,9 @@ def vector_topk(rows: DataFrame, query: Sequence[float], n: int, keep_null: bool
     return ranked(rows.select("id", cosine_distance(F.col("embedding"), query).alias("distance")).orderBy(*order).limit(n), *order)
 
 
-def text_topk(rows: DataFrame, text: Column, query: str, n: int) -> DataFrame:
+def text_topk(rows: DataFrame, text: Column, query: str, n: int, language: str | None = None) -> DataFrame:
     """id, score, rank of the n best matches by term frequency."""
-    found = rows.filter(may_match(text, query)).select("id", tokens(text).alias("words")).filter(matches(F.col("words"), query)).select("id", term_frequency(F.col("words"), query).alias("score"))
+    found = rows.filter(may_match(text, query, language)).select("id", tokens(text, language).alias("words")).filter(matches(F.col("words"), query, language)).select("id", term_frequency(F.col("words"), query, language).alias("score"))
     order = F.col("score").desc(), F.col("id").asc()
     return ranked(found.orderBy(*order).limit(n), *order)
 
@@ -60,32 +60,32 @@ def fact_text(body: str) -> Column:
     return F.concat_ws(" ", "title", body, "evidence")
 
 
-def _hybrid(tables, vectors: DataFrame, rows: DataFrame, text: Column, query: Sequence[float], words: str, k: int, columns: list[str], keep_null: bool = False) -> DataFrame:
+def _hybrid(tables, vectors: DataFrame, rows: DataFrame, text: Column, query: Sequence[float], words: str, k: int, columns: list[str], language: str | None, keep_null: bool = False) -> DataFrame:
     """vectors and rows: the same rows, with vectors and with text."""
-    best = fused(vector_topk(vectors, query, candidates(k), keep_null), text_topk(rows, text, words, candidates(k)), k)
+    best = fused(vector_topk(vectors, query, candidates(k), keep_null), text_topk(rows, text, words, candidates(k), language), k)
     projects = tables.projects.select(F.col("id").alias("project_id"), F.col("name").alias("project"))
     # at most k rows on the left
     return F.broadcast(best).join(rows, "id").join(projects, "project_id", "left").select("id", "project", *columns, "rrf_score").orderBy(F.col("rrf_score").desc(), "id")
 
 
-def search(tables, query: Sequence[float], words: str, k: int = 10) -> DataFrame:
+def search(tables, query: Sequence[float], words: str, k: int = 10, language: str | None = None) -> DataFrame:
     """Over all chunks, with or without a vector."""
-    return _hybrid(tables, tables.chunks, tables.chunks_text, chunk_text(), query, words.strip(), k, ["file_path", "symbol_name", "content"], keep_null=True)
+    return _hybrid(tables, tables.chunks, tables.chunks_text, chunk_text(), query, words.strip(), k, ["file_path", "symbol_name", "content"], language, keep_null=True)
 
 
-def search_code(tables, query: Sequence[float], words: str, k: int = 10, scope: str | None = None) -> DataFrame:
+def search_code(tables, query: Sequence[float], words: str, k: int = 10, scope: str | None = None, language: str | None = None) -> DataFrame:
     own = Scope(scope_ids(tables, scope))
-    return _hybrid(tables, own(tables.chunks), own(tables.chunks_text), chunk_text(), query, words.strip(), k, ["file_path", "language", "chunk_type", "symbol_name", "content"])
+    return _hybrid(tables, own(tables.chunks), own(tables.chunks_text), chunk_text(), query, words.strip(), k, ["file_path", "language", "chunk_type", "symbol_name", "content"], language)
 
 
-def search_rules(tables, query: Sequence[float], words: str, k: int = 10, scope: str | None = None) -> DataFrame:
+def search_rules(tables, query: Sequence[float], words: str, k: int = 10, scope: str | None = None, language: str | None = None) -> DataFrame:
     own, live = Scope(scope_ids(tables, scope)), F.col("status") != "rejected"
-    return _hybrid(tables, own(tables.rules.filter(live)), own(tables.rules_text.filter(live)), fact_text("description"), query, words.strip(), k, ["title", "description", "source_file", "symbol_name", "status", "evidence", "confidence"])
+    return _hybrid(tables, own(tables.rules.filter(live)), own(tables.rules_text.filter(live)), fact_text("description"), query, words.strip(), k, ["title", "description", "source_file", "symbol_name", "status", "evidence", "confidence"], language)
 
 
-def search_knowledge(tables, query: Sequence[float], words: str, k: int = 10, scope: str | None = None) -> DataFrame:
+def search_knowledge(tables, query: Sequence[float], words: str, k: int = 10, scope: str | None = None, language: str | None = None) -> DataFrame:
     own, live = Scope(scope_ids(tables, scope)), F.col("status") != "rejected"
-    return _hybrid(tables, own(tables.knowledge.filter(live)), own(tables.knowledge_text.filter(live)), fact_text("content"), query, words.strip(), k, ["kind", "title", "content", "source", "symbol_name", "status", "evidence", "confidence"])
+    return _hybrid(tables, own(tables.knowledge.filter(live)), own(tables.knowledge_text.filter(live)), fact_text("content"), query, words.strip(), k, ["kind", "title", "content", "source", "symbol_name", "status", "evidence", "confidence"], language)
 
 
 def related_files(tables, query: Sequence[float], k: int = 10, scope: str | None = None, exclude: str | None = None) -> DataFrame:

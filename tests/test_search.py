@@ -54,3 +54,9 @@ def test_stemming(spark):
 def test_budget(spark):
     rows = spark.createDataFrame([(1, "aaaaa"), (2, "bbb"), (3, "cc")], "id long, content string").withColumn("k", F.lit(1))
     assert [(r["id"], r["content"]) for r in search.char_budget(rows, 7, ["k"], F.length("content"), "id").orderBy("id").collect()] == [(1, "aaaaa"), (2, "bb")]
+
+
+def test_language_of_full_text(spark):
+    rows = spark.createDataFrame([(1, "The dogs were walking"), (2, "a cat walks"), (3, "the the")], "id long, x string")
+    found = lambda q, language: [r["id"] for r in search.text_topk(rows, F.col("x"), q, 9, language).orderBy("id").collect()]
+    assert found("the walked", "english") == [1, 2] and found("dog -cats", "english") == [1] and found("the", "english") == [] and found("the", None) == [1, 3] and found("walk", None) == []
