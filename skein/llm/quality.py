@@ -20,8 +20,8 @@ SYMBOLS = "#*$%&|<>"
 REPEAT_WINDOW = 8
 MIN_WORDS = 20
 LEVELS = 1000
-#: For each rate: how far over the median at least, and how many times the spread to the 90 % quantile, is too much.
-SLACK = {"symbol_pm": 100, "dup_line_pm": 300, "repeat_pm": 200, "word_len10": 40}
+#: For each rate: how far over the median at least, and how many times the spread to the upper quartile, is too much.
+SLACK = {"symbol_pm": 30, "dup_line_pm": 400, "repeat_pm": 300, "word_len10": 40}
 SPREAD = 5
 
 
@@ -70,10 +70,10 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     """One row per lang and source; hi_<rate> and lo_word_len10."""
     per = sketch.groupBy("lang", "source", "rate").agg(F.sum("n").alias("total"), F.sort_array(F.collect_list(F.struct("level", "n"))).alias("h"))
     seen = per.select("lang", "source", "rate", "total", F.aggregate(
-        "h", F.struct(F.lit(0).cast("long").alias("n"), *(F.lit(None).cast("long").alias(f"q{p}") for p in (10, 50, 90))),
-        lambda a, x: F.struct((a["n"] + x["n"]).alias("n"), *(F.coalesce(a[f"q{p}"], F.when(100 * (a["n"] + x["n"]) >= p * F.col("total"), x["level"].cast("long"))).alias(f"q{p}") for p in (10, 50, 90)))).alias("q"))
+        "h", F.struct(F.lit(0).cast("long").alias("n"), *(F.lit(None).cast("long").alias(f"q{p}") for p in (25, 50, 75))),
+        lambda a, x: F.struct((a["n"] + x["n"]).alias("n"), *(F.coalesce(a[f"q{p}"], F.when(100 * (a["n"] + x["n"]) >= p * F.col("total"), x["level"].cast("long"))).alias(f"q{p}") for p in (25, 50, 75)))).alias("q"))
     slack = F.coalesce(*(F.when(F.col("rate") == k, F.lit(v)) for k, v in SLACK.items()))
-    fences = seen.select("lang", "source", "rate", (F.col("q.q50") + F.greatest(slack, SPREAD * (F.col("q.q90") - F.col("q.q50")))).alias("hi"), (F.col("q.q50") - F.greatest(slack, SPREAD * (F.col("q.q50") - F.col("q.q10")))).alias("lo"))
+    fences = seen.select("lang", "source", "rate", (F.col("q.q50") + F.greatest(slack, SPREAD * (F.col("q.q75") - F.col("q.q50")))).alias("hi"), (F.col("q.q50") - F.greatest(slack, SPREAD * (F.col("q.q50") - F.col("q.q25")))).alias("lo"))
     return fences.groupBy("lang", "source").agg(*(F.max(F.when(F.col("rate") == k, F.col("hi"))).alias(f"hi_{k}") for k in SLACK), F.max(F.when(F.col("rate") == "word_len10", F.col("lo"))).alias("lo_word_len10"))
 
 
@@ -103,8 +103,8 @@ f AS (SELECT rid, doc_id, lang, source, len(w) AS n_words, coalesce(list_sum(lis
 r AS (SELECT *, least(1000, 1000 * n_symbols // greatest(word_chars, 1)) AS symbol_pm, least(1000, 1000 * n_dup_lines // greatest(n_lines, 1)) AS dup_line_pm, least(1000, 1000 * n_repeat_words // greatest(n_words, 1)) AS repeat_pm, least(1000, 10 * word_chars // greatest(n_words, 1)) AS word_len10,
   n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f),
 m AS (UNPIVOT (SELECT rid, lang, source, symbol_pm, dup_line_pm, repeat_pm, word_len10 FROM r WHERE NOT base_failed) ON symbol_pm, dup_line_pm, repeat_pm, word_len10 INTO NAME rate VALUE lvl),
-q AS (SELECT lang, source, rate, quantile_disc(lvl, 0.1) AS q10, quantile_disc(lvl, 0.5) AS q50, quantile_disc(lvl, 0.9) AS q90, CASE rate WHEN 'symbol_pm' THEN 100 WHEN 'dup_line_pm' THEN 300 WHEN 'repeat_pm' THEN 200 ELSE 40 END AS slack FROM m GROUP BY ALL),
-b AS (SELECT lang, source, rate, q50 + greatest(slack, 5 * (q90 - q50)) AS hi, q50 - greatest(slack, 5 * (q50 - q10)) AS lo FROM q),
+q AS (SELECT lang, source, rate, quantile_disc(lvl, 0.25) AS q25, quantile_disc(lvl, 0.5) AS q50, quantile_disc(lvl, 0.75) AS q75, CASE rate WHEN 'symbol_pm' THEN 30 WHEN 'dup_line_pm' THEN 400 WHEN 'repeat_pm' THEN 300 ELSE 40 END AS slack FROM m GROUP BY ALL),
+b AS (SELECT lang, source, rate, q50 + greatest(slack, 5 * (q75 - q50)) AS hi, q50 - greatest(slack, 5 * (q50 - q25)) AS lo FROM q),
 p AS (SELECT lang, source, max(hi) FILTER (rate = 'symbol_pm') AS h1, max(hi) FILTER (rate = 'dup_line_pm') AS h2, max(hi) FILTER (rate = 'repeat_pm') AS h3, max(hi) FILTER (rate = 'word_len10') AS h4, max(lo) FILTER (rate = 'word_len10') AS l4 FROM b GROUP BY ALL)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
   NOT base_failed AND NOT coalesce(symbol_pm > h1 OR dup_line_pm > h2 OR repeat_pm > h3 OR word_len10 > h4 OR word_len10 < l4, false) AS kept
