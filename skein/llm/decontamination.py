@@ -37,10 +37,10 @@ def word_counts(docs: DataFrame, vocabulary: DataFrame, small: bool) -> DataFram
     return vocabulary.join(counts, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def prefix_tokens(windows: DataFrame, counts: DataFrame) -> DataFrame:
-    """Each window with its rarest word (ties: the first) and that word's offset."""
+def prefix_tokens(windows: DataFrame, counts: DataFrame, small: bool) -> DataFrame:
+    """Each window with its rarest word (ties: the first) and that word's offset. small: counts fit into a broadcast."""
     placed = windows.select("window_words", "window_len", "items", F.posexplode("window_words").alias("offset", "word"))
-    ranked = placed.join(counts, "word").groupBy("window_words").agg(F.min_by(F.struct("word", "offset", "window_len", "items"), F.struct("n", "offset")).alias("p"))
+    ranked = placed.join(F.broadcast(counts) if small else counts, "word").groupBy("window_words").agg(F.min_by(F.struct("word", "offset", "window_len", "items"), F.struct("n", "offset")).alias("p"))
     return ranked.select("window_words", "p.*")
 
 
@@ -65,7 +65,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, br
     size = windows.agg(F.coalesce(F.sum(F.length(F.concat_ws(" ", "window_words")) + 64 * F.col("window_len")), F.lit(0)).alias("b")).head()["b"]
     small = size <= broadcast_bytes
     vocabulary = windows.select(F.explode("window_words").alias("word")).distinct()
-    tokens = prefix_tokens(windows, word_counts(docs, vocabulary, small)).withColumnRenamed("word", "token")
+    tokens = prefix_tokens(windows, word_counts(docs, vocabulary, small), small).withColumnRenamed("word", "token")
     tokens = stored(tokens, "prefix-tokens")
     # an empty word after the last one carries each document's own row through the join
     sentinel = tokens.sparkSession.sql("SELECT cast(NULL AS array<string>) window_words, '' token, -1 offset, 0 window_len, cast(NULL AS array<string>) items")
