@@ -9,7 +9,8 @@ from skein.llm.common import stored
 
 
 def _least(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    """Written, so that both sides of the join with it are plain shuffles, which Spark can split at a node of many edges."""
+    return stored(pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,7 +22,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(_least(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u <> v").distinct()
+        large = stored(large.filter("u <> v").distinct(), "large")
         small = large.join(_least(large), "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
         edges = stored(small.filter("u <> v").distinct(), "edges")

@@ -185,10 +185,11 @@ def comparisons(sets: DataFrame) -> DataFrame:
     # two rounds of least labels find most clusters; they only decide where pairs are compared
     labels = members.select("s1", "s2", F.col("s1").alias("label")).distinct()
     for _ in range(2):
-        told = members.join(labels, ["s1", "s2"]).groupBy("tree", "key").agg(F.min("label").alias("label"))
+        # written, so that both sides of the next join are plain shuffles, which Spark can split at a hot bucket
+        told = stored(members.join(labels, ["s1", "s2"]).groupBy("tree", "key").agg(F.min("label").alias("label")), "bucket-labels")
         labels = stored(members.join(told, ["tree", "key"]).groupBy("s1", "s2").agg(F.min("label").alias("label")), "labels")
     labelled = members.join(labels, ["s1", "s2"])
-    inside = labelled.groupBy("tree", "key").agg(F.min("label").alias("label"), F.max("label").alias("other"), F.first("size").alias("size"))
+    inside = stored(labelled.groupBy("tree", "key").agg(F.min("label").alias("label"), F.max("label").alias("other"), F.first("size").alias("size")), "inside")
     work = inside.filter("label = other").groupBy("label").agg(F.sum(F.col("size") * F.col("size")).alias("pairs"))
     sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
     # compared as one cluster where that is less work than bucket by bucket
@@ -239,3 +240,19 @@ def near_classes(docs: DataFrame, similarity: float = NEAR_SIMILARITY, recall: f
 
 def op2_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies")
+
+
+#: DuckDB, by all shared runs of words; for tables of small size.
+OP2_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT rid, doc_id, CASE WHEN len(w) >= 5 THEN list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS sh FROM d),
+k AS (SELECT sh, row_number() OVER () AS sid, n_rows, least FROM (SELECT sh, count(*) AS n_rows, min(doc_id) AS least FROM s WHERE len(sh) > 0 GROUP BY sh)),
+e AS (SELECT sid, len(sh) AS n, unnest(sh) AS x FROM k),
+l AS (SELECT a.sid AS u, b.sid AS v FROM e a JOIN e b ON a.x = b.x AND a.sid < b.sid GROUP BY a.sid, b.sid, a.n, b.n HAVING 10 * count(*) >= 8 * (a.n + b.n - count(*))),
+both_ways AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+deg AS (SELECT u AS sid, count(*) AS n_links FROM both_ways GROUP BY u),
+reach(sid, r) AS (SELECT sid, sid FROM k UNION SELECT reach.sid, both_ways.v FROM reach JOIN both_ways ON both_ways.u = reach.r),
+cls AS (SELECT reach.sid, min(k.least) AS class_id FROM reach JOIN k ON k.sid = reach.r GROUP BY reach.sid)
+SELECT s.doc_id, CASE WHEN k.sid IS NULL THEN s.doc_id ELSE cls.class_id END AS class_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(n_rows - 1, 0)::BIGINT AS n_copies
+FROM s LEFT JOIN k ON k.sh = s.sh LEFT JOIN cls ON cls.sid = k.sid LEFT JOIN deg ON deg.sid = k.sid
+"""
