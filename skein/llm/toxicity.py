@@ -45,6 +45,8 @@ EVENTS = ("insult", "insult at target", "insult negated", "insult reported", "th
 PRIOR = (-3.0, 5.0, 5.5, 1.5, 1.5, 4.0, 1.0)
 #: Of texts that share so many of their least run hashes only the first teaches.
 RUNS, SHARED = 12, 3
+#: A stem grows to a longer one that this share of its texts hold.
+SHARE = 0.97
 WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
 CLAUSE_END = re.compile(r"[.!?;:\n]")
 REACH = 3
@@ -149,7 +151,17 @@ def learnt_stems(rows: list[tuple[str, int]]) -> dict[str, float]:
         g = 2 * (a * log(a / ((a + b) * share)) + (b * log(b / ((a + b) * (1 - share))) if b else 0.0))
         if ratio >= LEAST_RATIO and g >= LEAST_G:
             told[stem] = min(1.0, log(ratio) / log(100))
-    return {s: w for s, w in told.items() if not any(s[:k] in told and told[s[:k]] >= w - 0.05 for k in range(STEM[0], len(s)))}
+    kept = [s for s, w in told.items() if not any(s[:k] in told and told[s[:k]] >= w - 0.05 for k in range(STEM[0], len(s)))]
+    return {closed(s, counts[1]): told[s] for s in kept}
+
+
+def closed(stem: str, counts: Counter) -> str:
+    """The longest stem that nearly all texts with this one hold: no shorter than what their words share."""
+    longer: dict[str, int] = {stem: counts[stem]}
+    for s, n in counts.items():
+        if s.startswith(stem) and n >= SHARE * counts[stem]:
+            longer[s] = n
+    return max(longer, key=len)
 
 
 def logistic(features: np.ndarray, labels: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
