@@ -28,8 +28,9 @@ from skein.llm.html_pages import MAIN_NAMES, SIDE_NAMES, labelled_pages
 PAGES = 1500
 #: Names of HTML elements.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark meter nobr progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr picture source input".split())
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg math iframe object canvas audio video head title textarea select option".split())
+VOID = frozenset("area base br head col embed hr img input link meta param source track wbr".split())
+RAW = frozenset("script style noscript template svg math iframe object canvas audio video title textarea select option".split())
+SWALLOWS = frozenset("script style title textarea".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: What an opening tag closes, and what stops the search for it.
 ALIKE = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
@@ -45,7 +46,10 @@ LEVELS = 6
 OTHER_TAG, NAME_0 = len(TAGS), len(TAGS) + 1
 TEXT_0 = NAME_0 + len(NAME_WORDS)
 LINK_0, STOP_0, WHOLE_0 = TEXT_0 + LEVELS, TEXT_0 + LEVELS + 4, TEXT_0 + LEVELS + 7
-N_FEATURES = WHOLE_0 + LEVELS + 1
+ABOVE_0 = WHOLE_0 + LEVELS + 1
+N_FEATURES = ABOVE_0 + TEXT_0
+#: Tags that tell about all that stands below them, as names do.
+TELLING = frozenset(TAG_PLACE[t] for t in ("article", "main", "nav", "header", "footer", "aside", "form", "button", "label", "details", "menu"))
 
 
 @functools.lru_cache(maxsize=50_000)
@@ -55,11 +59,18 @@ def tag_features(tag: str, attributes: str) -> tuple[int, ...]:
     return (TAG_PLACE.get(tag, OTHER_TAG), *sorted(NAME_0 + k for k in found))
 
 
+@functools.lru_cache(maxsize=50_000)
+def below(above: tuple[int, ...], own: tuple[int, ...]) -> tuple[int, ...]:
+    """What an element's children have above them."""
+    return tuple(sorted({*above, *(ABOVE_0 + f for f in own if f in TELLING or f >= NAME_0)}))
+
+
 class Page:
     """The block elements of a page in order (parents first) and its blocks of text."""
 
     def __init__(self, source: str, marks: bool = False):
         self.parent, self.fixed, self.own, self.linked, self.stops, self.marked = [-1], [(OTHER_TAG,)], [0], [0], [0], [None]
+        self.above: list[tuple[int, ...]] = [()]
         self.blocks: list[tuple[int, str]] = []
         stack, names, pending, links = [0], ["#root"], [], 0
         lower_raw = None
@@ -97,7 +108,7 @@ class Page:
             if tag in RAW:
                 if not m[1] and not m[3].endswith("/"):
                     stop = RAW_END[tag].search(source, at)
-                    at = stop.end() if stop else end
+                    at = stop.end() if stop else end if tag in SWALLOWS else at
                 continue
             if tag in INLINE:
                 if tag == "a":
@@ -131,6 +142,7 @@ class Page:
             if tag in VOID:
                 continue
             self.parent.append(stack[-1])
+            self.above.append(below(self.above[stack[-1]], self.fixed[stack[-1]]))
             self.fixed.append(tag_features(tag, m[3] if m[3].find("=") >= 0 and ("class" in m[3] or "id" in m[3] or "role" in m[3]) else ""))
             self.own.append(0)
             self.linked.append(0)
@@ -154,7 +166,7 @@ class Page:
         out = []
         for k in range(n):
             w, o = whole[k], self.own[k]
-            out.append((*self.fixed[k], TEXT_0 + min(LEVELS - 1, o.bit_length() // 2), LINK_0 + (min(3, 4 * linked[k] // w) if w else 0),
+            out.append((*self.fixed[k], *self.above[k], TEXT_0 + min(LEVELS - 1, o.bit_length() // 2), LINK_0 + (min(3, 4 * linked[k] // w) if w else 0),
                         STOP_0 + (0 if not stops[k] else 1 if stops[k] * 60 < w else 2), WHOLE_0 + min(LEVELS - 1, max(0, w.bit_length() // 2 - 1))))
         return out
 

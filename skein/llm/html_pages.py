@@ -75,7 +75,7 @@ def labelled_pages(n: int, seed: int = 7) -> Iterator[str]:
             elif x < 0.96:
                 parts.append(prose("blockquote", 1, 1, 2))
             else:
-                parts.append(side(rng.choice(["ad", "share", "aside"])))
+                parts.append(side(rng.choice(["ad", "share", "aside", "form", "comments", "notice"])))
         inner = "".join(parts)
         if rng.random() < 0.1:
             inner = " ".join(sentence() for _ in range(rng.randint(1, 9)))
