@@ -151,3 +151,18 @@ def test_embedding_cache():
         return x
 
     assert embedding.with_retries(flaky, base=0)(5) == 5 and len(tries) == 3
+
+
+def test_package_reaches_workers(spark, monkeypatch):
+    from skein.sources import shipping
+
+    added = []
+    monkeypatch.setattr(type(spark.sparkContext), "addPyFile", lambda self, path: added.append(path))
+    monkeypatch.setattr(shipping, "_shipped", set())
+    monkeypatch.setenv("PYTHONPATH", str(shipping.ROOT))
+    shipping.ship(spark)
+    assert not added
+    monkeypatch.setenv("PYTHONPATH", "")
+    shipping.ship(spark)
+    shipping.ship(spark)
+    assert len(added) == 1
