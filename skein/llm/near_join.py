@@ -124,7 +124,8 @@ def compare(similarity: float):
             return None
         mine, tree = t.column("block").to_numpy(), t.column("tree")[0].as_py()
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        label = t.column("label").to_numpy()
+        label = t.column("label").combine_chunks()
+        clustered, label = label.is_valid().to_numpy(zero_copy_only=False), label.fill_null(0).to_numpy()
         keys = t.column("keys").combine_chunks().flatten().to_numpy().reshape(len(n), -1)
         total = shared_counts(t.column("shingles").combine_chunks().flatten().to_numpy(), n)
         both = n[:, None] + n[None, :] - total
@@ -136,7 +137,8 @@ def compare(similarity: float):
         equal = keys[a] == keys[b]
         fits &= equal.any(1)
         if tree >= 0:  # pairs of one cluster are compared there; others in the first tree where they meet
-            fits &= (label[a] != label[b]) & (equal.argmax(1) == tree)
+            together = clustered[a] & clustered[b] & (label[a] == label[b])
+            fits &= ~together & (equal.argmax(1) == tree)
         a, b = a[fits], b[fits]
         if not len(a):
             return None
@@ -173,8 +175,8 @@ def compare(similarity: float):
 
 
 def comparisons(sets: DataFrame) -> DataFrame:
-    """sets (s1, s2, n, keys, d1, d2), one row a set: s1, s2, tree (-1: a cluster's), g1, size, label of every group
-    that a set has to be compared in."""
+    """sets (s1, s2, n, keys, d1, d2), one row a set: s1, s2, tree (-1: a cluster's), g1, size, label (null without a
+    cluster) of every group that a set has to be compared in."""
     spread = sets.select("s1", "s2", F.posexplode("keys").alias("tree", "key"))
     # one bucket for each group of members, though many trees have it; a member's hash for the group's
     buckets = spread.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("s1", "s2").cast("decimal(20,0)")).alias("who")).filter("size > 1")
@@ -197,9 +199,9 @@ def comparisons(sets: DataFrame) -> DataFrame:
     clusters = stored(clusters, "clusters")
     whole = labels.join(clusters, "label").select("s1", "s2", F.lit(-1).alias("tree"), F.col("label").alias("g1"), F.col("cluster").alias("size"), "label")
     left = inside.join(clusters, "label", "left").filter("cluster IS NULL OR label <> other").select("tree", "key")
-    # a set without a cluster has itself as label, so that its pairs count as apart
+    # a set without a cluster has no label, so that its pairs count as apart: its s1 may be a cluster's label
     apart = labelled.join(left, ["tree", "key"], "left_semi").join(clusters.select("label", F.lit(True).alias("in")), "label", "left")
-    apart = apart.select("s1", "s2", "tree", F.col("key").alias("g1"), "size", F.when(F.col("in"), F.col("label")).otherwise(F.col("s1")).alias("label"))
+    apart = apart.select("s1", "s2", "tree", F.col("key").alias("g1"), "size", F.when(F.col("in"), F.col("label")).alias("label"))
     return stored(whole.unionByName(apart), "groups")
 
 

@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -111,6 +112,24 @@ def test_one_large_group_in_blocks(spark, monkeypatch):
     assert [found[i] for i, _ in rows] == brute_classes(rows)
 
 
+def test_a_set_outside_the_cluster_that_has_its_name(spark):
+    # 10 takes label 1, which becomes no cluster; 11 to 15 keep label 10, which becomes one
+    buckets = [(0, {10, 11, 12, 13, 14, 15}), (1, {11, 12, 13, 14, 15}), (2, {1, 50}), (3, {50, 10}), *((4 + k, {1, 60 + k}) for k in range(7))]
+    ids = sorted(set().union(*(b for _, b in buckets)))
+    keys = {s: [next((-1 - tree for tree, b in buckets if tree == t and s in b), 100 * s + t) for t in range(len(buckets))] for s in ids}
+    sets = spark.createDataFrame([(s, s, 10, keys[s], s, s) for s in ids], "s1 long, s2 long, n int, keys array<long>, d1 long, d2 long")
+    groups = near_join.comparisons(sets).orderBy("g1", "tree").toArrow().to_pylist()
+    assert {r["s1"] for r in groups if r["tree"] == -1} == {11, 12, 13, 14, 15}
+    rows = [{**r, "i": 0, "j": 0, "block": 0, "n": 10, "keys": keys[r["s1"]], "shingles": list(range(10))} for r in groups]
+    kinds = {"label": pa.int64(), "n": pa.int32(), "keys": pa.list_(pa.int64()), "shingles": pa.list_(pa.int64())}
+    batch = pa.RecordBatch.from_pylist(rows, pa.schema([(c, kinds.get(c, pa.int64())) for c in rows[0]]))
+    links = Counter()
+    for out in near_join.compare(0.8)[0]([batch]):
+        for r in out.to_pylist():
+            links[r["s1"]] += r["links"]
+    assert links == {1: 8, **{60 + k: 1 for k in range(7)}, 50: 2, 10: 6, 11: 5, 12: 5, 13: 5, 14: 5, 15: 5}
+
+
 def test_recall_of_the_forest():
     assert near_join.prefix_depth() == 5 and 1 - (1 - 0.8**5) ** near_join.TREES > 0.999
 
