@@ -1,10 +1,11 @@
 """N-gram Jaccard join by a MinHash LSH forest.
 
 A document's set is its hashed runs of five words. Equal sets are one class from the start. Each tree of the forest
-sorts the sets by a string of minhashes; the prefix by which neighbours must agree is shortened from the full depth
-until pairs at the similarity threshold are met in some tree with the target recall. Candidates are compared exactly
-(on 64-bit hashes), in blocks of bounded size, each pair once; out come link counts and a spanning forest, never all
-pairs. Classes are the connected components.
+is one band: sets meet in it if they agree in a prefix of minhashes, whose length is one for all trees and data, the
+longest at which pairs at the similarity threshold meet in some tree with the target recall. Nothing is sorted and no
+prefix depends on the data. Buckets that overlap much are joined to clusters. Candidates, which are the pairs of a
+bucket or a cluster, are compared exactly (on 64-bit hashes), in blocks of bounded size, each pair once; out come link
+counts and a spanning forest, never all pairs. Classes are the connected components.
 
 Cases: fewer than five words are one run; wordless and null texts are in a class of their own and have no links;
 equal rows are copies; ties go to the least doc_id; a null doc_id is kept; an empty table gives no rows; further
@@ -134,9 +135,8 @@ def compare(similarity: float):
             near &= mine[:, None] != mine[None, :]
         a, b = np.nonzero(near)
         fits = total[a, b].astype(np.int64) * 1000 >= (both[a, b].astype(np.int64) * round(similarity * 1000))
-        equal = keys[a] == keys[b]
-        fits &= equal.any(1)
-        if tree >= 0:  # pairs of one cluster are compared there; others in the first tree where they meet
+        if tree >= 0:  # pairs of one cluster are compared there, all of them; others in the first tree where they meet
+            equal = keys[a] == keys[b]
             together = clustered[a] & clustered[b] & (label[a] == label[b])
             fits &= ~together & (equal.argmax(1) == tree)
         a, b = a[fits], b[fits]

@@ -130,6 +130,13 @@ def test_a_set_outside_the_cluster_that_has_its_name(spark):
     assert links == {1: 8, **{60 + k: 1 for k in range(7)}, 50: 2, 10: 6, 11: 5, 12: 5, 13: 5, 14: 5, 15: 5}
 
 
+def test_a_cluster_keeps_near_pairs_without_a_common_key():
+    rows = [{"g1": 1, "tree": -1, "i": 0, "j": 0, "block": 0, "label": 1, "s1": s, "s2": s, "n": 10, "keys": [s, s], "shingles": list(range(10))} for s in (1, 2)]
+    kinds = {"keys": pa.list_(pa.int64()), "shingles": pa.list_(pa.int64())}
+    out = near_join.compare(0.8)[0]([pa.RecordBatch.from_pylist(rows, pa.schema([(c, kinds.get(c, pa.int64())) for c in rows[0]]))])
+    assert sorted((r["s1"], r["links"]) for b in out for r in b.to_pylist()) == [(1, 0), (1, 1), (2, 1)]
+
+
 def test_recall_of_the_forest():
     assert near_join.prefix_depth() == 5 and 1 - (1 - 0.8**5) ** near_join.TREES > 0.999
 
