@@ -46,7 +46,7 @@ class Tables:
         status = F.when(F.col("toxic") == 1, "rejected").when(F.col("quality") == 1, "accepted").otherwise("candidate")
         evidence = F.when(F.col("doc_id") % 11 == 0, F.lit("  ")).otherwise(F.substring("text", 1, 80))
         return self.raw("documents").join(self.raw("labels"), "doc_id").select(
-            F.col("doc_id").alias("id"), project_id().alias("project_id"), F.col("doc_id").alias("chunk_id"), F.substring("text", 1, 40).alias("title"), F.substring("text", 1, 120).alias("body"),
+            F.col("doc_id").alias("id"), project_id().alias("project_id"), F.col("doc_id").alias("chunk_id"), F.substring("text", 1, 40).alias("title"), F.col("text").alias("body"),
             F.when(F.col("doc_id") % 13 != 0, file_path()).alias("source"), symbol_name().alias("symbol_name"), status.alias("status"), evidence.alias("evidence"), F.sha2("text", 256).alias("content_hash"),
             ((F.col("n_chars") % 86 + 10) / 100).cast("decimal(5,2)").alias("confidence"), stamp("doc_id").alias("updated_at"),
         )

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from skein import schemas
 from skein.api import Engine
 from skein.fixtures import Tables
-from skein.operators import graph, merge, predicates, reports, scope
+from skein.operators import graph, merge, predicates, reports, scope, search
 from skein.sources import config, embedding, files
 from skein.streaming import watch
 
@@ -62,6 +62,17 @@ def test_fan_out_is_not_counted_twice(spark):
     assert [r["project_id"] for r in scope.scope_ids(t, " w2/p ").collect()] == [1] and scope.scope_ids(t, " ") is None
 
 
+def test_facts_carry_whole_texts(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    told = {r["doc_id"]: r["text"] for r in t.raw("documents").collect()}
+    for rows, body in ((t.rules_text, "description"), (t.knowledge_text, "content")):
+        found = {r["id"]: r[body] for r in rows.collect()}
+        assert found and found == {k: told[k] for k in found}
+    late = t.rules_text.filter("length(description) > 400").orderBy("id").head()
+    word = next(w for w in late["description"][200:].split()[1:-1] if w.isascii() and w.isalpha() and len(w) > 5 and w.lower() not in late["description"][:200].lower())
+    assert late["id"] in {r["id"] for r in search.text_topk(t.rules_text, search.fact_text("description"), word, 1000).collect()}
+
+
 def test_prefixes_and_suffixes(spark):
     paths = spark.createDataFrame([("/a/b/c",), ("/a/bc",), ("/x",)], "path string")
     assert sorted(r[0] for r in predicates.anti_prefix(paths, spark.createDataFrame([("/a/b",)], "folder string")).collect()) == ["/a/bc", "/x"]
