@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.operators.predicates import like_pattern
+from skein.operators.predicates import few_lengths, like_pattern
 from skein.operators.scope import normal
 
 
@@ -47,12 +47,13 @@ def lookup_ids(rows: DataFrame, names: DataFrame, column: str, missing: int | No
 def suffix_join(wanted: DataFrame, symbols: DataFrame, exact_segment: bool = False) -> DataFrame:
     """wanted (name) with the first symbol (by seq) whose full name ends in it; or, exact, has it as last part.
 
-    Each full name is joined by its own endings of the lengths asked for, so no pair is tried in vain."""
+    Each full name is joined by its own endings of the lengths asked for (of all, above LENGTHS), so no pair is tried in
+    vain."""
     if exact_segment:
         ends = symbols.select(F.substring_index("full_name", ".", -1).alias("name"), "full_name", "seq")
     else:
-        lengths = sorted(r["n"] for r in wanted.select(F.length("name").alias("n")).distinct().limit(1000).collect())
-        parts = F.array(*(F.when(F.length("full_name") >= n, F.right("full_name", F.lit(n))) for n in lengths)) if lengths else F.array().cast("array<string>")
+        lengths = few_lengths(wanted, "name")
+        parts = F.transform(F.sequence(F.lit(0), F.length("full_name")), lambda n: F.right("full_name", n)) if lengths is None else F.array(*(F.when(F.length("full_name") >= n, F.right("full_name", F.lit(n))) for n in lengths)) if lengths else F.array().cast("array<string>")
         ends = symbols.select(F.explode(F.array_compact(parts)).alias("name"), "full_name", "seq")
     best = wanted.select("name").distinct().join(ends, "name").groupBy("name").agg(F.min_by("full_name", "seq").alias("full_name"))
     return wanted.join(best, "name", "left")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from skein.functions.text import any_of
 
+#: A plan lists so many lengths of names at most; for more, all beginnings or endings are tried.
+LENGTHS = 1000
 #: Patterns of rule and knowledge candidates.
 RULE_CONTENT = (
     "throw new", "BusinessException", "ValidationException", "não pode", "nao pode", "deve", "obrigatório", "obrigatorio", "inválido", "invalido", "ErroContext", "ErrosContext", "ErroBase", "AdicionarErro", "AdicionaErro", "AddErro",
@@ -136,10 +138,17 @@ def anti_prefix(files: DataFrame, folders: DataFrame, path: str = "path", folder
     return files.join(hit, path, "left_anti")
 
 
+def few_lengths(names: DataFrame, name: str) -> list[int] | None:
+    """The distinct lengths of the names; None if there are more than LENGTHS."""
+    found = names.select(F.length(name).alias("n")).filter("n IS NOT NULL").distinct().limit(LENGTHS + 1).collect()
+    return None if len(found) > LENGTHS else sorted(r["n"] for r in found)
+
+
 def prefix_assign(files: DataFrame, roots: DataFrame, path: str = "path", root: str = "root") -> DataFrame:
     """Each path with the first root (by position) that is a prefix of it, on the same terms."""
     low, own = F.lower(F.col(path)), roots.select(F.lower(root).alias("key"), root, "position")
-    lengths = [r["n"] for r in own.select(F.length("key").alias("n")).distinct().limit(1000).collect()]
-    spread = files.select(path, F.explode(F.array_distinct(F.array(*(F.left(low, F.lit(n)) for n in sorted(lengths))))).alias("key"))
+    lengths = few_lengths(own, "key")
+    parts = F.transform(F.sequence(F.lit(0), F.length(low)), lambda n: F.left(low, n)) if lengths is None else F.array(*(F.left(low, F.lit(n)) for n in lengths))
+    spread = files.select(path, F.explode(F.array_distinct(parts)).alias("key"))
     best = spread.join(own, "key").groupBy(path).agg(F.min_by(root, "position").alias(root))
     return files.join(best, path, "left").select(path, root)

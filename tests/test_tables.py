@@ -84,6 +84,16 @@ def test_prefixes_and_suffixes(spark):
     assert {r["name"]: r["full_name"] for r in graph.suffix_join(wanted, symbols, exact_segment=True).collect()} == {"Run": "N.Foo.Run", "None": None}
 
 
+def test_names_of_more_lengths_than_a_plan_lists(spark):
+    whole = "".join(chr(97 + k * k % 23) for k in range(1100))
+    ends = spark.range(1, 1101).select(F.right(F.lit(whole), F.col("id").cast("int")).alias("name"))
+    found = graph.suffix_join(ends, spark.createDataFrame([(whole, 1)], "full_name string, seq int"))
+    assert found.filter(F.col("full_name") == whole).count() == 1100
+    roots = spark.range(1, 1101).select(F.left(F.lit(whole), F.col("id").cast("int")).alias("root"), (1101 - F.col("id")).alias("position"))
+    paths = roots.select(F.col("root").alias("path"))
+    assert predicates.prefix_assign(paths, roots).filter("path = root").count() == 1100
+
+
 def test_closure(spark, tmp_path):
     spark.sparkContext.setCheckpointDir(str(tmp_path))
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "source_id long, target_id long")
