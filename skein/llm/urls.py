@@ -6,7 +6,7 @@ don't differ by a two-proportion z test are merged; a template is rejected if it
 (SMOOTHING more labels count as allowed, so that a few or no labels reject nothing) reaches a threshold.
 
 Cases: a null url or one without "://" has an empty host and path and is judged like the others of that host;
-paths deeper than DEPTH keep their whole rest as the last segment; equal rows each give their row; an empty table
+paths of any depth are split whole; equal rows each give their row; an empty table
 gives no rows; further columns are ignored.
 """
 
@@ -22,6 +22,7 @@ from skein.llm.common import UPPER, stored, table
 
 #: Fixed values: (verdict, host, path)
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+#: Levels of one plan; for deeper paths the rows are written in between.
 DEPTH = 4
 #: A literal segment holds one url in SHARE of its node's, and LEAST urls.
 SHARE, LEAST = 16, 3
@@ -46,11 +47,9 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str, str]])
     return name, verdict
 
 
-def templates(parts: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """parts (uid, host, path, verdict) with the path template of each url's leaf in its host's tree."""
-    whole = F.split(F.regexp_replace("path", "^/", ""), "/", depth)
-    rows = parts.withColumn("segs", whole).withColumn("template", F.lit(""))
-    for level in range(depth):
+def levels(rows: DataFrame, begin: int, end: int) -> DataFrame:
+    """rows (host, segs, template) with the segments from begin to end added to the templates."""
+    for level in range(begin, end):
         seg = F.get("segs", F.lit(level))
         rows = rows.withColumn("seg", seg)
         counts = rows.filter(F.col("seg").isNotNull()).groupBy("host", "template", "seg").agg(F.count(F.lit(1)).alias("n"))
@@ -59,6 +58,28 @@ def templates(parts: DataFrame, depth: int = DEPTH) -> DataFrame:
         rows = rows.join(kept, ["host", "template", "seg"], "left")
         mark = F.when(F.col("seg").isNull(), F.col("template")).when(F.col("literal"), F.concat("template", F.lit("/"), "seg")).otherwise(F.concat("template", F.lit("/*")))
         rows = rows.withColumn("template", mark).drop("seg", "literal")
+    return rows
+
+
+def templates(parts: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """parts (uid, host, path, verdict) with the path template of each url's leaf in its host's tree."""
+    segs = F.split(F.regexp_replace("path", "^/", ""), "/")
+    deepest = lambda rows, size: rows.agg(F.max(size)).head()[0] or 0
+    rows = levels(parts.withColumn("segs", segs).withColumn("template", F.lit("")), 0, depth)
+    ended, level = [], depth
+    more = deepest(parts, F.size(segs)) > level
+    while more:
+        rows = stored(rows, "template-levels")
+        ended.append(rows.filter(F.size("segs") <= level))
+        deeper = rows.filter(F.size("segs") > level)
+        held = deeper.join(deeper.groupBy("host", "template").agg(F.count(F.lit(1)).alias("held")), ["host", "template"])
+        # below a node of fewer than LEAST urls all is wildcard
+        ended.append(held.filter(F.col("held") < LEAST).withColumn("template", F.concat("template", F.repeat(F.lit("/*"), F.size("segs") - level))).drop("held"))
+        deeper = held.filter(F.col("held") >= LEAST).drop("held")
+        rows, level = levels(deeper, level, level + depth), level + depth
+        more = deepest(deeper, F.size("segs")) > level
+    for part in ended:
+        rows = rows.unionByName(part)
     return rows.drop("segs")
 
 

@@ -241,6 +241,13 @@ def test_url_templates(spark):
     assert {r["template"] for r in found.values() if r["host"] == "shop.org"} == {"/list/*/x", "/item/*/x"}
 
 
+def test_templates_of_deep_paths(spark):
+    deep = [f"http://d.org/a/b/c/d/{p}/e/{k}/f/g/h" for p in ("blocked", "fine") for k in range(40)] + ["http://e.org" + "/s" * 300, "http://d.org/a"]
+    pages = spark.createDataFrame(list(enumerate(deep)), "page_id long, url string")
+    found = {r["page_id"]: r["template"] for r in urls.filter_urls(pages).collect()}
+    assert found == {k: f"/a/b/c/d/{'blocked' if k < 40 else 'fine'}/e/*/f/g/h" for k in range(80)} | {80: "/*" * 300, 81: "/a"}
+
+
 def test_pipeline(spark, texts, tmp_path):
     rng = random.Random(9)
     item = " ".join(f"q{k}" for k in range(14))
