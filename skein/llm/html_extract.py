@@ -5,7 +5,8 @@ links; a potential between parent and child says how alike they are. Both are fi
 messages, once up and once down the tree, give each element's marginal; text of elements at one half or more stays.
 
 Cases: null, empty and textless pages give an empty text; unclosed and stray tags are closed as browsers do for the
-common ones; script, style and the like never hold text, whatever they contain; equal rows each give their row; an
+common ones; script, style and the like never hold text, whatever they contain; formulas and the labels of drawings are
+text of the block around them, a space before each of their parts; equal rows each give their row; an
 empty table gives no rows; further columns are ignored.
 """
 
@@ -29,7 +30,8 @@ PAGES = 1500
 #: Names of HTML elements.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark meter nobr progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr picture source input".split())
 VOID = frozenset("area base br head col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg math iframe object canvas audio video title textarea select option".split())
+MATH = frozenset("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts mprescripts none mtable mtr mlabeledtr mtd maction menclose mfenced semantics annotation annotation-xml".split())
+RAW = frozenset("script style noscript template svg iframe object canvas audio video title textarea select option".split())
 SWALLOWS = frozenset("script style title textarea".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: What an opening tag closes, and what stops the search for it.
@@ -38,6 +40,10 @@ SCOPES = frozenset("article aside blockquote body div footer form header html ma
 TAGS = "article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dd dt table tr td th nav header footer aside form fieldset label button blockquote pre figure figcaption body html address menu details summary hr".split()
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
+#: Within svg: what holds text that is shown; and what doesn't within that.
+LABEL = re.compile(r"<(text|foreignobject)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<!/)>(.*?)</\1\s*>", re.S | re.I)
+COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
+HIDDEN = re.compile(r"<(script|style|title)\b[^>]*(?<!/)>.*?</\1\s*>", re.S | re.I)
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 MARK = re.compile(r'data-main="([01])"')
 NAME_WORDS = {w: k for k, w in enumerate(dict.fromkeys([*MAIN_NAMES, *(w for names in SIDE_NAMES.values() for w in names)]))}
@@ -108,8 +114,18 @@ class Page:
             if tag in RAW:
                 if not m[1] and not m[3].endswith("/"):
                     stop = RAW_END[tag].search(source, at)
+                    if tag == "svg" and stop:
+                        labels = [" ".join(MARKUP.sub(" ", HIDDEN.sub(" ", x[2])).split()) for x in LABEL.finditer(COMMENT.sub(" ", source[at : stop.start()]))]
+                        if label := "".join(f" {x}" for x in labels if x):
+                            pending.append(label + " ")
+                            if links:
+                                self.linked[stack[-1]] += len(label)
                     at = stop.end() if stop else end if tag in SWALLOWS else at
                 continue
+            if tag in MATH:
+                if not m[1]:
+                    pending.append(" ")
+                continue
             if tag in INLINE:
                 if tag == "a":
                     links = 0 if m[1] else 1

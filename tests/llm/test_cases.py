@@ -110,6 +110,15 @@ def test_urls(spark):
     assert urls.filter_urls(empty(spark, pages)).count() == 0
 
 
+def test_formulas_and_labels_of_drawings():
+    def shown(inner):
+        return [t for _, t in html_extract.Page(f"<article><p>Before{inner}after.</p></article>").blocks]
+
+    assert shown('<math display="block"><mrow><mi>E</mi><mo>=</mo><mfrac><mn>17</mn><mi>k</mi></mfrac></mrow></math> ') == ["Before E = 17 k after."]
+    assert shown('<svg><style>p {}</style><title>T</title><!-- <text>no</text> --><path d="M0"/><g><text x="1">Sales &amp; <tspan>costs</tspan></text><text/></g><foreignObject><div>label</div></foreignObject></svg>') == ["Before Sales & costs label after."]
+    assert shown("<svg><path/></svg><script>x</script> ") == ["Before after."]
+
+
 def test_html(spark):
     pages = spark.createDataFrame([(1, "u", None), (2, None, ""), (None, "u", "<nav><a href=x>Home page</a></nav><article><p>A long text, with words. And &amp; more of it, too.</p></article>"), (3, "u", "<div>" * 20_000 + "x"), (3, "u", "<p" * 1000)], "page_id long, url string, html string").selectExpr("*", "1 text", "2 n_chars")
     found = {r["page_id"]: r for r in html_extract.extract(pages).collect()}
