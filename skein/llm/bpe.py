@@ -5,9 +5,9 @@ changes three leaves, each in logarithmic time, until the root holds no rank. Di
 side by side, one tree a row of a matrix; words longer than LONG bytes have a tree of their own. Word results are
 kept in a bounded cache.
 
-Cases: null and empty texts have no tokens; the special tokens' strings are their ids; ill-formed bytes decode to
-the replacement character, as public libraries do; equal rows each give their row; an empty table gives no rows;
-further columns are ignored.
+Cases: null and empty texts have no tokens; texts and words of any length are encoded whole; the special tokens'
+strings are their ids; pairs of equal rank merge from the left; ill-formed bytes decode to the replacement character, as
+public libraries do; equal rows each give their row; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import json
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +58,26 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def first_slot(keys: np.ndarray, size: int) -> np.ndarray:
+    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - size.bit_length())).astype(np.int64)
+
+
+def hash_slots(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An open table of the keys (-1: no key) and of their places, of a power of two slots, at most an eighth in use."""
+    size = 1 << max(4, (8 * len(keys)).bit_length())
+    table, ranks = np.full(size, -1, np.int64), np.zeros(size, np.int64)
+    at, left = first_slot(keys, size), np.arange(len(keys))
+    while len(left):
+        free = left[table[at[left]] < 0]
+        _, one = np.unique(at[free], return_index=True)  # one key a slot and round
+        won = free[one]
+        table[at[won]], ranks[at[won]] = keys[won], won
+        left = np.setdiff1d(left, won)
+        taken = left[table[at[left]] >= 0]
+        at[taken] = (at[taken] + 1) % size
+    return table, ranks
+
+
 class Codec:
     """Encodes and decodes by one vocabulary file. Encoded ids are decimals joined by commas or, if packed, 32-bit
     integers in a row."""
@@ -75,8 +96,7 @@ class Codec:
         self.base = max(vocab.values()) + 1
         keys = np.array([vocab[a] * self.base + vocab[b] for a, b in pairs], np.int64)
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.ranks = np.append(keys[order], np.int64(1) << 62), np.append(order, 0)
+        self.slot_keys, self.slot_ranks = hash_slots(keys)
         self.rank_of = dict(zip(keys.tolist(), range(len(keys)), strict=True))
         self.ids: dict[str, bytes] = {}
         self.texts: dict[str, bytes] = {}
@@ -89,8 +109,17 @@ class Codec:
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left * self.base + right
-        at = np.searchsorted(self.keys, key)
-        return np.where(self.keys[at] == key, self.ranks[at], NONE)
+        at = first_slot(key, len(self.slot_keys))
+        there = self.slot_keys[at]
+        out = np.where(there == key, self.slot_ranks[at], NONE)
+        open_ = np.flatnonzero((there != key) & (there >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) % len(self.slot_keys)
+            there = self.slot_keys[at[open_]]
+            hit = there == key[open_]
+            out[open_[hit]] = self.slot_ranks[at[open_[hit]]]
+            open_ = open_[~hit & (there >= 0)]
+        return out
 
     def long_word(self, data: bytes) -> list[int]:
         """One segment tree in plain Python."""
@@ -190,12 +219,13 @@ class Codec:
         for size, own in by_size.items():
             for at in range(0, len(own), BATCH):
                 part = own[at : at + BATCH]
-                ids, counts = self.words_side_by_side([w.encode() for w in part], size)
-                begin = 0
-                ids = ids.tolist()
-                for word, n in zip(part, counts.tolist(), strict=True):
-                    self._keep(word, ids[begin : begin + n])
-                    begin += n
+                self._keep_all(part, *self.words_side_by_side([w.encode() for w in part], size))
+
+    def _keep_all(self, words: list[str], flat: np.ndarray, counts: np.ndarray) -> None:
+        begin, ids = 0, flat.tolist()
+        for word, n in zip(words, counts.tolist(), strict=True):
+            self._keep(word, ids[begin : begin + n])
+            begin += n
 
     def _keep(self, word: str, ids: list[int]) -> None:
         self.ids[word] = array("i", ids).tobytes() if self.packed else ",".join(map(str, ids)).encode()
@@ -226,12 +256,55 @@ class Codec:
         return b"".join([self.bytes_of[i] for i in ids]).decode("utf-8", "replace")
 
 
+class IdCodec(Codec):
+    """Encodes to one array of ids for many texts; words' ids are kept end to end."""
+
+    def __init__(self, path: str):
+        super().__init__(path, packed=True)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.new: list[tuple[np.ndarray, np.ndarray]] = []
+        self.flat, self.starts = np.empty(0, np.int32), np.zeros(1, np.int64)
+
+    def _keep(self, word: str, ids: list[int]) -> None:
+        self._keep_all([word], np.array(ids), np.array([len(ids)]))
+
+    def _keep_all(self, words: list[str], flat: np.ndarray, counts: np.ndarray) -> None:
+        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
+        self.new.append((flat, counts))
+
+    def ids_of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The texts' ids end to end, and how many each has."""
+        split = [self.split(t or "") for t in texts]
+        if len(self.place) > 4 * CACHE:
+            self._clear()
+        self.learn(list(set().union(*split).difference(self.place)))
+        if self.new:
+            self.flat = np.concatenate([self.flat, *(ids.astype(np.int32) for ids, _ in self.new)])
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate([n for _, n in self.new]))])
+            self.new = []
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        word = np.fromiter(map(self.place.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
+        begin, n = self.starts[word], self.starts[word + 1] - self.starts[word]
+        ends = np.cumsum(n)
+        ids = self.flat[np.repeat(begin - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        stops = np.append(0, ends)[np.cumsum(np.append(0, sizes))]
+        return ids, np.diff(stops)
+
+
 @functools.lru_cache(maxsize=1)
 def codec(path: str, packed: bool) -> Codec:
     """One a Python worker; it stays for later tasks."""
     return Codec(path, packed)
 
 
+@functools.lru_cache(maxsize=1)
+def id_codec(path: str) -> IdCodec:
+    return IdCodec(path)
+
+
 def _rows(batches: Iterator[pa.RecordBatch], path: str, packed: bool):
     for whole in batches:
         for at in range(0, whole.num_rows, 1000):
