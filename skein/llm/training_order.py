@@ -1,43 +1,65 @@
 """Training-order materialisation: fixed-size sequences of token ids in a keyed random order, in binary shards.
 
-The texts of each partition of the scan, each with its END, stand end to end and are cut into sequences; only a
-partition's last one is filled up. Every sequence has a number from 0 to n - 1: its place in the scan of an immutable
-table, whose partitions Spark plans alike each time. A keyed Feistel network over the next power of four, walked until
-it falls below n, permutes the numbers; the result is the sequence's global slot. Shard k holds slots k * size to
-(k + 1) * size - 1 in order, each a record of the same stride, so a reader finds slot s at byte (s mod size) * stride
-of shard s div size and may resume anywhere. The payload is shuffled once, to its shard. Shards are written by Spark's
-text writer, whose commit protocol survives lost executors: a record is SEQUENCE ids of WIDTH bytes, and the writer's
-line end.
-
-Ids here are UTF-8 bytes of one byte each, and END and PAD, two bytes that never occur in UTF-8.
-
-Cases: null and empty texts are one END; long texts go over as many sequences as they need; equal rows each
-stand for themselves; an empty table has no slot and no shard; further columns are ignored.
+All texts, encoded by a vocabulary and each followed by the END id, are one stream in the order of the input's files and
+of the rows in them, whatever way Spark splits the files. The stream is cut into sequences of SEQUENCE ids; only its last
+one is filled up with PAD. A keyed Feistel network over the next power of four, walked until it falls below the number of
+sequences, permutes their numbers; the result is a sequence's global slot.
+
+The texts are read and encoded once, to a table of ids with each row's place in its file split. One sum a split turns
+these into places in the stream. Sequences then go to range partitions of slots with exact bounds: partition k is shard k
+and holds slots k * size to (k + 1) * size - 1 in order, each a record of the same stride. So a reader finds slot s at
+byte (s mod size) * stride of shard s div size, seeks there and may resume anywhere. The payload is shuffled once. Shards
+are written by Spark's text writer, whose commit protocol survives lost executors: a record is SEQUENCE ids of the
+vocabulary's width (2 or 4 bytes, little-endian), and the writer's line end. The manifest, from the table of ids without the ids, says
+which ids of which document each sequence holds.
+
+Cases: null and empty texts are one END; long texts go over as many sequences as they need; equal rows each stand for
+themselves; ties in the order do not occur, as a file and a place in it belong to one row; an empty table has no slot and
+no shard; further columns are ignored, whatever their names; a table that is not a scan of files is written first, and its order is that of the written files.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from itertools import accumulate
+from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skein.llm.anchors import mixed
-from skein.llm.common import shared_dir, table, utf8
+from skein.llm.bpe import Codec, id_codec, vocabulary_path
+from skein.llm.common import shared_dir, stored, table
 
-SEQUENCE, WIDTH = 512, 1
+SEQUENCE = 512
 SHARD = 1 << 14
 ROUNDS = 6
 KEY = 20240229
-END, PAD = 0xFE, 0xFF
 U = np.uint64
 
 
+class Form(NamedTuple):
+    """How ids are written: numpy type, bytes an id, and the two ids that no text has."""
+
+    kind: str
+    width: int
+    end: int
+    pad: int
+
+
+def form_of(vocabulary: str) -> Form:
+    """END is the vocabulary's first special id, or the first free one; PAD the greatest of the width."""
+    codec = Codec(vocabulary)
+    end = min(codec.special.values(), default=max(codec.bytes_of) + 1)
+    width = 2 if max(end, *codec.bytes_of) < 0xFFFF else 4
+    return Form(f"<u{width}", width, end, (1 << 8 * width) - 1)
+
+
 def feistel(numbers: np.ndarray, n: int, key: int = KEY, inverse: bool = False) -> np.ndarray:
     """A keyed permutation of 0 to n - 1, or its inverse."""
     half = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
@@ -55,86 +77,173 @@ def feistel(numbers: np.ndarray, n: int, key: int = KEY, inverse: bool = False)
     return out.astype(np.int64)
 
 
-def cut(starts: list[int], n: int, key: int):
-    """Python over (doc_id, data): a record for each sequence, with its number, slot, and the document and place in it
-    at which it begins."""
+def binaries(ends: np.ndarray, data: np.ndarray) -> pa.Array:
+    """Values that end at these bytes of data."""
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, number = TaskContext.get().partitionId(), None
-        tail, tail_doc, tail_at = b"", None, 0
 
-        def records(stream: bytes, count: int, docs: list, at: list, used: int) -> pa.RecordBatch:
-            numbers = np.arange(number, number + count)
-            ends = pa.array(np.arange(count + 1, dtype=np.int32) * SEQUENCE)
-            data = pa.Array.from_buffers(pa.binary(), count, [None, ends.buffers()[1], pa.py_buffer(stream)])
-            sizes = np.full(count, SEQUENCE, np.int32)
-            sizes[-1] = used
-            return pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(feistel(numbers, n, key)), pa.array(docs, pa.int64()), pa.array(at, pa.int64()), pa.array(sizes), data], ["number", "slot", "doc_id", "doc_offset", "n_ids", "record"])
+def encode(vocabulary: str, form: Form):
+    """Python over (doc_id, text, file, block), a file's rows in their order: place in the split, count and ids of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, seen = None, 0
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 1000):
+                batch = whole.slice(begin, 1000)
+                ids, n = id_codec(vocabulary).ids_of(batch.column("text").to_pylist())
+                sizes = n + 1
+                ends = np.cumsum(sizes)
+                stream = np.full(int(ends[-1]), form.end, form.kind)
+                stream[np.repeat(np.arange(len(n)), n) + np.arange(len(ids))] = ids
+                places = np.empty(len(n), np.int64)
+                for k, split in enumerate(zip(batch.column("file").to_pylist(), batch.column("block").to_pylist(), strict=True)):
+                    if split != last:
+                        last, seen = split, 0
+                    places[k] = seen
+                    seen += int(sizes[k])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("file"), batch.column("block"), pa.array(places), pa.array(sizes), binaries(ends * form.width, stream)], ["doc_id", "file", "block", "place", "n", "ids"])
+
+    return run, "doc_id long, file string, block long, place long, n long, ids binary"
+
+
+def encoded(docs: DataFrame, vocabulary: str, form: Form) -> DataFrame:
+    """doc_id, place (in the whole stream), n (END counts), ids of every row: a table, and places from one sum a split."""
+    try:
+        rows = docs.select("doc_id", "text", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    except AnalysisException:
+        return encoded(stored(docs.select("doc_id", "text"), "documents"), vocabulary, form)
+    told = stored(rows.mapInArrow(*encode(vocabulary, form)), "ids")
+    splits = told.groupBy("file", "block").agg(F.sum("n").alias("held"))
+    before = F.sum("held").over(W.orderBy("file", "block")) - F.col("held")
+    splits = splits.select("file", "block", before.alias("before"))
+    # one row a split of the input's files: at 128 MB a split some 8 MB for every 10 TB
+    return told.join(F.broadcast(splits), ["file", "block"]).select("doc_id", (F.col("before") + F.col("place")).alias("place"), "n", "ids")
+
+
+def cut(n: int, key: int, form: Form):
+    """Python over (place, ids): whole sequences, and parts of those that go over several tasks, as (slot, at, part)."""
+    stride = SEQUENCE * form.width
+
+    def pieces(place: int, data: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """place: of the first byte."""
+        bounds = np.unique(np.concatenate([[place], np.arange(-(-place // stride) * stride, place + len(data), stride), [place + len(data)]]))
+        numbers = bounds[:-1] // stride
+        yield pa.RecordBatch.from_arrays([pa.array(feistel(numbers, n, key)), pa.array((bounds[:-1] % stride).astype(np.int32)), binaries(bounds[1:] - place, data)], ["slot", "at", "part"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, begin = np.empty(0, np.uint8), 0
         for whole in batches:
-            for begin in range(0, whole.num_rows, 500):
-                batch = whole.slice(begin, 500)
-                number = starts[p] if number is None else number
-                ids, texts = batch.column("doc_id").to_pylist(), batch.column("data").to_pylist()
-                first = np.cumsum([len(tail), *(len(t) + 1 for t in texts)])[:-1]
-                stream = b"".join([tail, *(x for t in texts for x in (t, bytes([END])))])
-                count = len(stream) // SEQUENCE
-                places = np.arange(count + 1) * SEQUENCE
-                owner = np.searchsorted(first, places, "right") - 1
-                docs = [ids[k] if k >= 0 else tail_doc for k in owner.tolist()]
-                at = [x - first[k] if k >= 0 else tail_at for x, k in zip(places.tolist(), owner.tolist(), strict=True)]
-                if count:
-                    yield records(stream[: count * SEQUENCE], count, docs[:-1], at[:-1], SEQUENCE)
-                    number += count
-                tail, tail_doc, tail_at = stream[count * SEQUENCE :], docs[-1], at[-1]
-        if tail:
-            yield records(tail.ljust(SEQUENCE, bytes([PAD])), 1, [tail_doc], [tail_at], len(tail))
-            number += 1
-        if number is not None and number != starts[p + 1]:
-            raise RuntimeError("the table changed between its two scans")
-
-    return run, "number long, slot long, doc_id long, doc_offset long, n_ids int, record binary"
-
-
-def ordered_sequences(docs: DataFrame, key: int = KEY) -> tuple[DataFrame, int]:
-    """number, slot, doc_id, doc_offset, n_ids, record of every sequence, and how many there are. docs: a scan of files."""
-    rows = docs.select("doc_id", utf8(F.col("text")).alias("data"))
-    per = rows.select(F.spark_partition_id().alias("p"), (F.octet_length("data") + 1).cast("long").alias("n")).groupBy("p").agg(F.ceil(F.sum("n") / SEQUENCE).alias("n"))
-    # one number for each partition of the scan
-    counts = {r["p"]: r["n"] for r in per.collect()}
-    last = max(counts, default=-1)
-    starts = [0, *accumulate(counts.get(p, 0) for p in range(last + 1))]
-    return rows.mapInArrow(*cut(starts, starts[-1], key)), starts[-1]
-
-
-def write_shards(sequences: DataFrame, path: str, n: int, shard: int = SHARD) -> None:
-    """Shards under path/shard=k, each one file of records of SEQUENCE * WIDTH bytes and a line end."""
-    dealt = sequences.select(F.expr(f"slot div {shard}").alias("shard"), "slot", "record").repartition(max(1, -(-n // shard)), "shard").sortWithinPartitions("shard", "slot")
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                places = batch.column("place").to_numpy() * form.width
+                texts = [np.frombuffer(x.as_buffer(), np.uint8) for x in batch.column("ids")]
+                ends = places + np.fromiter(map(len, texts), np.int64, len(texts))
+                cuts = [0, *(np.flatnonzero(places[1:] != ends[:-1]) + 1).tolist(), len(texts)]
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    if places[a] != begin + len(held):
+                        if len(held):
+                            yield from pieces(begin, held)
+                        held, begin = np.empty(0, np.uint8), int(places[a])
+                    data = np.concatenate([held, *texts[a:b]])
+                    full = max(0, (begin + len(data)) // stride * stride - begin)
+                    if full:
+                        yield from pieces(begin, data[:full])
+                    held, begin = data[full:], begin + full
+        if len(held):
+            yield from pieces(begin, held)
+
+    return run, "slot long, at int, part binary"
+
+
+def assemble(form: Form):
+    """Python over (slot, at, part) in order: one record a slot, filled up with PAD."""
+    stride = SEQUENCE * form.width
+    pad = np.array([form.pad], form.kind).tobytes() * SEQUENCE
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot, parts = None, []
+        done = lambda: pa.RecordBatch.from_arrays([pa.array([slot], pa.int64()), pa.array([b"".join(parts + [pad])[:stride]], pa.binary())], ["slot", "record"])
+        for batch in batches:
+            slots = batch.column("slot").to_numpy()
+            lengths = np.diff(np.frombuffer(batch.column("part").buffers()[1], np.int32)[batch.column("part").offset :][: len(slots) + 1])
+            cuts = [0, *(np.flatnonzero(np.diff((lengths == stride).astype(np.int8))) + 1).tolist(), len(slots)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                whole = lengths[a] == stride
+                if whole and slot is not None:
+                    yield done()
+                    slot, parts = None, []
+                if whole:
+                    yield pa.RecordBatch.from_arrays([batch.column("slot").slice(a, b - a), batch.column("part").slice(a, b - a)], ["slot", "record"])
+                    continue
+                for s, part in zip(slots[a:b].tolist(), batch.column("part").slice(a, b - a).to_pylist(), strict=True):
+                    if s != slot and slot is not None:
+                        yield done()
+                        parts = []
+                    slot = s
+                    parts.append(part)
+        if slot is not None:
+            yield done()
+
+    return run, "slot long, record binary"
+
+
+def write_shards(rows: DataFrame, path: str, n: int, key: int, form: Form, shard: int = SHARD) -> None:
+    """rows (place, ids) as shards under path/shard=k, each one file of records and line ends."""
+    dealt = rows.select("place", "ids").mapInArrow(*cut(n, key, form)).withColumn("shard", F.expr(f"cast(slot div {shard} AS int)"))
+    dealt = dealt.repartitionById(max(1, -(-n // shard)), "shard").sortWithinPartitions("slot", "at").select("slot", "at", "part")
+    records = dealt.mapInArrow(*assemble(form))
     # a cast of bytes to text leaves them as they are
-    dealt.select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").text(path)
+    records.select(F.expr(f"slot div {shard}").alias("shard"), F.col("record").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").text(path)
+
+
+def manifest(rows: DataFrame, n: int, key: int, form: Form, shard: int = SHARD) -> DataFrame:
+    """A row for each document in each sequence: number, slot, shard, offset (of the record in its shard's file), at (the
+    first of its ids there), n_ids (END counts), doc_id, doc_offset (of that id in the document)."""
+
+    @F.pandas_udf("long")
+    def slot_of(numbers: pd.Series) -> pd.Series:
+        return pd.Series(feistel(numbers.to_numpy(), n, key))
+
+    ends = F.col("place") + F.col("n")
+    spread = rows.select("doc_id", "place", ends.alias("ends"), F.explode(F.sequence(F.expr(f"place div {SEQUENCE}"), F.expr(f"(place + n - 1) div {SEQUENCE}"))).alias("number"))
+    begin = F.greatest(F.col("place"), F.col("number") * SEQUENCE)
+    held = spread.select("number", slot_of("number").alias("slot"), (begin - F.col("number") * SEQUENCE).cast("int").alias("at"),
+                         (F.least(F.col("ends"), (F.col("number") + 1) * SEQUENCE) - begin).cast("int").alias("n_ids"), "doc_id", (begin - F.col("place")).alias("doc_offset"))
+    return held.select("number", "slot", F.expr(f"slot div {shard}").alias("shard"), (F.col("slot") % shard * (SEQUENCE * form.width + 1)).alias("offset"), "at", "n_ids", "doc_id", "doc_offset")
 
 
-def read_slots(spark: SparkSession, path: str, first: int, last: int, shard: int = SHARD) -> list[bytes]:
-    """The records of slots first to last, in order: only the shards that hold them are opened."""
-    stride = SEQUENCE * WIDTH + 1
-    files = spark.read.format("binaryFile").load(path).filter(F.col("shard").between(first // shard, last // shard))
-    begin = lambda k: max(0, first - k * shard) * stride
+def read_slots(spark: SparkSession, path: str, first: int, last: int, form: Form, shard: int = SHARD) -> list[np.ndarray]:
+    """The ids of slots first to last, in order: only their bytes are read."""
+    stride = SEQUENCE * form.width + 1
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
     out = []
-    for row in files.select("shard", "content").orderBy("shard").toLocalIterator():
-        k = row["shard"]
-        data = row["content"][begin(k) : (min(shard, last + 1 - k * shard)) * stride]
-        out += [bytes(data[a : a + stride - 1]) for a in range(0, len(data), stride)]
+    for k in range(first // shard, last // shard + 1):
+        files = hadoop.Path(f"{path}/shard={k}")
+        fs = files.getFileSystem(conf)
+        (file,) = (x.getPath() for x in fs.listStatus(files) if x.getPath().getName().startswith("part-"))
+        a, b = max(first, k * shard), min(last, (k + 1) * shard - 1)
+        stream = fs.open(file)
+        try:
+            stream.seek((a - k * shard) * stride)
+            data = bytes(stream.readNBytes((b - a + 1) * stride))
+        finally:
+            stream.close()
+        out += [np.frombuffer(data, form.kind, SEQUENCE, x) for x in range(0, len(data), stride)]
     return out
 
 
-def materialise(docs: DataFrame, path: str, key: int = KEY, shard: int = SHARD) -> DataFrame:
-    """Writes the shards; returns number, slot, doc_id, doc_offset, n_ids, shard, offset of every sequence."""
-    sequences, n = ordered_sequences(docs, key)
+def materialise(docs: DataFrame, path: str, vocabulary: str, key: int = KEY, shard: int = SHARD) -> DataFrame:
+    """Writes the shards under path; returns the manifest."""
+    form = form_of(vocabulary)
+    rows = encoded(docs, vocabulary, form)
+    n = -(-(rows.agg(F.sum("n")).head()[0] or 0) // SEQUENCE)
     if n:
-        write_shards(sequences, path, n, shard)
-    place = F.expr(f"slot div {shard}").alias("shard"), ((F.col("slot") % shard) * (SEQUENCE * WIDTH + 1)).alias("offset")
-    return sequences.select("number", "slot", "doc_id", "doc_offset", "n_ids", *place)
+        write_shards(rows, path, n, key, form, shard)
+    return manifest(rows, n, key, form, shard)
 
 
 def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialise(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/skein/shards-{uuid.uuid4().hex}")
+    return materialise(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/skein/shards-{uuid.uuid4().hex}", vocabulary_path())

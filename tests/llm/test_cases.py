@@ -1,6 +1,7 @@
 """Every operator over nulls in any column, empty and very long texts, ties, repeated rows, empty tables, and further
 columns with clashing names."""
 
+import numpy as np
 import pytest
 
 from skein.llm import bpe, decontamination, html_extract, langid, near_join, quality, suffix_dedup, toxicity, training_order, urls
@@ -94,12 +95,42 @@ def test_bpe(spark, docs):
 
 
 def test_training_order(spark, docs, tmp_path):
-    docs.write.parquet(str(tmp_path / "docs"))
-    found = training_order.materialise(spark.read.parquet(str(tmp_path / "docs")), str(tmp_path / "shards"), shard=64).collect()
-    records = training_order.read_slots(spark, str(tmp_path / "shards"), 0, len(found) - 1, shard=64)
-    stream = b"".join(records[r["slot"]][: r["n_ids"]] for r in sorted(found, key=lambda r: r["number"]))
-    assert sorted(x.decode() for x in stream.split(bytes([training_order.END]))[:-1]) == sorted((r[1] or "") for r in ROWS)
-    assert training_order.materialise(empty(spark, docs), str(tmp_path / "none")).count() == 0
+    """Against the stream made by hand: every id, slot, shard, byte offset and manifest row; the same for any splits."""
+    path = bpe.vocabulary_path()
+    form, codec = training_order.form_of(path), bpe.Codec(path)
+    docs.coalesce(1).write.option("parquet.block.size", 50_000).parquet(str(tmp_path / "docs"))
+    scan = spark.read.parquet(str(tmp_path / "docs"))
+    order = [(r["doc_id"], [*codec.encode(r["text"]), form.end]) for r in scan.coalesce(1).collect()]
+    stream = [x for _, ids in order for x in ids]
+    n = -(-len(stream) // training_order.SEQUENCE)
+    slots = training_order.feistel(np.arange(n), n).tolist()
+    want, at = [], 0
+    for doc_id, ids in order:
+        done = 0
+        while done < len(ids):
+            number, first = divmod(at + done, training_order.SEQUENCE)
+            take = min(len(ids) - done, training_order.SEQUENCE - first)
+            slot = slots[number]
+            want.append((number, slot, slot // 64, slot % 64 * (2 * training_order.SEQUENCE + 1), first, take, doc_id, done))
+            done += take
+        at += len(ids)
+    assert form.width == 2 and sorted(slots) == list(range(n)) and n > 128
+    whole = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for bytes_a_split in (whole, "20000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", bytes_a_split)
+            out = str(tmp_path / f"shards-{bytes_a_split}")
+            found = training_order.materialise(spark.read.parquet(str(tmp_path / "docs")), out, path, shard=64)
+            assert sorted(map(repr, (tuple(r) for r in found.collect()))) == sorted(map(repr, want))
+            records = training_order.read_slots(spark, out, 0, n - 1, form, shard=64)
+            told = np.concatenate([records[s] for s in slots]).tolist()
+            assert told[: len(stream)] == stream and set(told[len(stream) :]) <= {form.pad}
+            assert [x.tolist() for x in training_order.read_slots(spark, out, 63, 65, form, shard=64)] == [records[s].tolist() for s in (63, 64, 65)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", whole)
+    unscanned = spark.createDataFrame(ROWS, SCHEMA)
+    assert training_order.materialise(unscanned, str(tmp_path / "unscanned"), path).select("doc_id").distinct().count() == 8
+    assert training_order.materialise(empty(spark, docs), str(tmp_path / "none"), path).count() == 0
 
 
 def test_urls(spark):
