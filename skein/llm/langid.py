@@ -1,11 +1,15 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-A forward and a backward GRU run over the UTF-8 bytes of every window of the text; at each position a softmax over
-both states labels that byte, and the mean over all positions of a document is its distribution. The network is
-trained in numpy by backpropagation through time on a bounded sample of rows with a language.
-
-Cases: null texts and texts without a letter are "und" with score 0; if no row can teach, everything is "und";
-equal rows each give their row; an empty table gives no rows; further columns are ignored.
+A forward and a backward GRU run over the UTF-8 bytes of every window of WIDTH bytes of the whole text; at each position
+a softmax over both states labels that byte, and the mean over all positions of a document is its distribution. States
+begin anew in each window, so that windows run side by side. The network is trained in numpy by backpropagation through
+time on a bounded sample: of every language at most ROWS documents, and of each of these at most WINDOWS windows, from
+anywhere in the text. The driver gets these windows, never a text.
+
+Cases: null texts and texts without a letter are "und" with score 0; if no row can teach, everything is "und"; every
+language that has a row to learn from can be predicted, however many there are; texts of any length are labelled whole, a
+bounded part at a time; of languages with equal means the first by name is predicted; equal rows each give their row, and
+teach once; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,15 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import table
-from skein.llm.samples import bounded, fold
+from skein.llm.common import table, utf8
+from skein.llm.samples import fold, picked_ids
 
 FOLDS, HELD_OUT = 3, 1
-#: Rows of each language to learn from at most, languages at most as many as the most frequent LANGUAGES, and windows of each row.
-ROWS, LANGUAGES, WINDOWS = 500, 64, 3
+#: Rows of each language to learn from at most, and windows of each row.
+ROWS, WINDOWS = 500, 3
 #: States each way, bytes of a window, and the symbol that fills windows up.
 HIDDEN, WIDTH, PAD = 8, 64, 256
-EPOCHS, STEP_ROWS, RATE = 6, 128, 0.02
+#: Passes over the sample, more of them if they have fewer than LEAST_STEPS steps.
+EPOCHS, LEAST_STEPS, STEP_ROWS, RATE = 6, 600, 128, 0.02
 #: Bytes run side by side.
 CHUNK = 1 << 18
 LETTER = re.compile(r"[^\W\d_]")
@@ -134,20 +139,14 @@ class Network:
         return [*forward, *backward, d_out, p.sum((0, 2))]
 
 
-def train(rows: list[tuple[str, str]]) -> Network | None:
-    """rows: (text, language)."""
+def train(rows: list[tuple[list[bytes], str]]) -> Network | None:
+    """rows: (windows of at most WIDTH bytes, language)."""
     languages = sorted({lang for _, lang in rows})
-    if not languages:
-        return None
     rng = np.random.default_rng(3)
-    windows, labels = [], []
-    for text, lang in rows:
-        data = text.encode()
-        starts = range(0, len(data), WIDTH)
-        for at in rng.choice(np.array(starts), min(WINDOWS, len(starts)), replace=False) if len(starts) else ():
-            piece = np.frombuffer(data[at : at + WIDTH], np.uint8)
-            windows.append(np.concatenate([piece, np.full(WIDTH - len(piece), PAD)]))
-            labels.append(languages.index(lang))
+    place = {lang: k for k, lang in enumerate(languages)}
+    pieces = [(np.frombuffer(piece, np.uint8), place[lang]) for told, lang in rows for piece in told]
+    windows = [np.concatenate([piece, np.full(WIDTH - len(piece), PAD)]) for piece, _ in pieces]
+    labels = [label for _, label in pieces]
     scale = lambda *shape: rng.normal(0, 0.3, shape).astype(f32)
     weights = [scale(3 * HIDDEN, PAD + 1), scale(3 * HIDDEN, HIDDEN), scale(3 * HIDDEN, PAD + 1), scale(3 * HIDDEN, HIDDEN), scale(len(languages), 2 * HIDDEN), np.zeros(len(languages), f32)]
     network = Network(languages, weights)
@@ -155,8 +154,10 @@ def train(rows: list[tuple[str, str]]) -> Network | None:
         return None
     x, y = np.array(windows, np.int64), np.array(labels)
     first, second, step = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights], 0
-    total = EPOCHS * -(-len(x) // STEP_ROWS)
-    for _ in range(EPOCHS):
+    steps = -(-len(x) // STEP_ROWS)
+    epochs = max(EPOCHS, -(-LEAST_STEPS // steps))
+    total = epochs * steps
+    for _ in range(epochs):
         order = rng.permutation(len(x))
         for at in range(0, len(x), STEP_ROWS):
             own = order[at : at + STEP_ROWS]
@@ -170,15 +171,15 @@ def train(rows: list[tuple[str, str]]) -> Network | None:
 
 
 def fitted(documents: DataFrame) -> Network | None:
-    """Trained on at most ROWS rows of each language outside the held-out fold."""
-    known = documents.select("doc_id", "lang", "text").filter("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").filter(fold(F.col("doc_id"), FOLDS) != HELD_OUT)
-    languages = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    if not languages:
-        return None
-    picked = bounded(known.select("doc_id", "lang"), "lang", dict.fromkeys(languages, ROWS), "doc_id").distinct()
-    # at most ROWS ids of at most LANGUAGES languages, hence the broadcast
-    rows = known.join(F.broadcast(picked), ["doc_id", "lang"]).select("text", "lang").collect()
-    return train(sorted((r["text"], r["lang"]) for r in rows))
+    """Trained on at most ROWS documents of each language outside the held-out fold."""
+    known = documents.select("doc_id", "lang", utf8(F.col("text")).alias("data")).filter("doc_id IS NOT NULL AND lang IS NOT NULL AND octet_length(data) > 0").filter(fold(F.col("doc_id"), FOLDS) != HELD_OUT)
+    picked = picked_ids(known.select("doc_id", "lang"), "lang", F.lit(ROWS))
+    n = F.ceil(F.octet_length("data") / WIDTH)
+    starts = F.array_distinct(F.array(*(F.pmod(F.xxhash64("doc_id", F.lit(k)), n) for k in range(WINDOWS))))
+    pieces = F.transform(starts, lambda k: F.substring(F.col("data"), (k * WIDTH + 1).cast("int"), F.lit(WIDTH)))
+    # at most ROWS ids a language, hence the broadcast
+    rows = known.join(F.broadcast(picked), ["doc_id", "lang"]).groupBy("lang", "doc_id").agg(F.min(pieces).alias("pieces"))
+    return train([([bytes(x) for x in r["pieces"]], r["lang"]) for r in rows.orderBy("lang", "doc_id").select("lang", "pieces").toLocalIterator()])
 
 
 def identified(docs: DataFrame, network: Network | None) -> DataFrame:

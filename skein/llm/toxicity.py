@@ -1,13 +1,17 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words are classes: insult, threat, target, negation, reported speech, other. Small transducers over classes follow
-each of these in a clause; their composition is one table of states, which labels every insult or threat by what
-stands around it. A document's score is logistic in its labels' counts, weighted by how telling the matched stem is.
-Stems (word beginnings) come from a short list and from a bounded sample of labelled rows, as do the weights.
-
-Cases: null and empty texts have no clauses and get the base score; labels of other values than 0 and 1 and rows
-without a text teach nothing; without labels the built-in weights hold; equal rows each give their row; an empty
-table gives no rows; further columns are ignored.
+Words are classes: insult, threat, target, negation, reported speech, other; a clause ends with an end symbol. Five
+weighted transducers rewrite this tape: reported speech and negation change the insults and threats in their reach;
+threat looks for a target after it; target joins insults to targets on either side, nearer ones with more weight; insult
+turns what is left into events. compose() makes one machine of them, which reads a clause once. A document's score is
+logistic in its events' weighted counts, weighted also by how telling the matched stem is. Stems (word beginnings) come
+from a short list and from a bounded sample of labelled rows, as do the weights.
+
+Cases: null and empty texts have no clauses and get the base score; texts and clauses of any length are scored whole, from
+a clause's true start; labels of other values than 0 and 1 and rows without a text teach nothing; of an id with several
+labels the toxic one counts, of one with several texts the least; without labels the built-in weights hold; of stems that
+fit a word the weightiest counts; equal rows each give their row, and teach once; an empty table gives no rows; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,8 +20,8 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import product
 from math import exp, log, log1p
+from typing import NamedTuple
 
 import ahocorasick
 import numpy as np
@@ -26,10 +30,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm.common import table
-from skein.llm.samples import bounded, fold
+from skein.llm.samples import bounded_texts, fold, picked_ids
 
-#: At most so many labelled rows of each kind to learn from.
-TOXIC_ROWS, CLEAN_ROWS = 2000, 4000
+#: At most so many labelled documents of each kind to learn from, and so many bytes of texts of each.
+TOXIC_ROWS, CLEAN_ROWS, SAMPLE_BYTES = 2000, 4000, 32 << 20
 FOLDS = 5
 #: Stems have so many letters at least and at most; a learnt one this G statistic, and this ratio of shares.
 STEM, LEAST_G, LEAST_RATIO = (3, 9), 30.0, 60.0
@@ -39,7 +43,6 @@ THREATS = "kill hurt destroy beat stab shoot umbringen töten tuer frapper matar
 TARGETS = "you your he she they him her them people du dich ihr euch sie tu toi vous il elle ils usted tú ustedes él ella".split()
 NEGATIONS = "not never no isn't aren't nicht kein keine nie pas jamais nunca jamás".split()
 REPORTED = "said says claimed wrote quoted sagte schrieb dit écrit dijo escribió".split()
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 EVENTS = ("insult", "insult at target", "insult negated", "insult reported", "threat at target", "threat negated or reported")
 #: Weights before any label is seen, with the base score's log odds first.
 PRIOR = (-3.0, 5.0, 5.5, 1.5, 1.5, 4.0, 1.0)
@@ -48,36 +51,132 @@ RUNS, SHARED = 12, 3
 #: A stem grows to a longer one that this share of its texts hold.
 SHARE = 0.97
 WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
-CLAUSE_END = re.compile(r"[.!?;:\n]")
+CLAUSE_ENDS = ".!?;:\n"
+CLAUSE_END = re.compile(f"[{CLAUSE_ENDS}]")
+#: Words that a negation, threat, target or insult reaches, and the weight of a target so many words away.
 REACH = 3
+NEARNESS = {1: 1.0, 2: 0.9, 3: 0.8}
+#: The symbols of the tape.
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END = CLASS_NAMES = ("other", "insult", "threat", "target", "negation", "report", "end")
+NEGATED, QUOTED, THREAT_OFF = "negated insult", "quoted insult", "threat off"
+#: One more insult waits for a target; and the beginning of what is told of all that wait.
+HOLD, HELD = "hold", "held "
+#: The symbols that are words: each counts as one wherever reach is counted.
+WORDS = (OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, NEGATED, QUOTED, THREAT_OFF)
+
+
+class Machine(NamedTuple):
+    """A weighted transducer: by state and symbol the next state and (symbol, weight) out. A symbol without an arc goes
+    through as it is."""
+
+    start: object
+    arcs: dict
+
+    def step(self, state, symbol: str):
+        return self.arcs.get((state, symbol)) or (state, ((symbol, 1.0),))
+
+
+def reported_speech() -> Machine:
+    """After a word of reported speech, to the end of the clause, insults are quoted and threats off."""
+    return Machine(0, {(0, REPORT): (1, ((REPORT, 1.0),)), (1, INSULT): (1, ((QUOTED, 1.0),)), (1, THREAT): (1, ((THREAT_OFF, 1.0),)), (1, END): (0, ((END, 1.0),))})
+
+
+def negation() -> Machine:
+    """The state counts the words that a negation still reaches."""
+    arcs = {}
+    for left in range(REACH + 1):
+        for w in WORDS:
+            told = {INSULT: NEGATED, THREAT: THREAT_OFF}.get(w, w) if left else w
+            arcs[left, w] = (REACH if w == NEGATION else max(0, left - 1), ((told, 1.0),))
+        arcs[left, END] = (0, ((END, 1.0),))
+    return Machine(0, arcs)
+
+
+def threat() -> Machine:
+    """The state is the last threat's kind and the words it still reaches; a target there makes it an event."""
+    arcs, kinds = {}, {THREAT: "threat at target", THREAT_OFF: "threat negated or reported"}
+    for kind in (None, *kinds):
+        for left in range(1, REACH + 1) if kind else (0,):
+            for w in WORDS:
+                to = (w, REACH) if w in kinds else (kind, left - 1) if left > 1 and w != TARGET else (None, 0)
+                event = ((kinds[kind], 1.0),) if kind and w == TARGET else ()
+                arcs[(kind, left), w] = (to, ((w, 1.0), *event))
+            arcs[(kind, left), END] = ((None, 0), ((END, 1.0),))
+    return Machine((None, 0), arcs)
+
+
+def target() -> Machine:
+    """The state counts the words that the last target, and the last insult waiting for one, still reach."""
+    arcs, at, alone = {}, "insult at target", "insult"
+    for aimed in range(REACH + 1):
+        for held in range(REACH + 1):
+            for w in WORDS:
+                out, waits = [(w, 1.0)], max(0, held - 1)
+                if w == TARGET and held:
+                    out.append((HELD + at, NEARNESS[REACH - held + 1]))
+                    waits = 0
+                elif w == INSULT and aimed:
+                    out.append((at, NEARNESS[REACH - aimed + 1]))
+                elif w == INSULT:
+                    out.append((HOLD, 1.0))
+                    waits = REACH
+                if w != TARGET and held == 1 and not waits:
+                    out.append((HELD + alone, 1.0))
+                arcs[(aimed, held), w] = ((REACH if w == TARGET else max(0, aimed - 1), waits), tuple(out))
+            arcs[(aimed, held), END] = ((0, 0), ((END, 1.0), *(((HELD + alone, 1.0),) if held else ())))
+    return Machine((0, 0), arcs)
+
+
+def insult() -> Machine:
+    """Words say nothing any more, but negated and quoted insults are events."""
+    told = {NEGATED: (("insult negated", 1.0),), QUOTED: (("insult reported", 1.0),)}
+    return Machine(0, {(0, w): (0, told.get(w, ())) for w in (*WORDS, END)})
+
+
+def compose(first: Machine, second: Machine, symbols: tuple[str, ...]) -> Machine:
+    """The machine that gives what second gives for first's output; symbols: those that first is asked."""
+    start = (first.start, second.start)
+    arcs, todo = {}, [start]
+    while todo:
+        state = todo.pop()
+        if (state, symbols[0]) in arcs:
+            continue
+        for symbol in symbols:
+            a, between = first.step(state[0], symbol)
+            b, out = state[1], []
+            for x, weight in between:
+                b, told = second.step(b, x)
+                out += [(y, weight * w) for y, w in told]
+            arcs[state, symbol] = ((a, b), tuple(out))
+            todo.append((a, b))
+    return Machine(start, arcs)
+
+
+def grammar() -> Machine:
+    whole = reported_speech()
+    for machine in (negation(), threat(), target(), insult()):
+        whole = compose(whole, machine, CLASS_NAMES)
+    return whole
+
+
+GRAMMAR = grammar()
+
+
+def compiled(machine: Machine) -> list[list[tuple[int, tuple]]]:
+    """For each state and class the next state and its acts: (event, or -1 to hold; whether of those held; weight). 0 is
+    the start."""
+    states = [machine.start, *sorted({s for s, _ in machine.arcs} - {machine.start}, key=repr)]
+    place = {s: k for k, s in enumerate(states)}
 
+    def act(symbol: str, weight: float) -> tuple[int, bool, float]:
+        return (-1, False, weight) if symbol == HOLD else (EVENTS.index(symbol.removeprefix(HELD)), symbol.startswith(HELD), weight)
 
-def grammar() -> tuple[list[list[int]], list[list[int]]]:
-    """The composed transducer: for each state and class the next state and the event (-1: none).
+    return [[(place[to], tuple(act(*x) for x in out)) for to, out in (machine.arcs[s, c] for c in CLASS_NAMES)] for s in states]
 
-    Its machines: words since a negation, since a target, since a threat, each up to REACH, and whether the clause
-    is reported speech."""
-    states = list(product(range(REACH + 1), range(REACH + 1), range(REACH + 1), range(2)))
-    place = {s: k for k, s in enumerate(states)}
-    after, event = [], []
-    for negated, aimed, threatened, reported in states:
-        to, says = [], []
-        for c in range(6):
-            now = (REACH if c == NEGATION else max(0, negated - 1), REACH if c == TARGET else max(0, aimed - 1), REACH if c == THREAT else max(0, threatened - 1), int(reported or c == REPORT))
-            e = -1
-            if c == INSULT:
-                e = 3 if reported else 2 if negated else 1 if aimed else 0
-            elif c == TARGET and threatened:
-                e = 5 if reported or negated else 4
-            to.append(place[now])
-            says.append(e)
-        after.append(to)
-        event.append(says)
-    return after, event
-
-
-AFTER, EVENT = grammar()
-CLASSES = {w: c for c, ws in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTED), (THREAT, THREATS)) for w in ws}
+
+TABLE = compiled(GRAMMAR)
+CLASSES = {w: CLASS_NAMES.index(c) for c, ws in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTED), (THREAT, THREATS)) for w in ws}
+INSULT_CLASS, END_CLASS = CLASS_NAMES.index(INSULT), CLASS_NAMES.index(END)
 
 
 class Lexicon:
@@ -103,18 +202,24 @@ class Lexicon:
             begin = end - n + 1
             if begin <= done or begin and low[begin - 1].isalnum():
                 continue
-            first = max((m.end() for m in CLAUSE_END.finditer(low, max(done + 1, begin - 400), begin)), default=max(done + 1, begin - 400))
+            first = max(done + 1, *(low.rfind(x, done + 1, begin) + 1 for x in CLAUSE_ENDS))
             stop = CLAUSE_END.search(low, end)
             done = stop.start() if stop else len(low)
-            state, weight = 0, 0.0
+            state, held = 0, 0.0
             for m in WORD.finditer(low, first, done):
                 word = m[0]
                 weight = self.weight(word)
-                c = INSULT if weight else CLASSES.get(word, OTHER)
-                e = EVENT[state][c]
-                state = AFTER[state][c]
-                if e >= 0:
-                    out[e] += weight or 1.0
+                state, acts = TABLE[state][INSULT_CLASS if weight else CLASSES.get(word, 0)]
+                for e, waited, w in acts:
+                    if e < 0:
+                        held += weight
+                    elif waited:
+                        out[e] += w * held
+                        held = 0.0
+                    else:
+                        out[e] += w * (weight or 1.0)
+            for e, _, w in TABLE[state][END_CLASS][1]:
+                out[e] += w * held
         return out
 
 
@@ -208,12 +313,13 @@ def fit(rows: list[tuple[str, int]], rate: float) -> Scorer:
 
 
 def fitted(documents: DataFrame, labels: DataFrame) -> Scorer:
-    """Fits on at most TOXIC_ROWS and CLEAN_ROWS labelled rows outside the held-out fold."""
+    """Fits on at most TOXIC_ROWS and CLEAN_ROWS labelled documents outside the held-out fold, whole texts of at most
+    SAMPLE_BYTES for each of the two."""
     known = labels.select("doc_id", "toxic").filter("doc_id IS NOT NULL AND toxic IN (0, 1)").filter(fold(F.col("doc_id"), FOLDS) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    picked = bounded(known, "toxic", {1: TOXIC_ROWS, 0: CLEAN_ROWS}, "doc_id")
+    picked = picked_ids(known, "toxic", F.when(F.col("toxic") == 1, TOXIC_ROWS).otherwise(CLEAN_ROWS))
     # at most TOXIC_ROWS + CLEAN_ROWS ids, hence the broadcast
     found = documents.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(picked), "doc_id")
-    rows = sorted((r["text"], r["toxic"]) for r in found.collect())
+    rows = sorted((r["text"], r["toxic"]) for r in bounded_texts(found, "toxic", SAMPLE_BYTES).collect())
     rate = known.agg(F.avg("toxic").alias("rate")).head()["rate"] or 0.0
     return fit(rows, rate)
 

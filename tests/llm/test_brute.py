@@ -8,9 +8,10 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from skein.llm import anchors, bpe, components, html_extract, html_pages, langid, near_join, suffix_dedup, toxicity, training_order, urls
+from skein.llm import anchors, bpe, components, html_extract, html_pages, langid, near_join, samples, suffix_dedup, toxicity, training_order, urls
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -182,10 +183,43 @@ def test_held_out_toxicity():
 
 
 def test_grammar_tells_context():
+    lexicon = toxicity.Lexicon({"idiot": 1.0, "moron": 1.0})
+    events = lambda t: {e: round(x, 6) for e, x in zip(toxicity.EVENTS, lexicon.events(t), strict=True) if x}
+    near, far = toxicity.NEARNESS[1], toxicity.NEARNESS[3]
+    assert events("An idiot.") == {"insult": 1} and events("You idiot.") == {"insult at target": near} and events("You are an idiot.") == {"insult at target": far}
+    assert events("idiot, all of you") == {"insult at target": far} == events("Idiot, all of you! All is well.") and events("idiot and all of you") == {"insult": 1}
+    assert events("moron idiot you") == {"insult at target": 2 * near} and events("It was not an idiot.") == {"insult negated": 1}
+    assert events("The paper wrote of an idiot.") == {"insult reported": 1} and events("I will kill you.") == {"threat at target": 1} and events("I will never kill you.") == {"threat negated or reported": 1}
+    assert events("All is well.") == events("They kill. You go.") == {}
+
+
+def test_a_clause_of_any_length_is_one_clause():
     lexicon = toxicity.Lexicon({"idiot": 1.0})
-    events = lambda t: dict(zip(toxicity.EVENTS, lexicon.events(t), strict=True))
-    assert events("You are an idiot.")["insult at target"] == 1 and events("An idiot.")["insult"] == 1 and events("It was not an idiot.")["insult negated"] == 1
-    assert events("The paper wrote of an idiot.")["insult reported"] == 1 and events("I will kill you.")["threat at target"] == 1 and not any(lexicon.events("All is well."))
+    for n in (1, 100, 1000, 200_000):
+        found = dict(zip(toxicity.EVENTS, lexicon.events("Fine. She said " + "and so on " * n + "idiot. You idiot"), strict=True))
+        assert found["insult reported"] == 1 and found["insult at target"] == toxicity.NEARNESS[1] and sum(found.values()) == 1 + toxicity.NEARNESS[1]
+
+
+def test_the_composed_machine_equals_its_parts_in_a_row():
+    rng = random.Random(4)
+    machines = [toxicity.reported_speech(), toxicity.negation(), toxicity.threat(), toxicity.target(), toxicity.insult()]
+    for _ in range(500):
+        words = [*(rng.choice(toxicity.CLASS_NAMES[:-1]) for _ in range(rng.randint(0, 14))), toxicity.END]
+        tape = [[(w, 1.0)] for w in words]
+        for m in machines:
+            state, after = m.start, []
+            for step in tape:
+                out = []
+                for symbol, weight in step:
+                    state, told = m.step(state, symbol)
+                    out += [(z, weight * w) for z, w in told]
+                after.append(out)
+            tape = after
+        state, whole = toxicity.GRAMMAR.start, []
+        for w in words:
+            state, told = toxicity.GRAMMAR.step(state, w)
+            whole.append(list(told))
+        assert whole == tape and state == toxicity.GRAMMAR.start
 
 
 def test_language_gradients_and_accuracy(monkeypatch):
@@ -211,11 +245,32 @@ def test_language_gradients_and_accuracy(monkeypatch):
     parts = {"x": ("tha", "ing", "ou", "er"), "y": ("ció", "ar", "que", "os")}
     r = random.Random(1)
     rows = [(" ".join("".join(r.choice(parts[c]) for _ in range(3)) for _ in range(20)), c) for c in "xy" for _ in range(80)]
-    network = langid.train(rows[20:80] + rows[100:])
+    cut = lambda t: [t.encode()[k : k + langid.WIDTH] for k in range(0, len(t.encode()), langid.WIDTH)][: langid.WINDOWS]
+    network = langid.train([(cut(t), c) for t, c in rows[20:80] + rows[100:]])
     spread = network.documents([t.encode() for t, _ in rows[:20] + rows[80:100]])
     assert [network.languages[k] for k in spread.argmax(1)] == ["x"] * 20 + ["y"] * 20
 
 
+def test_every_one_of_seventy_languages_is_learnt(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(70 * k + c, f"l{c:02}", (letters[c % 26] + letters[c // 26] + " ") * (20 + k)) for c in range(70) for k in range(9)]
+    docs = spark.createDataFrame([*rows, (0, "l00", "ab " * 5), (5000, "l00", None)], "doc_id long, lang string, text string")
+    network = langid.fitted(docs)
+    assert network.languages == [f"l{c:02}" for c in range(70)]
+    found = {r["doc_id"]: r["lang_pred"] for r in langid.identified(docs.filter("doc_id > 0"), network).collect()}
+    assert sum(found[i] == lang for i, lang, _ in rows if i) > 550 and found[5000] == "und"
+
+
+def test_a_sample_is_bounded_by_ids_and_bytes(spark):
+    rows = [(i % 500, "a", "x" * 10) for i in range(5000)] + [(7000, "b", "y")] * 3000 + [(8000 + i, "c", "z" * 1000) for i in range(50)]
+    known = spark.createDataFrame(rows, "doc_id long, label string, text string")
+    picked = samples.picked_ids(known.select("doc_id", "label"), "label", F.when(F.col("label") == "a", 40).otherwise(30))
+    found = Counter(r["label"] for r in picked.collect())
+    assert found == {"a": 40, "b": 1, "c": 30} and picked.distinct().count() == 71
+    texts = Counter(r["label"] for r in samples.bounded_texts(known.join(picked, ["doc_id", "label"]), "label", 5500).collect())
+    assert texts == {"a": 40, "b": 1, "c": 5}
+
+
 def test_held_out_pages():
     model, right, total = html_extract.fitted(), 0, 0
     for source in html_pages.labelled_pages(150, seed=99):
