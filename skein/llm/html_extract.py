@@ -4,10 +4,12 @@ Every block element is a binary variable, content or not. Its own potential come
 links; a potential between parent and child says how alike they are. Both are fitted on labelled pages. Sum-product
 messages, once up and once down the tree, give each element's marginal; text of elements at one half or more stays.
 
-Cases: null, empty and textless pages give an empty text; unclosed and stray tags are closed as browsers do for the
-common ones; script, style and the like never hold text, whatever they contain; formulas and the labels of drawings are
-text of the block around them, a space before each of their parts; equal rows each give their row; an
-empty table gives no rows; further columns are ignored.
+Cases: null, empty and textless pages give an empty text; pages of any length and depth are read whole, in time that
+grows with their length alone; unclosed and stray tags are closed as browsers do for the common ones; a tag whose quote
+or bracket never closes ends at the next bracket, or is text if there is none; script, style and the like never hold
+text, whatever they contain; formulas and the labels of drawings are text of the block around them, a space before each of
+their parts; an element at exactly even odds is content; equal rows each give their row; an empty table gives no rows;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from __future__ import annotations
 import functools
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from math import exp, log, log1p
 
@@ -34,16 +37,19 @@ MATH = frozenset("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle me
 RAW = frozenset("script style noscript template svg iframe object canvas audio video title textarea select option".split())
 SWALLOWS = frozenset("script style title textarea".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-#: What an opening tag closes, and what stops the search for it.
-ALIKE = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
+#: Of the opening tags that close an earlier one like them: what they close, and what stops the search for it.
+ALIKE = ((("li",), {"li"}, {"ul", "ol", "menu"}), (("dd", "dt"), {"dd", "dt"}, {"dl"}), (("tr",), {"tr"}, {"table"}), (("td", "th"), {"td", "th"}, {"tr", "table"}))
 SCOPES = frozenset("article aside blockquote body div footer form header html main nav ol section table td th ul li".split())
 TAGS = "article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dd dt table tr td th nav header footer aside form fieldset label button blockquote pre figure figcaption body html address menu details summary hr".split()
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
-#: Within svg: what holds text that is shown; and what doesn't within that.
-LABEL = re.compile(r"<(text|foreignobject)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<!/)>(.*?)</\1\s*>", re.S | re.I)
-COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
-HIDDEN = re.compile(r"<(script|style|title)\b[^>]*(?<!/)>.*?</\1\s*>", re.S | re.I)
+#: The searches for an earlier tag to close: first that for a paragraph, then those of ALIKE.
+SEARCHES = (({"p"}, SCOPES), *((shut, stop) for _, shut, stop in ALIKE))
+SEARCH_OF = dict.fromkeys(CLOSES_P, 0) | {t: k + 1 for k, (tags, _, _) in enumerate(ALIKE) for t in tags}
+#: Without a way back into what has matched, so that a failed match is one reading.
+TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+BLIND_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>")
+RAW_END = {t: re.compile(rf"</{t}\b[^>]*+>", re.I) for t in RAW}
+#: Within a drawing: what holds text that is shown, and what doesn't within that.
+LABELS, UNSHOWN = frozenset(("text", "foreignobject")), frozenset(("script", "style", "title"))
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 MARK = re.compile(r'data-main="([01])"')
 NAME_WORDS = {w: k for k, w in enumerate(dict.fromkeys([*MAIN_NAMES, *(w for names in SIDE_NAMES.values() for w in names)]))}
@@ -71,6 +77,76 @@ def below(above: tuple[int, ...], own: tuple[int, ...]) -> tuple[int, ...]:
     return tuple(sorted({*above, *(ABOVE_0 + f for f in own if f in TELLING or f >= NAME_0)}))
 
 
+class Scanner:
+    """The tags of a page from left to right. What was once looked for in vain isn't looked for again."""
+
+    def __init__(self, source: str):
+        self.source, self.pattern, self.missing = source, TAG, set()
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.missing:
+            return -1
+        found = self.source.find(what, at)
+        if found < 0:
+            self.missing.add(what)
+        return found
+
+    def next(self, at: int, end: int) -> tuple[int, int, re.Match | None]:
+        """Where the next markup before end begins and ends, and its match if it is a tag; (end, end, None) if there is none."""
+        source = self.source
+        while 0 <= (begin := source.find("<", at, end)):
+            after = source[begin + 1 : begin + 2]
+            if after == "/" or after.isalpha():
+                if self.find(">", begin) < 0:
+                    break
+                m = self.pattern.match(source, begin)
+                if m is None and self.pattern is TAG and BLIND_TAG.match(source, begin):  # a quote that never closes
+                    self.pattern = BLIND_TAG
+                    m = BLIND_TAG.match(source, begin)
+                if m is not None:
+                    return begin, m.end(), m
+            elif source.startswith("!--", begin + 1):
+                stop = self.find("-->", begin + 4)
+                return begin, stop + 3 if stop >= 0 else len(source), None
+            elif after in ("!", "?") and (stop := self.find(">", begin)) >= 0:
+                return begin, stop + 1, None
+            at = begin + 1
+        return end, end, None
+
+    def raw_end(self, tag: str, at: int) -> tuple[int, int] | None:
+        """Where the end tag of an element that holds no text stands."""
+        if f"</{tag}" in self.missing:
+            return None
+        stop = RAW_END[tag].search(self.source, at)
+        if stop is None:
+            self.missing.add(f"</{tag}")
+            return None
+        return stop.span()
+
+    def labels(self, at: int, end: int) -> str:
+        """The text shown in a drawing, a space before each part."""
+        out, open_, depth, hidden = [], Counter(), 0, None
+        while at < end:
+            begin, stop, m = self.next(at, end)
+            if depth and hidden is None:
+                out.append(self.source[at:begin])
+            at = stop
+            out.append(" ")
+            if m is None:
+                continue
+            tag = m[2].lower()
+            if hidden is not None:
+                hidden = None if m[1] and tag == hidden else hidden
+            elif tag in UNSHOWN:
+                hidden = None if m[1] or m[3].endswith("/") else tag
+            elif tag in LABELS and not m[3].endswith("/"):
+                step = (0 if open_[tag] < 1 else -1) if m[1] else 1
+                open_[tag] += step
+                depth += step
+        text = " ".join("".join(out).split())
+        return f" {text} " if text else ""
+
+
 class Page:
     """The block elements of a page in order (parents first) and its blocks of text."""
 
@@ -78,8 +154,10 @@ class Page:
         self.parent, self.fixed, self.own, self.linked, self.stops, self.marked = [-1], [(OTHER_TAG,)], [0], [0], [0], [None]
         self.above: list[tuple[int, ...]] = [()]
         self.blocks: list[tuple[int, str]] = []
-        stack, names, pending, links = [0], ["#root"], [], 0
-        lower_raw = None
+        #: Of the open elements: place, tag, and for each search the level of what it finds (0: nothing).
+        stack, names, found, pending, links = [0], ["#root"], [(0,) * len(SEARCHES)], [], 0
+        open_ = Counter()
+        scanner = Scanner(source)
 
         def flush() -> None:
             if pending:
@@ -93,34 +171,29 @@ class Page:
                     self.own[k] += len(text)
                     self.stops[k] += text.count(". ") + text.count(", ") + (text[-1] in ".!?")
 
+        def close(level: int) -> None:
+            open_.subtract(names[level:])
+            del names[level:], stack[level:], found[level:]
+
         at, end = 0, len(source)
         while at < end:
-            m = MARKUP.search(source, at)
-            if m is None:
-                pending.append(source[at:])
-                if links:
-                    self.linked[stack[-1]] += end - at
-                break
-            begin = m.start()
+            begin, after, m = scanner.next(at, end)
             if begin > at:
                 pending.append(source[at:begin])
                 if links:
                     self.linked[stack[-1]] += begin - at
-            at = m.end()
-            tag = m[2]
-            if tag is None:
+            at = after
+            if m is None:
                 continue
-            tag = tag.lower()
+            tag = m[2].lower()
             if tag in RAW:
                 if not m[1] and not m[3].endswith("/"):
-                    stop = RAW_END[tag].search(source, at)
-                    if tag == "svg" and stop:
-                        labels = [" ".join(MARKUP.sub(" ", HIDDEN.sub(" ", x[2])).split()) for x in LABEL.finditer(COMMENT.sub(" ", source[at : stop.start()]))]
-                        if label := "".join(f" {x}" for x in labels if x):
-                            pending.append(label + " ")
-                            if links:
-                                self.linked[stack[-1]] += len(label)
-                    at = stop.end() if stop else end if tag in SWALLOWS else at
+                    stop = scanner.raw_end(tag, at)
+                    if tag == "svg" and stop and (label := scanner.labels(at, stop[0])):
+                        pending.append(label)
+                        if links:
+                            self.linked[stack[-1]] += len(label)
+                    at = stop[1] if stop else end if tag in SWALLOWS else at
                 continue
             if tag in MATH:
                 if not m[1]:
@@ -135,26 +208,14 @@ class Page:
             flush()
             links = 0
             if m[1]:
-                if tag in names:
-                    while names.pop() != tag:
-                        stack.pop()
-                    stack.pop()
+                if open_[tag] > 0:
+                    level = len(names) - 1
+                    while names[level] != tag:
+                        level -= 1
+                    close(level)
                 continue
-            if tag in CLOSES_P:
-                for k in range(len(names) - 1, 0, -1):
-                    if names[k] == "p":
-                        del names[k:], stack[k:]
-                        break
-                    if names[k] in SCOPES:
-                        break
-            elif tag in ALIKE:
-                shut, scope = ALIKE[tag]
-                for k in range(len(names) - 1, 0, -1):
-                    if names[k] in scope:
-                        break
-                    if names[k] in shut:
-                        del names[k:], stack[k:]
-                        break
+            if tag in SEARCH_OF and (level := found[-1][SEARCH_OF[tag]]):
+                close(level)
             if tag in VOID:
                 continue
             self.parent.append(stack[-1])
@@ -166,8 +227,10 @@ class Page:
             if marks:
                 told = MARK.search(m[3])
                 self.marked.append(int(told[1]) if told else None)
+            found.append(tuple([len(names) if tag in shut else 0 if tag in stop else last for (shut, stop), last in zip(SEARCHES, found[-1], strict=True)]))
             stack.append(len(self.parent) - 1)
             names.append(tag)
+            open_[tag] += 1
         flush()
 
     def features(self) -> list[tuple[int, ...]]:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -282,6 +283,35 @@ def test_held_out_pages():
     assert right / total > 0.95
 
 
+def test_held_out_pages_whose_names_tell_nothing():
+    """Every class and id is a random word."""
+    rng = random.Random(8)
+    model, right, total = html_extract.fitted(), 0, 0
+    for source in html_pages.labelled_pages(300, seed=98):
+        source = re.sub(r'(class|id)="[^"]*"', lambda m: f'{m[1]}="x{rng.randrange(10**6)}"', source)
+        page = html_extract.Page(source, marks=True)
+        odds = model.marginals(page)
+        for k, text in page.blocks:
+            if page.marked[k] is not None:
+                total, right = total + len(text), right + len(text) * ((odds[k] >= 0) == page.marked[k])
+    print("share of letters told right without names", right / total)
+    assert right / total > 0.8
+
+
+HOSTILE = {
+    "unclosed tags": "<a " * 350_000, "unclosed quotes": '<a "' * 250_000 + ">", "quotes": "<a '\">" * 200_000, "deep": "<div>" * 100_000 + "x" + "</p>" * 100_000 + "</div>" * 100_000, "raw": "<svg>" * 200_000,
+    "labels": "<svg>" + "<text>" * 100_000 + "</foreignobject>" * 50_000 + "</svg>", "comments": "<!--" * 250_000, "headings in a paragraph": "<p><td>" + "<h1>" * 200_000, "rows": "<table>" + "<tr><td>x" * 100_000,
+    "brackets": "<" * 1_000_000, "declarations": "<!" * 500_000, "objects": "<object>" * 120_000, "names": "<div " + 'class="' * 140_000 + ">",
+}
+
+
+@pytest.mark.parametrize("kind", HOSTILE)
+def test_hostile_pages_take_linear_time(kind):
+    model, begun = html_extract.fitted(), time.process_time()
+    model.text(HOSTILE[kind])
+    assert time.process_time() - begun < 8
+
+
 def test_url_templates(spark):
     rows = [(f"http://a.net/{lang}/{k}", None) for lang in ("es", "fr", "en") for k in range(40)]
     rows += [(f"http://shop.org/{p}/{k}/x", None) for p in ("list", "item") for k in range(30)] + [(f"http://c.com/{k}", None) for k in range(10)]
