@@ -8,7 +8,7 @@ U = np.uint64
 #: Fixed odd multipliers of the two polynomial hashes, and of the final mixing.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 MIX = U(0xD6E8FEB86659FD93)
-#: Bytes hashed at once; a text that is longer is hashed on its own.
+#: Bytes hashed at once, about; longer texts are hashed in slices, which leaves 24 bits enough for places.
 CHUNK = 1 << 20
 
 
@@ -82,12 +82,14 @@ def select(data: np.ndarray, ends: np.ndarray, window: int, gram: int):
     the windows that select it, text number). A window selects its gram of least hash, the last one at ties."""
     hashed = RunHash(data, 0)
     n = len(data)
+    if n > 1 << 24:
+        raise ValueError("cut longer texts into slices")
     if n < window:
         none = np.empty(0, np.int64)
         return hashed, none, none, none, none
     keys = hashed.each(gram)
     keys &= U(0xFFFFFFFFFF000000)
-    keys |= U(0xFFFFFF) - np.arange(len(keys), dtype=U) % U(1 << 24) if n > 1 << 24 else np.arange(0xFFFFFF, 0xFFFFFF - len(keys), -1, dtype=np.int64).view(U)
+    keys |= np.arange(0xFFFFFF, 0xFFFFFF - len(keys), -1, dtype=np.int64).view(U)
     least = sliding_min(keys, window - gram + 1)
     begins = np.append(0, ends[:-1])
     first = np.union1d(np.flatnonzero(least[1:] != least[:-1]) + 1, begins[begins < len(least)])
@@ -96,7 +98,4 @@ def select(data: np.ndarray, ends: np.ndarray, window: int, gram: int):
     fits = last >= first
     first, last, text = first[fits], last[fits], text[fits]
     chosen = (U(0xFFFFFF) - (least[first] & U(0xFFFFFF))).astype(np.int64)
-    if n > 1 << 24:  # places are modulo 2**24
-        chosen += (first >> 24) << 24
-        chosen[chosen < first] += 1 << 24
     return hashed, chosen, first, last, text

@@ -1,22 +1,25 @@
 """Removal of every byte covered by a window (200 bytes) that starts anywhere else too.
 
-A depth-limited radix sort of all windows, most significant digits first, in which whatever stands alone after a
-pass leaves the sort, and what is left in one group after the last pass is equal in all its bytes:
-
-1. digit: the 64-byte gram that the window selects by least hash, and its offset. All windows that select one gram
-   occurrence (an anchor) are a run of starts, so a row stands for the run; grams seen once leave.
-2. digit: all bytes that the run's windows span. Runs in one group are repeated as a whole.
-3. digit, for one occurrence of each run that has neighbours of the same gram but other bytes: the bytes that all
-   windows of a block of up to 16 starts share, then all that they span.
-4. digit: the window itself, for one occurrence of each block with neighbours of the same core but other bytes.
-
-Digits are 128-bit hashes of whole byte strings, so no window is missed, and none is joined but by a collision of
-128 bits. Hot grams cost no more than others: counts are partial sums and the way back to places is a join that
-Spark may split. Sets of keys that filter before a shuffle are bitmaps of bounded size.
-
-Cases: null and empty texts have no bytes; texts shorter than the window lose nothing; equal rows (same id and
-text) are occurrences of each other; overlaps within one text count; a null doc_id is kept; an empty table gives no
-rows; further columns are ignored.
+A depth-limited radix sort: suffixes are ordered through their first WINDOW bytes, by passes over digits of DIGIT bytes,
+most significant first. What stands alone after a pass leaves; groups left after the last pass are exactly the repeated
+windows. Three lossless steps before it keep most suffixes out of the sort:
+
+1. Sampling. Every window selects the 64-byte gram in it of least hash. Equal windows select equal grams, at equal
+   offsets; so a window whose gram is seen once in all texts is not repeated. All windows that select one occurrence of a
+   gram are a run of starts, and one row stands for the run.
+2. Runs that are equal in all the bytes they span (by a 128-bit hash) and in the gram's place are collapsed. Of those seen
+   twice or more every window is repeated; and one occurrence of each goes on if its gram has other runs too.
+3. The suffixes of these runs begin in buckets by gram and offset. Only suffixes of one bucket can be equal, so a bucket
+   is sorted in one task, with the bytes of its runs. A gram with more than LOCAL suffixes would be too much for a task:
+   its suffixes go to the cluster, where all their digits are one hash of 128 bits, counted by partial sums.
+
+Hot grams cost no more than others elsewhere: counts are partial sums, and the ways back to places are joins of written
+tables, which Spark may split. Sets of keys that filter before a shuffle are bitmaps of bounded size.
+
+Cases: null and empty texts have no bytes; texts shorter than the window lose nothing; texts of any length are read whole,
+in slices that overlap by a window less a byte; of equal gram hashes in a window the last is selected; equal texts are
+occurrences of each other, whatever their ids; overlaps within one text count; a null doc_id is kept; an empty table gives
+no rows; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,101 +37,169 @@ from skein.llm.common import key_filter, stored, table, utf8
 
 WINDOW = 200
 GRAM = 64
-#: Starts in a block of the third digit.
-BLOCK = 16
+DIGIT = 8
+#: Starts of one slice of a long text; suffixes that a task sorts at once; and those of one gram that it may have.
+SLICE = 1 << 22
+AT_ONCE = 1 << 20
+LOCAL = 1 << 21
 
 
 def keyed(docs: DataFrame, carried: list[str]) -> DataFrame:
-    """rest (doc_id and the carried columns), data (the text's bytes) and d1, d2, a 128-bit key that equal rows share."""
-    return docs.select(F.struct("doc_id", *carried).alias("rest"), F.xxhash64("doc_id", "text").alias("d1"), F.xxhash64(F.lit(1), "text", "doc_id").alias("d2"), utf8(F.col("text")).alias("data"))
-
-
-def joined_texts(batch: pa.RecordBatch, most: int = anchors.CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Of the data column: (first row, row after the last, bytes end to end, their ends), about most bytes at a time."""
-    sizes = batch.column("data")
-    lengths = np.fromiter((len(x.as_buffer()) for x in sizes), np.int64, len(sizes))
-    stops = np.cumsum(lengths)
-    first = 0
-    while first < len(sizes):
-        begun = stops[first] - lengths[first]
-        last = max(first + 1, int(np.searchsorted(stops, begun + most, "right")))
-        data = np.frombuffer(b"".join(x.as_py() for x in sizes.slice(first, last - first)), np.uint8)
-        yield first, last, data, stops[first:last] - begun
-        first = last
-
-
-def run_keys(first: anchors.RunHash, second: anchors.RunHash, a, b, extra) -> tuple[np.ndarray, np.ndarray]:
-    return (first(a, b) + extra * anchors.MIX).astype(np.int64), (second(a, b) ^ anchors.mixed(extra)).astype(np.int64)
+    """rest (doc_id and the carried columns), data (the text's bytes) and d1, d2, a 128-bit key of the text."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.struct("doc_id", *carried).alias("rest"), F.xxhash64(text).alias("d1"), F.xxhash64(F.lit(1), text).alias("d2"), utf8(F.col("text")).alias("data"))
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of the data column, about CHUNK bytes at a time: bytes end to end, where each slice ends, and its row and its
+    first place in the row's text."""
+    held, size = [], 0
+    for row, value in enumerate(batch.column("data")):
+        text = value.as_buffer()
+        for at in range(0, max(1, len(text) - WINDOW + 1), SLICE):
+            part = text[at : at + SLICE + WINDOW - 1]
+            if held and size + len(part) > anchors.CHUNK:
+                yield laid(held)
+                held, size = [], 0
+            held.append((row, at, part))
+            size += len(part)
+    if held:
+        yield laid(held)
+
+
+def laid(held: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    rows, at, parts = zip(*held, strict=True)
+    return np.frombuffer(b"".join(parts), np.uint8), np.cumsum([len(p) for p in parts]), np.array(rows), np.array(at)
+
+
+def find_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The gram of each anchor."""
+    for batch in batches:
+        for data, ends, _, _ in slices(batch):
+            hashed, at, _, _, _ = anchors.select(data, ends, WINDOW, GRAM)
+            yield pa.RecordBatch.from_arrays([pa.array(hashed(at, at + GRAM).astype(np.int64))], ["gram"])
 
 
-def find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each anchor with its run: a hash of its gram, one of all that the run spans and of the gram's place in it, and
+    the text, the gram's place there, and the run's first and last start."""
     for batch in batches:
         d1, d2 = (batch.column(c).to_numpy() for c in ("d1", "d2"))
-        for begun, _, data, ends in joined_texts(batch):
-            hashed, at, lo, hi, text = anchors.select(data, ends, WINDOW, GRAM)
-            begins = np.concatenate([[0], ends[:-1]])[text]
+        for data, ends, rows, base in slices(batch):
+            first, at, lo, hi, part = anchors.select(data, ends, WINDOW, GRAM)
+            second, place = anchors.RunHash(data, 1), (at - lo).astype(np.uint64)
+            c1 = (first(lo, hi + WINDOW) + place * anchors.MIX).astype(np.int64)
+            c2 = (second(lo, hi + WINDOW) ^ anchors.mixed(place)).astype(np.int64)
+            shift = base[part] - np.concatenate([[0], ends[:-1]])[part]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (hashed(at, at + GRAM).astype(np.int64), d1[begun:][text], d2[begun:][text], (at - begins).astype(np.int32), (lo - begins).astype(np.int32), (hi - begins).astype(np.int32))],
-                ["gram", "d1", "d2", "at", "lo", "hi"])
+                [pa.array(x) for x in (first(at, at + GRAM).astype(np.int64), c1, c2, d1[rows[part]], d2[rows[part]], (at + shift).astype(np.int32), (lo + shift).astype(np.int32), (hi + shift).astype(np.int32))],
+                ["gram", "c1", "c2", "d1", "d2", "at", "lo", "hi"])
 
 
-ANCHORS = "gram long, d1 long, d2 long, at int, lo int, hi int"
+RUNS = "gram long, c1 long, c2 long, d1 long, d2 long, at int, lo int, hi int"
 
 
-def run_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The second digit of each anchor of the texts."""
+def cut_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of the runs of each text."""
     for batch in batches:
         d1, d2, found = batch.column("d1").to_numpy(), batch.column("d2").to_numpy(), batch.column("runs")
         for row in range(batch.num_rows):
-            data = np.frombuffer(batch.column("data")[row].as_py(), np.uint8)
-            gram, at, lo, hi = (found[row].values.field(k).to_numpy() for k in ("gram", "at", "lo", "hi"))
-            a, b = lo.astype(np.int64), hi.astype(np.int64) + WINDOW
-            c1, c2 = run_keys(anchors.RunHash(data, 0), anchors.RunHash(data, 1), a, b, (at - lo).astype(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gram, np.zeros_like(gram), c1, c2, np.full(len(at), d1[row]), np.full(len(at), d2[row]), at, lo, hi)], ["g1", "g2", "c1", "c2", "d1", "d2", "at", "lo", "hi"])
-
-
-CONTEXTS = "g1 long, g2 long, c1 long, c2 long, d1 long, d2 long, at int, lo int, hi int"
-
-
-def spread_runs(row: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
-    """For runs (lo, hi): every start, and the run's place in the list."""
-    lo, hi = (row.values.field(k).to_numpy().astype(np.int64) for k in ("lo", "hi"))
-    n = hi - lo + 1
-    return np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum()), np.repeat(np.arange(len(n)), n)
-
-
-def run_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The third digit: a core and a whole for each block of each run."""
+            text, runs = batch.column("data")[row].as_buffer(), found[row].values
+            lo, hi = runs.field("lo").to_numpy(), runs.field("hi").to_numpy()
+            spans = [text[a : b + WINDOW].to_pybytes() for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [runs.field("gram"), runs.field("hot"), runs.field("alone"), pa.array(np.full(len(lo), d1[row])), pa.array(np.full(len(lo), d2[row])), pa.array(runs.field("at").to_numpy() - lo), pa.array(lo), pa.array(spans, pa.binary())],
+                ["gram", "hot", "alone", "d1", "d2", "place", "lo", "span"])
+
+
+SPANS = "gram long, hot boolean, alone boolean, d1 long, d2 long, place int, lo int, span binary"
+
+
+def suffix_groups(data: np.ndarray, starts: np.ndarray, group: np.ndarray, depth: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """The radix sort: of the suffixes of data at starts, in groups, those that share their first depth bytes with others of
+    their group, in the order of group and bytes, and numbers that say which are equal. depth: a multiple of DIGIT."""
+    padded = np.concatenate([data, np.zeros(DIGIT, np.uint8)]).astype(np.uint64)
+    digits = np.zeros(len(data), np.uint64)
+    for k in range(DIGIT):  # the DIGIT bytes from each place on, as one number
+        digits = (digits << np.uint64(8)) | padded[k : k + len(data)]
+    order = np.argsort(group, kind="stable")
+    at, told = starts[order], group[order]
+    for done in range(-1, depth // DIGIT):
+        digit = digits[at + DIGIT * done] if done >= 0 else np.zeros(len(at), np.uint64)
+        same = told[1:] == told[:-1]
+        if done >= 0 and len(at):
+            unequal = np.zeros(int(told[-1]) + 1, bool)
+            unequal[told[1:][same & (digit[1:] != digit[:-1])]] = True
+            some = np.flatnonzero(unequal[told])
+            moved = some[np.lexsort((digit[some], told[some]))]
+            at[some], digit[some] = at[moved], digit[moved]
+        new = np.append(True, ~same | (digit[1:] != digit[:-1]))[: len(at)]
+        number = np.cumsum(new) - 1
+        shared = np.bincount(number, minlength=1)[number] > 1
+        at, number = at[shared], number[shared]
+        told = np.cumsum(np.append(False, number[1:] != number[:-1]))[: len(at)]  # dense again
+    return at, told
+
+
+def sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of SPANS sorted by gram: the starts (first, last) whose windows are found again, of runs that stand alone."""
+
+    def one(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(rows).combine_chunks()
+        spans = t.column("span").to_pylist()
+        sizes = np.fromiter(map(len, spans), np.int64, len(spans))
+        base, n = np.cumsum(sizes) - sizes, sizes - WINDOW + 1
+        gram = np.unique(t.column("gram").to_numpy(), return_inverse=True)[1]
+        owner = np.repeat(np.arange(len(n)), n)
+        inner = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+        offset = t.column("place").to_numpy()[owner] - inner
+        data = np.frombuffer(b"".join(spans), np.uint8)
+        at, _ = suffix_groups(data, base[owner] + inner, gram[owner] * WINDOW + offset)
+        at.sort()
+        run = np.searchsorted(base, at, "right") - 1
+        alone = t.column("alone").to_numpy()[run]
+        at, run = at[alone], run[alone]
+        new = np.append(True, (at[1:] != at[:-1] + 1) | (run[1:] != run[:-1]))[: len(at)]
+        first, last = at[new], at[np.append(np.flatnonzero(new)[1:], len(at)) - 1] if len(at) else at
+        run = run[new]
+        shift = t.column("lo").to_numpy()[run] - base[run]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (t.column("d1").to_numpy()[run], t.column("d2").to_numpy()[run], (first + shift).astype(np.int32), (last + shift).astype(np.int32))], ["d1", "d2", "lo", "hi"])
+
+    held, size, last = [], 0, None
     for batch in batches:
-        d1, d2, found = batch.column("d1").to_numpy(), batch.column("d2").to_numpy(), batch.column("runs")
-        for row in range(batch.num_rows):
-            data = np.frombuffer(batch.column("data")[row].as_py(), np.uint8)
-            s, run = spread_runs(found[row])
-            at = found[row].values.field("at").to_numpy().astype(np.int64)[run]
-            block = (at - s) // BLOCK
-            new = np.append(True, (block[1:] != block[:-1]) | (run[1:] != run[:-1]))
-            lo, hi = s[new], s[np.append(np.flatnonzero(new)[1:], len(s)) - 1]
-            at, block = at[new], block[new]
-            hashes = anchors.RunHash(data, 0), anchors.RunHash(data, 1)
-            begin = at - block * BLOCK
-            core = run_keys(*hashes, begin, begin - (BLOCK - 1) + WINDOW, block.astype(np.uint64))
-            full = run_keys(*hashes, lo, hi + WINDOW, (at - lo).astype(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*core, *full, np.full(len(lo), d1[row]), np.full(len(lo), d2[row]), at.astype(np.int32), lo.astype(np.int32), hi.astype(np.int32))],
-                                             ["g1", "g2", "c1", "c2", "d1", "d2", "at", "lo", "hi"])
-
-
-def run_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The last digit: each window of the runs."""
+        grams = batch.column("gram").to_numpy()
+        cuts = [0, *(np.flatnonzero(grams[1:] != grams[:-1]) + 1).tolist(), len(grams)]
+        lengths = np.concatenate([[0], np.cumsum([len(x.as_buffer()) - WINDOW + 1 for x in batch.column("span")])])
+        begin = 0
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a == b:
+                continue
+            if grams[a] != last and size >= AT_ONCE:
+                yield one([*held, batch.slice(begin, a - begin)])
+                held, size, begin = [], 0, a
+            last = grams[a]
+            size += int(lengths[b] - lengths[a])
+        held.append(batch.slice(begin))
+    if held and sum(map(len, held)):
+        yield one(held)
+
+
+STARTS = "d1 long, d2 long, lo int, hi int"
+
+
+def hash_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of SPANS, all digits of each suffix as one, with the gram and the offset."""
     for batch in batches:
-        d1, d2, found = batch.column("d1").to_numpy(), batch.column("d2").to_numpy(), batch.column("runs")
-        for row in range(batch.num_rows):
-            data = np.frombuffer(batch.column("data")[row].as_py(), np.uint8)
-            s, _ = spread_runs(found[row])
-            w1, w2 = run_keys(anchors.RunHash(data, 0), anchors.RunHash(data, 1), s, s + WINDOW, np.zeros(len(s), np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (w1, w2, np.full(len(s), d1[row]), np.full(len(s), d2[row]), s.astype(np.int32))], ["w1", "w2", "d1", "d2", "s"])
+        for row, span in enumerate(batch.column("span")):
+            data = np.frombuffer(span.as_buffer(), np.uint8)
+            w1, w2 = (anchors.RunHash(data, k).each(WINDOW).astype(np.int64) for k in (0, 1))
+            n = len(w1)
+            same = [pa.array(np.full(n, batch.column(c)[row].as_py())) for c in ("gram", "d1", "d2", "alone")]
+            yield pa.RecordBatch.from_arrays([same[0], pa.array(batch.column("place")[row].as_py() - np.arange(n, dtype=np.int32)), pa.array(w1), pa.array(w2), *same[1:], pa.array(batch.column("lo")[row].as_py() + np.arange(n, dtype=np.int32))],
+                                             ["gram", "offset", "w1", "w2", "d1", "d2", "alone", "s"])
 
 
-WINDOWS = "w1 long, w2 long, d1 long, d2 long, s int"
+WINDOWS = "gram long, offset int, w1 long, w2 long, d1 long, d2 long, alone boolean, s int"
 
 
 def kept_bytes(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -158,47 +229,39 @@ def remove_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                              ["rest", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def sorted_out(rows: DataFrame, name: str) -> DataFrame:
-    """One pass: of rows (g1, g2, c1, c2, d1, d2, at, lo, hi), those whose digit c others share (full), and one row for
-    each c whose group g has other digits (listed), to be told apart by the next pass."""
-    rows = stored(rows, name)
-    groups = stored(rows.groupBy("g1", "g2", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d1", "d2", "lo")).alias("own")), f"{name}-groups")
-    # both written, so that the sides of the next joins are plain shuffles, which Spark can split at a hot gram
-    many = stored(groups.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"), f"{name}-many")
-    told = groups.join(many, ["g1", "g2"], "left").filter("n > 1 OR kinds > 1")
-    flagged = rows.join(told, ["g1", "g2", "c1", "c2"]).select(
-        "d1", "d2", "at", "lo", "hi", (F.col("n") > 1).alias("full"), (F.col("kinds").isNotNull() & (F.col("own") == F.struct("d1", "d2", "lo"))).alias("listed"))
-    return stored(flagged.filter("full OR listed").dropDuplicates(["d1", "d2", "lo"]), f"{name}-flagged")
-
-
-def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of keyed documents: those without a repeated gram, those with one, and spans (d1, d2, a, b) to remove."""
-    found = docs.select("d1", "d2", "data").mapInArrow(find_anchors, ANCHORS)
-    grams = stored(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram"), "grams")
-    near = key_filter(grams, "gram", grams.count())(found, "gram").join(grams, "gram", "left_semi")
-    # equal rows share their key: each run is listed once a row, so counts are right
-    runs = stored(near.groupBy("d1", "d2").agg(F.collect_list(F.struct("gram", "at", "lo", "hi")).alias("runs")), "runs")
-    sieve = key_filter(runs, "d1", runs.count())
-    once = sieve(docs, "d1").groupBy("d1", "d2").agg(F.collect_list("rest").alias("copies"), F.first("data").alias("data"))
-    touched = stored(once.join(runs, ["d1", "d2"], "left"), "touched")
-    whole = sorted_out(touched.select("d1", "d2", "data", "runs").filter("runs IS NOT NULL").mapInArrow(run_contexts, CONTEXTS), "contexts")
-    again = lambda flagged: touched.select("d1", "d2", "data").join(flagged.filter("listed").groupBy("d1", "d2").agg(F.collect_list(F.struct("at", "lo", "hi")).alias("runs")), ["d1", "d2"])
-    blocks = sorted_out(again(whole).mapInArrow(run_blocks, CONTEXTS), "blocks")
-    windows = stored(again(blocks).mapInArrow(run_windows, WINDOWS), "windows")
-    twice = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("w1", "w2")
-    single = windows.join(twice, ["w1", "w2"], "left_semi").select("d1", "d2", F.col("s").alias("a"), (F.col("s") + WINDOW).alias("b"))
-    full = whole.filter("full").unionByName(blocks.filter("full")).select("d1", "d2", F.col("lo").alias("a"), (F.col("hi") + WINDOW).alias("b"))
-    return sieve(docs, "d1", inverse=True), touched, full.unionByName(single)
+def repeated_spans(docs: DataFrame) -> DataFrame:
+    """Of keyed documents: d1, d2 and spans (sorted, of a, b) to remove of each text that has any."""
+    texts = docs.select("d1", "d2", "data")
+    grams = texts.mapInArrow(find_grams, "gram long").groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
+    grams = stored(grams, "grams")
+    runs = stored(key_filter(grams, "gram", grams.count())(texts.mapInArrow(find_runs, RUNS), "gram"), "runs")
+    span = ["gram", "c1", "c2"]
+    kinds = stored(runs.groupBy(*span).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d1", "d2", "at", "lo", "hi")).alias("own")), "kinds")
+    # written tables, so that both sides of a join are plain shuffles, which Spark can split at a hot gram
+    many = stored(kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.col("own.hi") - F.col("own.lo") + 1).alias("suffixes")).filter("kinds > 1"), "many")
+    listed = kinds.join(many, "gram").select("own.d1", "own.d2", F.struct("gram", "own.at", "own.lo", "own.hi", (F.col("n") == 1).alias("alone"), (F.col("suffixes") > LOCAL).alias("hot")).alias("run"))
+    listed = stored(listed.groupBy("d1", "d2").agg(F.collect_list("run").alias("runs")), "listed")
+    # one of each of these texts; a text's own runs are a list no longer than it
+    own = key_filter(listed, "d1", listed.count())(texts, "d1").groupBy("d1", "d2").agg(F.first("data").alias("data"))
+    spans = stored(own.join(listed, ["d1", "d2"]).mapInArrow(cut_runs, SPANS), "spans")
+    found = spans.filter("NOT hot").repartition("gram").sortWithinPartitions("gram").mapInArrow(sort_buckets, STARTS)
+    if not spans.filter("hot").isEmpty():
+        windows = stored(spans.filter("hot").mapInArrow(hash_windows, WINDOWS), "windows")
+        twice = stored(windows.groupBy("gram", "offset", "w1", "w2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "twice")
+        found = found.unionByName(windows.filter("alone").join(twice, ["gram", "offset", "w1", "w2"]).select("d1", "d2", F.col("s").alias("lo"), F.col("s").alias("hi")))
+    whole = runs.join(kinds.filter("n > 1").select(*span), span).select("d1", "d2", "lo", "hi")
+    starts = found.unionByName(whole)
+    return starts.groupBy("d1", "d2").agg(F.sort_array(F.collect_set(F.struct(F.col("lo").alias("a"), (F.col("hi") + WINDOW).alias("b")))).alias("spans"))
 
 
 def dedup_bytes(docs: DataFrame, *carried: str) -> DataFrame:
     """doc_id, the carried columns, n_bytes, n_removed, n_spans, kept_sha256, kept (text) per document row."""
     docs = keyed(docs, list(carried))
-    rest, touched, spans = repeated_spans(docs)
-    spans = spans.groupBy("d1", "d2").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
-    cut = touched.select("d1", "d2", "data", "copies").join(spans, ["d1", "d2"], "left").select("data", "spans", F.explode("copies").alias("rest"))
+    spans = stored(repeated_spans(docs), "cuts")
+    sieve = key_filter(spans, "d1", spans.count())
+    cut = sieve(docs, "d1").join(spans, ["d1", "d2"], "left").select("rest", "data", "spans")
     none = F.lit(0).cast("long")
-    whole = rest.select("rest", F.octet_length("data").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2("data", 256).alias("kept_sha256"), F.col("data").cast("string").alias("kept"))
+    whole = sieve(docs, "d1", inverse=True).select("rest", F.octet_length("data").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2("data", 256).alias("kept_sha256"), F.col("data").cast("string").alias("kept"))
     return whole.unionByName(cut.mapInArrow(remove_spans, whole.schema)).select("rest.*", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
 
 

@@ -94,6 +94,51 @@ def test_repeats(spark, texts):
         assert (found[i]["n_bytes"], found[i]["n_removed"], found[i]["n_spans"], found[i]["kept_sha256"]) == (len(t.encode()), removed, runs, hashlib.sha256(kept).hexdigest())
 
 
+def test_repeats_of_hot_grams(spark, texts, monkeypatch):
+    """Suffixes of grams that are too many for a task are told apart in the cluster; in small tasks, and in slices."""
+    monkeypatch.setattr(suffix_dedup, "LOCAL", 150)
+    monkeypatch.setattr(suffix_dedup, "AT_ONCE", 100)
+    monkeypatch.setattr(suffix_dedup, "SLICE", 333)
+    test_repeats(spark, texts)
+
+
+def test_suffix_groups_are_in_order():
+    rng = np.random.default_rng(3)
+    data = rng.integers(97, 99, 3000).astype(np.uint8)
+    data[2000:2400] = data[100:500]
+    starts, group = np.arange(2976), rng.integers(0, 2, 2976)
+    at, told = suffix_dedup.suffix_groups(data, starts, group, 24)
+    text = data.tobytes()
+    count = Counter((g, text[s : s + 24]) for s, g in zip(starts.tolist(), group.tolist(), strict=True))
+    want = sorted((g, text[s : s + 24], s) for s, g in zip(starts.tolist(), group.tolist(), strict=True) if count[g, text[s : s + 24]] > 1)
+    assert sorted((group[s], text[s : s + 24], s) for s in at.tolist()) == want and [(group[s], text[s : s + 24]) for s in at.tolist()] == [w[:2] for w in want]
+    assert [len({told[k] for k in range(len(at)) if (group[at[k]], text[at[k] : at[k] + 24]) == w}) for w in {w[:2] for w in want}] == [1] * len({w[:2] for w in want}) and len(set(told.tolist())) == len({w[:2] for w in want})
+
+
+def test_repeats_in_a_text_of_seventeen_million_bytes(spark):
+    """A periodic passage stands across byte 2 ** 24 and at the beginning of another text."""
+    rng = np.random.default_rng(2)
+    half = bytes(rng.integers(97, 123, 100).astype(np.uint8))
+    noise = rng.integers(33, 127, 17_000_000).astype(np.uint8).tobytes()
+    place = (1 << 24) - 150
+    long = noise[:place] + b"\n" + half * 4 + b"\n" + noise[place:]
+    short = b" " + half * 3 + b" " + noise[:199]
+    rows = [(1, long.decode()), (2, short.decode()), (3, noise[5_000_000:5_000_200].decode())]
+    found = {r["doc_id"]: (r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.dedup_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    kept = noise[:5_000_000] + noise[5_000_200:place] + b"\n" + b"\n" + noise[place:]
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    assert found == {1: (600, 2, sha(kept)), 2: (300, 1, sha(b" " + b" " + noise[:199])), 3: (200, 1, sha(b""))}
+
+
+def test_many_equal_rows(spark):
+    from pyspark.sql import functions as F
+
+    text = " ".join(f"w{k}" for k in range(200))
+    rows = spark.range(100_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    found = suffix_dedup.dedup_bytes(rows.unionByName(rows.limit(1).select("doc_id", F.lit("short").alias("text"))))
+    assert sorted(tuple(r) for r in found.groupBy("n_bytes", "n_removed", "n_spans").count().collect()) == [(5, 0, 0, 1), (len(text), len(text), 1, 100_000)]
+
+
 def test_run_hashes_do_not_depend_on_the_place():
     data = np.frombuffer(b"abcdefghij" * 30, np.uint8)
     h = anchors.RunHash(data, 0)
