@@ -1,15 +1,17 @@
 """N-gram Jaccard join by a MinHash LSH forest.
 
-A document's set is its hashed runs of five words. Equal sets are one class from the start. Each tree of the forest
-is one band: sets meet in it if they agree in a prefix of minhashes, whose length is one for all trees and data, the
-longest at which pairs at the similarity threshold meet in some tree with the target recall. Nothing is sorted and no
-prefix depends on the data. Buckets that overlap much are joined to clusters. Candidates, which are the pairs of a
-bucket or a cluster, are compared exactly (on 64-bit hashes), in blocks of bounded size, each pair once; out come link
-counts and a spanning forest, never all pairs. Classes are the connected components.
-
-Cases: fewer than five words are one run; wordless and null texts are in a class of their own and have no links;
-equal rows are copies; ties go to the least doc_id; a null doc_id is kept; an empty table gives no rows; further
-columns are ignored.
+A document's set is its hashed runs of five words. Equal sets are one class from the start. Each tree of the forest is
+the prefix trie of all sets' signatures, strings of DEPTH minhashes of a byte each, in one 64-bit number, so that a prefix
+is a shift. A set begins with its whole signature in every tree and shortens its matched prefix one minhash at a time, in
+the tree where that adds fewest sets for the recall it gains, until sets at the similarity threshold would meet it with
+the target recall. So prefixes stay long where many sets share them, and are short where few do. The tries are cut at the
+shortest prefix that any set has chosen; below a cut are the candidates. Cuts that overlap much are joined to clusters.
+Candidates are compared exactly (on 64-bit hashes), in blocks of bounded size, each pair once; out come link counts and a
+spanning forest, never all pairs. Classes are the connected components.
+
+Cases: fewer than five words are one run; wordless and null texts are in a class of their own and have no links; texts of
+any length are one set each, of all their runs; equal rows are copies; ties go to the least doc_id; a null doc_id is kept;
+an empty table gives no rows; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,20 +27,15 @@ from skein.llm.anchors import MIX, mixed
 from skein.llm.common import NEAR_SIMILARITY, NEAR_WORDS, key_filter, stored, table, windows, words
 from skein.llm.components import components
 
-TREES, DEPTH = 20, 8
-RECALL = 0.999
+#: Trees, minhashes of a signature (a byte each), and the shortest prefix.
+TREES, DEPTH, SHORTEST = 20, 8, 3
+#: Of sets at exactly the similarity; more of those above it.
+RECALL = 0.9999
 #: Sets compared at once: two blocks.
 BLOCK = 256
 U = np.uint64
 
 
-def prefix_depth(similarity: float = NEAR_SIMILARITY, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH) -> int:
-    """The longest prefix at which pairs of that similarity agree in some tree with that recall."""
-    while depth > 1 and 1 - (1 - similarity**depth) ** trees < recall:
-        depth -= 1
-    return depth
-
-
 def multipliers(n: int) -> np.ndarray:
     return np.random.default_rng(2).integers(0, 1 << 63, n, dtype=np.int64).astype(U) * U(2) + U(1)
 
@@ -48,8 +45,8 @@ def shingled(docs: DataFrame, *kept: str) -> DataFrame:
     return docs.select(*kept, words(F.col("text")).alias("w")).select(*kept, F.array_distinct(windows("w", NEAR_WORDS)).alias("shingles"))
 
 
-def sign(depth: int, trees: int):
-    """Python over (doc_id, d1, d2, shingles): the set's 128-bit key, size, and a prefix key for each tree."""
+def sign(trees: int, depth: int = DEPTH):
+    """Python over (doc_id, d1, d2, shingles): the set's 128-bit key, size, and its signature in each tree."""
     times = multipliers(trees * depth)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,13 +66,71 @@ def sign(depth: int, trees: int):
                     s2[some] = np.add.reduceat(mixed(x ^ MIX), starts)
                     part = np.zeros((len(starts), trees), U)
                     for k in range(trees * depth):
-                        part[:, k // depth] = mixed(part[:, k // depth] * times[0] + np.minimum.reduceat(x * times[k], starts))
-                    keys[some] = part + np.arange(trees, dtype=U)
+                        least = mixed(np.minimum.reduceat(x * times[k], starts) + U(k))
+                        part[:, k // depth] = (part[:, k // depth] << U(8)) | (least >> U(56))
+                    keys[some] = part
                 rows = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * trees), pa.array(keys.astype(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("d1"), batch.column("d2"), pa.array(s1.astype(np.int64)), pa.array(s2.astype(np.int64)), pa.array(n.astype(np.int32)), rows],
-                                                 ["doc_id", "d1", "d2", "s1", "s2", "n", "keys"])
+                                                 ["doc_id", "d1", "d2", "s1", "s2", "n", "signature"])
+
+    return run, "doc_id long, d1 long, d2 long, s1 long, s2 long, n int, signature array<long>"
+
+
+def chosen_depths(sizes: np.ndarray, similarity: float, recall: float) -> np.ndarray:
+    """sizes (sets, trees, depths from SHORTEST on): how many sets are below each set's prefixes. Returns each set's depth
+    in each tree, as a place in the last axis: the prefixes shortened, cheapest first, until the recall."""
+    depths = np.arange(SHORTEST, SHORTEST + sizes.shape[2])
+    # by a prefix in every tree, sets at the similarity are missed with the product of 1 - similarity ** depth
+    worth = -np.log1p(-(similarity**depths))
+    need = -np.log1p(-recall)
+    at = np.full(sizes.shape[:2], sizes.shape[2] - 1)
+    row, tree = np.indices(at.shape, sparse=True)
+    while True:
+        open_ = (worth[at].sum(1) < need) & (at > 0).any(1)
+        if not open_.any():
+            return at
+        shorter = np.maximum(at - 1, 0)
+        price = (sizes[row, tree, shorter] - sizes[row, tree, at]) / np.maximum(worth[shorter] - worth[at], 1e-12)
+        price[at == 0] = np.inf
+        best = price.argmin(1)
+        rows = np.flatnonzero(open_)
+        at[rows, best[rows]] -= 1
+
+
+def choose(trees: int, similarity: float, recall: float):
+    """Python over (shared: tree, depth, size, node): the nodes at which each set cuts its paths."""
 
-    return run, "doc_id long, d1 long, d2 long, s1 long, s2 long, n int, keys array<long>"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 2000):
+                lists = whole.column("shared").slice(begin, 2000)
+                n = lists.value_lengths().to_numpy().astype(np.int64)
+                flat = lists.flatten()
+                tree, depth, size, node = (flat.field(k).to_numpy() for k in range(4))
+                row = np.repeat(np.arange(len(n)), n)
+                sizes = np.ones((len(n), trees, DEPTH - SHORTEST + 1))
+                sizes[row, tree, depth - SHORTEST] = size
+                at = chosen_depths(sizes, similarity, recall)
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(node[at[row, tree] == depth - SHORTEST]))], ["node"])
+
+    return run, "node long"
+
+
+def cut_tries(sets: DataFrame, similarity: float, recall: float, trees: int = TREES) -> DataFrame:
+    """sets (s1, s2, signature): s1, s2 and keys, the cut above each set in each tree, of the sets that share any; where a
+    set shares none its key is its own."""
+    prefix = lambda depth: F.xxhash64("tree", F.lit(depth), F.shiftrightunsigned("sig", 8 * (DEPTH - depth)))
+    paths = sets.select("s1", "s2", F.posexplode("signature").alias("tree", "sig")).withColumn("top", prefix(SHORTEST))
+    tops = stored(paths.groupBy("top").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("top"), "tops")
+    # a set alone at the shortest prefix is alone in that tree
+    shared = stored(key_filter(tops, "top", tops.count())(paths, "top").join(tops, "top", "left_semi").drop("top"), "paths")
+    levels = shared.select("s1", "s2", "tree", F.explode(F.array(*(F.struct(F.lit(d).alias("depth"), prefix(d).alias("node")) for d in range(SHORTEST, DEPTH + 1)))).alias("x")).select("s1", "s2", "tree", "x.*")
+    nodes = stored(levels.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "nodes")
+    told = levels.join(nodes, "node").groupBy("s1", "s2").agg(F.collect_list(F.struct("tree", "depth", "size", "node")).alias("shared"))
+    cuts = stored(told.select("shared").mapInArrow(*choose(trees, similarity, recall)).distinct(), "cuts")
+    # the first cut on the way down; each set has one at most in a tree, and all sets below a cut have the same
+    first = levels.join(cuts, "node").groupBy("s1", "s2").agg(*(F.min_by("node", F.when(F.col("tree") == t, F.col("depth"))).alias(f"k{t}") for t in range(trees)))
+    return first.select("s1", "s2", F.array(*(F.coalesce(f"k{t}", F.xxhash64(F.lit(t), "s2", "s1")) for t in range(trees))).alias("keys"))
 
 
 class Forest:
@@ -175,7 +230,7 @@ def compare(similarity: float):
 
 
 def comparisons(sets: DataFrame) -> DataFrame:
-    """sets (s1, s2, n, keys, d1, d2), one row a set: s1, s2, tree (-1: a cluster's), g1, size, label (null without a
+    """sets (s1, s2, keys), one row a set: s1, s2, tree (-1: a cluster's), g1, size, label (null without a
     cluster) of every group that a set has to be compared in."""
     spread = sets.select("s1", "s2", F.posexplode("keys").alias("tree", "key"))
     # one bucket for each group of members, though many trees have it; a member's hash for the group's
@@ -214,12 +269,14 @@ def near_classes(docs: DataFrame, similarity: float = NEAR_SIMILARITY, recall: f
     """doc_id, d1, d2 (row key), r1, r2 (class key), class_id (least doc_id), n_links (other texts within the
     similarity), n_copies."""
     docs = row_keyed(docs.select("doc_id", "text"))
-    signed = stored(shingled(docs, "doc_id", "d1", "d2").mapInArrow(*sign(prefix_depth(similarity, recall), TREES)), "signed")
+    signed = stored(shingled(docs, "doc_id", "d1", "d2").mapInArrow(*sign(TREES)), "signed")
     some = signed.filter("n > 0")
-    sets = some.groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.min(F.struct("d1", "d2")).alias("d"))
-    sets = stored(sets.select("s1", "s2", "rows", "least", "n", "keys", "d.*"), "sets")
-    groups = comparisons(sets)
-    wanted = stored(groups.groupBy("s1", "s2").agg(F.collect_list(F.struct("tree", "g1", "size", "label")).alias("groups")).join(sets.select("s1", "s2", "n", "keys", "d1", "d2"), ["s1", "s2"]), "wanted")
+    sets = some.groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.min(F.struct("d1", "d2")).alias("d"))
+    sets = stored(sets.select("s1", "s2", "rows", "least", "n", "signature", "d.*"), "sets")
+    cut = stored(cut_tries(sets, similarity, recall), "cut-tries")
+    groups = comparisons(cut)
+    wanted = groups.groupBy("s1", "s2").agg(F.collect_list(F.struct("tree", "g1", "size", "label")).alias("groups"))
+    wanted = stored(wanted.join(cut, ["s1", "s2"]).join(sets.select("s1", "s2", "n", "d1", "d2"), ["s1", "s2"]), "wanted")
     texts = key_filter(wanted, "d1", wanted.count())(docs, "d1").select("d1", "d2", "text")
     loaded = shingled(wanted.join(texts, ["d1", "d2"]).dropDuplicates(["d1", "d2"]), "s1", "s2", "n", "keys", "groups")
     rows = loaded.select("s1", "s2", "n", "keys", "shingles", F.explode("groups").alias("g")).select("s1", "s2", "n", "keys", "shingles", "g.*")

@@ -184,8 +184,46 @@ def test_a_cluster_keeps_near_pairs_without_a_common_key():
     assert sorted((r["s1"], r["links"]) for b in out for r in b.to_pylist()) == [(1, 0), (1, 1), (2, 1)]
 
 
-def test_recall_of_the_forest():
-    assert near_join.prefix_depth() == 5 and 1 - (1 - 0.8**5) ** near_join.TREES > 0.999
+def test_prefixes_shorten_until_the_recall_where_it_is_cheap():
+    depths = near_join.DEPTH - near_join.SHORTEST + 1
+    sizes = np.ones((4, near_join.TREES, depths))
+    sizes[1] = 50  # near copies all the way: shorter prefixes add nothing
+    sizes[2] = 4.0 ** np.arange(depths)[::-1]
+    sizes[3, :10] = 10.0 ** np.arange(depths)[::-1]  # crowded in half the trees, alone in the others
+    at = near_join.chosen_depths(sizes, 0.8, 0.9999) + near_join.SHORTEST
+    missed = (1 - 0.8**at).prod(1)
+    assert (missed <= 1e-4).all() and (missed > 1e-6).all()
+    assert set(at[2].tolist()) <= {4, 5} and at[3, :10].min() > at[3, 10:].max()
+    assert (near_join.chosen_depths(sizes, 0.8, 0.5) == depths - 1).all()
+
+
+def test_cuts_are_the_shortest_prefix_that_a_set_below_has_chosen(spark):
+    """By hand, over all prefixes of few trees."""
+    rng = random.Random(6)
+    base = [rng.getrandbits(63) for _ in range(6)]
+    sets = []
+    for i in range(120):
+        b = rng.choice(base)
+        sets.append((i, i, [(b >> 8 * d << 8 * d) | rng.getrandbits(8 * d) for d in (rng.randrange(8) for _ in range(5))]))
+    prefix = lambda s, t, d: (t, d, s[2][t] >> 8 * (8 - d))
+    below = defaultdict(set)
+    for s in sets:
+        for t in range(5):
+            for d in range(3, 9):
+                below[prefix(s, t, d)].add(s[0])
+    sizes = np.array([[[len(below[prefix(s, t, d)]) for d in range(3, 9)] for t in range(5)] for s in sets], float)
+    at = near_join.chosen_depths(sizes, 0.8, 0.9) + 3
+    cuts = {prefix(s, t, int(at[i, t])) for i, s in enumerate(sets) for t in range(5) if len(below[prefix(s, t, int(at[i, t]))]) > 1}
+    want = defaultdict(set)
+    for s in sets:
+        for t in range(5):
+            if first := next((prefix(s, t, d) for d in range(3, 9) if prefix(s, t, d) in cuts), None):
+                want[first].add(s[0])
+    found = defaultdict(set)
+    for r in near_join.cut_tries(spark.createDataFrame(sets, "s1 long, s2 long, signature array<long>"), 0.8, 0.9, 5).collect():
+        for t, k in enumerate(r["keys"]):
+            found[t, k].add(r["s1"])
+    assert sorted(map(sorted, want.values())) == sorted(sorted(x) for x in found.values() if len(x) > 1)
 
 
 def test_components(spark):
