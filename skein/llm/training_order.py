@@ -6,8 +6,8 @@ one is filled up with PAD. A keyed Feistel network over the next power of four,
 sequences, permutes their numbers; the result is a sequence's global slot.
 
 The texts are read and encoded once, to a table of ids with each row's place in its file split. One sum a split turns
-these into places in the stream. Sequences then go to range partitions of slots with exact bounds: partition k is shard k
-and holds slots k * size to (k + 1) * size - 1 in order, each a record of the same stride. So a reader finds slot s at
+these into places in the stream. Sequences then go, compressed, to range partitions of slots with exact bounds: partition k
+is shard k and holds slots k * size to (k + 1) * size - 1 in order, each a record of the same stride. So a reader finds slot s at
 byte (s mod size) * stride of shard s div size, seeks there and may resume anywhere. The payload is shuffled once. Shards
 are written by Spark's text writer, whose commit protocol survives lost executors: a record is SEQUENCE ids of the
 vocabulary's width (2 or 4 bytes, little-endian), and the writer's line end. The manifest, from the table of ids without the ids, says
@@ -38,6 +38,8 @@ from skein.llm.common import shared_dir, stored, table
 
 SEQUENCE = 512
 SHARD = 1 << 14
+#: Bytes of ids that a task holds before it sends them on.
+HELD = 32 << 20
 ROUNDS = 6
 KEY = 20240229
 U = np.uint64
@@ -121,18 +123,29 @@ def encoded(docs: DataFrame, vocabulary: str, form: Form) -> DataFrame:
     return told.join(F.broadcast(splits), ["file", "block"]).select("doc_id", (F.col("before") + F.col("place")).alias("place"), "n", "ids")
 
 
-def cut(n: int, key: int, form: Form):
-    """Python over (place, ids): whole sequences, and parts of those that go over several tasks, as (slot, at, part)."""
+def cut(n: int, key: int, form: Form, shard: int):
+    """Python over (place, ids): sequences, and parts of those that go over several tasks, packed for each shard; what goes
+    to one shard from HELD bytes is compressed as a whole: slots, places in the record, sizes, ids."""
     stride = SEQUENCE * form.width
 
-    def pieces(place: int, data: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """place: of the first byte."""
-        bounds = np.unique(np.concatenate([[place], np.arange(-(-place // stride) * stride, place + len(data), stride), [place + len(data)]]))
-        numbers = bounds[:-1] // stride
-        yield pa.RecordBatch.from_arrays([pa.array(feistel(numbers, n, key)), pa.array((bounds[:-1] % stride).astype(np.int32)), binaries(bounds[1:] - place, data)], ["slot", "at", "part"])
+    def packed(held: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        """held: runs of bytes with the place of their first."""
+        bounds = [np.unique(np.concatenate([[p], np.arange(-(-p // stride) * stride, p + len(x), stride), [p + len(x)]])) for p, x in held]
+        begins, sizes = np.concatenate([x[:-1] for x in bounds]), np.concatenate([np.diff(x) for x in bounds])
+        slots = feistel(begins // stride, n, key)
+        data, ends = memoryview(np.concatenate([x for _, x in held])), np.cumsum(sizes)
+        order = np.argsort(slots // shard, kind="stable")
+        shards = slots[order] // shard
+        cuts = [0, *(np.flatnonzero(shards[1:] != shards[:-1]) + 1).tolist(), len(shards)]
+        rows = []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            own = order[a:b]
+            raw = b"".join([slots[own].tobytes(), (begins[own] % stride).tobytes(), sizes[own].tobytes(), *(data[e - k : e] for e, k in zip(ends[own].tolist(), sizes[own].tolist(), strict=True))])
+            rows.append((int(shards[a]), b - a, len(raw), pa.compress(raw, "zstd", asbytes=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["shard", "parts", "size", "packed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, begin = np.empty(0, np.uint8), 0
+        held, size, end = [], 0, None
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
@@ -141,62 +154,64 @@ def cut(n: int, key: int, form: Form):
                 ends = places + np.fromiter(map(len, texts), np.int64, len(texts))
                 cuts = [0, *(np.flatnonzero(places[1:] != ends[:-1]) + 1).tolist(), len(texts)]
                 for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                    if places[a] != begin + len(held):
-                        if len(held):
-                            yield from pieces(begin, held)
-                        held, begin = np.empty(0, np.uint8), int(places[a])
-                    data = np.concatenate([held, *texts[a:b]])
-                    full = max(0, (begin + len(data)) // stride * stride - begin)
-                    if full:
-                        yield from pieces(begin, data[:full])
-                    held, begin = data[full:], begin + full
-        if len(held):
-            yield from pieces(begin, held)
-
-    return run, "slot long, at int, part binary"
-
-
-def assemble(form: Form):
-    """Python over (slot, at, part) in order: one record a slot, filled up with PAD."""
+                    data = np.concatenate(texts[a:b])
+                    if held and places[a] == end:
+                        held[-1] = (held[-1][0], np.concatenate([held[-1][1], data]))
+                    else:
+                        held.append((int(places[a]), data))
+                    size, end = size + len(data), int(ends[b - 1])
+                if size >= HELD:
+                    last, data = held[-1]
+                    full = max(0, end // stride * stride - last)  # the sequence that is still open stays
+                    held[-1] = (last, data[:full])
+                    yield from packed([x for x in held if len(x[1])])
+                    held, size = [(last + full, data[full:])], len(data) - full
+        held = [x for x in held if len(x[1])]
+        if held:
+            yield from packed(held)
+
+    return run, "shard int, parts int, size int, packed binary"
+
+
+def assemble(n: int, form: Form, shard: int):
+    """Python over cut's rows in the order of shards: each shard's records, filled up with PAD. A shard's size is fixed."""
     stride = SEQUENCE * form.width
-    pad = np.array([form.pad], form.kind).tobytes() * SEQUENCE
+
+    def records(k: int, table: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(table), k)), binaries(np.arange(1, len(table) + 1) * stride, table.ravel())], ["shard", "record"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slot, parts = None, []
-        done = lambda: pa.RecordBatch.from_arrays([pa.array([slot], pa.int64()), pa.array([b"".join(parts + [pad])[:stride]], pa.binary())], ["slot", "record"])
+        now, table = None, None
         for batch in batches:
-            slots = batch.column("slot").to_numpy()
-            lengths = np.diff(np.frombuffer(batch.column("part").buffers()[1], np.int32)[batch.column("part").offset :][: len(slots) + 1])
-            cuts = [0, *(np.flatnonzero(np.diff((lengths == stride).astype(np.int8))) + 1).tolist(), len(slots)]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if a == b:
-                    continue
-                whole = lengths[a] == stride
-                if whole and slot is not None:
-                    yield done()
-                    slot, parts = None, []
-                if whole:
-                    yield pa.RecordBatch.from_arrays([batch.column("slot").slice(a, b - a), batch.column("part").slice(a, b - a)], ["slot", "record"])
+            for k, parts, size, packed in zip(*(batch.column(c) for c in ("shard", "parts", "size", "packed")), strict=True):
+                k, parts = k.as_py(), parts.as_py()
+                if k != now:
+                    if now is not None:
+                        yield records(now, table)
+                    now = k
+                    table = np.full((min(shard, n - k * shard), SEQUENCE), form.pad, form.kind).view(np.uint8)
+                raw = np.frombuffer(pa.decompress(packed.as_buffer(), size.as_py(), "zstd"), np.uint8)
+                slots, at, sizes = raw[: 24 * parts].view(np.int64).reshape(3, parts)
+                data = raw[24 * parts :]
+                whole = sizes == stride
+                ends = np.cumsum(sizes)
+                if whole.all():
+                    table[slots - k * shard] = data.reshape(parts, stride)
                     continue
-                for s, part in zip(slots[a:b].tolist(), batch.column("part").slice(a, b - a).to_pylist(), strict=True):
-                    if s != slot and slot is not None:
-                        yield done()
-                        parts = []
-                    slot = s
-                    parts.append(part)
-        if slot is not None:
-            yield done()
+                for s, a, length, end in zip((slots - k * shard).tolist(), at.tolist(), sizes.tolist(), ends.tolist(), strict=True):
+                    table[s, a : a + length] = data[end - length : end]
+        if now is not None:
+            yield records(now, table)
 
-    return run, "slot long, record binary"
+    return run, "shard long, record binary"
 
 
 def write_shards(rows: DataFrame, path: str, n: int, key: int, form: Form, shard: int = SHARD) -> None:
     """rows (place, ids) as shards under path/shard=k, each one file of records and line ends."""
-    dealt = rows.select("place", "ids").mapInArrow(*cut(n, key, form)).withColumn("shard", F.expr(f"cast(slot div {shard} AS int)"))
-    dealt = dealt.repartitionById(max(1, -(-n // shard)), "shard").sortWithinPartitions("slot", "at").select("slot", "at", "part")
-    records = dealt.mapInArrow(*assemble(form))
+    dealt = rows.select("place", "ids").mapInArrow(*cut(n, key, form, shard)).repartitionById(max(1, -(-n // shard)), "shard").sortWithinPartitions("shard")
+    records = dealt.mapInArrow(*assemble(n, form, shard))
     # a cast of bytes to text leaves them as they are
-    records.select(F.expr(f"slot div {shard}").alias("shard"), F.col("record").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").text(path)
+    records.select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").text(path)
 
 
 def manifest(rows: DataFrame, n: int, key: int, form: Form, shard: int = SHARD) -> DataFrame:

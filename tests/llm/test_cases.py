@@ -94,8 +94,10 @@ def test_bpe(spark, docs):
     assert [r["n_tokens"] for r in bpe.digests(docs.filter("doc_id = 2"), path).collect()] == [0]
 
 
-def test_training_order(spark, docs, tmp_path):
+@pytest.mark.parametrize("held", [training_order.HELD, 3000])
+def test_training_order(spark, docs, tmp_path, monkeypatch, held):
     """Against the stream made by hand: every id, slot, shard, byte offset and manifest row; the same for any splits."""
+    monkeypatch.setattr(training_order, "HELD", held)
     path = bpe.vocabulary_path()
     form, codec = training_order.form_of(path), bpe.Codec(path)
     docs.coalesce(1).write.option("parquet.block.size", 50_000).parquet(str(tmp_path / "docs"))
