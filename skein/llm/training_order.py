@@ -38,8 +38,8 @@ from skein.llm.common import shared_dir, stored, table
 
 SEQUENCE = 512
 SHARD = 1 << 14
-#: Bytes of ids that a task holds before it sends them on.
-HELD = 32 << 20
+#: Bytes of ids that a task holds before it sends them on, and how hard they are compressed.
+HELD, LEVEL = 16 << 20, 3
 ROUNDS = 6
 KEY = 20240229
 U = np.uint64
@@ -134,14 +134,14 @@ def cut(n: int, key: int, form: Form, shard: int):
         begins, sizes = np.concatenate([x[:-1] for x in bounds]), np.concatenate([np.diff(x) for x in bounds])
         slots = feistel(begins // stride, n, key)
         data, ends = memoryview(np.concatenate([x for _, x in held])), np.cumsum(sizes)
-        order = np.argsort(slots // shard, kind="stable")
+        order, codec = np.argsort(slots // shard, kind="stable"), pa.Codec("zstd", compression_level=LEVEL)
         shards = slots[order] // shard
         cuts = [0, *(np.flatnonzero(shards[1:] != shards[:-1]) + 1).tolist(), len(shards)]
         rows = []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             own = order[a:b]
             raw = b"".join([slots[own].tobytes(), (begins[own] % stride).tobytes(), sizes[own].tobytes(), *(data[e - k : e] for e, k in zip(ends[own].tolist(), sizes[own].tolist(), strict=True))])
-            rows.append((int(shards[a]), b - a, len(raw), pa.compress(raw, "zstd", asbytes=True)))
+            rows.append((int(shards[a]), b - a, len(raw), codec.compress(raw, asbytes=True)))
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["shard", "parts", "size", "packed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
