@@ -18,7 +18,7 @@ import json
 import re
 from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -208,18 +208,21 @@ class Codec:
 
     def learn(self, words: list[str]) -> None:
         """Puts the words' ids and texts into the cache."""
-        by_size: dict[int, list[str]] = {}
-        for word in words:
-            if word in self.special:
-                self._keep(word, [self.special[word]])
-            elif (n := len(word.encode())) > LONG:
-                self._keep(word, self.long_word(word.encode()))
-            else:
-                by_size.setdefault(max(2, 1 << (n - 1).bit_length()), []).append(word)
-        for size, own in by_size.items():
+        for word in self.special.keys() & set(words):
+            self._keep(word, [self.special[word]])
+        if self.special:
+            words = [w for w in words if w not in self.special]
+        data = [w.encode() for w in words]
+        sizes = np.fromiter(map(len, data), np.int64, len(data))
+        for k in np.flatnonzero(sizes > LONG).tolist():
+            self._keep(words[k], self.long_word(data[k]))
+        done = 0
+        for size in (1 << e for e in range(1, LONG.bit_length())):
+            own = np.flatnonzero((sizes > done) & (sizes <= size)).tolist()
+            done = size
             for at in range(0, len(own), BATCH):
                 part = own[at : at + BATCH]
-                self._keep_all(part, *self.words_side_by_side([w.encode() for w in part], size))
+                self._keep_all([words[k] for k in part], *self.words_side_by_side([data[k] for k in part], size))
 
     def _keep_all(self, words: list[str], flat: np.ndarray, counts: np.ndarray) -> None:
         begin, ids = 0, flat.tolist()
@@ -280,13 +283,17 @@ class IdCodec(Codec):
         split = [self.split(t or "") for t in texts]
         if len(self.place) > 4 * CACHE:
             self._clear()
-        self.learn(list(set().union(*split).difference(self.place)))
-        if self.new:
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        words = list(chain.from_iterable(split))
+        word = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(word < 0)
+        if len(new):
+            missing = [words[k] for k in new.tolist()]
+            self.learn(list(set(missing)))
             self.flat = np.concatenate([self.flat, *(ids.astype(np.int32) for ids, _ in self.new)])
             self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate([n for _, n in self.new]))])
             self.new = []
-        sizes = np.fromiter(map(len, split), np.int64, len(split))
-        word = np.fromiter(map(self.place.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
+            word[new] = np.fromiter(map(self.place.__getitem__, missing), np.int64, len(missing))
         begin, n = self.starts[word], self.starts[word + 1] - self.starts[word]
         ends = np.cumsum(n)
         ids = self.flat[np.repeat(begin - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
