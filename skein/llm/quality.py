@@ -1,11 +1,17 @@
 """Quality rules with adaptive thresholds, in DataFrame operations only.
 
-Each document gets integer rates. For every (lang, source) group a mergeable quantile sketch, a histogram of at
-most LEVELS + 1 integer levels per rate, is built by partial sums; its quantiles give the group's thresholds, and a
-join by group applies them to every document. Only the sketches meet in one place, so a hot group costs no more.
-
-Cases: a null text has no words and fails the base rule; a null lang or source is a group of its own; equal rows
-each give their row; an empty table gives no rows; further columns are ignored.
+Each document gets integer rates, of any size. For every (lang, source) group and rate a mergeable quantile sketch is
+built by partial sums: counts of log-linear levels, a level being a rate's first BITS binary digits. So a quantile of the
+sketch is at most the exact one and less than a 2 ** (1 - BITS) part of it below (exact under 2 ** BITS), a sketch has at
+most 64 * 2 ** (BITS - 1) levels, and sketches merge by adding counts, in any order, with the same error. A group of
+fewer than LEAST documents takes the merged sketch of its language, and if that has fewer too, that of all. The sketch's
+quartiles give thresholds, and a join by group applies them to every document. Only sketches meet in one place, so a hot
+group costs no more.
+
+Cases: a null text has no words and fails the base rule; texts of any length are read whole; a null lang or source is a
+group of its own; a rate equal to its threshold passes; a group without a document that passes the base rule has no sketch
+and needs none; equal rows each give their row, and each counts; an empty table gives no rows; further columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -19,10 +25,12 @@ SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 REPEAT_WINDOW = 8
 MIN_WORDS = 20
-LEVELS = 1000
+BITS = 7
+LEAST = 30
 #: For each rate: how far over the median at least, and how many times the spread to the upper quartile, is too much.
-SLACK = {"symbol_pm": 30, "dup_line_pm": 400, "repeat_pm": 300, "word_len10": 40}
+SLACK = {"symbol_pm": 30, "dup_line_pm": 400, "repeat_pm": 250, "word_len10": 40}
 SPREAD = 5
+QUARTILES = (25, 50, 75)
 
 
 def repeated_words(hashes: Column, ordered: str) -> Column:
@@ -52,35 +60,55 @@ def base_features(docs: DataFrame) -> DataFrame:
 
 
 def rates(features: DataFrame) -> DataFrame:
-    """The integer rates, 0 to LEVELS, and base_failed."""
-    rate = lambda x, of: F.expr(f"least({LEVELS}, {x} div greatest({of}, 1))")
+    """The integer rates and base_failed."""
+    rate = lambda x, of: F.expr(f"{x} div greatest({of}, 1)")
     return features.select(
         "*", rate("1000 * n_symbols", "word_chars").alias("symbol_pm"), rate("1000 * n_dup_lines", "n_lines").alias("dup_line_pm"), rate("1000 * n_repeat_words", "n_words").alias("repeat_pm"),
         rate("10 * word_chars", "n_words").alias("word_len10"), F.expr(f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > 30 * n_words").alias("base_failed"),
     )
 
 
+def level(rate: Column) -> Column:
+    """The rate with zeros after its first BITS binary digits."""
+    shift = F.greatest(F.length(F.bin(rate)) - BITS, F.lit(0))
+    return F.call_function("shiftleft", F.call_function("shiftright", rate, shift), shift)
+
+
 def sketches(rated: DataFrame, names: list[str]) -> DataFrame:
-    """lang, source, rate, level, n of the documents that pass the base rule. Sketches merge by adding n."""
-    spread = F.explode(F.array(*(F.struct(F.lit(k).alias("rate"), F.col(k).alias("level")) for k in names))).alias("x")
+    """lang, source, rate, level, n of the documents that pass the base rule."""
+    spread = F.explode(F.array(*(F.struct(F.lit(k).alias("rate"), level(F.col(k)).alias("level")) for k in names))).alias("x")
     return rated.filter(~F.col("base_failed")).select("lang", "source", spread).groupBy("lang", "source", "x.rate", "x.level").agg(F.count(F.lit(1)).alias("n"))
 
 
+def merged(one: DataFrame, other: DataFrame) -> DataFrame:
+    """The sketches of both."""
+    return one.unionByName(other).groupBy("lang", "source", "rate", "level").agg(F.sum("n").alias("n"))
+
+
+def quartiles(sketch: DataFrame, *by: str) -> DataFrame:
+    """by, rate, total and q25, q50, q75 of the sketches merged over all else."""
+    levels = sketch.groupBy(*by, "rate", "level").agg(F.sum("n").alias("n"))
+    per = levels.groupBy(*by, "rate").agg(F.sum("n").alias("total"), F.sort_array(F.collect_list(F.struct("level", "n"))).alias("h"))
+    begin = F.struct(F.lit(0).cast("long").alias("n"), *(F.lit(None).cast("long").alias(f"q{p}") for p in QUARTILES))
+    step = lambda a, x: F.struct((a["n"] + x["n"]).alias("n"), *(F.coalesce(a[f"q{p}"], F.when(100 * (a["n"] + x["n"]) >= p * F.col("total"), x["level"])).alias(f"q{p}") for p in QUARTILES))
+    return per.select(*by, "rate", "total", F.aggregate("h", begin, step).alias("q")).select(*by, "rate", "total", *(f"q.q{p}" for p in QUARTILES))
+
+
 def thresholds(sketch: DataFrame) -> DataFrame:
     """One row per lang and source; hi_<rate> and lo_word_len10."""
-    per = sketch.groupBy("lang", "source", "rate").agg(F.sum("n").alias("total"), F.sort_array(F.collect_list(F.struct("level", "n"))).alias("h"))
-    seen = per.select("lang", "source", "rate", "total", F.aggregate(
-        "h", F.struct(F.lit(0).cast("long").alias("n"), *(F.lit(None).cast("long").alias(f"q{p}") for p in (25, 50, 75))),
-        lambda a, x: F.struct((a["n"] + x["n"]).alias("n"), *(F.coalesce(a[f"q{p}"], F.when(100 * (a["n"] + x["n"]) >= p * F.col("total"), x["level"].cast("long"))).alias(f"q{p}") for p in (25, 50, 75)))).alias("q"))
+    own, wide, all_ = (quartiles(sketch, *by).withColumnsRenamed({c: f"{c}_{len(by)}" for c in ("lang", "total", "q25", "q50", "q75")}) for by in (("lang", "source"), ("lang",), ()))
+    pooled = own.withColumnRenamed("rate", "r2").join(wide.withColumnRenamed("rate", "r1"), F.col("lang_2").eqNullSafe(F.col("lang_1")) & (F.col("r2") == F.col("r1"))).join(all_, F.col("r2") == F.col("rate"))
+    pick = lambda c: F.when(F.col("total_2") >= LEAST, F.col(f"{c}_2")).when(F.col("total_1") >= LEAST, F.col(f"{c}_1")).otherwise(F.col(f"{c}_0")).alias(c)
+    seen = pooled.select(F.col("lang_2").alias("lang"), "source", "rate", pick("q25"), pick("q50"), pick("q75"))
     slack = F.coalesce(*(F.when(F.col("rate") == k, F.lit(v)) for k, v in SLACK.items()))
-    fences = seen.select("lang", "source", "rate", (F.col("q.q50") + F.greatest(slack, SPREAD * (F.col("q.q75") - F.col("q.q50")))).alias("hi"), (F.col("q.q50") - F.greatest(slack, SPREAD * (F.col("q.q50") - F.col("q.q25")))).alias("lo"))
+    fences = seen.select("lang", "source", "rate", (F.col("q50") + F.greatest(slack, SPREAD * (F.col("q75") - F.col("q50")))).alias("hi"), (F.col("q50") - F.greatest(slack, SPREAD * (F.col("q50") - F.col("q25")))).alias("lo"))
     return fences.groupBy("lang", "source").agg(*(F.max(F.when(F.col("rate") == k, F.col("hi"))).alias(f"hi_{k}") for k in SLACK), F.max(F.when(F.col("rate") == "word_len10", F.col("lo"))).alias("lo_word_len10"))
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
     """The features, rates, base_failed and kept of each document row."""
     rated = stored(rates(base_features(docs.select("doc_id", "text", "lang", "source"))), "rates")
-    fences = thresholds(sketches(rated, list(SLACK)))
+    fences = stored(thresholds(sketches(rated, list(SLACK))), "thresholds")
     fences = fences.withColumnsRenamed({"lang": "f_lang", "source": "f_source"})
     joined = rated.join(fences, F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source")), "left")
     odd = F.col("word_len10") < F.col("lo_word_len10")
@@ -100,13 +128,18 @@ w AS (SELECT rid, doc_id, lang, source, list_filter(regexp_split_to_array(x, '[\
 win AS (SELECT rid, s, array_to_string(w[s:s + 7], ' ') AS win FROM (SELECT rid, w, unnest(range(1, len(w) - 6)) AS s FROM w WHERE len(w) >= 8)),
 rep AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(s, s + 8)) AS p FROM (SELECT rid, s, count(*) OVER (PARTITION BY rid, win) AS c FROM win) WHERE c > 1) GROUP BY rid),
 f AS (SELECT rid, doc_id, lang, source, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda y: length(y))), 0)::BIGINT AS word_chars, n_symbols, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words FROM w LEFT JOIN rep USING (rid)),
-r AS (SELECT *, least(1000, 1000 * n_symbols // greatest(word_chars, 1)) AS symbol_pm, least(1000, 1000 * n_dup_lines // greatest(n_lines, 1)) AS dup_line_pm, least(1000, 1000 * n_repeat_words // greatest(n_words, 1)) AS repeat_pm, least(1000, 10 * word_chars // greatest(n_words, 1)) AS word_len10,
+r AS (SELECT *, 1000 * n_symbols // greatest(word_chars, 1) AS symbol_pm, 1000 * n_dup_lines // greatest(n_lines, 1) AS dup_line_pm, 1000 * n_repeat_words // greatest(n_words, 1) AS repeat_pm, 10 * word_chars // greatest(n_words, 1) AS word_len10,
   n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f),
-m AS (UNPIVOT (SELECT rid, lang, source, symbol_pm, dup_line_pm, repeat_pm, word_len10 FROM r WHERE NOT base_failed) ON symbol_pm, dup_line_pm, repeat_pm, word_len10 INTO NAME rate VALUE lvl),
-q AS (SELECT lang, source, rate, quantile_disc(lvl, 0.25) AS q25, quantile_disc(lvl, 0.5) AS q50, quantile_disc(lvl, 0.75) AS q75, CASE rate WHEN 'symbol_pm' THEN 30 WHEN 'dup_line_pm' THEN 400 WHEN 'repeat_pm' THEN 300 ELSE 40 END AS slack FROM m GROUP BY ALL),
+v AS (UNPIVOT (SELECT rid, coalesce(lang, chr(1)) AS lang, coalesce(source, chr(1)) AS source, symbol_pm::BIGINT AS symbol_pm, dup_line_pm::BIGINT AS dup_line_pm, repeat_pm::BIGINT AS repeat_pm, word_len10::BIGINT AS word_len10 FROM r WHERE NOT base_failed) ON symbol_pm, dup_line_pm, repeat_pm, word_len10 INTO NAME rate VALUE x),
+m AS (SELECT lang, source, rate, (x >> greatest(length(bin(x)) - 7, 0)) << greatest(length(bin(x)) - 7, 0) AS lvl FROM v),
+q2 AS (SELECT lang, source, rate, count(*) AS n, quantile_disc(lvl, [0.25, 0.5, 0.75]) AS q FROM m GROUP BY ALL),
+q1 AS (SELECT lang, rate, count(*) AS n, quantile_disc(lvl, [0.25, 0.5, 0.75]) AS q FROM m GROUP BY ALL),
+q0 AS (SELECT rate, quantile_disc(lvl, [0.25, 0.5, 0.75]) AS q FROM m GROUP BY ALL),
+p0 AS (SELECT q2.lang, q2.source, q2.rate, CASE WHEN q2.n >= 30 THEN q2.q WHEN q1.n >= 30 THEN q1.q ELSE q0.q END AS q FROM q2 JOIN q1 USING (lang, rate) JOIN q0 USING (rate)),
+q AS (SELECT lang, source, rate, q[1] AS q25, q[2] AS q50, q[3] AS q75, CASE rate WHEN 'symbol_pm' THEN 30 WHEN 'dup_line_pm' THEN 400 WHEN 'repeat_pm' THEN 250 ELSE 40 END AS slack FROM p0),
 b AS (SELECT lang, source, rate, q50 + greatest(slack, 5 * (q75 - q50)) AS hi, q50 - greatest(slack, 5 * (q50 - q25)) AS lo FROM q),
 p AS (SELECT lang, source, max(hi) FILTER (rate = 'symbol_pm') AS h1, max(hi) FILTER (rate = 'dup_line_pm') AS h2, max(hi) FILTER (rate = 'repeat_pm') AS h3, max(hi) FILTER (rate = 'word_len10') AS h4, max(lo) FILTER (rate = 'word_len10') AS l4 FROM b GROUP BY ALL)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
   NOT base_failed AND NOT coalesce(symbol_pm > h1 OR dup_line_pm > h2 OR repeat_pm > h3 OR word_len10 > h4 OR word_len10 < l4, false) AS kept
-FROM r LEFT JOIN p ON r.lang IS NOT DISTINCT FROM p.lang AND r.source IS NOT DISTINCT FROM p.source
+FROM r LEFT JOIN p ON coalesce(r.lang, chr(1)) = p.lang AND coalesce(r.source, chr(1)) = p.source
 """

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from skein.llm import anchors, bpe, components, html_extract, html_pages, langid, near_join, samples, suffix_dedup, toxicity, training_order, urls
+from skein.llm import anchors, bpe, components, html_extract, html_pages, langid, near_join, quality, samples, suffix_dedup, toxicity, training_order, urls
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -226,6 +226,28 @@ def test_cuts_are_the_shortest_prefix_that_a_set_below_has_chosen(spark):
     assert sorted(map(sorted, want.values())) == sorted(sorted(x) for x in found.values() if len(x) > 1)
 
 
+def test_quantile_sketches_merge_within_their_error(spark):
+    rng = np.random.default_rng(1)
+    values = np.concatenate([rng.integers(0, 200, 3000), rng.integers(0, 10**6, 3000), rng.integers(0, 10**15, 500)])
+    rated = spark.createDataFrame([("l", "s" if k % 3 else None, False, int(v)) for k, v in enumerate(values)], "lang string, source string, base_failed boolean, x long")
+    whole = quality.sketches(rated, ["x"])
+    parts = [quality.sketches(rated.filter(F.pmod("x", F.lit(3)) == k), ["x"]) for k in range(3)]
+    key = lambda df: sorted(df.select("lang", "source", "rate", "level", "n").collect(), key=repr)
+    assert key(quality.merged(quality.merged(parts[2], parts[0]), parts[1])) == key(whole) and whole.count() < 2 * 64 * 64
+    (found,) = quality.quartiles(whole, "lang").collect()
+    ordered = np.sort(values)
+    for p in quality.QUARTILES:
+        exact = int(ordered[-(-p * len(ordered) // 100) - 1])
+        assert exact * (1 - 2 ** (1 - quality.BITS)) <= found[f"q{p}"] <= exact
+
+
+def test_small_groups_are_judged_by_their_language(spark):
+    plain = lambda i: " ".join(f"w{(i * 31 + k * 17) % 500:03}" for k in range(40))
+    rows = [(i, plain(i), "a", "big") for i in range(60)] + [(100 + i, plain(i) + " #" * 60, "a", "tiny") for i in range(3)] + [(200, plain(1), "b", "one")]
+    found = {r["doc_id"]: r["kept"] for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert {i for i, kept in found.items() if not kept} == {100, 101, 102}
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(30)] + [(100, 101), (101, 102), (100, 102), (200, 201), (201, 201)]
     found = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
