@@ -2,11 +2,14 @@
 
 A window is a run of item words. Its words are ordered by how rare they are in the corpus; an occurrence of the
 window must hold its rarest word at that word's offset, so this prefix token is enough to find all candidates.
-Candidates pass the length and positional bounds and are then compared word by word.
-
-Cases: null or wordless texts give n_words 0 and no hit; null, empty and repeated items are allowed (an item of no
-words has no window); equal rows each give their row; a null doc_id is kept as one; an empty benchmark or corpus
-gives zero hits or no rows; further columns on either side are ignored.
+Candidates pass the length and positional bounds and are then compared word by word. Windows of up to BROADCAST_BYTES go
+to every executor. For more, only words that pass a bitmap of the prefix tokens are shuffled, each with the words around
+it, and only such words of the vocabulary are counted.
+
+Cases: null or wordless texts give n_words 0 and no hit; texts of any length are read whole; null, empty and repeated items
+are allowed (an item of no words has no window); of equally rare words the first is the prefix; equal rows each give their
+row; a null doc_id is kept as one; an empty benchmark or corpus gives zero hits or no rows; further columns on either side
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import stored, table, words
+from skein.llm.common import key_filter, stored, table, words
 
 WINDOW = 10
 #: Window tables up to this many bytes go to every executor; larger ones are joined by shuffle.
@@ -30,9 +33,16 @@ def benchmark_windows(benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     return rows.groupBy("window_words").agg(F.collect_set(F.col("item_id").cast("string")).alias("items")).withColumn("window_len", F.size("window_words"))
 
 
+def sieved(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """rows (word, ...) without most of those whose word is not in the vocabulary (word)."""
+    keys = vocabulary.select(F.xxhash64("word").alias("word_key"))
+    return key_filter(keys, "word_key", keys.count())(rows.withColumn("word_key", F.xxhash64("word")), "word_key").drop("word_key")
+
+
 def word_counts(docs: DataFrame, vocabulary: DataFrame, small: bool) -> DataFrame:
     """How often each vocabulary word stands in all documents (0 if nowhere)."""
-    found = docs.select(F.explode(words(F.col("text"))).alias("word")).join(F.broadcast(vocabulary) if small else vocabulary, "word")
+    found = docs.select(F.explode(words(F.col("text"))).alias("word"))
+    found = found.join(F.broadcast(vocabulary), "word") if small else sieved(found, vocabulary)
     counts = found.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     return vocabulary.join(counts, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -65,31 +75,33 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, br
     size = windows.agg(F.coalesce(F.sum(F.length(F.concat_ws(" ", "window_words")) + 64 * F.col("window_len")), F.lit(0)).alias("b")).head()["b"]
     small = size <= broadcast_bytes
     vocabulary = windows.select(F.explode("window_words").alias("word")).distinct()
+    vocabulary = vocabulary if small else stored(vocabulary, "vocabulary")
     tokens = prefix_tokens(windows, word_counts(docs, vocabulary, small), small).withColumnRenamed("word", "token")
-    tokens = stored(tokens, "prefix-tokens")
+    tokens = stored(tokens, "prefix-tokens").select("window_words", "token", "offset", "window_len", "items")
+    return with_windows_everywhere(docs, tokens) if small else with_windows_shuffled(docs, tokens, width)
+
+
+def matches(n: Column, base: Column) -> Column:
+    """Whether the candidate c, by its prefix token at pos, stands in w, whose first word is the one at base of n words."""
+    start = F.col("pos") - F.col("c.offset")
+    fits = (start >= 0) & (start + F.col("c.window_len") <= n)
+    return F.when(fits, F.slice("w", start - base + 1, F.col("c.window_len")) == F.col("c.window_words")).otherwise(F.lit(False))
+
+
+def with_windows_everywhere(docs: DataFrame, tokens: DataFrame) -> DataFrame:
     # an empty word after the last one carries each document's own row through the join
     sentinel = tokens.sparkSession.sql("SELECT cast(NULL AS array<string>) window_words, '' token, -1 offset, 0 window_len, cast(NULL AS array<string>) items")
-    tokens = tokens.select("window_words", "token", "offset", "window_len", "items").unionByName(sentinel)
-    tokens = tokens.groupBy("token").agg(F.collect_list(F.struct("window_words", "offset", "window_len", "items")).alias("cands")) if small else tokens.select("token", F.array(F.struct("window_words", "offset", "window_len", "items")).alias("cands"))
+    tokens = tokens.unionByName(sentinel).groupBy("token").agg(F.collect_list(F.struct("window_words", "offset", "window_len", "items")).alias("cands"))
     spread = docs.select("doc_id", "h1", "h2", F.concat(words(F.col("text")), F.array(F.lit(""))).alias("w"))
     spread = spread.select("doc_id", "h1", "h2", "w", F.posexplode("w").alias("pos", "word"))
-    n = F.size("w") - 1
-    if small:
-        near, base = spread, F.lit(0)
-    else:  # the words around each position go along, not the whole document
-        near = spread.select("doc_id", "h1", "h2", "pos", "word", n.alias("n"), F.slice("w", F.greatest(F.lit(1), F.col("pos") + 2 - width), F.lit(2 * width - 1)).alias("w"))
-        n, base = F.col("n"), F.greatest(F.lit(0), F.col("pos") + 1 - width)
-    joined = near.join(F.broadcast(tokens) if small else tokens, near["word"] == tokens["token"])
-    start = F.col("pos") - F.col("c.offset")
-    same = F.slice("w", start - base + 1, F.col("c.window_len")) == F.col("c.window_words")
-    marked = joined.select("doc_id", "h1", "h2", "pos", "w", n.alias("n_words"), F.explode("cands").alias("c"))
-    fits = (start >= 0) & (start + F.col("c.window_len") <= F.col("n_words"))
-    hits = marked.filter((F.col("c.offset") < 0) | F.when(fits, same).otherwise(F.lit(False)))
+    joined = spread.join(F.broadcast(tokens), spread["word"] == tokens["token"])
+    marked = joined.select("doc_id", "h1", "h2", "pos", "w", (F.size("w") - 1).alias("n_words"), F.explode("cands").alias("c"))
     own = F.col("c.offset") < 0
-    per = hits.groupBy("doc_id", "h1", "h2").agg(
+    place = F.struct((F.col("pos") - F.col("c.offset")).alias("start"), F.col("c.window_len").alias("len"))
+    per = marked.filter(own | matches(F.col("n_words"), F.lit(0))).groupBy("doc_id", "h1", "h2").agg(
         F.max(F.when(own, F.col("n_words"))).alias("n_words"),
         F.sum(own.cast("int")).alias("rows"),
-        F.collect_set(F.when(~own, F.struct(start.alias("start"), F.col("c.window_len").alias("len")))).alias("found"),
+        F.collect_set(F.when(~own, place)).alias("found"),
         F.collect_set(F.when(~own, F.col("c.items"))).alias("items"),
     )
     result = per.select(
@@ -99,6 +111,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, br
     return result.drop("copy")
 
 
+def with_windows_shuffled(docs: DataFrame, tokens: DataFrame, width: int) -> DataFrame:
+    spread = docs.select("h1", "h2", words(F.col("text")).alias("w")).select("h1", "h2", "w", F.posexplode("w").alias("pos", "word"))
+    # the words around each place go along, not the whole document
+    near = sieved(spread, tokens.select(F.col("token").alias("word")).distinct()).select(
+        "h1", "h2", "pos", "word", F.size("w").alias("n_words"), F.slice("w", F.greatest(F.lit(1), F.col("pos") + 2 - width), F.lit(2 * width - 1)).alias("w"))
+    joined = near.join(tokens.select("token", F.struct("window_words", "offset", "window_len", "items").alias("c")), F.col("word") == F.col("token"))
+    hits = joined.filter(matches(F.col("n_words"), F.greatest(F.lit(0), F.col("pos") + 1 - width)))
+    place = F.struct((F.col("pos") - F.col("c.offset")).alias("start"), F.col("c.window_len").alias("len"))
+    per = hits.groupBy("h1", "h2").agg(F.collect_set(place).alias("found"), F.collect_set("c.items").alias("items"))
+    per = stored(per.select("h1", "h2", covered(F.col("found")).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten("items"))).alias("items")), "hits")
+    rows = docs.select("doc_id", "h1", "h2", F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    return rows.join(per, ["h1", "h2"], "left").select("doc_id", "h1", "h2", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
