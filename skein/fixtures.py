@@ -119,7 +119,7 @@ workspaces AS (SELECT DISTINCT lang AS id, lang AS name FROM documents),
 projects AS (SELECT DISTINCT pid AS id, source AS name, '/src/' || source AS root_path FROM d),
 workspace_projects AS (SELECT DISTINCT lang AS workspace_id, pid AS project_id FROM d),
 chunks AS (SELECT doc_id AS id, pid AS project_id, fp AS file_path, lang AS language, 'file' AS chunk_type, sym AS symbol_name, text AS content, sha256(text) AS content_hash, embedding, stamped AS updated_at FROM d LEFT JOIN embeddings ON vec_id = doc_id),
-facts AS (SELECT d.doc_id AS id, pid AS project_id, d.doc_id AS chunk_id, substr(text, 1, 40) AS title, substr(text, 1, 120) AS body, CASE WHEN d.doc_id % 13 <> 0 THEN fp END AS source, sym AS symbol_name, CASE WHEN toxic = 1 THEN 'rejected' WHEN quality = 1 THEN 'accepted' ELSE 'candidate' END AS status,
+facts AS (SELECT d.doc_id AS id, pid AS project_id, d.doc_id AS chunk_id, substr(text, 1, 40) AS title, text AS body, CASE WHEN d.doc_id % 13 <> 0 THEN fp END AS source, sym AS symbol_name, CASE WHEN toxic = 1 THEN 'rejected' WHEN quality = 1 THEN 'accepted' ELSE 'candidate' END AS status,
   CASE WHEN d.doc_id % 11 = 0 THEN '  ' ELSE substr(text, 1, 80) END AS evidence, sha256(text) AS content_hash, ((n_chars % 86 + 10) / 100.0)::DECIMAL(5, 2) AS confidence, embedding, stamped AS updated_at FROM d JOIN labels l ON l.doc_id = d.doc_id LEFT JOIN embeddings ON vec_id = d.doc_id),
 rules AS (SELECT * EXCLUDE (body, source), body AS description, source AS source_file FROM facts),
 knowledge AS (SELECT * EXCLUDE (body), body AS content, ['integration', 'pattern', 'technical_risk', 'architecture', 'configuration'][(id % 5)::INT + 1] AS kind FROM facts),

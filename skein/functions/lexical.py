@@ -1,31 +1,41 @@
-"""Full-text matching: tokens, web-style queries, term-frequency and cover-density ranks."""
+"""Full-text matching: tokens, stems, web-style queries and cover-density ranks."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 
 
-#: Endings that a light stemmer takes off, longest first.
-SUFFIXES = {"english": ("ingly", "edly", "ing", "ed", "ly", "es", "s"), "portuguese": ("mente", "ções", "ção", "ando", "endo", "ar", "er", "ir", "os", "as", "s")}
+#: The published rules of a stemmer for the inflections of English (Porter's steps 1 and 5), as patterns and
+#: what takes the place of a match, in order. C and V are runs of consonants and vowels.
+_C, _V = "[^aeiou][^aeiouy]*", "[aeiouy][aeiou]*"
+_SOME, _MANY, _VOWEL = f"(?:{_C})?{_V}{_C}", f"(?:{_C})?{_V}{_C}{_V}{_C}", f"(?:{_C})?[aeiouy]"
+ENGLISH = (
+    ("(ss|i)es$", "$1"), ("([^s])s$", "$1"),
+    (f"^({_SOME}.*)eed$", "$1ee"), (f"^({_VOWEL}.*)(?:(?<!e)ed|ing)$", "$1~"), ("(at|bl|iz)~$", "$1e"), ("([^aeioulsz])\\1~$", "$1"), (f"^({_C}[aeiouy][^aeiouwxy])~$", "$1e"), ("~", ""),
+    (f"^({_VOWEL}.*)y$", "$1i"),
+    (f"^({_MANY}.*)e$", "$1"), (f"^(?!{_C}[aeiouy][^aeiouwxy]e$)((?:{_C})?{_V}{_C}(?:{_V})?)e$", "$1"), (f"^(?={_MANY})(.*l)l$", "$1"),
+)
+#: Plural, adverb and verb endings of Portuguese, the same way.
+PORTUGUESE = (("(?:ões|ães)$", "ão"), ("ais$", "al"), ("éis$", "el"), ("óis$", "ol"), ("ns$", "m"), ("(r|z)es$", "$1"), ("([aeiouãé])s$", "$1"), ("(..)mente$", "$1"), ("(...)(?:ando|endo|indo|ado|ada|ido|ida|ar|er|ir)$", "$1"), ("(...)[aeo]$", "$1"))
+RULES = {"english": ENGLISH, "portuguese": PORTUGUESE}
 
 
-def ending(language: str) -> str:
-    return f"(?<=.{{3}})(?:{'|'.join(SUFFIXES[language])})$"
+def stemmed(word: Column, language: str = "english") -> Column:
+    """The stem of a lower-cased word; words of one or two letters are their own."""
+    stem = reduce(lambda w, rule: F.regexp_replace(w, *rule), RULES[language], word)
+    return F.when(F.length(word) > 2, stem).otherwise(word)
 
 
-def stemmed(word: Column, language: str = "english") -> Column:
-    """The word without one ending, if three letters stay."""
-    return F.regexp_replace(word, ending(language), "")
+def stem_of(word: str, language: str = "english") -> str:
+    """The same for one word."""
+    return reduce(lambda w, rule: re.sub(rule[0], rule[1].replace("$1", r"\g<1>"), w), RULES[language], word) if len(word) > 2 else word
 
 
 def stop_words(language: str) -> list[str]:
@@ -51,7 +61,7 @@ def websearch(query: str, language: str | None = None) -> list[list[tuple[bool,
             either = bool(groups)
             continue
         terms = [t for t in re.findall(r"[^\W_]+", (phrase or word).lower()) if t not in stops]
-        terms = [re.sub(ending(language), "", t) for t in terms] if language else terms
+        terms = [stem_of(t, language) for t in terms] if language else terms
         if not terms:
             continue
         if either:
@@ -79,18 +89,10 @@ def matches(words: Column, query: str, language: str | None = None) -> Column:
 def may_match(text: Column, query: str, language: str | None = None) -> Column:
     """A cheap condition that every text which fits the query meets: it holds the words somewhere."""
     low = F.lower(text)
+    # of a word at most its last four letters are not its stem's, of which the last may be changed
+    part = lambda t: t if language is None else t[: max(1, len(t) - 2)]
     needed = [group for group in websearch(query, language) if not any(neg for neg, _ in group)]
-    return reduce(lambda a, b: a & b, (reduce(lambda a, b: a | b, (reduce(lambda a, b: a & b, (low.contains(t) for t in terms)) for _, terms in group)) for group in needed), F.lit(True))
-
-
-def query_words(query: str, language: str | None = None) -> list[str]:
-    return sorted({t for group in websearch(query, language) for neg, terms in group if not neg for t in terms})
-
-
-def term_frequency(words: Column, query: str, language: str | None = None) -> Column:
-    """How many tokens are words of the query."""
-    wanted = query_words(query, language)
-    return F.size(F.filter(words, lambda t: t.isin(*wanted))) if wanted else F.lit(0)
+    return reduce(lambda a, b: a & b, (reduce(lambda a, b: a | b, (reduce(lambda a, b: a & b, (low.contains(part(t)) for t in terms)) for _, terms in group)) for group in needed), F.lit(True))
 
 
 def cover_density(positions: list[list[int]]) -> float:
@@ -108,16 +110,25 @@ def cover_density(positions: list[list[int]]) -> float:
     return total
 
 
-@F.pandas_udf(DoubleType())
-def cover_density_rank(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Cover density of the terms (second argument) in the token array (first)."""
-    for words, terms in batches:
-        out = []
-        for own, wanted in zip(words, terms, strict=True):
-            places: dict[str, list[int]] = {t: [] for t in (wanted if wanted is not None else ())}
-            for i, w in enumerate(own if own is not None else ()):
-                if w in places:
-                    places[w].append(i)
-            out.append(cover_density(list(places.values())))
-        yield pd.Series(out)
-
+def cover_density_rank(words: Column, query: str, language: str | None = None) -> Column:
+    """The same of a token array: each word of a phrase is a term, and of alternatives any is."""
+    terms: list[list[str]] = []
+    for group in websearch(query, language):
+        told = [words_ for neg, words_ in group if not neg]
+        if len(told) == 1:
+            terms += [[t] for t in told[0]]
+        elif told:
+            terms.append([t for words_ in told for t in words_])
+    if not terms:
+        return F.lit(0.0)
+    n = len(terms)
+    found = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda e: e["w"].isin(*{t for own in terms for t in own}))
+    begin = F.struct(F.lit(0.0).alias("total"), F.lit(-1).alias("begun"), F.array(*[F.lit(-1)] * n).alias("last"))
+
+    def step(a: Column, e: Column) -> Column:
+        last = F.array(*(F.when(e["w"].isin(*own), e["i"]).otherwise(a["last"][k]) for k, own in enumerate(terms)))
+        first = F.array_min(last)
+        new = first > a["begun"]
+        return F.struct((a["total"] + F.when(new, F.lit(float(n)) / (e["i"] - first + 1)).otherwise(0.0)).alias("total"), F.when(new, first).otherwise(a["begun"]).alias("begun"), last.alias("last"))
+
+    return F.aggregate(found, begin, step, lambda a: a["total"])

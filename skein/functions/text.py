@@ -21,7 +21,10 @@ TECHNICAL_WORDS = (
     "obtencao de", "obtenção de", "busca de", "consulta de", "retorna ", "criação de lista", "criacao de lista", "cria uma lista", "ienumerable", "task<ienumerable",
 )
 #: The words of a line worth reading.
-LINE_WORDS = (*RULE_WORDS[:7], *RULE_WORDS[10:], "Bloqueado", "Cancelado", "Vencido")
+LINE_WORDS = (
+    "não pode", "nao pode", "deve", "obrigatório", "obrigatorio", "inválido", "invalido", "ErroContext", "ErrosContext", "AdicionarErro", "AdicionaErro", "AddErro", "AddError", "AddFailure",
+    "AddNotification", "Notificar", "RuleFor", "Elegivel", "Elegível", "Permite", "Bloqueado", "Cancelado", "Vencido",
+)
 KINDS = ("integration", "pattern", "technical_risk", "architecture", "configuration")
 SPACES = r"(?U)\s+"
 

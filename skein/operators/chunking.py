@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MOST, LEAST, HEAD = 6_000, 40, 200
+#: The patterns of headings, batch ends and routines.
 HEADING = re.compile(r"(?m)^#{1,3}\s+(.+)$")
 BATCH = re.compile(r"(?im)^\s*GO\s*$")
 ROUTINE = re.compile(r"(?i)\b(?:create|alter)\s+(procedure|proc|view|function|trigger)\s+([\[\]\w.]+)")
@@ -147,6 +148,7 @@ def csharp_chunks(text: str) -> Iterator[Piece]:
             yield "type" if m["kind"] == "type" else "member", f"{name}.{m['name']}{m['parameters']}", body
 
 
+#: Fixed value: the pattern of a declaration.
 DECLARED = re.compile(r"(?m)^[ \t]*(?:(?:public|private|protected|internal|sealed|static|abstract|async|partial)\s+)+(class|interface|record|enum|struct|Task<[^>]+>|Task|void|[A-Za-z0-9_<>,]+)\s+([A-Za-z0-9_]+)\s*[(:{]")
 
 

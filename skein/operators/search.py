@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skein.functions.lexical import matches, may_match, term_frequency, tokens
+from skein.functions.lexical import cover_density_rank, matches, may_match, tokens
 from skein.functions.vector import cosine_distance
 from skein.operators.predicates import suffix_match
 from skein.operators.scope import Scope, in_scope, normal, scope_ids
@@ -34,8 +34,8 @@ def vector_topk(rows: DataFrame, query: Sequence[float], n: int, keep_null: bool
 
 
 def text_topk(rows: DataFrame, text: Column, query: str, n: int, language: str | None = None) -> DataFrame:
-    """id, score, rank of the n best matches by term frequency."""
-    found = rows.filter(may_match(text, query, language)).select("id", tokens(text, language).alias("words")).filter(matches(F.col("words"), query, language)).select("id", term_frequency(F.col("words"), query, language).alias("score"))
+    """id, score, rank of the n best matches by cover density."""
+    found = rows.filter(may_match(text, query, language)).select("id", tokens(text, language).alias("words")).filter(matches(F.col("words"), query, language)).select("id", F.round(cover_density_rank(F.col("words"), query, language), 9).alias("score"))
     order = F.col("score").desc(), F.col("id").asc()
     return ranked(found.orderBy(*order).limit(n), *order)
 
@@ -109,7 +109,9 @@ def char_budget(rows: DataFrame, most: int, key: list[str], length: Column, *tie
 
 def file_chunks(tables, path: str, scope: str | None = None, most: int = 20_000) -> DataFrame:
     """A file's chunks under a character budget."""
-    rows = in_scope(tables.chunks_text, scope_ids(tables, scope)).filter(suffix_match(F.col("file_path"), path)).withColumn("all", F.lit(1))
+    rows = in_scope(tables.chunks_text, scope_ids(tables, scope)).filter(suffix_match(F.col("file_path"), path))
+    # longest first, no row after most of them begins within most characters
+    rows = rows.orderBy(F.length("content").desc(), "id").limit(most).withColumn("all", F.lit(1))
     return char_budget(rows, most, ["all"], F.length("content"), "id").drop("all")
 
 

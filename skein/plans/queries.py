@@ -13,6 +13,7 @@ from skein.functions import lexical, vector
 from skein.functions import text as X
 from skein.operators import chunking, compress, extraction, graph, merge, predicates, reports, scope, search
 from skein.sources import config, embedding, files, tables
+from skein.sources.snapshot import Snapshot, scratch_dir
 from skein.streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,14 +53,17 @@ Q_VEC = "(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)"
 DIST = f"1 - list_cosine_similarity(embedding::DOUBLE[], {Q_VEC})"
 TOKENS = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
 CHUNK_TEXT = "concat_ws(' ', symbol_name, file_path, content)"
-SCORE = "len(list_filter(w, lambda x: x IN ('thble', 'thatin')))"
+#: Cover density of one term, or of any of some; and of two terms, whose minimal covers are neighbouring places of both.
+EVENTS = "list_filter(list_transform(w, lambda x, i: CASE x WHEN 'thble' THEN i WHEN 'thatin' THEN -i END), lambda x: x IS NOT NULL)"
+TWO = "round(list_sum(list_transform(range(1, len(e)), lambda j: CASE WHEN e[j] * e[j + 1] < 0 THEN 2.0::DOUBLE / (abs(e[j + 1]) - abs(e[j]) + 1) ELSE 0 END)), 9)"
+ONE = "len(list_filter(w, lambda x: x IN ({})))::DOUBLE"
 
 
-def hybrid(rows: str, text: str, columns: str, keep_null: bool = False, terms: str = "list_contains(w, 'thble') AND list_contains(w, 'thatin')") -> str:
+def hybrid(rows: str, text: str, columns: str, keep_null: bool = False, terms: str = "list_contains(w, 'thble') AND list_contains(w, 'thatin')", score: str = TWO) -> str:
     return f""", base AS ({rows}),
 vec AS (SELECT id, row_number() OVER (ORDER BY dist NULLS LAST, id) AS r FROM (SELECT id, {DIST} AS dist FROM base {'' if keep_null else 'WHERE embedding IS NOT NULL'}) ORDER BY dist NULLS LAST, id LIMIT 100),
-tok AS (SELECT id, {TOKENS.format(text)} AS w FROM base),
-txt AS (SELECT id, row_number() OVER (ORDER BY s DESC, id) AS r FROM (SELECT id, {SCORE} AS s FROM tok WHERE {terms}) ORDER BY s DESC, id LIMIT 100),
+tok AS (SELECT id, w, {EVENTS} AS e FROM (SELECT id, {TOKENS.format(text)} AS w FROM base)),
+txt AS (SELECT id, row_number() OVER (ORDER BY s DESC, id) AS r FROM (SELECT id, {score} AS s FROM tok WHERE {terms}) ORDER BY s DESC, id LIMIT 100),
 best AS (SELECT id, coalesce(1.0::DOUBLE / (60.0::DOUBLE + vec.r), 0) + coalesce(1.0::DOUBLE / (60.0::DOUBLE + txt.r), 0) AS rrf_score FROM vec FULL OUTER JOIN txt USING (id) ORDER BY rrf_score DESC, id LIMIT 10)
 SELECT b.id, p.name AS project, {columns}, round(rrf_score, 6) AS rrf_score FROM best JOIN base b USING (id) LEFT JOIN projects p ON p.id = b.project_id"""
 
@@ -80,12 +84,12 @@ def rrf_search(t):
 FACTS = "title, {} symbol_name, status, evidence, confidence::DOUBLE AS confidence"
 
 
-@query(hybrid("SELECT * FROM rules WHERE status <> 'rejected'", "concat_ws(' ', title, description, evidence)", FACTS.format("description, source_file,"), terms="list_contains(w, 'the')").replace("IN ('thble', 'thatin')", "IN ('the')"))
+@query(hybrid("SELECT * FROM rules WHERE status <> 'rejected'", "concat_ws(' ', title, description, evidence)", FACTS.format("description, source_file,"), terms="list_contains(w, 'the')", score=ONE.format("'the'")))
 def rrf_rules(t):
     return rounded(search.search_rules(t, query_vector(t), "the", K).withColumn("confidence", F.col("confidence").cast("double")), "rrf_score")
 
 
-@query(hybrid("SELECT * FROM knowledge WHERE status <> 'rejected'", "concat_ws(' ', title, content, evidence)", "kind, " + FACTS.format("content, source,"), terms="list_contains(w, 'the') OR list_contains(w, 'and')").replace("IN ('thble', 'thatin')", "IN ('the', 'and')"))
+@query(hybrid("SELECT * FROM knowledge WHERE status <> 'rejected'", "concat_ws(' ', title, content, evidence)", "kind, " + FACTS.format("content, source,"), terms="list_contains(w, 'the') OR list_contains(w, 'and')", score=ONE.format("'the', 'and'")))
 def rrf_knowledge(t):
     return rounded(search.search_knowledge(t, query_vector(t), "the OR and", K).withColumn("confidence", F.col("confidence").cast("double")), "rrf_score")
 
@@ -95,7 +99,7 @@ def vector_topk(t):
     return rounded(search.vector_topk(t.chunks, query_vector(t), 100), "distance")
 
 
-@query(f"SELECT id, s AS score, row_number() OVER (ORDER BY s DESC, id) AS rank FROM (SELECT id, {SCORE} AS s FROM (SELECT id, {TOKENS.format('content')} AS w FROM chunks) WHERE list_contains(w, 'thble')) ORDER BY s DESC, id LIMIT 100".replace("IN ('thble', 'thatin')", "IN ('thble')"))
+@query(f"SELECT id, s AS score, row_number() OVER (ORDER BY s DESC, id) AS rank FROM (SELECT id, {ONE.format("'thble'")} AS s FROM (SELECT id, {TOKENS.format('content')} AS w FROM chunks) WHERE list_contains(w, 'thble')) ORDER BY s DESC, id LIMIT 100")
 def text_topk(t):
     return search.text_topk(t.chunks_text, F.col("content"), "thble", 100)
 
@@ -120,10 +124,25 @@ def fts_match(t):
     return t.raw("documents").filter(lexical.matches(lexical.tokens(F.col("text")), 'thble OR la "of the" -thatin')).select("doc_id")
 
 
-@query()
+@query(f"SELECT doc_id, round(s, 6) AS score FROM (SELECT doc_id, {TWO} AS s FROM (SELECT doc_id, w, {EVENTS} AS e FROM (SELECT doc_id, {TOKENS.format('text')} AS w FROM documents)) WHERE list_contains(w, 'thble') AND list_contains(w, 'thatin'))")
 def ts_rank_cd(t):
     found = t.raw("documents").select("doc_id", lexical.tokens(F.col("text")).alias("w")).filter(lexical.matches(F.col("w"), TERMS))
-    return found.select("doc_id", F.round(lexical.cover_density_rank("w", F.array(*map(F.lit, lexical.query_words(TERMS)))), 6).alias("score"))
+    return found.select("doc_id", F.round(lexical.cover_density_rank(F.col("w"), TERMS), 6).alias("score"))
+
+
+#: Words and their published stems.
+STEMS = {
+    "caresses": "caress", "ponies": "poni", "pony": "poni", "ties": "ti", "caress": "caress", "cats": "cat", "agreed": "agre", "feed": "feed", "plastered": "plaster", "bled": "bled", "motoring": "motor", "sing": "sing",
+    "conflated": "conflat", "troubled": "troubl", "sized": "size", "hopping": "hop", "hoping": "hope", "tanned": "tan", "falling": "fall", "hissing": "hiss", "fizzed": "fizz", "failing": "fail", "filing": "file", "happy": "happi",
+    "sky": "sky", "class": "class", "classes": "class", "address": "address", "addresses": "address", "process": "process", "processes": "process", "processing": "process", "searches": "search", "search": "search", "rate": "rate",
+    "cease": "ceas", "probate": "probat", "controlling": "control", "rolling": "roll", "is": "is",
+}
+
+
+@query(f"SELECT doc_id, word, stem FROM documents, (VALUES {', '.join(str(x) for x in STEMS.items())}) v(word, stem) WHERE doc_id % 10 = length(word) % 10")
+def stems(t):
+    words = t.raw("documents").select("doc_id", F.explode(F.array(*map(F.lit, STEMS))).alias("word")).filter(F.col("doc_id") % 10 == F.length("word") % 10)
+    return words.select("doc_id", "word", lexical.stemmed(F.col("word")).alias("stem"))
 
 
 @query()
@@ -608,9 +627,10 @@ def _code(t):
 
 @query(""", m AS (SELECT id, project, CASE id % 4 WHEN 0 THEN 'Cliente ' || id || ' não pode comprar' WHEN 1 THEN 'Campo ' || (id % 3) || ' deve existir' WHEN 2 THEN 'Pedido ' || id || ' cancelado' END AS message, CASE id % 4 WHEN 0 THEN 0.88 WHEN 1 THEN 0.78 ELSE 0.84 END::DOUBLE AS confidence,
 CASE id % 4 WHEN 0 THEN 'throw new My.BusinessException("Cliente ' || id || ' não pode comprar.")' WHEN 1 THEN 'x.WithMessage("Campo ' || (id % 3) || ' deve existir")' ELSE 'AddErro<T>(a, "Pedido ' || id || ' cancelado")' END AS evidence FROM (SELECT c.id, p.name AS project FROM chunks c JOIN projects p ON p.id = c.project_id))
-SELECT id AS chunk_id, message AS title, message || '.' AS description, evidence, sha256(project || '|rule|' || lower(message)) AS content_hash, confidence FROM m WHERE message IS NOT NULL""")
+SELECT id AS chunk_id, message AS title, message || '.' AS description, evidence, sha256(project || '|rule|' || lower(message)) AS content_hash, confidence FROM m WHERE message IS NOT NULL
+UNION ALL SELECT id, line, line || '.', line, sha256(project || '|rule|' || lower(line)), 0.64 FROM (SELECT id, project, regexp_replace(trim(unnest(string_split(@, chr(10)))), ';$', '') AS line FROM m WHERE id % 4 <> 3)""".replace("@", CODE))
 def extract_rules(t):
-    found = extraction.extract_rules(_code(t)).filter(F.col("pass") < 3)
+    found = extraction.extract_rules(_code(t))
     return found.select("chunk_id", "title", "description", "evidence", "content_hash", F.col("confidence").cast("double").alias("confidence"))
 
 
@@ -687,6 +707,24 @@ def csharp_chunks(t):
     return chunking.chunk_files(_as_files(t, _csharp(t), "csharp")).select("path", "seq", "chunk_type", "symbol_name")
 
 
+LONG_CSHARP = "using System;\nnamespace Shop.Core\n{{\n    public class Big{0}\n    {{\n        public int Size {{ get; set; }}\n        public void First(string to) {{ Log(to); /*#*/ }}\n        private bool Second() => Check(); /*#*/\n        public class Inner {{ }}\n    }}\n}}\n"
+
+
+@query("SELECT doc_id::VARCHAR AS path, seq::INT AS seq, kind AS chunk_type, 'Shop.Core.Big' || doc_id || '.' || name AS symbol_name FROM documents, (VALUES (0, 'member', 'Size'), (1, 'member', 'First(string to)'), (2, 'member', 'Second()'), (3, 'type', 'Inner')) v(seq, kind, name)")
+def csharp_member_chunks(t):
+    text = F.replace(F.replace(F.lit(LONG_CSHARP.format("@")), F.lit("#"), F.repeat(F.lit("-"), 4000)), F.lit("@"), F.col("doc_id").cast("string"))
+    return chunking.chunk_files(_as_files(t, text, "csharp")).select("path", "seq", "chunk_type", "symbol_name")
+
+
+@query("SELECT doc_id::VARCHAR AS path, seq::INT AS seq, 'member' AS chunk_type, name || doc_id AS symbol_name, sha256(name || doc_id) AS told FROM documents, (VALUES (0, 'Load'), (1, 'Save')) v(seq, name)")
+def csharp_regex_chunks(t):
+    """A text without a type: each declaration to the next; what stands before the first goes."""
+    n = F.col("doc_id").cast("string")
+    text = F.concat(F.lit("// a fragment without a type, as in a note\n  private async Task<int> Load"), n, F.lit("(int id)\n  { return await Find(id, 1, 2, 3); }\npublic void Save"), n, F.lit("(Order order)\n{ Store(order, 1, 2, 3, 4, 5, 6); }\n"))
+    found = chunking.chunk_files(_as_files(t, text, "csharp"))
+    return found.select("path", "seq", "chunk_type", "symbol_name", F.sha2(F.regexp_extract("content", r"(\w+)\((?:int id|Order order)\)", 1), 256).alias("told"))
+
+
 @query()
 def chunk_documents(t):
     return chunking.chunk_files(t.raw("documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.lit("markdown").alias("language"), F.col("text").alias("content")))
@@ -777,16 +815,16 @@ def watch_sessions(t):
     return watch.sessions(t.watch_events, "1 hour").select("path", F.unix_micros("start").alias("start_us"), "events")
 
 
-@query()
+@query("SELECT DISTINCT doc_id::VARCHAR AS file_path, sha256(text) AS content_hash FROM documents WHERE doc_id IS NOT NULL")
 def watch_upsert(t):
-    """A stream of the documents, applied batch by batch to an empty snapshot."""
-    import tempfile
+    """A stream of the documents, merged batch by batch into an empty snapshot."""
     import uuid
 
     spark = t.spark
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='skein-')}"
-    out = f"{root}/skein/watch-{uuid.uuid4().hex}"
-    source = t.raw("documents")
+    root = f"{scratch_dir(spark)}/skein/watch-{uuid.uuid4().hex}"
+    source, store = t.raw("documents"), Snapshot(spark, f"{root}/tables")
+    known = source.select(F.lit(1).alias("project_id"), F.col("doc_id").cast("string").alias("file_path"), F.sha2("text", 256).alias("content_hash"), F.col("text").alias("content"))
+    read = lambda paths: known.join(paths.withColumnRenamed("path", "file_path"), "file_path").distinct()
     stream = spark.readStream.schema(source.schema).parquet(f"{t.sf_dir}/documents.parquet*").select(F.col("doc_id").cast("string").alias("path"))
-    watch.watch(stream, lambda paths, number: paths.write.mode("overwrite").parquet(f"{out}/batch={number}"), f"{out}-state", once=True).awaitTermination()
-    return spark.read.schema("path string, batch int").parquet(out).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    watch.watch(stream, lambda paths, number: store.write("chunks", watch.apply_batch(paths, store.read("chunks"), read)), f"{root}/state", once=True).awaitTermination()
+    return store.read("chunks").select("file_path", "content_hash")

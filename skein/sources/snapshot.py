@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.schemas import TABLES
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; only a local master may do without spark.checkpoint.dir."""
+    if told := spark.conf.get("spark.checkpoint.dir", None):
+        return told
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"file://{tempfile.mkdtemp(prefix='skein-')}"
+
+
 class Snapshot:
     """The logical tables under one folder of any file system that Spark reads; a table not yet written is empty."""
 

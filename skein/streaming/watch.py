@@ -43,13 +43,15 @@ def apply_batch(batch: DataFrame, stored: DataFrame, read: Callable[[DataFrame],
 
 
 def watch(events: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, pause: str = PAUSE, once: bool = False) -> StreamingQuery:
-    """Runs handle on each micro-batch's distinct paths; a batch that fails is logged and passed over."""
+    """Runs handle on each micro-batch's distinct paths; a batch that fails is logged and passed over, and its paths are
+    added to the table <checkpoint>-failed, from which they can be told again."""
 
     def safe(batch: DataFrame, number: int) -> None:
         try:
             handle(changed_paths(batch), number)
         except Exception:
             logging.getLogger(__name__).exception("batch %d was passed over", number)
+            changed_paths(batch).withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{checkpoint}-failed")
 
     writer = events.writeStream.foreachBatch(safe).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=pause)).start()

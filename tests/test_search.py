@@ -48,7 +48,7 @@ def test_cover_density():
 
 def test_stemming(spark):
     df = spark.createDataFrame([("running",), ("as",), ("walked",)], "w string")
-    assert [r[0] for r in df.select(lexical.stemmed(F.col("w"))).collect()] == ["runn", "as", "walk"]
+    assert [r[0] for r in df.select(lexical.stemmed(F.col("w"))).collect()] == ["run", "as", "walk"]
 
 
 def test_budget(spark):
