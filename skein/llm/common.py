@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,9 +42,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_local_folder()}"
 
 
+#: Folders below which stored() writes, the innermost last.
+_scopes: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet in the shared folder and read again: cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/skein/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/skein/{''.join(_scopes)}{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -90,7 +96,24 @@ def semi(df: DataFrame, keys: DataFrame, on: list[str], inverse: bool = False) -
     return sieve(df, on[0], inverse=True).unionByName(joined) if inverse else joined
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[None]:
+    """What stored() writes within is deleted at the end; by then all that is made of it has to be written."""
+    scope = f"passing-{uuid.uuid4().hex}/"
+    _scopes.append(scope)
+    try:
+        yield
+    finally:
+        folder = f"{shared_dir(spark)}/skein/{''.join(_scopes)}"
+        _scopes.pop()
+        delete(spark, folder)
+
+
 def forget(spark: SparkSession) -> None:
     """Deletes every intermediate table in the shared folder; results that still read them are void."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/skein")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, f"{shared_dir(spark)}/skein")

@@ -157,3 +157,80 @@ def test_html(spark):
     found = {r["page_id"]: r for r in html_extract.extract(pages).collect()}
     assert found[1]["text"] == found[2]["text"] == "" and found[None]["text"] == "A long text, with words. And & more of it, too." and found[None]["n_chars"] == 47
     assert html_extract.extract(empty(spark, pages)).count() == 0
+
+
+def test_intermediate_tables_pass(spark):
+    from pathlib import Path
+
+    from skein.llm import common
+
+    folder = Path(common.shared_dir(spark).removeprefix("file://")) / "skein"
+    with common.passing_tables(spark):
+        found = common.stored(spark.range(3), "three")
+        with common.passing_tables(spark):
+            common.stored(found, "inner")
+        assert found.count() == 3 and len(list(folder.glob("passing-*/three-*"))) == 1 and not list(folder.glob("passing-*/passing-*"))
+    assert not list(folder.glob("passing-*"))
+
+
+PIPELINE_LABELS = [(900 + i, 0, int(i % 2 == 0)) for i in range(20)]
+
+
+@pytest.fixture(scope="module")
+def pipeline_tables(spark, tmp_path_factory):
+    """The tables beside documents, with repeated and null labels and items."""
+    folder = tmp_path_factory.mktemp("pipeline")
+    spark.createDataFrame([*PIPELINE_LABELS, (900, 0, 1), (None, 1, 1), (1, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, "sat on the mat and then it ran away from the big", "x"), (2, None, "x"), (3, "", "x"), (None, "tie tie tie", "x")], "item_id long, text string, w string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def stage(spark, name, docs, folder):
+    import corpus_pipeline
+
+    out = dict(corpus_pipeline.STAGES)[name](spark, docs, folder)
+    return out.columns, sorted((r.asDict() for r in out.collect()), key=repr)
+
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+@pytest.mark.parametrize("name", ["toxicity", "near join", "suffix dedup", "decontamination", "bpe"])
+def test_pipeline_stages_of_empty_tables(spark, docs, pipeline_tables, name):
+    columns, found = stage(spark, name, empty(spark, docs), pipeline_tables)
+    assert found == [] and columns[:5] == COLUMNS and (name == "bpe") == (len(columns) > 5)
+
+
+def test_pipeline_toxicity(spark, docs, pipeline_tables):
+    """Null, empty, very long and repeated rows that say nothing stay as they are; toxic ones go, all copies of them."""
+    toxic = spark.createDataFrame([(50, "You idiot. You stupid idiot. Idiot, you!", "en", "a", 9)] * 2 + [(51, LONG + " you idiot scum, you worthless idiot, you moron", "en", "a", 9)], SCHEMA)
+    columns, found = stage(spark, "toxicity", docs.unionByName(toxic, allowMissingColumns=True), pipeline_tables)
+    assert columns == COLUMNS and [tuple(r.values()) for r in found] == [tuple(r.values()) for r in sorted((dict(zip(COLUMNS, r, strict=True)) for r in ROWS), key=repr)]
+
+
+def test_pipeline_near_join(spark, docs, pipeline_tables):
+    """Of equal rows and of near copies the least stays; wordless texts are classes of their own, but equal wordless rows are one."""
+    blank = spark.createDataFrame([(4, "  \n\t ", "en", "a", None), (2, None, "en", None, 3), (8, "  \n\t ", "en", "a", None)], SCHEMA)
+    columns, found = stage(spark, "near join", docs.unionByName(blank, allowMissingColumns=True), pipeline_tables)
+    ids = [r["doc_id"] for r in found]
+    assert columns == COLUMNS and sorted(ids, key=repr) == sorted([1, 2, 3, 4, 8, None, 5, 7, 7], key=repr)
+    assert [r["lang"] for r in found if r["doc_id"] == 5] == ["en"]
+
+
+def test_pipeline_suffix_dedup(spark, docs, pipeline_tables):
+    """Null and short texts stay as they are; texts of which nothing but white space is left go."""
+    columns, found = stage(spark, "suffix dedup", docs, pipeline_tables)
+    assert columns == COLUMNS and [(r["doc_id"], r["text"]) for r in found] == [(r["doc_id"], r["text"]) for r in sorted((dict(zip(COLUMNS, r, strict=True)) | {"n_chars": None if r[1] is None else len(r[1])} for r in ROWS if r[1] != LONG), key=repr)]
+    assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in found)
+
+
+def test_pipeline_decontamination(spark, docs, pipeline_tables):
+    """Every row that holds a window goes, equal ones alike, the rest stays as it is."""
+    columns, found = stage(spark, "decontamination", docs, pipeline_tables)
+    assert columns == COLUMNS and [tuple(r.values()) for r in found] == [tuple(r.values()) for r in sorted((dict(zip(COLUMNS, r, strict=True)) for r in ROWS if r[0] not in (1, None)), key=repr)]
+
+
+def test_pipeline_bpe(spark, docs, pipeline_tables):
+    columns, found = stage(spark, "bpe", docs, pipeline_tables)
+    codec = bpe.Codec(bpe.vocabulary_path())
+    assert columns == [*COLUMNS, "token_ids", "round_trip", "n_tokens"] and len(found) == len(ROWS) and all(r["round_trip"] and r["token_ids"] == codec.encode(r["text"]) and r["n_tokens"] == len(r["token_ids"]) for r in found)
