@@ -40,8 +40,8 @@ GRAM = 64
 DIGIT = 8
 #: Starts of one slice of a long text; suffixes that a task sorts at once; and those of one gram that it may have.
 SLICE = 1 << 22
-AT_ONCE = 1 << 20
-LOCAL = 1 << 21
+AT_ONCE = 1 << 18
+LOCAL = 1 << 19
 
 
 def keyed(docs: DataFrame, carried: list[str]) -> DataFrame:
@@ -118,10 +118,11 @@ SPANS = "gram long, hot boolean, alone boolean, d1 long, d2 long, place int, lo
 def suffix_groups(data: np.ndarray, starts: np.ndarray, group: np.ndarray, depth: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """The radix sort: of the suffixes of data at starts, in groups, those that share their first depth bytes with others of
     their group, in the order of group and bytes, and numbers that say which are equal. depth: a multiple of DIGIT."""
-    padded = np.concatenate([data, np.zeros(DIGIT, np.uint8)]).astype(np.uint64)
+    padded = np.concatenate([data, np.zeros(DIGIT, np.uint8)])
     digits = np.zeros(len(data), np.uint64)
     for k in range(DIGIT):  # the DIGIT bytes from each place on, as one number
-        digits = (digits << np.uint64(8)) | padded[k : k + len(data)]
+        digits <<= np.uint64(8)
+        digits |= padded[k : k + len(data)]
     order = np.argsort(group, kind="stable")
     at, told = starts[order], group[order]
     for done in range(-1, depth // DIGIT):

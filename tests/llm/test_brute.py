@@ -95,13 +95,43 @@ def test_repeats(spark, texts):
 
 
 def test_repeats_of_hot_grams(spark, texts, monkeypatch):
-    """Suffixes of grams that are too many for a task are told apart in the cluster; in small tasks, and in slices."""
+    """Suffixes of grams that are too many for a task are told apart in the cluster."""
     monkeypatch.setattr(suffix_dedup, "LOCAL", 150)
-    monkeypatch.setattr(suffix_dedup, "AT_ONCE", 100)
-    monkeypatch.setattr(suffix_dedup, "SLICE", 333)
     test_repeats(spark, texts)
 
 
+def test_buckets_are_sorted_alike_in_any_portions(monkeypatch):
+    rng = random.Random(7)
+    parts = [rng.randbytes(150) for _ in range(6)]
+    rows = []
+    for gram in range(40):
+        for k in range(rng.randint(1, 6)):
+            rows.append({"gram": gram, "hot": False, "alone": rng.random() < 0.8, "d1": len(rows), "d2": 7, "place": 136, "lo": 5 * k, "span": b"".join(rng.choice(parts) for _ in range(2))[rng.randint(0, 3) :]})
+    schema = pa.schema([("gram", pa.int64()), ("hot", pa.bool_()), ("alone", pa.bool_()), ("d1", pa.int64()), ("d2", pa.int64()), ("place", pa.int32()), ("lo", pa.int32()), ("span", pa.binary())])
+    whole = pa.RecordBatch.from_pylist(rows, schema)
+    told = lambda batches: sorted(tuple(r.values()) for b in suffix_dedup.sort_buckets(iter(batches)) for r in b.to_pylist())
+    want = []
+    seen = Counter((r["gram"], r["place"] - s, r["span"][s : s + 200]) for r in rows for s in range(len(r["span"]) - 199))
+    for r in rows:
+        starts = [s for s in range(len(r["span"]) - 199) if r["alone"] and seen[r["gram"], r["place"] - s, r["span"][s : s + 200]] > 1]
+        for s in starts:
+            if s - 1 not in starts:
+                want.append((r["d1"], 7, r["lo"] + s, r["lo"] + next(e for e in range(s, 400) if e + 1 not in starts)))
+    assert told([whole]) == sorted(want) and want
+    monkeypatch.setattr(suffix_dedup, "AT_ONCE", 150)
+    assert told([whole.slice(k, 7) for k in range(0, len(rows), 7)]) == sorted(want) == told([whole])
+
+
+def test_slices_of_long_texts(monkeypatch):
+    text = random.Random(5).randbytes(1000)
+    batch = pa.RecordBatch.from_pylist([{"data": text, "d1": 1, "d2": 2}, {"data": b"", "d1": 3, "d2": 4}, {"data": text[:300], "d1": 5, "d2": 6}], pa.schema([("data", pa.binary()), ("d1", pa.int64()), ("d2", pa.int64())]))
+    starts = lambda: sorted((r["d1"], s, r["at"]) for b in suffix_dedup.find_runs([batch]) for r in b.to_pylist() for s in range(r["lo"], r["hi"] + 1))
+    whole = starts()
+    assert [x[:2] for x in whole] == [(1, s) for s in range(801)] + [(5, s) for s in range(101)]
+    monkeypatch.setattr(suffix_dedup, "SLICE", 33)
+    assert starts() == whole
+
+
 def test_suffix_groups_are_in_order():
     rng = np.random.default_rng(3)
     data = rng.integers(97, 99, 3000).astype(np.uint8)
