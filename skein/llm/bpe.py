@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, IntegerType
 
-from skein.llm.common import table
+from skein.llm.common import bounded_batches, table
 
 LONG = 128
 #: Words whose results are kept, and words encoded side by side.
@@ -333,6 +333,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), np.int32)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), lists, pa.array(same, pa.bool_())], [*kept, "token_ids", "round_trip"])
 
+    bounded_batches(docs.sparkSession)
     return docs.select(*kept).mapInArrow(run, docs.select(*kept).schema.add("token_ids", ArrayType(IntegerType())).add("round_trip", "boolean"))
 
 
@@ -360,6 +361,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                 second.append(hashlib.sha256(data.decode("utf-8", "replace").encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(first), pa.array(second)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 

@@ -21,6 +21,9 @@ NEAR_SIMILARITY = 0.8
 BITS_A_KEY, MOST_BITS = 16, 1 << 28
 BITMAP = 1 << 15
 
+#: Bytes of a batch for Python workers, the setting that bounds them, and Spark's own value of it.
+BATCH_BYTES, BATCH_SETTING, SPARK_BATCH = 12 << 20, "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -53,6 +56,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Python workers get BATCH_BYTES at a time, and one row at least, unless the session says otherwise than Spark."""
+    if spark.conf.get(BATCH_SETTING, SPARK_BATCH) == SPARK_BATCH:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 def words(text: Column) -> Column:
     """The words of a text (A-Z lower-cased); a null text has none."""
     lowered = F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower())

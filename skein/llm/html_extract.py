@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm.common import table
+from skein.llm.common import bounded_batches, table
 from skein.llm.html_pages import MAIN_NAMES, SIDE_NAMES, labelled_pages
 
 #: Labelled pages that the model is fitted on.
@@ -326,6 +326,7 @@ def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
                 texts = [model.text(x.as_py()) for x in batch.column("html")]
                 yield pa.RecordBatch.from_arrays([batch.column("page_id").cast(pa.int64()), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
+    bounded_batches(pages.sparkSession)
     return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import table, utf8
+from skein.llm.common import bounded_batches, table, utf8
 from skein.llm.samples import fold, picked_ids
 
 FOLDS, HELD_OUT = 3, 1
@@ -204,6 +204,7 @@ def identified(docs: DataFrame, network: Network | None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([whole.column("doc_id").slice(at, end - at).cast(pa.int64()), pa.array(told, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
                 at = end
 
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 

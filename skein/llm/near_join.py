@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm.anchors import MIX, mixed
-from skein.llm.common import NEAR_SIMILARITY, NEAR_WORDS, key_filter, stored, table, windows, words
+from skein.llm.common import NEAR_SIMILARITY, NEAR_WORDS, bounded_batches, key_filter, stored, table, windows, words
 from skein.llm.components import components
 
 #: Trees, minhashes of a signature (a byte each), and the shortest prefix.
@@ -268,6 +268,7 @@ def row_keyed(docs: DataFrame) -> DataFrame:
 def near_classes(docs: DataFrame, similarity: float = NEAR_SIMILARITY, recall: float = RECALL) -> DataFrame:
     """doc_id, d1, d2 (row key), r1, r2 (class key), class_id (least doc_id), n_links (other texts within the
     similarity), n_copies."""
+    bounded_batches(docs.sparkSession)
     docs = row_keyed(docs.select("doc_id", "text"))
     signed = stored(shingled(docs, "doc_id", "d1", "d2").mapInArrow(*sign(TREES)), "signed")
     some = signed.filter("n > 0")

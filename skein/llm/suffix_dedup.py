@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import anchors
-from skein.llm.common import key_filter, stored, table, utf8
+from skein.llm.common import bounded_batches, key_filter, stored, table, utf8
 
 WINDOW = 200
 GRAM = 64
@@ -257,6 +257,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
 def dedup_bytes(docs: DataFrame, *carried: str) -> DataFrame:
     """doc_id, the carried columns, n_bytes, n_removed, n_spans, kept_sha256, kept (text) per document row."""
+    bounded_batches(docs.sparkSession)
     docs = keyed(docs, list(carried))
     spans = stored(repeated_spans(docs), "cuts")
     sieve = key_filter(spans, "d1", spans.count())

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import table
+from skein.llm.common import bounded_batches, table
 from skein.llm.samples import bounded_texts, fold, picked_ids
 
 #: At most so many labelled documents of each kind to learn from, and so many bytes of texts of each.
@@ -333,6 +333,7 @@ def scored(docs: DataFrame, scorer: Scorer) -> DataFrame:
             scores = [scorer.score(x.as_py()) for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(scores, pa.float64())], [*kept, "toxicity"])
 
+    bounded_batches(docs.sparkSession)
     return docs.select(*kept).mapInArrow(run, docs.select(*kept).schema.add("toxicity", "double"))
 
 

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from skein.llm.anchors import mixed
 from skein.llm.bpe import Codec, id_codec, vocabulary_path
-from skein.llm.common import shared_dir, stored, table
+from skein.llm.common import bounded_batches, shared_dir, stored, table
 
 SEQUENCE = 512
 SHARD = 1 << 14
@@ -252,6 +252,7 @@ def read_slots(spark: SparkSession, path: str, first: int, last: int, form: Form
 
 def materialise(docs: DataFrame, path: str, vocabulary: str, key: int = KEY, shard: int = SHARD) -> DataFrame:
     """Writes the shards under path; returns the manifest."""
+    bounded_batches(docs.sparkSession)
     form = form_of(vocabulary)
     rows = encoded(docs, vocabulary, form)
     n = -(-(rows.agg(F.sum("n")).head()[0] or 0) // SEQUENCE)
