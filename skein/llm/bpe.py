@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, IntegerType
 
-from skein.llm.common import bounded_batches, table
+from skein.llm.common import bounded_batches, kept_for, table, trimmed
 
 LONG = 128
 #: Words whose results are kept, and words encoded side by side.
@@ -312,6 +312,10 @@ def id_codec(path: str) -> IdCodec:
     return IdCodec(path)
 
 
+kept_for(__name__, codec.cache_clear)
+kept_for("skein.llm.training_order", id_codec.cache_clear)
+
+
 def _rows(batches: Iterator[pa.RecordBatch], path: str, packed: bool):
     for whole in batches:
         for at in range(0, whole.num_rows, 1000):
@@ -323,6 +327,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """The columns of docs, token_ids array<int> and round_trip, whether they decode to the text."""
     kept = [c for c in docs.columns if c not in ("token_ids", "round_trip")]
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, found in _rows(batches, path, True):
             parts, same = [], []
@@ -341,6 +346,7 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     """The columns of encoded and decoded string, from token_ids."""
     kept = [c for c in encoded.columns if c != "decoded"]
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [codec(path, True).decode(ids or []) for ids in batch.column("token_ids").to_pylist()]
@@ -352,6 +358,7 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens and SHA-256 of ids and decoded text, without carrying both through the engine."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, found in _rows(batches, path, False):
             n, first, second = [], [], []

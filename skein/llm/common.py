@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +64,39 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
 
 
+#: What a worker keeps for later tasks: the module whose tasks use it, and how it is dropped.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def kept_for(module: str, drop: Callable[[], None]) -> None:
+    """Tasks of other modules call drop before they begin: a Python worker serves one stage after the other."""
+    _kept[module] = drop
+
+
+def make_room(module: str = "") -> None:
+    """Drops what other modules keep, if one is named, and gives free memory back to the system."""
+    for owner, drop in _kept.items():
+        if module not in ("", owner):
+            drop()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def trimmed(run: Callable) -> Callable:
+    """run over batches, with room made before and after."""
+
+    @functools.wraps(run)
+    def whole(batches):
+        make_room(run.__module__)
+        try:
+            yield from run(batches)
+        finally:
+            make_room()
+
+    return whole
+
+
 def words(text: Column) -> Column:
     """The words of a text (A-Z lower-cased); a null text has none."""
     lowered = F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower())

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm.common import bounded_batches, table
+from skein.llm.common import bounded_batches, table, trimmed
 from skein.llm.html_pages import MAIN_NAMES, SIDE_NAMES, labelled_pages
 
 #: Labelled pages that the model is fitted on.
@@ -319,6 +319,7 @@ def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """page_id, url, text, n_chars per page row."""
     model = model or fitted()
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):

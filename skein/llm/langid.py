@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import bounded_batches, table, utf8
+from skein.llm.common import bounded_batches, table, trimmed, utf8
 from skein.llm.samples import fold, picked_ids
 
 FOLDS, HELD_OUT = 3, 1
@@ -185,6 +185,7 @@ def fitted(documents: DataFrame) -> Network | None:
 def identified(docs: DataFrame, network: Network | None) -> DataFrame:
     """doc_id, lang_pred, score."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             texts, at = whole.column("text").to_pylist(), 0

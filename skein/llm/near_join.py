@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm.anchors import MIX, mixed
-from skein.llm.common import NEAR_SIMILARITY, NEAR_WORDS, bounded_batches, key_filter, stored, table, windows, words
+from skein.llm.common import NEAR_SIMILARITY, NEAR_WORDS, bounded_batches, key_filter, stored, table, trimmed, windows, words
 from skein.llm.components import components
 
 #: Trees, minhashes of a signature (a byte each), and the shortest prefix.
@@ -49,6 +49,7 @@ def sign(trees: int, depth: int = DEPTH):
     """Python over (doc_id, d1, d2, shingles): the set's 128-bit key, size, and its signature in each tree."""
     times = multipliers(trees * depth)
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
@@ -100,6 +101,7 @@ def chosen_depths(sizes: np.ndarray, similarity: float, recall: float) -> np.nda
 def choose(trees: int, similarity: float, recall: float):
     """Python over (shared: tree, depth, size, node): the nodes at which each set cuts its paths."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for begin in range(0, whole.num_rows, 2000):
@@ -207,6 +209,7 @@ def compare(similarity: float):
         return pa.RecordBatch.from_arrays(
             [pa.array(np.concatenate(p)) for p in ((s1[some], s1[x]), (s2[some], s2[x]), (none, s1[y]), (none, s2[y]), (links[some], np.zeros(len(x), np.int64)))], ["s1", "s2", "t1", "t2", "links"])
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, key = [], None
         for batch in batches:

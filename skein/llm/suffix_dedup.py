@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import anchors
-from skein.llm.common import bounded_batches, key_filter, stored, table, utf8
+from skein.llm.common import bounded_batches, key_filter, stored, table, trimmed, utf8
 
 WINDOW = 200
 GRAM = 64
@@ -72,6 +72,7 @@ def laid(held: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(parts), np.uint8), np.cumsum([len(p) for p in parts]), np.array(rows), np.array(at)
 
 
+@trimmed
 def find_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The gram of each anchor."""
     for batch in batches:
@@ -80,6 +81,7 @@ def find_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(hashed(at, at + GRAM).astype(np.int64))], ["gram"])
 
 
+@trimmed
 def find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each anchor with its run: a hash of its gram, one of all that the run spans and of the gram's place in it, and
     the text, the gram's place there, and the run's first and last start."""
@@ -99,6 +101,7 @@ def find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 RUNS = "gram long, c1 long, c2 long, d1 long, d2 long, at int, lo int, hi int"
 
 
+@trimmed
 def cut_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the runs of each text."""
     for batch in batches:
@@ -142,6 +145,7 @@ def suffix_groups(data: np.ndarray, starts: np.ndarray, group: np.ndarray, depth
     return at, told
 
 
+@trimmed
 def sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of SPANS sorted by gram: the starts (first, last) whose windows are found again, of runs that stand alone."""
 
@@ -188,6 +192,7 @@ def sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 STARTS = "d1 long, d2 long, lo int, hi int"
 
 
+@trimmed
 def hash_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of SPANS, all digits of each suffix as one, with the gram and the offset."""
     for batch in batches:
@@ -215,6 +220,7 @@ def kept_bytes(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, i
     return b"".join([*parts, data[done:]]), removed, runs
 
 
+@trimmed
 def remove_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for at in range(0, whole.num_rows, 500):

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import bounded_batches, table
+from skein.llm.common import bounded_batches, table, trimmed
 from skein.llm.samples import bounded_texts, fold, picked_ids
 
 #: At most so many labelled documents of each kind to learn from, and so many bytes of texts of each.
@@ -328,6 +328,7 @@ def scored(docs: DataFrame, scorer: Scorer) -> DataFrame:
     """The columns of docs and toxicity double."""
     kept = [c for c in docs.columns if c != "toxicity"]
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = [scorer.score(x.as_py()) for x in batch.column("text")]

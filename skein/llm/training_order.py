@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from skein.llm.anchors import mixed
 from skein.llm.bpe import Codec, id_codec, vocabulary_path
-from skein.llm.common import bounded_batches, shared_dir, stored, table
+from skein.llm.common import bounded_batches, shared_dir, stored, table, trimmed
 
 SEQUENCE = 512
 SHARD = 1 << 14
@@ -88,6 +88,7 @@ def binaries(ends: np.ndarray, data: np.ndarray) -> pa.Array:
 def encode(vocabulary: str, form: Form):
     """Python over (doc_id, text, file, block), a file's rows in their order: place in the split, count and ids of each row."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, seen = None, 0
         for whole in batches:
@@ -144,6 +145,7 @@ def cut(n: int, key: int, form: Form, shard: int):
             rows.append((int(shards[a]), b - a, len(raw), codec.compress(raw, asbytes=True)))
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["shard", "parts", "size", "packed"])
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, end = [], 0, None
         for whole in batches:
@@ -180,6 +182,7 @@ def assemble(n: int, form: Form, shard: int):
     def records(k: int, table: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(table), k)), binaries(np.arange(1, len(table) + 1) * stride, table.ravel())], ["shard", "record"])
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, table = None, None
         for batch in batches:

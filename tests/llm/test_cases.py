@@ -234,3 +234,13 @@ def test_pipeline_bpe(spark, docs, pipeline_tables):
     columns, found = stage(spark, "bpe", docs, pipeline_tables)
     codec = bpe.Codec(bpe.vocabulary_path())
     assert columns == [*COLUMNS, "token_ids", "round_trip", "n_tokens"] and len(found) == len(ROWS) and all(r["round_trip"] and r["token_ids"] == codec.encode(r["text"]) and r["n_tokens"] == len(r["token_ids"]) for r in found)
+
+
+def test_tasks_of_other_modules_drop_what_a_worker_keeps():
+    from skein.llm import common
+
+    path, uses = bpe.vocabulary_path(), lambda module: type("Run", (), {"__module__": module, "__call__": lambda self, batches: iter(batches)})()
+    kept = bpe.codec(path, True)
+    list(common.trimmed(uses("skein.llm.bpe"))([1]))
+    assert bpe.codec(path, True) is kept
+    assert list(common.trimmed(uses("skein.llm.suffix_dedup"))([1, 2])) == [1, 2] and bpe.codec(path, True) is not kept
