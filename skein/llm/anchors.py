@@ -9,7 +9,7 @@ U = np.uint64
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 MIX = U(0xD6E8FEB86659FD93)
 #: Bytes hashed at once, about; longer texts are hashed in slices, which leaves 24 bits enough for places.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def _byte_values(seed: int) -> np.ndarray:

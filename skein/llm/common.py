@@ -24,7 +24,7 @@ BITS_A_KEY, MOST_BITS = 16, 1 << 28
 BITMAP = 1 << 15
 
 #: Bytes of a batch for Python workers, the setting that bounds them, and Spark's own value of it.
-BATCH_BYTES, BATCH_SETTING, SPARK_BATCH = 12 << 20, "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+BATCH_BYTES, BATCH_SETTING, SPARK_BATCH = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -39,7 +39,7 @@ WINDOW = 200
 GRAM = 64
 DIGIT = 8
 #: Starts of one slice of a long text; suffixes that a task sorts at once; and those of one gram that it may have.
-SLICE = 1 << 22
+SLICE = 1 << 19
 AT_ONCE = 1 << 18
 LOCAL = 1 << 19
 
