@@ -51,9 +51,10 @@ def shared_dir(spark: SparkSession) -> str:
 _scopes: list[str] = []
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet in the shared folder and read again: cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/skein/{''.join(_scopes)}{name}-{uuid.uuid4().hex}"
+def stored(df: DataFrame, name: str, outside: bool = False) -> DataFrame:
+    """df, written as Parquet in the shared folder and read again: cuts lineage and survives lost executors. outside: it
+    outlives the innermost passing_tables()."""
+    path = f"{shared_dir(df.sparkSession)}/skein/{''.join(_scopes[: len(_scopes) - outside])}{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skein.llm import bpe, decontamination, html_extract, langid, near_join, quality, suffix_dedup, toxicity, training_order, urls
+from skein.llm import bpe, decontamination, html_extract, langid, mixing, near_join, quality, resampling, suffix_dedup, toxicity, training_order, urls, vector_codes
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_quality_rules": quality.op8_quality_rules,
         "op9_bpe": bpe.op9_bpe,
         "op10_html_extraction": html_extract.op10_html_extraction,
+        "op11_mixing": mixing.op11_mixing,
+        "op12_importance_resampling": resampling.op12_importance_resampling,
+        "op13_vector_codes": vector_codes.op13_vector_codes,
     }
 
 
@@ -27,4 +30,7 @@ def oracle_sql() -> dict[str, str]:
         "op3_url_filters": urls.OP3_SQL,
         "op5_suffix_array_dedup": suffix_dedup.OP5_SQL,
         "op8_quality_rules": quality.OP8_SQL,
+        "op11_mixing": mixing.OP11_SQL,
+        "op12_importance_resampling": resampling.OP12_SQL,
+        "op13_vector_codes": vector_codes.OP13_SQL,
     }
