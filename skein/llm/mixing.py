@@ -100,10 +100,10 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: int = SHAR
 
 def emitted(docs: DataFrame, goals: DataFrame, seed: int = SEED) -> DataFrame:
     """The mix itself: every row of docs as often as the source's target asks. goals: of rates()."""
-    rows = with_rates(docs, goals)
-    copies = copies_of(F.col("mx_source_size"), F.col("mx_target"), draw_of(F.col("doc_id"), F.col("text"), seed))
+    rows = with_rates(docs.select(F.struct("*").alias("row"), "source"), goals)
+    copies = copies_of(F.col("mx_source_size"), F.col("mx_target"), draw_of(F.col("row.doc_id"), F.col("row.text"), seed))
     often = F.when(copies > 0, F.sequence(F.lit(1).cast("long"), copies)).otherwise(F.array().cast("array<bigint>"))
-    return rows.select(*(F.col(c) for c in docs.columns), F.explode(often).alias("mx_copy")).drop("mx_copy")
+    return rows.select("row", F.explode(often)).select("row.*")
 
 
 def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,7 +41,7 @@ def bucketed(texts: pa.Array, buckets: int, longest: int) -> Iterator[tuple[np.n
     runs = words
     for n in range(1, longest + 1):
         if n > 1:
-            runs = pc.binary_join_element_wise(runs[: max(0, len(runs) - 1)], words[n - 1 :], " ")
+            runs = pc.binary_join_element_wise(runs[: max(0, len(runs) - 1)], words[n - 1 :], pa.scalar(" ", words.type))
         whole = owner[: max(0, len(owner) - n + 1)] == owner[n - 1 :]
         found = runs.filter(pa.array(whole)).dictionary_encode()
         places = np.fromiter((zlib.crc32(w) % buckets for w in found.dictionary.cast(pa.large_binary()).to_pylist()), np.int64, len(found.dictionary))
