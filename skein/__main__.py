@@ -28,7 +28,8 @@ def index(tables: Snapshot, root: str, project: str, workspace: str, stages: lis
     if "chunks" in stages:
         found = read_tree(spark, root, git_paths(root))
         files = found.withColumn("path", F.regexp_replace("path", "^.*?" + "".join(f"\\{c}" if not c.isalnum() else c for c in root.rstrip("/")) + "/", ""))
-        tables.write("chunks", indexing.index_chunks(tables.chunks, tables.projects, files, key, project, now))
+        tables.store.write(*indexing.index_changes(tables.chunks, tables.projects, files, key, project, now))
+        tables.store.compact()
         symbols, relations = indexing.index_symbols(files, tables.chunks, key)
         tables.write("symbols", tables.symbols.filter(F.col("project_id") != key).unionByName(symbols.select(*tables.symbols.columns)))
         tables.write("relations", merge.insert_ignore(tables.relations, relations, ["source_id", "target_id", "relation"]))

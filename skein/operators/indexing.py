@@ -26,11 +26,15 @@ def new_chunks(files: DataFrame, project_id: int, project: str, now: datetime, e
     return once.select(key.alias("id"), F.lit(project_id).alias("project_id"), F.col("path").alias("file_path"), "language", "chunk_type", "symbol_name", "content", "content_hash", embedded(text, embed).alias("embedding"), F.lit(now).cast("timestamp").alias("updated_at"))
 
 
-def index_chunks(stored: DataFrame, projects: DataFrame, files: DataFrame, project_id: int, project: str, now: datetime, embed: Embed | None = None) -> DataFrame:
-    """The chunks after one project was indexed: migrations and tests go, new ones are merged in, orphans go."""
-    kept = predicates.indexable(stored, projects)
-    merged = merge.upsert_chunks(kept.select(*stored.columns), new_chunks(files, project_id, project, now, embed)).select(*stored.columns)
-    return merge.delete_orphans(merged, files.select(F.col("path").alias("file_path")), project_id)
+def index_changes(stored: DataFrame, projects: DataFrame, files: DataFrame, project_id: int, project: str, now: datetime, embed: Embed | None = None) -> tuple[DataFrame, DataFrame]:
+    """What indexing one project puts into the stored chunks, and which files (project_id, file_path) it takes away: those
+    that hold migrations or tests, and those of the project that are no longer there, if any file is."""
+    where = ["project_id", "file_path"]
+    known = stored.select(*where).distinct()
+    unfit = predicates.unfit_files(stored, projects).select(*where)
+    present = files.select(F.lit(project_id).alias("project_id"), F.col("path").alias("file_path")).distinct()
+    gone = unfit if files.isEmpty() else unfit.unionByName(known.filter(F.col("project_id") == project_id).join(present, where, "left_anti"))
+    return new_chunks(files, project_id, project, now, embed), gone.distinct()
 
 
 def index_symbols(files: DataFrame, chunks: DataFrame, project_id: int) -> tuple[DataFrame, DataFrame]:

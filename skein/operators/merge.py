@@ -24,8 +24,12 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str], overwrite: lis
     return both.select(*keys, *map(pick, rest), action.alias("action"))
 
 
+#: What a chunk is known by, and what an upsert of it overwrites.
+CHUNK_KEY, CHUNK_OVERWRITE = ["project_id", "file_path", "content_hash"], ["content", "embedding", "updated_at"]
+
+
 def upsert_chunks(target: DataFrame, source: DataFrame) -> DataFrame:
-    return upsert(target, source, ["project_id", "file_path", "content_hash"], ["content", "embedding", "updated_at"])
+    return upsert(target, source, CHUNK_KEY, CHUNK_OVERWRITE)
 
 
 def upsert_projects(target: DataFrame, source: DataFrame) -> DataFrame:

@@ -124,10 +124,14 @@ def test_files(chunks: DataFrame, projects: DataFrame, marker: Column | None = N
     return told.unionByName(marked_files(chunks, test_marker() if marker is None else marker)).distinct()
 
 
+def unfit_files(chunks: DataFrame, projects: DataFrame, migration: Column | None = None, test: Column | None = None) -> DataFrame:
+    """Files that are migrations or tests."""
+    return marked_files(chunks, migration_marker() if migration is None else migration).unionByName(test_files(chunks, projects, test)).distinct()
+
+
 def indexable(chunks: DataFrame, projects: DataFrame, migration: Column | None = None, test: Column | None = None) -> DataFrame:
     """Chunks of files that are neither migrations nor tests."""
-    out = marked_files(chunks, migration_marker() if migration is None else migration).unionByName(test_files(chunks, projects, test))
-    return chunks.join(out.distinct(), FILE, "left_anti")
+    return chunks.join(unfit_files(chunks, projects, migration, test), FILE, "left_anti")
 
 
 def anti_prefix(files: DataFrame, folders: DataFrame, path: str = "path", folder: str = "folder") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,8 @@ from skein.functions import lexical, vector
 from skein.functions import text as X
 from skein.operators import chunking, compress, extraction, graph, merge, predicates, reports, scope, search
 from skein.sources import config, embedding, files, tables
-from skein.sources.snapshot import Snapshot, scratch_dir
+from skein.sources.folders import scratch_dir
+from skein.sources.store import ChunkStore
 from skein.streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -815,16 +817,35 @@ def watch_sessions(t):
     return watch.sessions(t.watch_events, "1 hour").select("path", F.unix_micros("start").alias("start_us"), "events")
 
 
-@query("SELECT DISTINCT doc_id::VARCHAR AS file_path, sha256(text) AS content_hash FROM documents WHERE doc_id IS NOT NULL")
+def _scratch(t, name: str) -> str:
+    return f"{scratch_dir(t.spark)}/skein/{name}-{uuid.uuid4().hex}"
+
+
+@query("""SELECT doc_id::VARCHAR AS file_path, sha256(text) AS content_hash, text AS content FROM documents WHERE doc_id % 5 <> 0
+UNION ALL SELECT doc_id::VARCHAR, sha256('v2 ' || text), 'v2 ' || text FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 3 = 0""")
 def watch_upsert(t):
-    """A stream of the documents, merged batch by batch into an empty snapshot."""
-    import uuid
-
-    spark = t.spark
-    root = f"{scratch_dir(spark)}/skein/watch-{uuid.uuid4().hex}"
-    source, store = t.raw("documents"), Snapshot(spark, f"{root}/tables")
-    known = source.select(F.lit(1).alias("project_id"), F.col("doc_id").cast("string").alias("file_path"), F.sha2("text", 256).alias("content_hash"), F.col("text").alias("content"))
-    read = lambda paths: known.join(paths.withColumnRenamed("path", "file_path"), "file_path").distinct()
-    stream = spark.readStream.schema(source.schema).parquet(f"{t.sf_dir}/documents.parquet*").select(F.col("doc_id").cast("string").alias("path"))
-    watch.watch(stream, lambda paths, number: store.write("chunks", watch.apply_batch(paths, store.read("chunks"), read)), f"{root}/state", once=True).awaitTermination()
-    return store.read("chunks").select("file_path", "content_hash")
+    """A stream of paths over three states of the documents: all are there, some are edited, some vanish. An edited file
+    keeps the chunks of its former content."""
+    root, docs, spark = _scratch(t, "watch"), t.raw("documents"), t.spark
+    store = ChunkStore(spark, f"{root}/chunks")
+    states = [("true", docs), ("doc_id % 3 = 0", docs.withColumn("text", F.concat(F.lit("v2 "), "text"))), ("doc_id % 5 = 0", docs.filter("doc_id % 5 <> 0"))]
+    for step, (changed, now) in enumerate(states):
+        docs.filter(changed).select(F.col("doc_id").cast("string").alias("path")).write.mode("append").parquet(f"{root}/events")
+        files = now.select(F.col("doc_id").alias("id"), F.lit(1).alias("project_id"), F.col("doc_id").cast("string").alias("file_path"), F.sha2("text", 256).alias("content_hash"), F.col("text").alias("content"), F.timestamp_seconds(F.lit(step)).alias("updated_at"))
+        read = lambda paths, files=files: files.join(paths.withColumnRenamed("path", "file_path"), "file_path")
+        stream = spark.readStream.schema("path string").parquet(f"{root}/events")
+        watch.watch(stream, lambda paths, number, read=read: watch.apply_batch(paths, store, read, 1, number, delete_vanished=True, compact=2), f"{root}/state", once=True).awaitTermination()
+    return store.read().select("file_path", "content_hash", "content")
+
+
+@query(f"""{NEW}, u AS (SELECT project_id, file_path, content_hash, CASE WHEN t.id IS NULL THEN s.language ELSE t.language END AS language, CASE WHEN s.nid IS NULL THEN t.content ELSE s.content END AS content FROM tgt t FULL OUTER JOIN src s USING (project_id, file_path, content_hash))
+SELECT project_id, file_path, content_hash, language, md5(content) AS digest FROM u WHERE project_id % 3 <> 0 UNION ALL SELECT project_id, file_path, content_hash, language, md5(content) FROM src WHERE project_id % 6 = 0""")
+def store_merge(t):
+    """The chunks after four batches: all, an upsert, and files taken away of which some are put again."""
+    target, source = _chunk_merge(t)
+    store = ChunkStore(t.spark, _scratch(t, "store"))
+    store.write(target)
+    store.compact()
+    store.write(source)
+    store.write(source.filter("project_id % 6 = 0"), target.filter("project_id % 3 = 0"))
+    return store.read().select("project_id", "file_path", "content_hash", "language", F.md5(F.col("content").cast("binary")).alias("digest"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from skein.operators.merge import upsert_chunks
+from skein.sources.store import ChunkStore
 
 PAUSE = "500 milliseconds"
 
@@ -30,16 +30,17 @@ def sessions(events: DataFrame, gap: str = PAUSE) -> DataFrame:
     return events.groupBy("path", F.session_window("ts", gap)).agg(F.count(F.lit(1)).alias("events")).select("path", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "events")
 
 
-def apply_batch(batch: DataFrame, stored: DataFrame, read: Callable[[DataFrame], DataFrame], delete_vanished: bool = False) -> DataFrame:
-    """The chunks after a batch of events. read turns paths into chunks; paths that it can't read are passed over, or,
-    as an extension, their chunks go."""
-    paths = changed_paths(batch)
+def apply_batch(paths: DataFrame, store: ChunkStore, read: Callable[[DataFrame], DataFrame], project_id: int, number: int | None = None, delete_vanished: bool = False, compact: int = 8) -> None:
+    """Changes the stored chunks of one project by a batch of paths. read turns paths into chunks; paths that it can't read
+    are passed over, or, as an extension, their chunks go. Only the paths' buckets are written; one that so many batches
+    have changed is compacted."""
     fresh = read(paths)
-    out = upsert_chunks(stored, fresh).drop("action").select(*stored.columns)
+    gone = None
     if delete_vanished:
-        gone = paths.join(fresh.select(F.col("file_path").alias("path")).distinct(), "path", "left_anti")
-        out = out.join(gone.select(F.col("path").alias("file_path")), "file_path", "left_anti").select(*stored.columns)
-    return out
+        there = fresh.select(F.col("file_path").alias("path")).distinct()
+        gone = paths.join(there, "path", "left_anti").select(F.lit(project_id).alias("project_id"), F.col("path").alias("file_path"))
+    store.write(fresh, gone, number)
+    store.compact(compact)
 
 
 def watch(events: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, pause: str = PAUSE, once: bool = False) -> StreamingQuery:

@@ -7,6 +7,7 @@ from skein.api import Engine
 from skein.fixtures import Tables
 from skein.operators import graph, merge, predicates, reports, scope, search
 from skein.sources import config, embedding, files
+from skein.sources.store import ChunkStore
 from skein.streaming import watch
 
 CHUNK = "id long, project_id int, file_path string, content string, content_hash string, language string, embedding array<float>, updated_at timestamp"
@@ -124,10 +125,15 @@ def test_source_tree(spark, tmp_path):
 def test_watch(spark, tmp_path):
     events = spark.createDataFrame([("a", None), ("a", None), ("b", "c")], "path string, old_path string")
     assert sorted(r[0] for r in watch.changed_paths(events).collect()) == ["a", "b", "c"]
-    stored = spark.createDataFrame([(1, 1, "a", "old", "h1", "x", None, None), (2, 1, "c", "old", "h2", "x", None, None)], CHUNK)
     fresh = spark.createDataFrame([(3, 1, "a", "new", "h9", "y", None, None)], CHUNK)
-    after = lambda **how: sorted((r["file_path"], r["content_hash"]) for r in watch.apply_batch(events, stored, lambda paths: fresh, **how).collect())
-    assert after() == [("a", "h1"), ("a", "h9"), ("c", "h2")] and after(delete_vanished=True) == [("a", "h1"), ("a", "h9")]
+
+    def after(folder, **how):
+        store = ChunkStore(spark, str(tmp_path / folder), buckets=4)
+        store.write(spark.createDataFrame([(1, 1, "a", "old", "h1", "x", None, None), (2, 1, "c", "old", "h2", "x", None, None)], CHUNK))
+        watch.apply_batch(watch.changed_paths(events), store, lambda paths: fresh, 1, **how)
+        return sorted((r["file_path"], r["content_hash"]) for r in store.read().collect())
+
+    assert after("s1") == [("a", "h1"), ("a", "h9"), ("c", "h2")] and after("s2", delete_vanished=True) == [("a", "h1"), ("a", "h9")]
     events.select("path").write.parquet(str(tmp_path / "in"))
     seen = []
 
