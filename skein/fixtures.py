@@ -42,12 +42,23 @@ class Tables:
     def chunks(self) -> DataFrame:
         return self._with_vectors(self.chunks_text)
 
+    def _bodies(self, body: str) -> DataFrame:
+        """The texts of facts, which are stored apart from what is told of them here."""
+        return self.raw("documents").select(F.col("doc_id").alias("id"), title(), F.col("text").alias(body), evidence())
+
+    @property
+    def rules_bodies(self) -> DataFrame:
+        return self._bodies("description")
+
+    @property
+    def knowledge_bodies(self) -> DataFrame:
+        return self._bodies("content")
+
     def _facts(self) -> DataFrame:
         status = F.when(F.col("toxic") == 1, "rejected").when(F.col("quality") == 1, "accepted").otherwise("candidate")
-        evidence = F.when(F.col("doc_id") % 11 == 0, F.lit("  ")).otherwise(F.substring("text", 1, 80))
         return self.raw("documents").join(self.raw("labels"), "doc_id").select(
-            F.col("doc_id").alias("id"), project_id().alias("project_id"), F.col("doc_id").alias("chunk_id"), F.substring("text", 1, 40).alias("title"), F.col("text").alias("body"),
-            F.when(F.col("doc_id") % 13 != 0, file_path()).alias("source"), symbol_name().alias("symbol_name"), status.alias("status"), evidence.alias("evidence"), F.sha2("text", 256).alias("content_hash"),
+            F.col("doc_id").alias("id"), project_id().alias("project_id"), F.col("doc_id").alias("chunk_id"), title(), F.col("text").alias("body"),
+            F.when(F.col("doc_id") % 13 != 0, file_path()).alias("source"), symbol_name().alias("symbol_name"), status.alias("status"), evidence(), F.sha2("text", 256).alias("content_hash"),
             ((F.col("n_chars") % 86 + 10) / 100).cast("decimal(5,2)").alias("confidence"), stamp("doc_id").alias("updated_at"),
         )
 
@@ -108,6 +119,14 @@ def symbol_name():
     return F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("ns.Sym"), (F.col("doc_id") % 97).cast("string")))
 
 
+def title():
+    return F.substring("text", 1, 40).alias("title")
+
+
+def evidence():
+    return F.when(F.col("doc_id") % 11 == 0, F.lit("  ")).otherwise(F.substring("text", 1, 80)).alias("evidence")
+
+
 def stamp(column: str):
     return F.timestamp_seconds(F.lit(1_704_067_200) + F.col(column) * 60)
 

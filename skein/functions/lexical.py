@@ -110,8 +110,9 @@ def cover_density(positions: list[list[int]]) -> float:
     return total
 
 
-def cover_density_rank(words: Column, query: str, language: str | None = None) -> Column:
-    """The same of a token array: each word of a phrase is a term, and of alternatives any is."""
+def cover_terms(query: str, language: str | None = None) -> list[list[str]]:
+    """The terms that a cover must hold, each with its alternatives: each word of a phrase is a term, and of alternatives
+    any is."""
     terms: list[list[str]] = []
     for group in websearch(query, language):
         told = [words_ for neg, words_ in group if not neg]
@@ -119,10 +120,14 @@ def cover_density_rank(words: Column, query: str, language: str | None = None) -
             terms += [[t] for t in told[0]]
         elif told:
             terms.append([t for words_ in told for t in words_])
+    return terms
+
+
+def covers(found: Column, terms: list[list[str]]) -> Column:
+    """The cover density of terms whose occurrences are found, in order: an array of (place i, word w)."""
     if not terms:
         return F.lit(0.0)
     n = len(terms)
-    found = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda e: e["w"].isin(*{t for own in terms for t in own}))
     begin = F.struct(F.lit(0.0).alias("total"), F.lit(-1).alias("begun"), F.array(*[F.lit(-1)] * n).alias("last"))
 
     def step(a: Column, e: Column) -> Column:
@@ -132,3 +137,10 @@ def cover_density_rank(words: Column, query: str, language: str | None = None) -
         return F.struct((a["total"] + F.when(new, F.lit(float(n)) / (e["i"] - first + 1)).otherwise(0.0)).alias("total"), F.when(new, first).otherwise(a["begun"]).alias("begun"), last.alias("last"))
 
     return F.aggregate(found, begin, step, lambda a: a["total"])
+
+
+def cover_density_rank(words: Column, query: str, language: str | None = None) -> Column:
+    """The cover density of a token array."""
+    terms = cover_terms(query, language)
+    wanted = {t for own in terms for t in own}
+    return covers(F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda e: e["w"].isin(*wanted)), terms) if terms else F.lit(0.0)

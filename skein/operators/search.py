@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -13,6 +14,9 @@ from skein.functions.vector import cosine_distance
 from skein.operators.predicates import suffix_match
 from skein.operators.scope import Scope, in_scope, normal, scope_ids
 
+if TYPE_CHECKING:
+    from skein.operators.postings import TextIndex
+
 RRF = 60.0
 
 
@@ -33,9 +37,10 @@ def vector_topk(rows: DataFrame, query: Sequence[float], n: int, keep_null: bool
     return ranked(rows.select("id", cosine_distance(F.col("embedding"), query).alias("distance")).orderBy(*order).limit(n), *order)
 
 
-def text_topk(rows: DataFrame, text: Column, query: str, n: int, language: str | None = None) -> DataFrame:
-    """id, score, rank of the n best matches by cover density."""
+def text_topk(rows: DataFrame, text: Column, query: str, n: int, language: str | None = None, live: DataFrame | None = None) -> DataFrame:
+    """id, score, rank of the n best matches by cover density; live: of these ids (id) alone."""
     found = rows.filter(may_match(text, query, language)).select("id", tokens(text, language).alias("words")).filter(matches(F.col("words"), query, language)).select("id", F.round(cover_density_rank(F.col("words"), query, language), 9).alias("score"))
+    found = found if live is None else found.join(live.select("id"), "id", "left_semi")
     order = F.col("score").desc(), F.col("id").asc()
     return ranked(found.orderBy(*order).limit(n), *order)
 
@@ -60,32 +65,51 @@ def fact_text(body: str) -> Column:
     return F.concat_ws(" ", "title", body, "evidence")
 
 
-def _hybrid(tables, vectors: DataFrame, rows: DataFrame, text: Column, query: Sequence[float], words: str, k: int, columns: list[str], language: str | None, keep_null: bool = False) -> DataFrame:
-    """vectors and rows: the same rows, with vectors and with text."""
-    best = fused(vector_topk(vectors, query, candidates(k), keep_null), text_topk(rows, text, words, candidates(k), language), k)
+def _hybrid(tables, vectors: DataFrame, matched: DataFrame, rows: DataFrame, query: Sequence[float], k: int, columns: list[str], keep_null: bool = False) -> DataFrame:
+    """vectors: id and embedding of the rows that may be found; matched: the best of them by text; rows: what is shown. The
+    k ids are found first, from narrow rows; whole rows are read for them alone, by a filter that reaches the scans."""
+    best = fused(vector_topk(vectors, query, candidates(k), keep_null), matched, k).collect()
     projects = tables.projects.select(F.col("id").alias("project_id"), F.col("name").alias("project"))
-    # at most k rows on the left
-    return F.broadcast(best).join(rows, "id").join(projects, "project_id", "left").select("id", "project", *columns, "rrf_score").orderBy(F.col("rrf_score").desc(), "id")
+    scores = tables.spark.createDataFrame(best, "id long, rrf_score double")
+    found = rows.filter(F.col("id").isin(*(r["id"] for r in best)) if best else F.lit(False))
+    return F.broadcast(scores).join(found, "id").join(projects, "project_id", "left").select("id", "project", *columns, "rrf_score").orderBy(F.col("rrf_score").desc(), "id")
 
 
-def search(tables, query: Sequence[float], words: str, k: int = 10, language: str | None = None) -> DataFrame:
-    """Over all chunks, with or without a vector."""
-    return _hybrid(tables, tables.chunks, tables.chunks_text, chunk_text(), query, words.strip(), k, ["file_path", "symbol_name", "content"], language, keep_null=True)
+def search(tables, query: Sequence[float], words: str, k: int = 10, language: str | None = None, index: TextIndex | None = None) -> DataFrame:
+    """Over all chunks, with or without a vector. index: of chunk_text(), in place of reading the texts."""
+    matched = index.topk(words.strip(), candidates(k)) if index else text_topk(tables.chunks_text, chunk_text(), words.strip(), candidates(k), language)
+    return _hybrid(tables, tables.chunks, matched, tables.chunks_text, query, k, ["file_path", "symbol_name", "content"], keep_null=True)
 
 
-def search_code(tables, query: Sequence[float], words: str, k: int = 10, scope: str | None = None, language: str | None = None) -> DataFrame:
+def search_code(tables, query: Sequence[float], words: str, k: int = 10, scope: str | None = None, language: str | None = None, index: TextIndex | None = None) -> DataFrame:
     own = Scope(scope_ids(tables, scope))
-    return _hybrid(tables, own(tables.chunks), own(tables.chunks_text), chunk_text(), query, words.strip(), k, ["file_path", "language", "chunk_type", "symbol_name", "content"], language)
-
+    rows = own(tables.chunks_text)
+    matched = index.topk(words.strip(), candidates(k), rows) if index else text_topk(rows, chunk_text(), words.strip(), candidates(k), language)
+    return _hybrid(tables, own(tables.chunks), matched, rows, query, k, ["file_path", "language", "chunk_type", "symbol_name", "content"])
 
-def search_rules(tables, query: Sequence[float], words: str, k: int = 10, scope: str | None = None, language: str | None = None) -> DataFrame:
-    own, live = Scope(scope_ids(tables, scope)), F.col("status") != "rejected"
-    return _hybrid(tables, own(tables.rules.filter(live)), own(tables.rules_text.filter(live)), fact_text("description"), query, words.strip(), k, ["title", "description", "source_file", "symbol_name", "status", "evidence", "confidence"], language)
 
-
-def search_knowledge(tables, query: Sequence[float], words: str, k: int = 10, scope: str | None = None, language: str | None = None) -> DataFrame:
-    own, live = Scope(scope_ids(tables, scope)), F.col("status") != "rejected"
-    return _hybrid(tables, own(tables.knowledge.filter(live)), own(tables.knowledge_text.filter(live)), fact_text("content"), query, words.strip(), k, ["kind", "title", "content", "source", "symbol_name", "status", "evidence", "confidence"], language)
+def _search_facts(tables, name: str, body: str, query: Sequence[float], words: str, k: int, scope: str | None, language: str | None, index: TextIndex | None, columns: list[str]) -> DataFrame:
+    own = Scope(scope_ids(tables, scope))
+    live = lambda rows: own(rows.filter(F.col("status") != "rejected"))
+    rows = live(getattr(tables, f"{name}_text"))
+    bodies = getattr(tables, f"{name}_bodies", None)
+    if index:
+        matched = index.topk(words.strip(), candidates(k), rows)
+    elif bodies is None:
+        matched = text_topk(rows, fact_text(body), words.strip(), candidates(k), language)
+    else:  # texts are apart from what is told of them: only the ids and scores of matches are joined
+        matched = text_topk(bodies, fact_text(body), words.strip(), candidates(k), language, rows)
+    return _hybrid(tables, live(getattr(tables, name)), matched, rows, query, k, columns)
+
+
+def search_rules(tables, query: Sequence[float], words: str, k: int = 10, scope: str | None = None, language: str | None = None, index: TextIndex | None = None) -> DataFrame:
+    """index: of fact_text("description")."""
+    return _search_facts(tables, "rules", "description", query, words, k, scope, language, index, ["title", "description", "source_file", "symbol_name", "status", "evidence", "confidence"])
+
+
+def search_knowledge(tables, query: Sequence[float], words: str, k: int = 10, scope: str | None = None, language: str | None = None, index: TextIndex | None = None) -> DataFrame:
+    """index: of fact_text("content")."""
+    return _search_facts(tables, "knowledge", "content", query, words, k, scope, language, index, ["kind", "title", "content", "source", "symbol_name", "status", "evidence", "confidence"])
 
 
 def related_files(tables, query: Sequence[float], k: int = 10, scope: str | None = None, exclude: str | None = None) -> DataFrame:

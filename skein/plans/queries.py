@@ -13,6 +13,7 @@ from skein.fixtures import CTES, Tables
 from skein.functions import lexical, vector
 from skein.functions import text as X
 from skein.operators import chunking, compress, extraction, graph, merge, predicates, reports, scope, search
+from skein.operators.postings import TextIndex
 from skein.sources import config, embedding, files, tables
 from skein.sources.folders import scratch_dir
 from skein.sources.store import ChunkStore
@@ -41,6 +42,10 @@ def query_vector(t: Tables, key: int = 0) -> list[float]:
     return t.raw("embeddings").filter(F.col("vec_id") == key).select("embedding").head()[0]
 
 
+def _scratch(t, name: str) -> str:
+    return f"{scratch_dir(t.spark)}/skein/{name}-{uuid.uuid4().hex}"
+
+
 def epoch(column: str):
     return F.unix_timestamp(column).alias(column)
 
@@ -96,6 +101,34 @@ def rrf_knowledge(t):
     return rounded(search.search_knowledge(t, query_vector(t), "the OR and", K).withColumn("confidence", F.col("confidence").cast("double")), "rrf_score")
 
 
+def _best(score: str, holds: str) -> str:
+    return f"SELECT id, s AS score, row_number() OVER (ORDER BY s DESC, id) AS rank FROM (SELECT id, {score} AS s FROM (SELECT id, w, {EVENTS} AS e FROM (SELECT id, {TOKENS.format('content')} AS w FROM chunks)) WHERE {holds}) ORDER BY s DESC, id LIMIT 100"
+
+
+@query(f"SELECT w AS term, count(*) AS texts, sum(n)::BIGINT AS occurrences, sum(s)::BIGINT AS place_sum FROM (SELECT doc_id, w, count(*) AS n, sum(p) AS s FROM (SELECT doc_id, unnest(w) AS w, unnest(range(len(w))) AS p FROM (SELECT doc_id, {TOKENS.format('text')} AS w FROM documents)) GROUP BY doc_id, w) GROUP BY w")
+def text_index(t):
+    """What the index knows of each term: texts, occurrences, and the sum of their places."""
+    index = TextIndex.build(t.chunks_text, F.col("content"), _scratch(t, "index"))
+    of = F.aggregate("places", F.lit(0).cast("long"), lambda a, p: a + p)
+    return index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("texts"), F.sum(F.size("places")).alias("occurrences"), F.sum(of).alias("place_sum"))
+
+
+@query(_best(TWO, "list_contains(w, 'thble') AND list_contains(w, 'thatin')"))
+def text_topk_indexed(t):
+    return TextIndex.build(t.chunks_text, F.col("content"), _scratch(t, "index")).topk(TERMS, 100)
+
+
+@query(f"SELECT doc_id AS id FROM (SELECT doc_id, ' ' || array_to_string({TOKENS.format('text')}, ' ') || ' ' AS w FROM documents) WHERE (contains(w, ' thble ') OR contains(w, ' la ')) AND contains(w, ' of the ') AND NOT contains(w, ' thatin ')")
+def fts_match_indexed(t):
+    return TextIndex.build(t.chunks_text, F.col("content"), _scratch(t, "index")).matches('thble OR la "of the" -thatin')
+
+
+@query(hybrid("SELECT * FROM rules WHERE status <> 'rejected'", "concat_ws(' ', title, description, evidence)", FACTS.format("description, source_file,"), terms="list_contains(w, 'thble') AND list_contains(w, 'thatin')"))
+def rrf_rules_indexed(t):
+    index = TextIndex.build(t.rules_bodies, search.fact_text("description"), _scratch(t, "index"))
+    return rounded(search.search_rules(t, query_vector(t), TERMS, K, index=index).withColumn("confidence", F.col("confidence").cast("double")), "rrf_score")
+
+
 @query(f"SELECT id, round({DIST}, 6) AS distance, row_number() OVER (ORDER BY {DIST}, id) AS rank FROM chunks WHERE embedding IS NOT NULL ORDER BY {DIST}, id LIMIT 100")
 def vector_topk(t):
     return rounded(search.vector_topk(t.chunks, query_vector(t), 100), "distance")
@@ -817,10 +850,6 @@ def watch_sessions(t):
     return watch.sessions(t.watch_events, "1 hour").select("path", F.unix_micros("start").alias("start_us"), "events")
 
 
-def _scratch(t, name: str) -> str:
-    return f"{scratch_dir(t.spark)}/skein/{name}-{uuid.uuid4().hex}"
-
-
 @query("""SELECT doc_id::VARCHAR AS file_path, sha256(text) AS content_hash, text AS content FROM documents WHERE doc_id % 5 <> 0
 UNION ALL SELECT doc_id::VARCHAR, sha256('v2 ' || text), 'v2 ' || text FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 3 = 0""")
 def watch_upsert(t):
