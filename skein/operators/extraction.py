@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import json
-import re
-from collections.abc import Callable, Iterator, Sequence
-from functools import reduce
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -49,22 +46,39 @@ def rule_record(message: Column, evidence: Column) -> list[Column]:
     ]
 
 
+#: A character of no text, put where a match begins.
+MARK = "\uE000"
+#: What a text must hold, in lower case, for a pass to be worth its pattern.
+NEEDED = (("exception",), ("withmessage", "addfailure", "addnotification"), ("errocontext", "erroscontext", "erro", "adderror", "addfailure", "addnotification", "notificar"))
+
+
+def marked_messages(content: Column, pattern: str) -> Column:
+    """The first group of each match of the pattern, with the trimmed line in which the match begins, in order: matches are
+    marked in one pass over the text, and its lines tell their marks."""
+    clean = F.translate(content, MARK, "")
+    lines = F.split(F.regexp_replace(clean, pattern, f"{MARK}$0"), "\n")
+    bare = lambda x: F.translate(x, MARK, "")
+    told = F.flatten(F.transform(F.filter(lines, lambda x: F.contains(x, F.lit(MARK))), lambda x: F.array_repeat(X.trimmed(bare(x)), F.length(x) - F.length(bare(x)))))
+    return F.arrays_zip(F.regexp_extract_all(clean, F.lit(pattern), F.lit(1)).alias("message"), told.alias("line"))
+
+
 def extract_rules(chunks: DataFrame, words: Sequence[str] = X.RULE_WORDS, line_words: Sequence[str] = X.LINE_WORDS) -> DataFrame:
     """Rules of chunks (id, project, file_path, symbol_name, content): messages in code and telling lines. Of equal
-    messages of a chunk the first pass's first one stays."""
-    found = []
-    for k, (pattern, confidence) in enumerate(PASSES):
-        whole = chunks.select("id", F.posexplode(F.arrays_zip(F.regexp_extract_all("content", F.lit(pattern), F.lit(0)).alias("all"), F.regexp_extract_all("content", F.lit(pattern), F.lit(1)).alias("message"))).alias("pos", "m"), "content")
-        # the line in which the match begins
-        place = F.expr("locate(m.all, content)")
-        found.append(whole.select("id", F.lit(k).alias("pass"), "pos", X.normal_sentence(F.col("m.message")).alias("message"), X.evidence_line(F.col("content"), place).alias("line"), F.lit(confidence).alias("confidence"), F.lit(1 << 20).alias("most")))
-    lines = chunks.select("id", F.posexplode(X.relevant_lines(F.col("content"), line_words)).alias("pos", "line"))
-    found.append(lines.select("id", F.lit(len(PASSES)).alias("pass"), "pos", X.normal_sentence(F.col("line")).alias("message"), "line", F.lit(LINE_CONFIDENCE).alias("confidence"), F.lit(LONGEST_LINE).alias("most")))
-    rows = reduce(DataFrame.unionByName, found).filter(X.looks_like_rule(F.col("message"), words) & (F.length("message") <= F.col("most")))
+    messages of a chunk the first pass's first one stays. One scan: a chunk's finds are one array."""
+    kind = "array<struct<pass:int,pos:int,message:string,line:string,confidence:double,most:int>>"
+
+    def finds(k: int, pairs: Column, confidence: float, most: int) -> Column:
+        row = lambda m, i: F.struct(F.lit(k).alias("pass"), i.alias("pos"), X.normal_sentence(m["message"]).alias("message"), m["line"].alias("line"), F.lit(confidence).alias("confidence"), F.lit(most).alias("most"))
+        return F.coalesce(F.transform(pairs, row), F.array()).cast(kind)
+
+    coded = [finds(k, F.when(X.contains_any(F.col("content"), NEEDED[k]), marked_messages(F.col("content"), pattern)), confidence, 1 << 20) for k, (pattern, confidence) in enumerate(PASSES)]
+    lines = F.transform(X.relevant_lines(F.col("content"), line_words), lambda x: F.struct(x.alias("message"), x.alias("line")))
+    told = F.concat(*coded, finds(len(PASSES), lines, LINE_CONFIDENCE, LONGEST_LINE))
+    rows = chunks.select("id", "project", "file_path", "symbol_name", F.explode(told).alias("m")).select("id", "project", "file_path", "symbol_name", "m.*")
+    rows = rows.filter(X.looks_like_rule(F.col("message"), words) & (F.length("message") <= F.col("most")))
     first = W.partitionBy("id", F.lower("message")).orderBy("pass", "pos")
     once = rows.withColumn("place", F.row_number().over(first)).filter("place = 1")
-    named = once.join(chunks.select("id", "project", "file_path", "symbol_name"), "id")
-    return named.select(F.col("id").alias("chunk_id"), "project", "file_path", "symbol_name", "pass", "pos", *rule_record(F.col("message"), F.col("line")), F.col("confidence").cast("decimal(5,2)").alias("confidence"))
+    return once.select(F.col("id").alias("chunk_id"), "project", "file_path", "symbol_name", "pass", "pos", *rule_record(F.col("message"), F.col("line")), F.col("confidence").cast("decimal(5,2)").alias("confidence"))
 
 
 def keyword_knowledge(chunks: DataFrame, keywords: Sequence[tuple[str, str, str, float]] = KEYWORDS) -> DataFrame:
@@ -91,37 +105,38 @@ def dedup_knowledge(records: DataFrame, tie: Sequence[str] = ("seq",)) -> DataFr
     return dedup_rules(records, tie, [F.col("chunk_id"), X.normal_key(F.col("kind")), X.normal_key(F.col("title"))])
 
 
-def lenient_json(reply: str | None, root: str) -> list[dict]:
-    """The objects under root, by names of any case; comments and trailing commas are let through; none on error."""
-    if not reply:
-        return []
-    string = r'"(?:[^"\\]|\\.)*"'
-    bare = re.sub(rf"({string})|//[^\n]*|/\*.*?\*/", lambda m: m[1] or "", reply, flags=re.S)
-    bare = re.sub(rf"({string})|,(?=\s*[\]}}])", lambda m: m[1] or "", bare)
-    try:
-        told = json.loads(bare)
-        items = next((v for k, v in told.items() if k.lower() == root), None) or []
-        return [{k.lower(): v for k, v in item.items()} for item in items if isinstance(item, dict)]
-    except (ValueError, AttributeError, TypeError):
-        return []
+FIELDS = ("kind", "title", "description", "content", "evidence")
+#: Characters of no text, in place of an escaped backslash and an escaped quote: strings then end at the next quote.
+BACKSLASH, QUOTE = "\uE001", "\uE002"
+
 
+def repaired(reply: Column) -> Column:
+    """A reply without comments and trailing commas; what stands in strings is let be."""
+    plain = F.replace(F.replace(F.translate(reply, BACKSLASH + QUOTE, ""), F.lit("\\\\"), F.lit(BACKSLASH)), F.lit('\\"'), F.lit(QUOTE))
+    bare = F.regexp_replace(F.regexp_replace(plain, r'(?s)("[^"]*+")|//[^\n]*+|/\*.*?\*/', "$1"), r'("[^"]*+")|,(?=\s*+[\]}])', "$1")
+    return F.replace(F.replace(bare, F.lit(QUOTE), F.lit('\\"')), F.lit(BACKSLASH), F.lit("\\\\"))
 
-FIELDS = ("kind", "title", "description", "content", "evidence")
-REPLY = "array<struct<kind: string, title: string, description: string, content: string, evidence: string, confidence: double>>"
 
+def named(entries: Column, name: str) -> Column:
+    """The last value under the name, in any case."""
+    return F.try_element_at(F.filter(F.map_entries(entries), lambda e: F.lower(e["key"]) == name), F.lit(-1))["value"]
 
-def parsed_replies(replies: DataFrame, root: str) -> DataFrame:
-    """replies (id, reply) with items: what a model said, field by field."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            items = []
-            for reply in batch["reply"]:
-                rows = lenient_json(reply, root)
-                items.append([{f: None if r.get(f) is None else str(r[f]) for f in FIELDS} | {"confidence": float(r["confidence"]) if isinstance(r.get("confidence"), (int, float)) else None} for r in rows])
-            yield pd.DataFrame({"id": batch["id"], "items": items})
+def json_items(reply: Column, root: str) -> Column:
+    """The objects under root, as maps of names to values; what isn't an object is passed over. Empty for anything else than
+    such a reply, and for one with a name twice in an object in the same case."""
+    whole = F.try_variant_get(F.try_parse_json(repaired(reply)), F.lit("$"), "map<string, variant>")
+    items = F.try_variant_get(named(whole, root), F.lit("$"), "array<variant>")
+    maps = F.transform(items, lambda v: F.try_variant_get(v, F.lit("$"), "map<string, variant>"))
+    return F.coalesce(F.filter(maps, lambda m: m.isNotNull()), F.array().cast("array<map<string, variant>>"))
 
-    return replies.select("id", "reply").mapInPandas(run, f"id long, items {REPLY}")
+
+def parsed_replies(replies: DataFrame, root: str) -> DataFrame:
+    """replies (id, reply) with items: what a model said, field by field. A confidence that isn't a number is none."""
+    text = lambda m, f: F.try_variant_get(named(m, f), F.lit("$"), "string").alias(f)
+    number = lambda v: F.when(F.schema_of_variant(v).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(v, F.lit("$"), "double"))
+    row = lambda m: F.struct(*(text(m, f) for f in FIELDS), number(named(m, "confidence")).alias("confidence"))
+    return replies.select("id", F.transform(json_items(F.col("reply"), root), row).alias("items"))
 
 
 def semantic_rules(chunks: DataFrame, replies: DataFrame) -> DataFrame:

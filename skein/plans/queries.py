@@ -13,8 +13,9 @@ from skein.fixtures import CTES, Tables
 from skein.functions import lexical, vector
 from skein.functions import text as X
 from skein.operators import chunking, compress, extraction, graph, merge, predicates, reports, scope, search
+from skein.operators.pivots import VectorIndex
 from skein.operators.postings import TextIndex
-from skein.sources import config, embedding, files, tables
+from skein.sources import changes, config, embedding, files, tables
 from skein.sources.folders import scratch_dir
 from skein.sources.store import ChunkStore
 from skein.streaming import watch
@@ -139,6 +140,12 @@ def text_topk(t):
     return search.text_topk(t.chunks_text, F.col("content"), "thble", 100)
 
 
+@query(f"SELECT id, round({DIST}, 6) AS distance, row_number() OVER (ORDER BY {DIST}, id) AS rank FROM chunks WHERE embedding IS NOT NULL ORDER BY {DIST}, id LIMIT 100")
+def vector_topk_indexed(t):
+    index = VectorIndex.build(t.chunks.select("id", "embedding"), _scratch(t, "vectors"))
+    return rounded(index.topk(query_vector(t), 100), "distance")
+
+
 @query(f"SELECT id, round({DIST}, 6) AS distance FROM chunks WHERE embedding IS NOT NULL")
 def cosine_distance(t):
     return t.chunks.filter("embedding IS NOT NULL").select("id", F.round(vector.cosine_distance(F.col("embedding"), query_vector(t)), 6).alias("distance"))
@@ -216,19 +223,36 @@ WORDS = ("licensed", "thble", "copyright", "deve")
 LIKE = " OR ".join(f"content ILIKE '%{w}%'" for w in WORDS)
 
 
-@query(f"SELECT id FROM chunks WHERE {LIKE}")
+def _any_like(column: str, patterns) -> str:
+    return "(" + " OR ".join(f"coalesce({column} ILIKE '{p if '%' in p else f'%{p}%'}', false)" for p in patterns) + ")"
+
+
+#: Every word of the default lists, put behind some of the texts, and folders before some of the paths: the test tables hold none.
+WORDS_PUT, FOLDERS_PUT = predicates.RULE_CONTENT + predicates.KNOWLEDGE_CONTENT + predicates.NOT_CONTENT, predicates.SEMANTIC_PATHS + predicates.NOT_FOLDERS
+PLANTED = f", chunks2 AS (SELECT * REPLACE (content || ' ' || coalesce({list(WORDS_PUT)}[(id % 50)::INT + 1], '') AS content, coalesce({list(FOLDERS_PUT)}[(id // 50 % 25)::INT + 1], 'r') || '/' || file_path AS file_path) FROM chunks)"
+RULE_LIKE = _any_like("content", predicates.RULE_CONTENT)
+
+
+def _planted(t):
+    of = lambda names, n: F.get(F.array(*map(F.lit, names)), n.cast("int"))
+    word, folder = of(WORDS_PUT, F.col("id") % 50), of(FOLDERS_PUT, F.floor(F.col("id") / 50) % 25)
+    return t.chunks_text.withColumns({"content": F.concat("content", F.lit(" "), F.coalesce(word, F.lit(""))), "file_path": F.concat(F.coalesce(folder, F.lit("r")), F.lit("/"), "file_path")})
+
+
+@query(f"{PLANTED} SELECT id FROM chunks2 WHERE {RULE_LIKE}")
 def pred_ilike_any(t):
-    return t.chunks_text.filter(predicates.rule_candidate(WORDS)).select("id")
+    return _planted(t).filter(predicates.rule_candidate()).select("id")
 
 
-@query("SELECT id FROM chunks WHERE file_path ILIKE '%7.txt' OR file_path ILIKE '%src1/%' OR content ILIKE '%license%' OR content ILIKE '%HttpClient%'")
+@query(f"{PLANTED} SELECT id FROM chunks2 WHERE {_any_like('file_path', predicates.KNOWLEDGE_PATHS)} OR {_any_like('content', predicates.KNOWLEDGE_CONTENT)}")
 def pred_knowledge(t):
-    return t.chunks_text.filter(predicates.knowledge_candidate(("%7.txt", "%src1/%"), ("license", "HttpClient"))).select("id")
+    return _planted(t).filter(predicates.knowledge_candidate()).select("id")
 
 
-@query(f"SELECT id FROM chunks WHERE ({LIKE} OR file_path ILIKE '%src1%' OR symbol_name ILIKE '%Sym1%') AND NOT (file_path ILIKE '%/es/%' OR file_path ILIKE '%9.txt' OR content ILIKE '%IEntityTypeConfiguration<%' OR content ILIKE '%EntityTypeBuilder<%' OR (chunk_type = 'type' AND content ILIKE '% interface %'))")
+@query(f"""{PLANTED} SELECT id FROM chunks2 WHERE ({RULE_LIKE} OR {_any_like('file_path', predicates.SEMANTIC_PATHS)} OR {_any_like('symbol_name', predicates.SEMANTIC_SYMBOLS)}) AND NOT ({_any_like('file_path', [f'%/{f}/%' for f in predicates.NOT_FOLDERS])}
+OR {_any_like('file_path', predicates.NOT_FILES)} OR {_any_like('content', predicates.NOT_CONTENT)} OR (chunk_type = 'type' AND content ILIKE '% interface %'))""")
 def pred_semantic(t):
-    return t.chunks_text.filter(predicates.semantic_candidate(WORDS, ("src1",), ("Sym1",), ("es",), ("%9.txt",))).select("id")
+    return _planted(t).filter(predicates.semantic_candidate()).select("id")
 
 
 @query("SELECT id FROM chunks WHERE content ILIKE '%public license%' OR content ILIKE 'the%' OR symbol_name ILIKE '%m_2%'")
@@ -468,9 +492,9 @@ def chunks_per_project(t):
     return reports.chunks_per_project(t)
 
 
-@query("SELECT c_name AS name, count(*) AS n FROM (SELECT substr(c_name, 1, 15) AS c_name FROM customer) GROUP BY 1 HAVING count(*) > 1")
+@query("SELECT text AS name, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
 def duplicate_names(t):
-    return reports.duplicate_names(t.raw("customer").select(F.substring("c_name", 1, 15).alias("name")))
+    return reports.duplicate_names(t.raw("documents").select(F.col("text").alias("name")))
 
 
 @query("SELECT id, name FROM projects p WHERE NOT EXISTS (SELECT 1 FROM chunks c WHERE c.project_id = p.id AND c.language = 'es' AND c.id % 3 = 0)")
@@ -596,9 +620,10 @@ def upsert_state(t):
     return merge.upsert_state(state, fresh).select("chunk_id", "stage", "status", F.length("error").alias("error_length"))
 
 
-@query("SELECT project_id, substr(full_name, 1, 20) AS full_name, max(id) AS id FROM symbols GROUP BY ALL")
+@query("SELECT project_id, regexp_replace(full_name, '_[0-9]+$', '') AS full_name, max(id) AS id FROM symbols GROUP BY ALL")
 def upsert_symbols(t):
-    found = t.symbols.select("id", "project_id", F.substring("full_name", 1, 20).alias("full_name"), F.col("id").alias("seq"))
+    """Symbols without the number at the end of their names, so that many collapse."""
+    found = t.symbols.select("id", "project_id", F.regexp_replace("full_name", "_[0-9]+$", "").alias("full_name"), F.col("id").alias("seq"))
     return merge.upsert_symbols(found).select("project_id", "full_name", "id")
 
 
@@ -648,46 +673,63 @@ def orphan_delete(t):
 
 # extraction and chunks ------------------------------------------------------------------------------------------
 
-CODE = "CASE id % 4 WHEN 0 THEN 'throw new My.BusinessException(\"Cliente ' || id || ' não pode comprar.\")' WHEN 1 THEN 'x.WithMessage(\"Campo ' || (id % 3) || ' deve existir\");' || chr(10) || '  y.WithMessage(\"campo ' || (id % 3) || ' DEVE existir\")' WHEN 2 THEN 'AddErro<T>(a, \"Pedido ' || id || ' cancelado\")' ELSE 'nada' END"
+def _titled(x: str, most: int) -> str:
+    return f"CASE WHEN length({SENTENCE.format(x)}) <= {most} THEN {SENTENCE.format(x)} ELSE rtrim(substr({SENTENCE.format(x)}, 1, {most})) || '...' END"
+
+
+def _holds_any(x: str, words) -> str:
+    return "(" + " OR ".join(f"contains(lower({x}), '{w.lower()}')" for w in words) + ")"
 
 
 def _code(t):
-    n = F.col("id").cast("string")
-    m = (F.col("id") % 3).cast("string")
-    text = F.when(F.col("id") % 4 == 0, F.concat(F.lit('throw new My.BusinessException("Cliente '), n, F.lit(' não pode comprar.")')))
-    text = text.when(F.col("id") % 4 == 1, F.concat(F.lit('x.WithMessage("Campo '), m, F.lit(' deve existir");\n  y.WithMessage("campo '), m, F.lit(' DEVE existir")')))
-    text = text.when(F.col("id") % 4 == 2, F.concat(F.lit('AddErro<T>(a, "Pedido '), n, F.lit(' cancelado")'))).otherwise("nada")
+    """Code of the texts: every line without quotes, three of four as the message of a statement if it is of fitting length."""
+
+    def line(x, i):
+        bare = F.replace(x, F.lit('"'), F.lit(""))
+        n = F.length(bare)
+        told = F.when((i % 4 == 0) & n.between(12, 240), F.concat(F.lit('throw new My.BusinessException("'), bare, F.lit('");')))
+        told = told.when((i % 4 == 1) & n.between(12, 240), F.concat(F.lit('  x.WithMessage("'), bare, F.lit('");')))
+        return told.when((i % 4 == 2) & n.between(8, 240), F.concat(F.lit('AddErro<T>(a, "'), bare, F.lit('");'))).otherwise(bare)
+
+    text = F.array_join(F.transform(F.split("content", "\n"), line), "\n")
     return t.chunks_text.join(t.projects.select(F.col("id").alias("project_id"), F.col("name").alias("project")), "project_id").select("id", "project", "file_path", "symbol_name", text.alias("content"))
 
 
-@query(""", m AS (SELECT id, project, CASE id % 4 WHEN 0 THEN 'Cliente ' || id || ' não pode comprar' WHEN 1 THEN 'Campo ' || (id % 3) || ' deve existir' WHEN 2 THEN 'Pedido ' || id || ' cancelado' END AS message, CASE id % 4 WHEN 0 THEN 0.88 WHEN 1 THEN 0.78 ELSE 0.84 END::DOUBLE AS confidence,
-CASE id % 4 WHEN 0 THEN 'throw new My.BusinessException("Cliente ' || id || ' não pode comprar.")' WHEN 1 THEN 'x.WithMessage("Campo ' || (id % 3) || ' deve existir")' ELSE 'AddErro<T>(a, "Pedido ' || id || ' cancelado")' END AS evidence FROM (SELECT c.id, p.name AS project FROM chunks c JOIN projects p ON p.id = c.project_id))
-SELECT id AS chunk_id, message AS title, message || '.' AS description, evidence, sha256(project || '|rule|' || lower(message)) AS content_hash, confidence FROM m WHERE message IS NOT NULL
-UNION ALL SELECT id, line, line || '.', line, sha256(project || '|rule|' || lower(line)), 0.64 FROM (SELECT id, project, regexp_replace(trim(unnest(string_split(@, chr(10)))), ';$', '') AS line FROM m WHERE id % 4 <> 3)""".replace("@", CODE))
+@query(f"""{chr(44)} l AS (SELECT id, project, i - 1 AS i, replace(x, chr(34), '') AS x FROM (SELECT c.id, p.name AS project, unnest(string_split(content, chr(10))) AS x, generate_subscripts(string_split(content, chr(10)), 1) AS i FROM chunks c JOIN projects p ON p.id = c.project_id)),
+k AS (SELECT *, CASE WHEN i % 4 < 2 AND length(x) BETWEEN 12 AND 240 OR i % 4 = 2 AND length(x) BETWEEN 8 AND 240 THEN [0, 1, 2, 3][(i % 4 + 1)::INT] ELSE 3 END AS pass FROM l),
+c AS (SELECT *, regexp_replace(CASE pass WHEN 0 THEN 'throw new My.BusinessException("' || x || '");' WHEN 1 THEN '  x.WithMessage("' || x || '");' WHEN 2 THEN 'AddErro<T>(a, "' || x || '");' ELSE x END, '^\\s+|\\s+$', '', 'g') AS line FROM k),
+m AS (SELECT id, project, i, pass, {SENTENCE.format('x')} AS message, line, [0.88, 0.78, 0.84][pass + 1]::DOUBLE AS confidence FROM c WHERE pass < 3
+UNION ALL SELECT id, project, i, 3, {SENTENCE.format('line')}, line, 0.64 FROM c WHERE length(line) BETWEEN 18 AND 260 AND {_holds_any('line', X.LINE_WORDS)}),
+r AS (SELECT * FROM m WHERE length(message) >= 12 AND {_holds_any('message', X.RULE_WORDS)} AND (pass < 3 OR length(message) <= 220) QUALIFY row_number() OVER (PARTITION BY id, lower(message) ORDER BY pass, i) = 1),
+o AS (SELECT id AS chunk_id, project, {_titled('message', 90)} AS title, CASE WHEN ends_with(message, '.') THEN message ELSE message || '.' END AS description, {_titled('line', 500)} AS evidence, confidence FROM r)
+SELECT chunk_id, title, description, evidence, sha256(project || '|rule|' || {KEY.format('title')}) AS content_hash, confidence FROM o""")
 def extract_rules(t):
     found = extraction.extract_rules(_code(t))
     return found.select("chunk_id", "title", "description", "evidence", "content_hash", F.col("confidence").cast("double").alias("confidence"))
 
 
-@query("""SELECT c.id AS chunk_id, 'technical_risk' AS kind, p.name || ': license' AS title, 'O projeto ' || p.name || ' contém marcador técnico que precisa de revisão: License.' AS content, 0.62::DOUBLE AS confidence, sha256(p.name || '|knowledge|technical_risk|license|' || file_path) AS content_hash
-FROM chunks c JOIN projects p ON p.id = c.project_id WHERE contains(lower(content), 'license')""")
+KNOWN = ", ".join(f"('{w}', '{title}', '{kind}', {c}, '{extraction.SENTENCES[kind]}')" for w, title, kind, c in extraction.KEYWORDS)
+
+
+@query(f"""{PLANTED} SELECT c.id AS chunk_id, kind, p.name || ': ' || title AS title, replace(replace(body, '{{0}}', p.name), '{{1}}', word) AS content, confidence::DOUBLE AS confidence, sha256(p.name || '|knowledge|' || kind || '|' || {KEY.format('title')} || '|' || file_path) AS content_hash
+FROM chunks2 c JOIN projects p ON p.id = c.project_id JOIN (VALUES {KNOWN}) v(word, title, kind, confidence, body) ON contains(lower(c.content), lower(word))""")
 def keyword_knowledge(t):
-    rows = t.chunks_text.join(t.projects.select(F.col("id").alias("project_id"), F.col("name").alias("project")), "project_id").select("id", "project", "file_path", "symbol_name", "content")
-    found = extraction.keyword_knowledge(rows, [("License", "license", "technical_risk", 0.62), ("Kafka", "usa Kafka", "integration", 0.82)])
+    rows = _planted(t).join(t.projects.select(F.col("id").alias("project_id"), F.col("name").alias("project")), "project_id").select("id", "project", "file_path", "symbol_name", "content")
+    found = extraction.keyword_knowledge(rows)
     return found.select("chunk_id", "kind", "title", "content", F.col("confidence").cast("double").alias("confidence"), "content_hash")
 
 
-DEDUP = "row_number() OVER (PARTITION BY doc_id % 50, {} trim(regexp_replace(lower(substr(text, 1, 4)), '\\s+', ' ', 'g')) ORDER BY n_chars % 90 DESC, doc_id) = 1"
+DEDUP = "row_number() OVER (PARTITION BY doc_id % 50, {} trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) ORDER BY n_chars % 90 DESC, doc_id) = 1"
 
 
 @query(f"SELECT doc_id FROM (SELECT doc_id, {DEDUP.format('')} AS k FROM documents) WHERE k")
 def dedup_rules(t):
-    return extraction.dedup_rules(t.raw("documents").select("doc_id", (F.col("doc_id") % 50).alias("chunk_id"), F.substring("text", 1, 4).alias("title"), (F.col("n_chars") % 90).alias("confidence"), F.col("doc_id").alias("seq"))).select("doc_id")
+    return extraction.dedup_rules(t.raw("documents").select("doc_id", (F.col("doc_id") % 50).alias("chunk_id"), F.col("text").alias("title"), (F.col("n_chars") % 90).alias("confidence"), F.col("doc_id").alias("seq"))).select("doc_id")
 
 
 @query(f"SELECT doc_id FROM (SELECT doc_id, {DEDUP.format('lang,')} AS k FROM documents) WHERE k")
 def dedup_knowledge(t):
-    return extraction.dedup_knowledge(t.raw("documents").select("doc_id", (F.col("doc_id") % 50).alias("chunk_id"), F.upper("lang").alias("kind"), F.substring("text", 1, 4).alias("title"), (F.col("n_chars") % 90).alias("confidence"), F.col("doc_id").alias("seq"))).select("doc_id")
+    return extraction.dedup_knowledge(t.raw("documents").select("doc_id", (F.col("doc_id") % 50).alias("chunk_id"), F.upper("lang").alias("kind"), F.col("text").alias("title"), (F.col("n_chars") % 90).alias("confidence"), F.col("doc_id").alias("seq"))).select("doc_id")
 
 
 @query("SELECT max(event_id) AS event_id FROM events GROUP BY lower(event_type || (user_id % 9))")
@@ -696,11 +738,19 @@ def dedup_keep_last(t):
     return config.dedup_keep_last(rows, ["a", "b"], ["event_id"]).select("event_id")
 
 
-@query()
+EVIDENCE = "regexp_replace(trim(regexp_replace({}, '\\s+', ' ', 'g')), '^[\"'']+|[\"'']+$', '', 'g')"
+WHOLE = KEY.format("'Pedido deve ter cliente O pedido deve ter um cliente ' || e")
+
+
+@query(f"""{chr(44)} e AS (SELECT c.id, p.name AS project, content, {EVIDENCE.format('content')} AS e FROM chunks c JOIN projects p ON p.id = c.project_id),
+g AS (SELECT * FROM e WHERE length(e) >= 8 AND (contains(lower(content), lower(e)) OR contains(lower(content), lower({SENTENCE.format('e')}))) AND NOT {_holds_any(WHOLE, X.TECHNICAL_WORDS)})
+SELECT id AS chunk_id, 0::INT AS seq, 'Pedido deve ter cliente' AS title, 'O pedido deve ter um cliente.' AS description, {_titled('e', 500)} AS evidence, 0.95::DOUBLE AS confidence, sha256(project || '|rule|pedido deve ter cliente') AS content_hash FROM g""")
 def json_rules_parse(t):
-    text = F.concat(F.lit('{"Rules": [ // found\n {"TITLE": "Pedido deve ter cliente", "description": "O pedido deve ter um cliente", "evidence": "'), F.substring(F.regexp_replace("content", r'[\s"\\]+', " "), 1, 12), F.lit('", "confidence": 2.0,},]}'))
+    """Replies with comments, trailing commas and names of odd case, whose evidence is the whole text."""
+    told = F.to_json(F.struct("content"))
+    text = F.concat(F.lit('{"Rules": [ // found\n {"TITLE": "Pedido deve ter cliente", "description": "O pedido deve ter um cliente", "evidence": '), F.substring(told, F.lit(12), F.length(told) - 12), F.lit(', "confidence": 2.0,},]}'))
     rows = t.chunks_text.join(t.projects.select(F.col("id").alias("project_id"), F.col("name").alias("project")), "project_id").select("id", "project", "content")
-    return extraction.semantic_rules(rows, t.chunks_text.select("id", text.alias("reply")))
+    return extraction.semantic_rules(rows, t.chunks_text.select("id", text.alias("reply"))).withColumn("confidence", F.col("confidence").cast("double"))
 
 
 @query(r""", s AS (SELECT doc_id AS id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS x FROM documents),
@@ -785,15 +835,19 @@ def scan_files(t):
 
 # checks, configuration, JSON and streams ------------------------------------------------------------------------
 
-NAMES = tuple(schemas.TABLES)
+CHECKED = ("projects", "workspaces", "workspace_projects", "chunks", "rules", "knowledge", "extraction_state", "symbols", "relations")
+#: Columns that the logical tables over the test tables lack.
+LACKING = {("rules", "created_at"), ("extraction_state", "processed_at"), ("extraction_state", "error"), ("extraction_state", "updated_at"), ("symbols", "chunk_id"), ("symbols", "line_start"), ("symbols", "line_end")}
 
 
 def _checks(t):
-    actual = schemas.columns_of(t.spark, {"projects": t.projects, "workspaces": t.workspaces, "chunks": t.chunks_text})
-    return schemas.schema_check(schemas.required_columns(t.spark).filter(F.col("table_name").isin("projects", "workspaces", "chunks")), actual)
+    """The columns that the tables must have, with how many values each holds."""
+    there = schemas.filled_columns({name: getattr(t, name) for name in CHECKED})
+    checks = schemas.schema_check(schemas.required_columns(t.spark).filter(F.col("table_name").isin(*CHECKED)), there)
+    return checks.join(there, ["table_name", "column_name"], "left").select("table_name", "column_name", "status", "filled")
 
 
-CHECKS = ", c AS (SELECT * FROM (VALUES ('workspaces', 'id'), ('workspaces', 'name'), ('projects', 'id'), ('projects', 'name'), ('projects', 'root_path'), ('chunks', 'id'), ('chunks', 'project_id'), ('chunks', 'file_path'), ('chunks', 'language'), ('chunks', 'chunk_type'), ('chunks', 'symbol_name'), ('chunks', 'content'), ('chunks', 'content_hash'), ('chunks', 'embedding'), ('chunks', 'updated_at')) v(table_name, column_name)), k AS (SELECT *, CASE WHEN column_name = 'embedding' THEN 'MISSING' ELSE 'OK' END AS status FROM c)"
+CHECKS = ", k AS (" + " UNION ALL ".join(f"SELECT '{name}' AS table_name, '{c}' AS column_name, " + (f"'MISSING' AS status, NULL::BIGINT AS filled" if (name, c) in LACKING else f"'OK' AS status, (SELECT count({c}) FROM {name}) AS filled") for name in CHECKED for c in schemas.TABLES[name].names) + ")"
 
 
 @query(f"{CHECKS} SELECT * FROM k")
@@ -801,7 +855,7 @@ def schema_check(t):
     return _checks(t)
 
 
-@query(f"{CHECKS} SELECT count(*) AS checks, count(*) FILTER (status = 'OK') AS ok, count(*) FILTER (status <> 'OK') AS missing, bool_and(status = 'OK') AS all_ok, bool_or(status = 'OK') AS any_ok FROM k")
+@query(f"{CHECKS} SELECT sum(filled)::BIGINT AS filled, count(*) AS checks, count(*) FILTER (status = 'OK') AS ok, count(*) FILTER (status <> 'OK') AS missing, bool_and(status = 'OK') AS all_ok, bool_or(status = 'OK') AS any_ok FROM k")
 def check_summary(t):
     return schemas.check_summary(_checks(t))
 
@@ -850,6 +904,43 @@ def watch_sessions(t):
     return watch.sessions(t.watch_events, "1 hour").select("path", F.unix_micros("start").alias("start_us"), "events")
 
 
+@query(""", b AS (SELECT 'r/' || doc_id AS path, sha256(text) AS h FROM documents WHERE doc_id % 7 <> 0), a AS (SELECT CASE WHEN doc_id % 11 = 0 THEN 'moved/' ELSE 'r/' END || doc_id AS path, sha256(CASE WHEN doc_id % 13 = 0 THEN 'x' ELSE '' END || text) AS h FROM documents WHERE doc_id % 5 <> 0),
+f AS (SELECT coalesce(a.path, b.path) AS path, CASE WHEN b.path IS NULL THEN 'created' WHEN a.path IS NULL THEN 'deleted' ELSE 'changed' END AS change, coalesce(a.h, b.h) AS h FROM a FULL OUTER JOIN b ON a.path = b.path WHERE a.h IS DISTINCT FROM b.h),
+m AS (SELECT h, max(path) FILTER (change = 'deleted') AS old_path FROM f WHERE change <> 'changed' GROUP BY h HAVING count(*) FILTER (change = 'created') = 1 AND count(*) FILTER (change = 'deleted') = 1)
+SELECT CASE WHEN m.h IS NOT NULL THEN 'renamed' ELSE change END AS change, path, old_path FROM f LEFT JOIN m ON m.h = f.h AND change <> 'changed' WHERE NOT (change = 'deleted' AND m.h IS NOT NULL)""")
+def listing_changes(t):
+    """Two listings of the documents: new, vanished, edited and moved ones, with equal texts among them."""
+    at = lambda folder: F.concat(folder, F.col("doc_id").cast("string")).alias("path")
+    docs = t.raw("documents")
+    before = docs.filter("doc_id % 7 <> 0").select(at(F.lit("r/")), F.sha2("text", 256).alias("content_hash"))
+    text = F.when(F.col("doc_id") % 13 == 0, F.concat(F.lit("x"), "text")).otherwise(F.col("text"))
+    after = docs.filter("doc_id % 5 <> 0").select(at(F.when(F.col("doc_id") % 11 == 0, "moved/").otherwise("r/")), F.sha2(text, 256).alias("content_hash"))
+    return changes.listing_changes(before, after)
+
+
+SESSIONS = ORACLES["watch_sessions"]
+
+
+@query()
+def watch_debounce(t):
+    """The sessions of the events, told by a stream that gets them in four runs; a last event ends all others."""
+    root, spark = _scratch(t, "debounce"), t.spark
+    events = t.watch_events.select("path", "ts")
+    first, last = events.agg(F.min("ts"), F.max("ts")).head()
+    if first is None:
+        return t.watch_events.select("path", F.unix_micros("ts").alias("start_us"), F.lit(1).cast("long").alias("events"))
+    part = F.least(F.lit(2), F.floor((F.unix_micros("ts") - F.unix_micros(F.lit(first))) * 3 / F.greatest(F.lit(1), F.unix_micros(F.lit(last)) - F.unix_micros(F.lit(first)))))
+    steps = [*(events.filter(part == k) for k in range(3)), spark.range(1).select(F.lit("").alias("path"), (F.lit(last) + F.expr("INTERVAL 2 DAYS")).alias("ts"))]
+    for step in steps:
+        step.write.mode("append").parquet(f"{root}/events")
+        told = watch.debounced(spark.readStream.schema("path string, ts timestamp").parquet(f"{root}/events"), "1 hour", "1 hour")
+        told.writeStream.outputMode("append").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start(f"{root}/sessions").awaitTermination()
+    return spark.read.schema("path string, start timestamp, end timestamp, events long").parquet(f"{root}/sessions").select("path", F.unix_micros("start").alias("start_us"), "events")
+
+
+ORACLES["watch_debounce"] = SESSIONS
+
+
 @query("""SELECT doc_id::VARCHAR AS file_path, sha256(text) AS content_hash, text AS content FROM documents WHERE doc_id % 5 <> 0
 UNION ALL SELECT doc_id::VARCHAR, sha256('v2 ' || text), 'v2 ' || text FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 3 = 0""")
 def watch_upsert(t):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,10 +45,16 @@ def schema_check(required: DataFrame, actual: DataFrame) -> DataFrame:
     return required.join(found, ["table_name", "column_name"], "left").select("table_name", "column_name", F.when(F.col("found"), "OK").otherwise("MISSING").alias("status"))
 
 
+def filled_columns(tables: dict[str, DataFrame]) -> DataFrame:
+    """table_name, column_name and filled: how many values each column holds, from one pass over each table."""
+    per = [df.agg(*(F.count(c).alias(c) for c in df.columns)).select(F.lit(name).alias("table_name"), F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).alias("filled")) for c in df.columns))).alias("f")).select("table_name", "f.*") for name, df in tables.items()]
+    return reduce(DataFrame.unionByName, per)
+
+
 def check_summary(checks: DataFrame) -> DataFrame:
-    """Counts over a check report, and whether all and any are well."""
+    """Counts over a check report, and whether all and any are well; with a column filled, its sum."""
     ok = F.col("status") == "OK"
-    return checks.agg(F.count(F.lit(1)).alias("checks"), F.count_if(ok).alias("ok"), F.count_if(~ok).alias("missing"), F.coalesce(F.bool_and(ok), F.lit(True)).alias("all_ok"), F.coalesce(F.bool_or(ok), F.lit(False)).alias("any_ok"))
+    return checks.agg(*([F.coalesce(F.sum("filled"), F.lit(0).cast("long")).alias("filled")] if "filled" in checks.columns else []), F.count(F.lit(1)).alias("checks"), F.count_if(ok).alias("ok"), F.count_if(~ok).alias("missing"), F.coalesce(F.bool_and(ok), F.lit(True)).alias("all_ok"), F.coalesce(F.bool_or(ok), F.lit(False)).alias("any_ok"))
 
 
 def columns_of(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:

@@ -30,6 +30,12 @@ def sessions(events: DataFrame, gap: str = PAUSE) -> DataFrame:
     return events.groupBy("path", F.session_window("ts", gap)).agg(F.count(F.lit(1)).alias("events")).select("path", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "events")
 
 
+def debounced(events: DataFrame, gap: str = PAUSE, late: str = PAUSE) -> DataFrame:
+    """The same on a stream, whatever micro-batches the events come in: a session is told once, when the watermark (the
+    latest event less late) has passed its end. State is kept of open sessions alone; an event that is later is dropped."""
+    return sessions(events.withWatermark("ts", late), gap)
+
+
 def apply_batch(paths: DataFrame, store: ChunkStore, read: Callable[[DataFrame], DataFrame], project_id: int, number: int | None = None, delete_vanished: bool = False, compact: int = 8) -> None:
     """Changes the stored chunks of one project by a batch of paths. read turns paths into chunks; paths that it can't read
     are passed over, or, as an extension, their chunks go. Only the paths' buckets are written; one that so many batches

@@ -6,7 +6,7 @@ from skein import schemas
 from skein.api import Engine
 from skein.fixtures import Tables
 from skein.operators import graph, merge, predicates, reports, scope, search
-from skein.sources import config, embedding, files
+from skein.sources import changes, config, embedding, files
 from skein.sources.store import ChunkStore
 from skein.streaming import watch
 
@@ -193,3 +193,27 @@ def test_package_reaches_workers(spark, monkeypatch):
     shipping.ship(spark)
     shipping.ship(spark)
     assert len(added) == 1
+
+
+def test_a_session_that_spans_micro_batches_is_told_once(spark, tmp_path):
+    at = lambda s: f"2024-01-01 00:00:{s:06.3f}"
+    batches = [[("a", at(1.0)), ("a", at(1.2)), ("b", at(1.1))], [("a", at(1.6)), ("a", at(1.9)), ("b", at(3.0))], [("a", at(1.0)), ("c", at(30.0))]]
+    seen = []
+    for batch in batches:
+        spark.createDataFrame(batch, "path string, at string").selectExpr("path", "CAST(at AS TIMESTAMP) AS ts").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        told = watch.debounced(spark.readStream.schema("path string, ts timestamp").parquet(str(tmp_path / "in")))
+        told.writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+        seen.append(sorted((r["path"], r["start"].second + r["start"].microsecond / 1e6, r["events"]) for r in spark.read.schema("path string, start timestamp, end timestamp, events long").parquet(str(tmp_path / "out")).collect()))
+    assert seen[0] == [] and seen[1] == [("a", 1.0, 4), ("b", 1.1, 1)]
+    assert seen[2] == [("a", 1.0, 4), ("b", 1.1, 1), ("b", 3.0, 1)]  # the late event of a is dropped, c is still open
+
+
+def test_listing_changes(spark):
+    listing = lambda rows: spark.createDataFrame(rows, "path string, content_hash string")
+    before = listing([("same", "1"), ("edited", "2"), ("gone", "3"), ("old name", "4"), ("twin a", "5"), ("twin b", "5"), ("unknown", None), ("lost", None)])
+    after = listing([("same", "1"), ("edited", "9"), ("new", "7"), ("new name", "4"), ("twin c", "5"), ("unknown", None), ("found", None), ("swapped", "2")])
+    found = {tuple(r) for r in changes.listing_changes(before, after).collect()}
+    assert found == {("changed", "edited", None), ("deleted", "gone", None), ("created", "new", None), ("renamed", "new name", "old name"), ("deleted", "twin a", None), ("deleted", "twin b", None), ("created", "twin c", None),
+                     ("changed", "unknown", None), ("deleted", "lost", None), ("created", "found", None), ("created", "swapped", None)}
+    assert {r[0] for r in watch.changed_paths(changes.listing_changes(before, after)).collect()} >= {"new name", "old name"}
+    assert changes.listing_changes(before, before.filter("content_hash IS NOT NULL").unionByName(before.filter("content_hash IS NULL"))).count() == 2  # without a hash nothing tells that they are the same

@@ -91,9 +91,23 @@ def test_wildcards(spark):
     assert len(hit(predicates.multi_contains([F.col("x")], " "))) == 5 and df.select(predicates.ilike_any(F.col("x"), ["a", "a_b%"])).collect()[4][0] is None
 
 
-def test_lenient_json():
-    assert extraction.lenient_json('{"RULES": [{"Title": "a,]", /* c */ "confidence": 1,},], // x\n}', "rules") == [{"title": "a,]", "confidence": 1}]
-    assert extraction.lenient_json("no", "rules") == extraction.lenient_json(None, "rules") == extraction.lenient_json("[]", "rules") == extraction.lenient_json('{"rules": 3}', "rules") == []
+def test_lenient_json(spark):
+    replies = [
+        '{"RULES": [{"Title": "a,]", /* c */ "confidence": 1,},], // x\n}', "no", None, "[]", '{"rules": 3}', "", '{"rules": null}', '{"Rules": ["x", 3, null, {"TITLE": "b // \\" /* no */", "title": "last", "confidence": "0.5"}]}',
+        '{"rules": [{"title": null, "evidence": 7, "confidence": 0.25, "content": {"a": [1]}}], "more": {"x": 1}}', '{"rules": [{"title": "' + "long \\n" * 300_000 + '"}]}', '{"rules": [', '{"other": []}',
+    ]
+    rows = spark.createDataFrame(list(enumerate(replies)), "id long, reply string")
+    found = {r["id"]: [(i["title"], i["evidence"], i["content"], i["confidence"]) for i in r["items"]] for r in extraction.parsed_replies(rows, "rules").collect()}
+    assert found[0] == [("a,]", None, None, 1.0)] and found[7] == [("last", None, None, None)] and found[8] == [(None, "7", '{"a":[1]}', 0.25)] and found[9] == [("long \n" * 300_000, None, None, None)]
+    assert all(found[k] == [] for k in (1, 2, 3, 4, 5, 6, 10, 11))
+
+
+def test_matches_of_rules_stand_in_their_lines(spark):
+    code = 'a(); x.WithMessage("Campo um deve existir"); y.WithMessage("Campo dois deve existir");\nthrow new\n  BusinessException("Cliente\ndeve pagar sempre");\nx.WithMessage("Campo um deve existir"); // later\n'
+    rows = spark.createDataFrame([(1, "p", "f", None, code), (2, "p", "f", None, None), (3, "p", "f", None, "")], "id long, project string, file_path string, symbol_name string, content string")
+    found = {r["title"]: (r["evidence"], str(r["confidence"])) for r in extraction.extract_rules(rows, line_words=("nothing",)).collect()}
+    first = 'a(); x.WithMessage("Campo um deve existir"); y.WithMessage("Campo dois deve existir")'
+    assert found == {"Campo um deve existir": (first, "0.78"), "Campo dois deve existir": (first, "0.78"), "Cliente deve pagar sempre": ("throw new", "0.88")}
 
 
 def test_rules_of_lines(spark):
