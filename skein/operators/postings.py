@@ -1,5 +1,5 @@
-"""A positional inverted index on Parquet: postings sorted by term, the largest counts of blocks of texts, and the best
-matches of a query from the postings of its terms, without the blocks that can't hold any of them."""
+"""A positional inverted index on Parquet: postings sorted by term and block of texts, and the best matches of a query from
+the postings of its terms, without the places in blocks that can't hold any of them."""
 
 from __future__ import annotations
 
@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 from skein.functions.lexical import cover_terms, covers, tokens, websearch
 from skein.operators.search import ranked
 
-#: Blocks of texts by a hash of their ids: a fixed number, so that what is known of a term's blocks fits in the driver.
-BLOCKS = 1024
+#: Blocks of texts by a hash of their ids: a fixed number, so that a query's bounds of blocks fit in the driver. Files hold
+#: so many blocks of a term, to the power of two: the postings of a frequent term lie in several files.
+BLOCKS, SPREAD = 1024, 6
 
 
 def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, term, places of each different word of (id, words): a sort of word numbers in the batch, no shuffle."""
+    """id, term, n, places of each different word of (id, words), term by term, so that they compress well on their way."""
     for batch in batches:
         lists = batch.column("words")
         words = pc.list_flatten(lists).dictionary_encode()
@@ -28,14 +29,14 @@ def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(owner):
             continue
         begin = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=batch.num_rows))])
-        place, key = np.arange(len(owner)) - begin[owner], owner * len(words.dictionary) + words.indices.to_numpy()
+        place, key = np.arange(len(owner)) - begin[owner], words.indices.to_numpy().astype(np.int64) * batch.num_rows + owner
         order = np.argsort(key, kind="stable")
         starts = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
         offsets = pa.array(np.append(starts, len(order)), pa.int32())
         first = order[starts]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id").take(pa.array(owner[first])), words.dictionary.take(words.indices.take(pa.array(first))).cast(pa.string()), pa.ListArray.from_arrays(offsets, pa.array(place[order], pa.int32()))],
-            ["id", "term", "places"])
+            [batch.column("id").take(pa.array(owner[first])), words.dictionary.take(words.indices.take(pa.array(first))).cast(pa.string()), pa.array(np.diff(np.append(starts, len(order))), pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(place[order], pa.int32()))],
+            ["id", "term", "n", "places"])
 
 
 def block() -> Column:
@@ -56,13 +57,12 @@ def fits(groups: list[list[tuple[bool, list[str]]]], column: dict[str, Column])
 
 
 class TextIndex:
-    """The index of one language under a folder. A query reads the postings of its terms: files are range-partitioned and
-    sorted by term, block and id, so that Parquet's statistics leave out the rest, and a frequent term lies in many files."""
+    """The index of one language under a folder. A query reads the postings of its terms: files are sorted by term, block and
+    id, so that Parquet's statistics leave out the rest; the best blocks are told by the numbers of places alone."""
 
     def __init__(self, spark: SparkSession, folder: str, language: str | None = None):
         self.language = language
-        self.postings = spark.read.schema("term string, block int, id long, places array<int>").parquet(f"{folder}/postings")
-        self.blocks = spark.read.schema("term string, block int, most int, texts long").parquet(f"{folder}/blocks")
+        self.postings = spark.read.schema("term string, block int, id long, n int, places array<int>").parquet(f"{folder}/postings")
         self.ids = spark.read.schema("id long, block int").parquet(f"{folder}/ids")
         #: Blocks that the last top-k read, and those that hold any of its terms.
         self.read_blocks = self.known_blocks = 0
@@ -71,11 +71,10 @@ class TextIndex:
     def build(cls, rows: DataFrame, text: Column, folder: str, language: str | None = None) -> TextIndex:
         """Of rows with a different long id each. A null text has no words."""
         spark = rows.sparkSession
-        found = rows.select(F.col("id").cast("long").alias("id"), tokens(text, language).alias("words")).mapInArrow(places, "id long, term string, places array<int>")
+        found = rows.select(F.col("id").cast("long").alias("id"), tokens(text, language).alias("words")).mapInArrow(places, "id long, term string, n int, places array<int>")
         order = "term", "block", "id"
-        found.withColumn("block", block()).select(*order, "places").repartitionByRange(*order).sortWithinPartitions(*order).write.option("parquet.block.size", 16 << 20).parquet(f"{folder}/postings")
-        most = spark.read.parquet(f"{folder}/postings").groupBy("term", "block").agg(F.max(F.size("places")).alias("most"), F.count(F.lit(1)).alias("texts"))
-        most.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.parquet(f"{folder}/blocks")
+        dealt = found.withColumn("block", block()).select(*order, "n", "places").repartition("term", F.shiftright("block", SPREAD))
+        dealt.sortWithinPartitions(*order).write.option("parquet.block.size", 16 << 20).option("compression", "zstd").parquet(f"{folder}/postings")
         rows.select(F.col("id").cast("long").alias("id")).withColumn("block", block()).write.parquet(f"{folder}/ids")
         return cls(spark, folder, language)
 
@@ -109,11 +108,11 @@ class TextIndex:
         occurrence of every term, scores 1 at most, and n of n terms' covers at most share one occurrence."""
         slots = cover_terms(query, self.language)
         terms = sorted({w for group in websearch(query, self.language) for _, words in group for w in words})
-        told = lambda column: lambda w: F.coalesce(F.max(F.when(F.col("term") == w, F.col(column))), F.lit(0))
-        sums = [reduce(lambda a, b: a + b, map(told("most"), words)) for words in slots]
-        texts = [reduce(lambda a, b: a + b, map(told("texts"), words)) for words in slots]
+        most = lambda w: F.coalesce(F.max(F.when(F.col("term") == w, F.col("n"))), F.lit(0))
+        sums = [reduce(lambda a, b: a + b, map(most, words)) for words in slots]
+        texts = [reduce(lambda a, b: a + b, (F.count_if(F.col("term") == w) for w in words)) for words in slots]
         least = lambda cs: F.array_min(F.array(*cs)) if cs else F.lit(0)
-        per = self.blocks.filter(F.col("term").isin(*terms)).groupBy("block").agg((least(sums) * len(slots)).cast("double").alias("bound"), least(texts).cast("long").alias("texts"))
+        per = self.postings.filter(F.col("term").isin(*terms)).groupBy("block").agg((least(sums) * len(slots)).cast("double").alias("bound"), least(texts).cast("long").alias("texts"))
         return sorted(((b, bound, n) for b, bound, n in per.collect()), key=lambda r: (-r[1], r[0]))  # BLOCKS rows at most
 
     def topk(self, query: str, n: int, live: DataFrame | None = None) -> DataFrame:

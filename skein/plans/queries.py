@@ -111,7 +111,7 @@ def text_index(t):
     """What the index knows of each term: texts, occurrences, and the sum of their places."""
     index = TextIndex.build(t.chunks_text, F.col("content"), _scratch(t, "index"))
     of = F.aggregate("places", F.lit(0).cast("long"), lambda a, p: a + p)
-    return index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("texts"), F.sum(F.size("places")).alias("occurrences"), F.sum(of).alias("place_sum"))
+    return index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("occurrences"), F.sum(of).alias("place_sum"))
 
 
 @query(_best(TWO, "list_contains(w, 'thble') AND list_contains(w, 'thatin')"))
