@@ -15,13 +15,14 @@ from pyspark.sql import functions as F
 from skein.functions.lexical import cover_terms, covers, tokens, websearch
 from skein.operators.search import ranked
 
-#: Blocks of texts by a hash of their ids: a fixed number, so that a query's bounds of blocks fit in the driver. Files hold
-#: so many blocks of a term, to the power of two: the postings of a frequent term lie in several files.
-BLOCKS, SPREAD = 1024, 6
+#: Blocks of texts by a hash of their ids: a fixed number, so that a query's bounds of blocks fit in the driver. A part of a
+#: frequent term has so many of them, to the power of two; in how many texts of a batch a frequent term is.
+BLOCKS, SPREAD, OFTEN = 1024, 6, 64
 
 
 def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, term, n, places of each different word of (id, words), term by term, so that they compress well on their way."""
+    """Of (id, block, words): term, part, and arrays of the ids, blocks and places of the batch's texts that hold it. A term of
+    over OFTEN texts of the batch is dealt into parts by block, so that no task gets all of a frequent term."""
     for batch in batches:
         lists = batch.column("words")
         words = pc.list_flatten(lists).dictionary_encode()
@@ -29,14 +30,24 @@ def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(owner):
             continue
         begin = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=batch.num_rows))])
-        place, key = np.arange(len(owner)) - begin[owner], words.indices.to_numpy().astype(np.int64) * batch.num_rows + owner
+        place, code = (np.arange(len(owner)) - begin[owner]).astype(np.int32), words.indices.to_numpy().astype(np.int64)
+        key = code * batch.num_rows + owner
         order = np.argsort(key, kind="stable")
-        starts = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
-        offsets = pa.array(np.append(starts, len(order)), pa.int32())
-        first = order[starts]
+        starts = np.flatnonzero(np.append(True, np.diff(key[order]) != 0))
+        first, ends = order[starts], np.append(starts, len(order))
+        term, text = code[first], owner[first]
+        part = np.where(np.bincount(term)[term] > OFTEN, batch.column("block").to_numpy()[text] >> SPREAD, -1)
+        dealt = np.lexsort((text, part, term))  # a posting of a text each, by term and part
+        term, text, part, sizes = term[dealt], text[dealt], part[dealt], np.diff(ends)[dealt]
+        heads = np.flatnonzero(np.append(True, (np.diff(term) != 0) | (np.diff(part) != 0)))
+        row_offsets = pa.array(np.append(heads, len(term)), pa.int32())
+        inner = np.concatenate([[0], np.cumsum(sizes)])
+        source = np.repeat(ends[:-1][dealt] - inner[:-1], sizes) + np.arange(inner[-1])
+        nested = pa.ListArray.from_arrays(pa.array(inner, pa.int32()), pa.array(place[order[source]]))
+        at = pa.array(text)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id").take(pa.array(owner[first])), words.dictionary.take(words.indices.take(pa.array(first))).cast(pa.string()), pa.array(np.diff(np.append(starts, len(order))), pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(place[order], pa.int32()))],
-            ["id", "term", "n", "places"])
+            [words.dictionary.take(pa.array(term[heads])).cast(pa.string()), pa.array(part[heads].astype(np.int32)), *(pa.ListArray.from_arrays(row_offsets, x) for x in (batch.column("id").take(at), batch.column("block").take(at), nested))],
+            ["term", "part", "ids", "blocks", "places"])
 
 
 def block() -> Column:
@@ -71,10 +82,10 @@ class TextIndex:
     def build(cls, rows: DataFrame, text: Column, folder: str, language: str | None = None) -> TextIndex:
         """Of rows with a different long id each. A null text has no words."""
         spark = rows.sparkSession
-        found = rows.select(F.col("id").cast("long").alias("id"), tokens(text, language).alias("words")).mapInArrow(places, "id long, term string, n int, places array<int>")
-        order = "term", "block", "id"
-        dealt = found.withColumn("block", block()).select(*order, "n", "places").repartition("term", F.shiftright("block", SPREAD))
-        dealt.sortWithinPartitions(*order).write.option("parquet.block.size", 16 << 20).option("compression", "zstd").parquet(f"{folder}/postings")
+        texts = rows.select(F.col("id").cast("long").alias("id"), tokens(text, language).alias("words")).select("id", block().alias("block"), "words")
+        found = texts.mapInArrow(places, "term string, part int, ids array<long>, blocks array<int>, places array<array<int>>").repartition("term", "part")
+        one = found.select("term", F.explode(F.arrays_zip("ids", "blocks", "places")).alias("p")).select("term", F.col("p.blocks").alias("block"), F.col("p.ids").alias("id"), F.size("p.places").alias("n"), "p.places")
+        one.sortWithinPartitions("term", "block", "id").write.option("parquet.block.size", 16 << 20).option("compression", "zstd").parquet(f"{folder}/postings")
         rows.select(F.col("id").cast("long").alias("id")).withColumn("block", block()).write.parquet(f"{folder}/ids")
         return cls(spark, folder, language)
 

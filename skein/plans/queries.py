@@ -965,7 +965,6 @@ def store_merge(t):
     target, source = _chunk_merge(t)
     store = ChunkStore(t.spark, _scratch(t, "store"))
     store.write(target)
-    store.compact()
     store.write(source)
     store.write(source.filter("project_id % 6 = 0"), target.filter("project_id % 3 = 0"))
     return store.read().select("project_id", "file_path", "content_hash", "language", F.md5(F.col("content").cast("binary")).alias("digest"))

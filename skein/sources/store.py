@@ -53,16 +53,25 @@ class ChunkStore:
 
     def write(self, put: DataFrame, gone: DataFrame | None = None, number: int | None = None) -> int:
         """One batch: takes away the files that are gone (project_id, file_path), then puts chunks. Columns that put lacks
-        are null. Of chunks of one key the newest is put. number: for writers that may come again with the same batch."""
+        are null. The first batch of all, if nothing is gone, is written as rows at once. Of chunks of one key the newest is put. number: for writers that may come again with the same batch."""
         number = self.next_number() if number is None else number
         own = put.select(*((F.col(f.name) if f.name in put.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in TABLES["chunks"]), F.lit("put").alias("op"))
-        rows = last_of(own, CHUNK_KEY, F.col("updated_at").desc_nulls_last(), F.col("id"))
+        rows = self._newest(own)
+        if not number and gone is None and not glob(self.spark, f"{self.folder}/rows/bucket=*") and not self.changes():
+            self.spark.range(0).write.mode("overwrite").parquet(f"{self.folder}/folded/batch={number}")
+            rows.drop("op").withColumn("written", F.lit(number).cast("long")).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/rows")
+            return number
         if gone is not None:
-            rows = rows.unionByName(gone.select(*FILE, F.lit("gone").alias("op")).distinct(), allowMissingColumns=True)
-        bucketed = rows.withColumn("bucket", self.bucket())
-        bucketed.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/changes/batch={number}")
+            out = gone.select(*FILE, F.lit("gone").alias("op")).distinct().withColumn("bucket", self.bucket())
+            rows = rows.unionByName(out, allowMissingColumns=True)
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/changes/batch={number}")
         return number
 
+    def _newest(self, rows: DataFrame) -> DataFrame:
+        """The newest row of each key, with its bucket. One shuffle, by bucket, serves the choice and the writing."""
+        dealt = rows.withColumn("bucket", self.bucket()).repartition("bucket")
+        return last_of(dealt, ["bucket", *CHUNK_KEY], F.col("updated_at").desc_nulls_last(), F.col("id"))
+
     def _rows(self) -> DataFrame:
         shape = _shape("written long, bucket int")
         if not glob(self.spark, f"{self.folder}/rows/bucket=*"):
@@ -72,15 +81,16 @@ class ChunkStore:
     def _merged(self, buckets: list[int], upto: int) -> DataFrame:
         """The rows of these buckets with their changes, and the batch that last wrote each."""
         names = TABLES["chunks"].names
-        old = self._rows().filter(F.col("bucket").isin(*buckets)).select(*names, F.lit("put").alias("op"), F.col("written").alias("batch"))
+        old = self._rows().filter(F.col("bucket").isin(*buckets)).select("bucket", *names, F.col("written").alias("batch"))
         batches = sorted({batch for batch, bucket in self.changes() if batch <= upto and bucket in set(buckets)})
         new = self.spark.read.schema(_shape("op string, batch long, bucket int")).option("basePath", f"{self.folder}/changes").parquet(*(f"{self.folder}/changes/batch={n}" for n in batches))
-        both = old.unionByName(new.filter(F.col("bucket").isin(*buckets)).select(*names, "op", "batch"))
-        ends = both.filter("op = 'gone'").groupBy(*FILE).agg(F.max("batch").alias("ended"))
-        live = both.filter("op = 'put'").join(ends, FILE, "left").filter("ended IS NULL OR batch >= ended")
+        changed = new.filter(F.col("bucket").isin(*buckets))
+        ends = changed.filter("op = 'gone'").groupBy("bucket", *FILE).agg(F.max("batch").alias("ended"))
+        live = old.unionByName(changed.filter("op = 'put'").select("bucket", *names, "batch")).repartition("bucket").join(ends, ["bucket", *FILE], "left").filter("ended IS NULL OR batch >= ended")
         first = [c for c in names if c not in CHUNK_KEY and c not in CHUNK_OVERWRITE]
-        one = live.groupBy(*CHUNK_KEY).agg(F.min_by(F.struct(*first), "batch").alias("f"), F.max_by(F.struct(*CHUNK_OVERWRITE), "batch").alias("l"), F.max("batch").alias("written"))
-        return one.select(*CHUNK_KEY, "f.*", "l.*", "written").select(*names, "written")
+        # all by bucket: one shuffle serves the join, the choice of values and the writing
+        one = live.groupBy("bucket", *CHUNK_KEY).agg(F.min_by(F.struct(*first), "batch").alias("f"), F.max_by(F.struct(*CHUNK_OVERWRITE), "batch").alias("l"), F.max("batch").alias("written"))
+        return one.select("bucket", *CHUNK_KEY, "f.*", "l.*", "written").select("bucket", *names, "written")
 
     def _read(self, only: list[int] | None = None) -> DataFrame:
         self._finish()
@@ -108,8 +118,7 @@ class ChunkStore:
         due = sorted(bucket for bucket, n in Counter(bucket for _, bucket in told).items() if n >= least)
         if due:
             upto = max(batch for batch, _ in told)
-            merged = self._merged(due, upto).withColumn("bucket", self.bucket())
-            merged.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/folding/rows")
+            self._merged(due, upto).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/folding/rows")
             self.spark.createDataFrame([(b, upto) for b in due], "bucket int, upto long").write.mode("overwrite").parquet(f"{self.folder}/folding/due")
             self._finish()
         return due
@@ -121,8 +130,7 @@ class ChunkStore:
         due = self.spark.read.parquet(f"{self.folder}/folding/due").collect()  # one row a bucket
         staged = {int(p.rsplit("=", 1)[1]) for p in glob(self.spark, f"{self.folder}/folding/rows/bucket=*")}
         if staged:
-            shape = self.spark.read.parquet(f"{self.folder}/folding/rows")
-            shape.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.folder}/rows")
+            self.spark.read.parquet(f"{self.folder}/folding/rows").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.folder}/rows")
         buckets, upto = {b for b, _ in due}, max(n for _, n in due)
         for b in buckets - staged:
             delete(self.spark, f"{self.folder}/rows/bucket={b}")
