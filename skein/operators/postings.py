@@ -21,7 +21,7 @@ BLOCKS, SPREAD, OFTEN = 1024, 6, 64
 
 
 def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (id, block, words): term, part, and arrays of the ids, blocks and places of the batch's texts that hold it. A term of
+    """Of (id, block, words): term, part, and arrays of the ids of the batch's texts that hold it and of their places. A term of
     over OFTEN texts of the batch is dealt into parts by block, so that no task gets all of a frequent term."""
     for batch in batches:
         lists = batch.column("words")
@@ -40,14 +40,15 @@ def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dealt = np.lexsort((text, part, term))  # a posting of a text each, by term and part
         term, text, part, sizes = term[dealt], text[dealt], part[dealt], np.diff(ends)[dealt]
         heads = np.flatnonzero(np.append(True, (np.diff(term) != 0) | (np.diff(part) != 0)))
-        row_offsets = pa.array(np.append(heads, len(term)), pa.int32())
         inner = np.concatenate([[0], np.cumsum(sizes)])
         source = np.repeat(ends[:-1][dealt] - inner[:-1], sizes) + np.arange(inner[-1])
-        nested = pa.ListArray.from_arrays(pa.array(inner, pa.int32()), pa.array(place[order[source]]))
-        at = pa.array(text)
+        bounds = np.append(heads, len(term))
+        row = np.repeat(np.arange(len(heads)), np.diff(bounds))
+        # of each row the ids, where the places of each id begin, from 1, and the places end to end
+        lists = ((bounds, batch.column("id").take(pa.array(text))), (bounds, pa.array((inner[:-1] - inner[heads][row] + 1).astype(np.int32))), (inner[bounds], pa.array(place[order[source]])))
         yield pa.RecordBatch.from_arrays(
-            [words.dictionary.take(pa.array(term[heads])).cast(pa.string()), pa.array(part[heads].astype(np.int32)), *(pa.ListArray.from_arrays(row_offsets, x) for x in (batch.column("id").take(at), batch.column("block").take(at), nested))],
-            ["term", "part", "ids", "blocks", "places"])
+            [words.dictionary.take(pa.array(term[heads])).cast(pa.string()), pa.array(part[heads].astype(np.int32)), *(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values) for offsets, values in lists)],
+            ["term", "part", "ids", "starts", "places"])
 
 
 def block() -> Column:
@@ -83,8 +84,10 @@ class TextIndex:
         """Of rows with a different long id each. A null text has no words."""
         spark = rows.sparkSession
         texts = rows.select(F.col("id").cast("long").alias("id"), tokens(text, language).alias("words")).select("id", block().alias("block"), "words")
-        found = texts.mapInArrow(places, "term string, part int, ids array<long>, blocks array<int>, places array<array<int>>").repartition("term", "part")
-        one = found.select("term", F.explode(F.arrays_zip("ids", "blocks", "places")).alias("p")).select("term", F.col("p.blocks").alias("block"), F.col("p.ids").alias("id"), F.size("p.places").alias("n"), "p.places")
+        found = texts.mapInArrow(places, "term string, part int, ids array<long>, starts array<int>, places array<int>").repartition("term", "part")
+        end = lambda i: F.coalesce(F.get("starts", i + 1), F.size("places") + 1)
+        each = F.transform("ids", lambda x, i: F.struct(x.alias("id"), F.slice("places", F.get("starts", i), end(i) - F.get("starts", i)).alias("places")))
+        one = found.select("term", F.explode(each).alias("p")).select("term", "p.id", "p.places").select("term", block().alias("block"), "id", F.size("places").alias("n"), "places")
         one.sortWithinPartitions("term", "block", "id").write.option("parquet.block.size", 16 << 20).option("compression", "zstd").parquet(f"{folder}/postings")
         rows.select(F.col("id").cast("long").alias("id")).withColumn("block", block()).write.parquet(f"{folder}/ids")
         return cls(spark, folder, language)
