@@ -18,12 +18,22 @@ from skein.operators.search import ranked
 #: Blocks of texts by a hash of their ids: a fixed number, so that a query's bounds of blocks fit in the driver. A part of a
 #: frequent term has so many of them, to the power of two; in how many texts of a batch a frequent term is.
 BLOCKS, SPREAD, OFTEN = 1024, 6, 64
+#: Words that a task sorts at once.
+AT_ONCE = 1 << 20
+
+
+def portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of texts of about AT_ONCE words, a longer text alone: they bound what a task holds."""
+    seen = np.cumsum(pc.list_value_length(batch.column("words")).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = np.flatnonzero(np.diff(seen // AT_ONCE)) + 1
+    for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+        yield batch.slice(begin, end - begin)
 
 
 def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of (id, block, words): term, part, and arrays of the ids of the batch's texts that hold it and of their places. A term of
     over OFTEN texts of the batch is dealt into parts by block, so that no task gets all of a frequent term."""
-    for batch in batches:
+    for batch in (part for whole in batches for part in portions(whole)):
         lists = batch.column("words")
         words = pc.list_flatten(lists).dictionary_encode()
         owner = pc.list_parent_indices(lists).to_numpy().astype(np.int64)
