@@ -19,7 +19,7 @@ from skein.operators.search import ranked
 #: frequent term has so many of them, to the power of two; in how many texts of a batch a frequent term is.
 BLOCKS, SPREAD, OFTEN = 1024, 6, 64
 #: Words that a task sorts at once.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 21
 
 
 def portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
