@@ -19,7 +19,8 @@ STAGES = ("chunks", "rules", "knowledge")
 
 
 def index(tables: Snapshot, root: str, project: str, workspace: str, stages: list[str], refresh: bool = False) -> None:
-    """Indexes one project from a folder: chunks and symbols, then facts of the chunks that are due."""
+    """Indexes one project from a folder: chunks and symbols, then facts of the chunks that are due. Only files that have
+    changed since the last time are cut into chunks, and only texts without a vector embedded; refresh takes all files."""
     spark, now = tables.spark, datetime.now(UTC).replace(tzinfo=None)
     key = spark.range(1).select(F.pmod(F.hash(F.lit(root)), F.lit(2**31 - 1)).cast("int")).head()[0]
     tables.write("workspaces", merge.insert_ignore(tables.workspaces, spark.createDataFrame([(workspace, workspace)], tables.workspaces.schema), ["id"]))
@@ -28,8 +29,12 @@ def index(tables: Snapshot, root: str, project: str, workspace: str, stages: lis
     if "chunks" in stages:
         found = read_tree(spark, root, git_paths(root))
         files = found.withColumn("path", F.regexp_replace("path", "^.*?" + "".join(f"\\{c}" if not c.isalnum() else c for c in root.rstrip("/")) + "/", ""))
-        tables.store.write(*indexing.index_changes(tables.chunks, tables.projects, files, key, project, now))
+        listed = files.select(F.lit(key).alias("project_id"), "path", F.sha2("content", 256).alias("content_hash"))
+        tree = tables.tree(key)
+        changed = files if refresh else files.join(tree.changes(listed).filter("change <> 'deleted'").select("path"), "path", "left_semi")
+        tables.store.write(*indexing.index_changes(tables.chunks, tables.projects, changed, key, project, now, vectors=tables.vectors, listed=listed))
         tables.store.compact()
+        tree.commit(listed)
         symbols, relations = indexing.index_symbols(files, tables.chunks, key)
         tables.write("symbols", tables.symbols.filter(F.col("project_id") != key).unionByName(symbols.select(*tables.symbols.columns)))
         tables.write("relations", merge.insert_ignore(tables.relations, relations, ["source_id", "target_id", "relation"]))

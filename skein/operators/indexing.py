@@ -12,29 +12,38 @@ from pyspark.sql import functions as F
 from skein.functions.text import contextual
 from skein.operators import chunking, extraction, merge, predicates
 from skein.sources.embedding import embedded
+from skein.sources.vectors import VectorStore
 
 Embed = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 
 
-def new_chunks(files: DataFrame, project_id: int, project: str, now: datetime, embed: Embed | None = None) -> DataFrame:
-    """Chunks of files (path relative to the project's root, language, content), with vectors of their contextual text."""
+def new_chunks(files: DataFrame, project_id: int, project: str, now: datetime, embed: Embed | None = None, vectors: VectorStore | None = None) -> DataFrame:
+    """Chunks of files (path relative to the project's root, language, content), with vectors of their contextual text.
+    vectors: where vectors are kept by text; only texts that it lacks are embedded, and one that fails has no vector."""
     pieces = chunking.chunk_files(files)
     # equal chunks of a file are one, the last
     once = merge.last_of(pieces, ["path", "content_hash"], F.col("seq").desc())
     text = contextual(F.lit(project), F.col("path"), F.col("language"), F.col("symbol_name"), F.col("chunk_type"), F.col("content"))
     key = F.xxhash64(F.lit(project_id), "path", "content_hash")
-    return once.select(key.alias("id"), F.lit(project_id).alias("project_id"), F.col("path").alias("file_path"), "language", "chunk_type", "symbol_name", "content", "content_hash", embedded(text, embed).alias("embedding"), F.lit(now).cast("timestamp").alias("updated_at"))
+    shape = [key.alias("id"), F.lit(project_id).alias("project_id"), F.col("path").alias("file_path"), "language", "chunk_type", "symbol_name", "content", "content_hash"]
+    stamp = F.lit(now).cast("timestamp").alias("updated_at")
+    if vectors is None:
+        return once.select(*shape, embedded(text, embed).alias("embedding"), stamp)
+    rows = vectors.attached(once.select(*shape, text.alias("asked"), stamp), embed, "asked")
+    return rows.select(*(c for c in rows.columns if c != "asked"))
 
 
-def index_changes(stored: DataFrame, projects: DataFrame, files: DataFrame, project_id: int, project: str, now: datetime, embed: Embed | None = None) -> tuple[DataFrame, DataFrame]:
+def index_changes(stored: DataFrame, projects: DataFrame, files: DataFrame, project_id: int, project: str, now: datetime, embed: Embed | None = None, vectors: VectorStore | None = None, listed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """What indexing one project puts into the stored chunks, and which files (project_id, file_path) it takes away: those
-    that hold migrations or tests, and those of the project that are no longer there, if any file is."""
+    that hold migrations or tests, and those of the project that are no longer there, if any file is. listed: all paths of
+    the project, where files are only those that have changed."""
     where = ["project_id", "file_path"]
     known = stored.select(*where).distinct()
     unfit = predicates.unfit_files(stored, projects).select(*where)
-    present = files.select(F.lit(project_id).alias("project_id"), F.col("path").alias("file_path")).distinct()
-    gone = unfit if files.isEmpty() else unfit.unionByName(known.filter(F.col("project_id") == project_id).join(present, where, "left_anti"))
-    return new_chunks(files, project_id, project, now, embed), gone.distinct()
+    paths = files if listed is None else listed
+    present = paths.select(F.lit(project_id).alias("project_id"), F.col("path").alias("file_path")).distinct()
+    gone = unfit if paths.isEmpty() else unfit.unionByName(known.filter(F.col("project_id") == project_id).join(present, where, "left_anti"))
+    return new_chunks(files, project_id, project, now, embed, vectors), gone.distinct()
 
 
 def index_symbols(files: DataFrame, chunks: DataFrame, project_id: int) -> tuple[DataFrame, DataFrame]:

@@ -15,9 +15,10 @@ from skein.functions import text as X
 from skein.operators import chunking, compress, extraction, graph, merge, predicates, reports, scope, search
 from skein.operators.pivots import VectorIndex
 from skein.operators.postings import TextIndex
-from skein.sources import changes, config, embedding, files, tables
+from skein.sources import changes, config, digests, embedding, files, tables
 from skein.sources.folders import scratch_dir
 from skein.sources.store import ChunkStore
+from skein.sources.vectors import VectorStore
 from skein.streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -968,3 +969,47 @@ def store_merge(t):
     store.write(source)
     store.write(source.filter("project_id % 6 = 0"), target.filter("project_id % 3 = 0"))
     return store.read().select("project_id", "file_path", "content_hash", "language", F.md5(F.col("content").cast("binary")).alias("digest"))
+
+
+@query("""SELECT doc_id, sha256(text) AS content_hash, CASE WHEN text IS NOT NULL THEN 64 END AS dims, (SELECT count(DISTINCT text) FROM benchmark) AS asked_first,
+(SELECT count(DISTINCT text) FROM documents WHERE text NOT IN (SELECT text FROM benchmark WHERE text IS NOT NULL)) AS asked_then, 0::BIGINT AS asked_again FROM documents""")
+def embed_reuse(t):
+    """Vectors by content: the benchmark's texts are embedded, then the documents', then the documents' again; how many
+    texts each filling asked for, and the vectors that the documents got."""
+    docs, store = t.raw("documents"), VectorStore(t.spark, _scratch(t, "vectors"))
+    told = [sum(store.fill(df)) for df in (t.raw("benchmark"), docs, docs)]
+    counts = [F.lit(n).cast("long").alias(name) for n, name in zip(told, ("asked_first", "asked_then", "asked_again"), strict=True)]
+    found = store.attach(docs.select("doc_id", "text"))
+    size = F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("dims")
+    return found.select("doc_id", F.sha2("text", 256).alias("content_hash"), size, *counts)
+
+
+TREE = "SELECT pid AS project_id, coalesce(lang, '') || '/' || (doc_id % 20) || '/' || doc_id || '.txt' AS path, sha256(text) AS content_hash, doc_id, text FROM d WHERE pid IS NOT NULL"
+
+
+def _tree(docs: DataFrame) -> DataFrame:
+    """The documents as files of a tree: three levels of folders below a source."""
+    path = F.concat_ws("/", F.coalesce("lang", F.lit("")), (F.col("doc_id") % 20).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return docs.select("doc_id", F.substring("source", 4, 20).cast("int").alias("project_id"), path.alias("path"), F.sha2("text", 256).alias("content_hash"), "text").filter("project_id IS NOT NULL")
+
+
+@query(f""", t AS ({TREE}), u AS (SELECT project_id, sha256(path || chr(0) || coalesce(content_hash, '')) AS h, unnest(list_distinct(['', split_part(path, '/', 1), split_part(path, '/', 1) || '/' || split_part(path, '/', 2)])) AS folder FROM t)
+SELECT project_id, folder, count(*) AS files, {' || '.join(f"lpad(lower(to_hex((sum(('0x' || substr(h, {1 + 15 * k}, 15))::BIGINT) % 1152921504606846976)::BIGINT)), 15, '0')" for k in range(4))} AS digest FROM u GROUP BY ALL""")
+def tree_digests(t):
+    return digests.tree_digests(_tree(t.raw("documents")))
+
+
+@query(f""", b AS ({TREE}), a AS (SELECT project_id, CASE WHEN project_id % 4 = 0 AND doc_id % 11 = 0 THEN 'moved/' ELSE '' END || path AS path, sha256(CASE WHEN project_id % 4 = 0 AND doc_id % 13 = 0 THEN 'x' ELSE '' END || text) AS content_hash FROM b WHERE project_id % 4 <> 0 OR doc_id % 5 <> 0),
+f AS (SELECT project_id, path, CASE WHEN max(s) = 1 THEN 'deleted' WHEN min(s) = 2 THEN 'created' ELSE 'changed' END AS change, max_by(content_hash, s) AS h FROM (SELECT project_id, path, content_hash, 1 AS s FROM b UNION ALL SELECT project_id, path, content_hash, 2 FROM a) GROUP BY ALL HAVING count(*) = 1 OR min(content_hash) IS NULL OR min(content_hash) <> max(content_hash)),
+m AS (SELECT project_id, h, max(path) FILTER (change = 'deleted') AS old_path FROM f WHERE change <> 'changed' AND h IS NOT NULL GROUP BY ALL HAVING count(*) FILTER (change = 'created') = 1 AND count(*) FILTER (change = 'deleted') = 1)
+SELECT f.project_id, CASE WHEN m.h IS NOT NULL THEN 'renamed' ELSE change END AS change, path, old_path FROM f LEFT JOIN m ON m.project_id = f.project_id AND m.h = f.h AND change <> 'changed' WHERE NOT (change = 'deleted' AND m.h IS NOT NULL)""")
+def tree_changes(t):
+    """A tree of all documents is committed; in some projects files are edited, moved and deleted; what has changed."""
+    before = _tree(t.raw("documents"))
+    store = digests.TreeStore(t.spark, _scratch(t, "tree"))
+    store.commit(before)
+    touched = F.col("project_id") % 4 == 0
+    path = F.when(touched & (F.col("doc_id") % 11 == 0), F.concat(F.lit("moved/"), "path")).otherwise(F.col("path"))
+    text = F.when(touched & (F.col("doc_id") % 13 == 0), F.concat(F.lit("x"), "text")).otherwise(F.col("text"))
+    after = before.filter(~touched | (F.col("doc_id") % 5 != 0)).select("project_id", path.alias("path"), F.sha2(text, 256).alias("content_hash"))
+    return store.changes(after)

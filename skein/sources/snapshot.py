@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.schemas import TABLES
+from skein.sources.digests import TreeStore
 from skein.sources.folders import delete, glob
 from skein.sources.store import ChunkStore
+from skein.sources.vectors import VectorStore
 
 #: Versions of a table that stay, for readers that have begun with the one before.
 KEEP = 2
@@ -20,6 +22,11 @@ class Snapshot:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
         self.store = ChunkStore(spark, f"{self.folder}/chunks")
+        self.vectors = VectorStore(spark, f"{self.folder}/vectors")
+
+    def tree(self, project_id: int) -> TreeStore:
+        """What the project's files were when they were last indexed."""
+        return TreeStore(self.spark, f"{self.folder}/trees/{project_id}")
 
     def versions(self, name: str) -> list[int]:
         return sorted(int(p.rsplit("/", 2)[1][2:]) for p in glob(self.spark, f"{self.folder}/{name}/v=*/_SUCCESS"))
