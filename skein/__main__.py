@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from skein import schemas
 from skein.api import Engine
 from skein.operators import indexing, merge, predicates, reports
-from skein.sources.files import git_paths, read_tree
+from skein.sources.files import read_tree
 from skein.sources.snapshot import Snapshot
 
 STAGES = ("chunks", "rules", "knowledge")
@@ -27,7 +27,7 @@ def index(tables: Snapshot, root: str, project: str, workspace: str, stages: lis
     tables.write("projects", merge.upsert_projects(tables.projects, spark.createDataFrame([(key, project, root)], tables.projects.schema)))
     tables.write("workspace_projects", merge.insert_ignore(tables.workspace_projects, spark.createDataFrame([(workspace, key)], tables.workspace_projects.schema), ["workspace_id", "project_id"]))
     if "chunks" in stages:
-        found = read_tree(spark, root, git_paths(root))
+        found = read_tree(spark, root)
         files = found.withColumn("path", F.regexp_replace("path", "^.*?" + "".join(f"\\{c}" if not c.isalnum() else c for c in root.rstrip("/")) + "/", ""))
         listed = files.select(F.lit(key).alias("project_id"), "path", F.sha2("content", 256).alias("content_hash"))
         tree = tables.tree(key)

@@ -17,6 +17,22 @@ def glob(spark: SparkSession, pattern: str) -> list[str]:
     return [f.getPath().toString() for f in system.globStatus(path) or []]
 
 
+def qualified(spark: SparkSession, name: str) -> str:
+    """The folder's whole name, as Spark tells it of the files in it."""
+    path, system = _path(spark, name)
+    return system.makeQualified(path).toString()
+
+
+def text_of(spark: SparkSession, name: str) -> str:
+    """The text of one small file."""
+    path, system = _path(spark, name)
+    stream = system.open(path)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode(errors="replace")
+    finally:
+        stream.close()
+
+
 def delete(spark: SparkSession, folder: str) -> None:
     path, system = _path(spark, folder)
     system.delete(path, True)

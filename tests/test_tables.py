@@ -119,7 +119,6 @@ def test_source_tree(spark, tmp_path):
         file.write_text(text)
     found = {r["path"].rsplit("/", 1)[1]: r["language"] for r in files.read_tree(spark, str(tmp_path / "tree")).collect()}
     assert found == {"A.cs": "csharp", "ok.md": "markdown"}
-    assert files.git_paths(str(tmp_path)) is None
 
 
 def test_watch(spark, tmp_path):
