@@ -1013,3 +1013,16 @@ def tree_changes(t):
     text = F.when(touched & (F.col("doc_id") % 13 == 0), F.concat(F.lit("x"), "text")).otherwise(F.col("text"))
     after = before.filter(~touched | (F.col("doc_id") % 5 != 0)).select("project_id", path.alias("path"), F.sha2(text, 256).alias("content_hash"))
     return store.changes(after)
+
+
+#: Ignore rules by folder, the last that fits counts: names, an exception, a folder at the top, folders at any depth.
+IGNORE = {"": ["*7.txt", "!*77.txt", "/de/", "1[0123]/"], "en": ["!*7.txt"]}
+
+
+@query("""SELECT pid AS project_id, path FROM (SELECT pid, lang, doc_id, coalesce(lang, '') || '/' || (doc_id % 20) || '/' || doc_id || '.txt' AS path FROM d WHERE pid IS NOT NULL)
+WHERE coalesce(lang, '') <> 'de' AND doc_id % 20 NOT BETWEEN 10 AND 13 AND (doc_id % 10 <> 7 OR doc_id % 100 = 77 OR coalesce(lang, '') = 'en')""")
+def ignored_files(t):
+    """The documents as files of a tree, without those that ignore rules leave out."""
+    rules = [(folder, line, n) for folder, lines in IGNORE.items() for n, line in enumerate(lines)]
+    listed = _tree(t.raw("documents")).select("project_id", "path")
+    return files.not_ignored(listed, t.spark.createDataFrame(rules, "folder string, line string, number int"))
