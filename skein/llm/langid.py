@@ -14,7 +14,6 @@ teach once; an empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +33,6 @@ HIDDEN, WIDTH, PAD = 8, 64, 256
 EPOCHS, LEAST_STEPS, STEP_ROWS, RATE = 6, 600, 128, 0.02
 #: Bytes run side by side.
 CHUNK = 1 << 18
-LETTER = re.compile(r"[^\W\d_]")
 f32 = np.float32
 
 
@@ -197,7 +195,7 @@ def identified(docs: DataFrame, network: Network | None) -> DataFrame:
                 part = [t or "" for t in texts[at:end]]
                 told, scores = ["und"] * len(part), [0.0] * len(part)
                 if network is not None:
-                    spread = network.documents([t.encode() if LETTER.search(t) else b"" for t in part])
+                    spread = network.documents([t.encode() if any(map(str.isalpha, t)) else b"" for t in part])
                     best = spread.argmax(1)
                     for k, p in enumerate(spread[np.arange(len(part)), best].tolist()):
                         if p > 0:

@@ -84,6 +84,9 @@ def test_language(spark, docs):
     assert len(found) == len(ROWS) and (2, "und", 0.0) in found and (3, "und", 0.0) in found and (4, "und", 0.0) in found
     assert {r[1] for r in rows(langid.identified(docs, langid.fitted(empty(spark, docs))), "doc_id", "lang_pred")} == {"und"}
     assert langid.identified(empty(spark, docs), None).count() == 0
+    # signs that are numbers but no letters
+    signs = spark.createDataFrame([(1, "½ ²³ ③ 12 _"), (2, "½ é")], "doc_id long, text string")
+    assert [(r["doc_id"], r["lang_pred"] == "und") for r in langid.identified(signs, langid.fitted(docs)).collect()] == [(1, True), (2, False)]
 
 
 def test_bpe(spark, docs):
