@@ -4,9 +4,11 @@ Each document gets integer rates, of any size. For every (lang, source) group an
 built by partial sums: counts of log-linear levels, a level being a rate's first BITS binary digits. So a quantile of the
 sketch is at most the exact one and less than a 2 ** (1 - BITS) part of it below (exact under 2 ** BITS), a sketch has at
 most 64 * 2 ** (BITS - 1) levels, and sketches merge by adding counts, in any order, with the same error. A group of
-fewer than LEAST documents takes the merged sketch of its language, and if that has fewer too, that of all. The sketch's
-quartiles give thresholds, and a join by group applies them to every document. Only sketches meet in one place, so a hot
-group costs no more.
+fewer than LEAST documents takes the merged sketch of its language, and if that has fewer too, that of all; its tail it takes
+of its language from fewer than TAIL_LEAST on. All thresholds are quantiles of a group's own sketch: the median and a multiple
+of the quartiles' distance for what texts consist of, the median and a multiple of the way to the 99th percentile for
+repetition, which most documents have none of. A join by group applies them to every document. Only sketches meet in one
+place, so a hot group costs no more.
 
 Cases: a null text has no words and fails the base rule; texts of any length are read whole; a null lang or source is a
 group of its own; a rate equal to its threshold passes; a group without a document that passes the base rule has no sketch
@@ -27,10 +29,13 @@ REPEAT_WINDOW = 8
 MIN_WORDS = 20
 BITS = 7
 LEAST = 30
-#: For each rate: how far over the median at least, and how many times the spread to the upper quartile, is too much.
-SLACK = {"symbol_pm": 30, "dup_line_pm": 400, "repeat_pm": 250, "word_len10": 40}
-SPREAD = 5
-QUARTILES = (25, 50, 75)
+TAIL_LEAST = 1000
+#: How many times the distance of the quartiles (one unit of the rate at least) a rate may be away from the median.
+SPREAD = {"symbol_pm": 8, "word_len10": 8}
+#: How many times the distance from the median to the 99th percentile (one unit at least) a rate may be over the median.
+TAIL = {"dup_line_pm": 3, "repeat_pm": 3}
+RATES = [*SPREAD, *TAIL]
+QUANTILES = (25, 50, 75, 99)
 
 
 def repeated_words(hashes: Column, ordered: str) -> Column:
@@ -85,34 +90,36 @@ def merged(one: DataFrame, other: DataFrame) -> DataFrame:
     return one.unionByName(other).groupBy("lang", "source", "rate", "level").agg(F.sum("n").alias("n"))
 
 
-def quartiles(sketch: DataFrame, *by: str) -> DataFrame:
-    """by, rate, total and q25, q50, q75 of the sketches merged over all else."""
+def quantiles(sketch: DataFrame, *by: str) -> DataFrame:
+    """by, rate, total and q25, q50, q75, q99 of the sketches merged over all else."""
     levels = sketch.groupBy(*by, "rate", "level").agg(F.sum("n").alias("n"))
     per = levels.groupBy(*by, "rate").agg(F.sum("n").alias("total"), F.sort_array(F.collect_list(F.struct("level", "n"))).alias("h"))
-    begin = F.struct(F.lit(0).cast("long").alias("n"), *(F.lit(None).cast("long").alias(f"q{p}") for p in QUARTILES))
-    step = lambda a, x: F.struct((a["n"] + x["n"]).alias("n"), *(F.coalesce(a[f"q{p}"], F.when(100 * (a["n"] + x["n"]) >= p * F.col("total"), x["level"])).alias(f"q{p}") for p in QUARTILES))
-    return per.select(*by, "rate", "total", F.aggregate("h", begin, step).alias("q")).select(*by, "rate", "total", *(f"q.q{p}" for p in QUARTILES))
+    begin = F.struct(F.lit(0).cast("long").alias("n"), *(F.lit(None).cast("long").alias(f"q{p}") for p in QUANTILES))
+    step = lambda a, x: F.struct((a["n"] + x["n"]).alias("n"), *(F.coalesce(a[f"q{p}"], F.when(100 * (a["n"] + x["n"]) >= p * F.col("total"), x["level"])).alias(f"q{p}") for p in QUANTILES))
+    return per.select(*by, "rate", "total", F.aggregate("h", begin, step).alias("q")).select(*by, "rate", "total", *(f"q.q{p}" for p in QUANTILES))
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
     """One row per lang and source; hi_<rate> and lo_word_len10."""
-    own, wide, all_ = (quartiles(sketch, *by).withColumnsRenamed({c: f"{c}_{len(by)}" for c in ("lang", "total", "q25", "q50", "q75")}) for by in (("lang", "source"), ("lang",), ()))
+    names = ["lang", "total", *(f"q{p}" for p in QUANTILES)]
+    own, wide, all_ = (quantiles(sketch, *by).withColumnsRenamed({c: f"{c}_{len(by)}" for c in names}) for by in (("lang", "source"), ("lang",), ()))
     pooled = own.withColumnRenamed("rate", "r2").join(wide.withColumnRenamed("rate", "r1"), F.col("lang_2").eqNullSafe(F.col("lang_1")) & (F.col("r2") == F.col("r1"))).join(all_, F.col("r2") == F.col("rate"))
-    pick = lambda c: F.when(F.col("total_2") >= LEAST, F.col(f"{c}_2")).when(F.col("total_1") >= LEAST, F.col(f"{c}_1")).otherwise(F.col(f"{c}_0")).alias(c)
-    seen = pooled.select(F.col("lang_2").alias("lang"), "source", "rate", pick("q25"), pick("q50"), pick("q75"))
-    slack = F.coalesce(*(F.when(F.col("rate") == k, F.lit(v)) for k, v in SLACK.items()))
-    fences = seen.select("lang", "source", "rate", (F.col("q50") + F.greatest(slack, SPREAD * (F.col("q75") - F.col("q50")))).alias("hi"), (F.col("q50") - F.greatest(slack, SPREAD * (F.col("q50") - F.col("q25")))).alias("lo"))
-    return fences.groupBy("lang", "source").agg(*(F.max(F.when(F.col("rate") == k, F.col("hi"))).alias(f"hi_{k}") for k in SLACK), F.max(F.when(F.col("rate") == "word_len10", F.col("lo"))).alias("lo_word_len10"))
+    pick = lambda c, least: F.when(F.col("total_2") >= least, F.col(f"{c}_2")).when(F.col("total_1") >= least, F.col(f"{c}_1")).otherwise(F.col(f"{c}_0")).alias(c)
+    seen = pooled.select(F.col("lang_2").alias("lang"), "source", "rate", *(pick(f"q{p}", TAIL_LEAST if p == 99 else LEAST) for p in QUANTILES))
+    times = lambda factors, spread: F.coalesce(*(F.when(F.col("rate") == k, v) for k, v in factors.items())) * F.greatest(spread, F.lit(1))
+    slack = F.coalesce(times(SPREAD, F.col("q75") - F.col("q25")), times(TAIL, F.col("q99") - F.col("q50")))
+    fences = seen.select("lang", "source", "rate", (F.col("q50") + slack).alias("hi"), (F.col("q50") - slack).alias("lo"))
+    return fences.groupBy("lang", "source").agg(*(F.max(F.when(F.col("rate") == k, F.col("hi"))).alias(f"hi_{k}") for k in RATES), F.max(F.when(F.col("rate") == "word_len10", F.col("lo"))).alias("lo_word_len10"))
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
     """The features, rates, base_failed and kept of each document row."""
     rated = stored(rates(base_features(docs.select("doc_id", "text", "lang", "source"))), "rates")
-    fences = stored(thresholds(sketches(rated, list(SLACK))), "thresholds")
+    fences = stored(thresholds(sketches(rated, RATES)), "thresholds")
     fences = fences.withColumnsRenamed({"lang": "f_lang", "source": "f_source"})
     joined = rated.join(fences, F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source")), "left")
     odd = F.col("word_len10") < F.col("lo_word_len10")
-    for k in SLACK:
+    for k in RATES:
         odd = odd | (F.col(k) > F.col(f"hi_{k}"))
     return joined.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(odd, F.lit(False))).drop("f_lang", "f_source")
 
@@ -132,12 +139,12 @@ r AS (SELECT *, 1000 * n_symbols // greatest(word_chars, 1) AS symbol_pm, 1000 *
   n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f),
 v AS (UNPIVOT (SELECT rid, coalesce(lang, chr(1)) AS lang, coalesce(source, chr(1)) AS source, symbol_pm::BIGINT AS symbol_pm, dup_line_pm::BIGINT AS dup_line_pm, repeat_pm::BIGINT AS repeat_pm, word_len10::BIGINT AS word_len10 FROM r WHERE NOT base_failed) ON symbol_pm, dup_line_pm, repeat_pm, word_len10 INTO NAME rate VALUE x),
 m AS (SELECT lang, source, rate, (x >> greatest(length(bin(x)) - 7, 0)) << greatest(length(bin(x)) - 7, 0) AS lvl FROM v),
-q2 AS (SELECT lang, source, rate, count(*) AS n, quantile_disc(lvl, [0.25, 0.5, 0.75]) AS q FROM m GROUP BY ALL),
-q1 AS (SELECT lang, rate, count(*) AS n, quantile_disc(lvl, [0.25, 0.5, 0.75]) AS q FROM m GROUP BY ALL),
-q0 AS (SELECT rate, quantile_disc(lvl, [0.25, 0.5, 0.75]) AS q FROM m GROUP BY ALL),
-p0 AS (SELECT q2.lang, q2.source, q2.rate, CASE WHEN q2.n >= 30 THEN q2.q WHEN q1.n >= 30 THEN q1.q ELSE q0.q END AS q FROM q2 JOIN q1 USING (lang, rate) JOIN q0 USING (rate)),
-q AS (SELECT lang, source, rate, q[1] AS q25, q[2] AS q50, q[3] AS q75, CASE rate WHEN 'symbol_pm' THEN 30 WHEN 'dup_line_pm' THEN 400 WHEN 'repeat_pm' THEN 250 ELSE 40 END AS slack FROM p0),
-b AS (SELECT lang, source, rate, q50 + greatest(slack, 5 * (q75 - q50)) AS hi, q50 - greatest(slack, 5 * (q50 - q25)) AS lo FROM q),
+q2 AS (SELECT lang, source, rate, count(*) AS n, quantile_disc(lvl, [0.25, 0.5, 0.75, 0.99]) AS q FROM m GROUP BY ALL),
+q1 AS (SELECT lang, rate, count(*) AS n, quantile_disc(lvl, [0.25, 0.5, 0.75, 0.99]) AS q FROM m GROUP BY ALL),
+q0 AS (SELECT rate, quantile_disc(lvl, [0.25, 0.5, 0.75, 0.99]) AS q FROM m GROUP BY ALL),
+p0 AS (SELECT q2.lang, q2.source, q2.rate, CASE WHEN q2.n >= 30 THEN q2.q WHEN q1.n >= 30 THEN q1.q ELSE q0.q END AS q, CASE WHEN q2.n >= 1000 THEN q2.q WHEN q1.n >= 1000 THEN q1.q ELSE q0.q END AS t FROM q2 JOIN q1 USING (lang, rate) JOIN q0 USING (rate)),
+q AS (SELECT lang, source, rate, q[2] AS q50, CASE WHEN rate IN ('symbol_pm', 'word_len10') THEN 8 * greatest(q[3] - q[1], 1) ELSE 3 * greatest(t[4] - q[2], 1) END AS slack FROM p0),
+b AS (SELECT lang, source, rate, q50 + slack AS hi, q50 - slack AS lo FROM q),
 p AS (SELECT lang, source, max(hi) FILTER (rate = 'symbol_pm') AS h1, max(hi) FILTER (rate = 'dup_line_pm') AS h2, max(hi) FILTER (rate = 'repeat_pm') AS h3, max(hi) FILTER (rate = 'word_len10') AS h4, max(lo) FILTER (rate = 'word_len10') AS l4 FROM b GROUP BY ALL)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
   NOT base_failed AND NOT coalesce(symbol_pm > h1 OR dup_line_pm > h2 OR repeat_pm > h3 OR word_len10 > h4 OR word_len10 < l4, false) AS kept

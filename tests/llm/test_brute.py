@@ -264,9 +264,9 @@ def test_quantile_sketches_merge_within_their_error(spark):
     parts = [quality.sketches(rated.filter(F.pmod("x", F.lit(3)) == k), ["x"]) for k in range(3)]
     key = lambda df: sorted(df.select("lang", "source", "rate", "level", "n").collect(), key=repr)
     assert key(quality.merged(quality.merged(parts[2], parts[0]), parts[1])) == key(whole) and whole.count() < 2 * 64 * 64
-    (found,) = quality.quartiles(whole, "lang").collect()
+    (found,) = quality.quantiles(whole, "lang").collect()
     ordered = np.sort(values)
-    for p in quality.QUARTILES:
+    for p in quality.QUANTILES:
         exact = int(ordered[-(-p * len(ordered) // 100) - 1])
         assert exact * (1 - 2 ** (1 - quality.BITS)) <= found[f"q{p}"] <= exact
 
@@ -278,6 +278,23 @@ def test_small_groups_are_judged_by_their_language(spark):
     assert {i for i, kept in found.items() if not kept} == {100, 101, 102}
 
 
+def test_the_same_rate_is_usual_in_one_group_and_odd_in_another(spark):
+    words = lambda i, n, of=1: [f"w{(i * 31 + k * 17) % 500:03}" * of for k in range(n)]
+    symbols = lambda i, n: " ".join([*words(i, 40), "#" * n])
+    rows = [(i, symbols(i, 3 * (i % 4)), "a", "code") for i in range(40)] + [(100 + i, symbols(i, 0), "a", "prose") for i in range(40)]
+    rows += [(200, symbols(7, 9), "a", "code"), (201, symbols(7, 9), "a", "prose"), (202, symbols(7, 200), "a", "code")]
+    rows += [(300 + i, " ".join(words(i, 30 - i % 9) + words(i + 40, i % 9, 4)), "a", "long") for i in range(45)] + [(400, " ".join(words(9, 20) + words(3, 10, 4)), "a", "long"), (401, " ".join(words(9, 20) + words(3, 10, 4)), "a", "prose")]
+    found = {r["doc_id"]: r["kept"] for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert {i for i, kept in found.items() if not kept} == {201, 202, 401}
+
+
+def test_a_tail_is_the_language_s_where_a_group_is_small(spark):
+    rows = [("l", "small", False, 0)] * 200 + [("l", "large", False, 0)] * 980 + [("l", "large", False, 100)] * 20
+    rated = spark.createDataFrame(rows, "lang string, source string, base_failed boolean, repeat_pm long").selectExpr("*", *(f"0L AS {k}" for k in quality.RATES if k != "repeat_pm"))
+    found = {r["source"]: r["hi_repeat_pm"] for r in quality.thresholds(quality.sketches(rated, quality.RATES)).collect()}
+    assert found == {"small": 300, "large": 300}
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(30)] + [(100, 101), (101, 102), (100, 102), (200, 201), (201, 201)]
     found = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
