@@ -9,33 +9,9 @@ from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
-
-
-#: The published rules of a stemmer for the inflections of English (Porter's steps 1 and 5), as patterns and
-#: what takes the place of a match, in order. C and V are runs of consonants and vowels.
-_C, _V = "[^aeiou][^aeiouy]*", "[aeiouy][aeiou]*"
-_SOME, _MANY, _VOWEL = f"(?:{_C})?{_V}{_C}", f"(?:{_C})?{_V}{_C}{_V}{_C}", f"(?:{_C})?[aeiouy]"
-ENGLISH = (
-    ("(ss|i)es$", "$1"), ("([^s])s$", "$1"),
-    (f"^({_SOME}.*)eed$", "$1ee"), (f"^({_VOWEL}.*)(?:(?<!e)ed|ing)$", "$1~"), ("(at|bl|iz)~$", "$1e"), ("([^aeioulsz])\\1~$", "$1"), (f"^({_C}[aeiouy][^aeiouwxy])~$", "$1e"), ("~", ""),
-    (f"^({_VOWEL}.*)y$", "$1i"),
-    (f"^({_MANY}.*)e$", "$1"), (f"^(?!{_C}[aeiouy][^aeiouwxy]e$)((?:{_C})?{_V}{_C}(?:{_V})?)e$", "$1"), (f"^(?={_MANY})(.*l)l$", "$1"),
-)
-#: Plural, adverb and verb endings of Portuguese, the same way.
-PORTUGUESE = (("(?:ões|ães)$", "ão"), ("ais$", "al"), ("éis$", "el"), ("óis$", "ol"), ("ns$", "m"), ("(r|z)es$", "$1"), ("([aeiouãé])s$", "$1"), ("(..)mente$", "$1"), ("(...)(?:ando|endo|indo|ado|ada|ido|ida|ar|er|ir)$", "$1"), ("(...)[aeo]$", "$1"))
-RULES = {"english": ENGLISH, "portuguese": PORTUGUESE}
-
+from skein.functions.stems import CHANGED, stem_of, stemmed
 
-def stemmed(word: Column, language: str = "english") -> Column:
-    """The stem of a lower-cased word; words of one or two letters are their own."""
-    stem = reduce(lambda w, rule: F.regexp_replace(w, *rule), RULES[language], word)
-    return F.when(F.length(word) > 2, stem).otherwise(word)
-
-
-def stem_of(word: str, language: str = "english") -> str:
-    """The same for one word."""
-    return reduce(lambda w, rule: re.sub(rule[0], rule[1].replace("$1", r"\g<1>"), w), RULES[language], word) if len(word) > 2 else word
+TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 
 
 def stop_words(language: str) -> list[str]:
@@ -89,8 +65,8 @@ def matches(words: Column, query: str, language: str | None = None) -> Column:
 def may_match(text: Column, query: str, language: str | None = None) -> Column:
     """A cheap condition that every text which fits the query meets: it holds the words somewhere."""
     low = F.lower(text)
-    # of a word at most its last four letters are not its stem's, of which the last may be changed
-    part = lambda t: t if language is None else t[: max(1, len(t) - 2)]
+    # a stem's last letters may differ from the word's
+    part = lambda t: t if language is None else t[: max(1, len(t) - CHANGED[language])]
     needed = [group for group in websearch(query, language) if not any(neg for neg, _ in group)]
     return reduce(lambda a, b: a & b, (reduce(lambda a, b: a | b, (reduce(lambda a, b: a & b, (low.contains(part(t)) for t in terms)) for _, terms in group)) for group in needed), F.lit(True))
 

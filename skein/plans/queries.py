@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from skein import schemas
 from skein.fixtures import CTES, Tables
 from skein.functions import lexical, vector
+from skein.functions import stems as stemmers
 from skein.functions import text as X
 from skein.operators import chunking, compress, extraction, graph, merge, predicates, reports, scope, search
 from skein.operators.pivots import VectorIndex
@@ -173,19 +174,15 @@ def ts_rank_cd(t):
     return found.select("doc_id", F.round(lexical.cover_density_rank(F.col("w"), TERMS), 6).alias("score"))
 
 
-#: Words and their published stems.
-STEMS = {
-    "caresses": "caress", "ponies": "poni", "pony": "poni", "ties": "ti", "caress": "caress", "cats": "cat", "agreed": "agre", "feed": "feed", "plastered": "plaster", "bled": "bled", "motoring": "motor", "sing": "sing",
-    "conflated": "conflat", "troubled": "troubl", "sized": "size", "hopping": "hop", "hoping": "hope", "tanned": "tan", "falling": "fall", "hissing": "hiss", "fizzed": "fizz", "failing": "fail", "filing": "file", "happy": "happi",
-    "sky": "sky", "class": "class", "classes": "class", "address": "address", "addresses": "address", "process": "process", "processes": "process", "processing": "process", "searches": "search", "search": "search", "rate": "rate",
-    "cease": "ceas", "probate": "probat", "controlling": "control", "rolling": "roll", "is": "is",
-}
+STEMMED = f"""WITH w AS (SELECT word, count(*) AS n FROM (SELECT unnest({TOKENS.format('text')}) AS word FROM documents) GROUP BY word),
+e AS ({stemmers.stems_sql('w', 'english')}), p AS ({stemmers.stems_sql('w', 'portuguese')})
+SELECT word, n, e.stem AS english, p.stem AS portuguese FROM w JOIN e USING (word) JOIN p USING (word)"""
 
 
-@query(f"SELECT doc_id, word, stem FROM documents, (VALUES {', '.join(str(x) for x in STEMS.items())}) v(word, stem) WHERE doc_id % 10 = length(word) % 10")
+@query(STEMMED)
 def stems(t):
-    words = t.raw("documents").select("doc_id", F.explode(F.array(*map(F.lit, STEMS))).alias("word")).filter(F.col("doc_id") % 10 == F.length("word") % 10)
-    return words.select("doc_id", "word", lexical.stemmed(F.col("word")).alias("stem"))
+    words = t.raw("documents").select(F.explode(lexical.tokens(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return words.select("word", "n", *(lexical.stemmed(F.col("word"), x).alias(x) for x in ("english", "portuguese")))
 
 
 @query()
