@@ -174,9 +174,9 @@ def ts_rank_cd(t):
     return found.select("doc_id", F.round(lexical.cover_density_rank(F.col("w"), TERMS), 6).alias("score"))
 
 
-STEMMED = f"""WITH w AS (SELECT word, count(*) AS n FROM (SELECT unnest({TOKENS.format('text')}) AS word FROM documents) GROUP BY word),
-e AS ({stemmers.stems_sql('w', 'english')}), p AS ({stemmers.stems_sql('w', 'portuguese')})
-SELECT word, n, e.stem AS english, p.stem AS portuguese FROM w JOIN e USING (word) JOIN p USING (word)"""
+STEMMED = f""", words AS (SELECT word, count(*) AS n FROM (SELECT unnest({TOKENS.format('text')}) AS word FROM documents) GROUP BY word),
+en_stems AS ({stemmers.stems_sql('words', 'english')}), pt_stems AS ({stemmers.stems_sql('words', 'portuguese')})
+SELECT word, n, en_stems.stem AS english, pt_stems.stem AS portuguese FROM words JOIN en_stems USING (word) JOIN pt_stems USING (word)"""
 
 
 @query(STEMMED)
