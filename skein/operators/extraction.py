@@ -14,8 +14,8 @@ from skein.functions import text as X
 #: Where messages stand in code, and the confidence in each.
 PASSES = (
     (r'(?i)throw\s+new\s+[A-Za-z0-9_.]*(?:Business|Domain|Validation)?Exception\s*\(\s*"([^"]{12,240})"', 0.88),
-    (r'(?i)(?:WithMessage|AddFailure|AddNotification)\s*\(\s*"([^"]{12,240})"', 0.78),
-    (r'(?is)(?:ErroContext|ErrosContext|AdicionarErro|AdicionaErro|AddErro|AddError|AddFailure|AddNotification|Notificar|AddNotification)\s*(?:<[^>]+>)?\s*\([^\)]*?"([^"]{8,240})"', 0.84),
+    (r'(?i)(?=[WA])(?:WithMessage|AddFailure|AddNotification)\s*\(\s*"([^"]{12,240})"', 0.78),
+    (r'(?is)(?=[EAN])(?:ErroContext|ErrosContext|AdicionarErro|AdicionaErro|AddErro|AddError|AddFailure|AddNotification|Notificar|AddNotification)\s*(?:<[^>]+>)?\s*\([^\)]*?"([^"]{8,240})"', 0.84),
 )
 LINE_CONFIDENCE, LONGEST_LINE = 0.64, 220
 #: Keywords of knowledge, with title, kind and confidence, and each kind's sentence.
@@ -55,9 +55,9 @@ NEEDED = (("exception",), ("withmessage", "addfailure", "addnotification"), ("er
 def marked_messages(content: Column, pattern: str) -> Column:
     """The first group of each match of the pattern, with the trimmed line in which the match begins, in order: matches are
     marked in one pass over the text, and its lines tell their marks."""
-    clean = F.translate(content, MARK, "")
+    clean = F.replace(content, F.lit(MARK), F.lit(""))
     lines = F.split(F.regexp_replace(clean, pattern, f"{MARK}$0"), "\n")
-    bare = lambda x: F.translate(x, MARK, "")
+    bare = lambda x: F.replace(x, F.lit(MARK), F.lit(""))
     told = F.flatten(F.transform(F.filter(lines, lambda x: F.contains(x, F.lit(MARK))), lambda x: F.array_repeat(X.trimmed(bare(x)), F.length(x) - F.length(bare(x)))))
     return F.arrays_zip(F.regexp_extract_all(clean, F.lit(pattern), F.lit(1)).alias("message"), told.alias("line"))
 
@@ -112,7 +112,7 @@ BACKSLASH, QUOTE = "\uE001", "\uE002"
 
 def repaired(reply: Column) -> Column:
     """A reply without comments and trailing commas; what stands in strings is let be."""
-    plain = F.replace(F.replace(F.translate(reply, BACKSLASH + QUOTE, ""), F.lit("\\\\"), F.lit(BACKSLASH)), F.lit('\\"'), F.lit(QUOTE))
+    plain = F.replace(F.replace(F.replace(F.replace(reply, F.lit(BACKSLASH), F.lit("")), F.lit(QUOTE), F.lit("")), F.lit("\\\\"), F.lit(BACKSLASH)), F.lit('\\"'), F.lit(QUOTE))
     bare = F.regexp_replace(F.regexp_replace(plain, r'(?s)("[^"]*+")|//[^\n]*+|/\*.*?\*/', "$1"), r'("[^"]*+")|,(?=\s*+[\]}])', "$1")
     return F.replace(F.replace(bare, F.lit(QUOTE), F.lit('\\"')), F.lit(BACKSLASH), F.lit("\\\\"))
 
@@ -131,32 +131,42 @@ def json_items(reply: Column, root: str) -> Column:
     return F.coalesce(F.filter(maps, lambda m: m.isNotNull()), F.array().cast("array<map<string, variant>>"))
 
 
-def parsed_replies(replies: DataFrame, root: str) -> DataFrame:
-    """replies (id, reply) with items: what a model said, field by field. A confidence that isn't a number is none."""
+def _items(root: str) -> Column:
+    """What the column reply says, field by field. A confidence that isn't a number is none."""
     text = lambda m, f: F.try_variant_get(named(m, f), F.lit("$"), "string").alias(f)
     number = lambda v: F.when(F.schema_of_variant(v).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(v, F.lit("$"), "double"))
     row = lambda m: F.struct(*(text(m, f) for f in FIELDS), number(named(m, "confidence")).alias("confidence"))
-    return replies.select("id", F.transform(json_items(F.col("reply"), root), row).alias("items"))
+    return F.transform(json_items(F.col("reply"), root), row)
+
+
+def parsed_replies(replies: DataFrame, root: str) -> DataFrame:
+    """replies (id, reply) with items: what a model said, field by field."""
+    return replies.select("id", _items(root).alias("items"))
+
+
+def _told(replies: DataFrame, root: str, body: str) -> DataFrame:
+    """id, seq, r, and what is said in normal form: t (title), b (body) and e (evidence). The generator takes the expressions
+    themselves: of a column of items Spark would infer a filter, and of columns push one down, and so parse a reply twice."""
+    blank = F.lit("")
+    normal = lambda r: F.struct(r.alias("r"), X.normal_sentence(F.coalesce(r["title"], blank)).alias("t"), X.normal_sentence(F.coalesce(r[body], blank)).alias("b"), X.normal_evidence(F.coalesce(r["evidence"], blank)).alias("e"))
+    rows = replies.select("id", F.posexplode(F.transform(_items(root), normal)).alias("seq", "x"))
+    return rows.select("id", "seq", F.col("x.r.kind").alias("said"), F.col("x.r.confidence").alias("sure"), "x.t", "x.b", "x.e").filter((F.length("t") >= 8) & (F.length("b") >= 12) & (F.length("e") >= 8))
 
 
 def semantic_rules(chunks: DataFrame, replies: DataFrame) -> DataFrame:
     """Rules of a model's replies that stand up to the chunk's text."""
-    rows = parsed_replies(replies, "rules").select("id", F.posexplode("items").alias("seq", "r")).join(chunks, "id")
-    blank = F.lit("")
-    rows = rows.withColumn("t", X.normal_sentence(F.coalesce("r.title", blank))).withColumn("d", X.normal_sentence(F.coalesce("r.description", blank))).withColumn("e", X.normal_evidence(F.coalesce("r.evidence", blank)))
-    good = rows.filter((F.length("t") >= 8) & (F.length("d") >= 12) & X.evidence_holds(F.col("content"), F.col("e")) & X.looks_like_semantic_rule(F.col("t"), F.col("d"), F.col("e")))
-    return good.select(F.col("id").alias("chunk_id"), "seq", X.to_title(F.col("t"), 90).alias("title"), F.when(F.col("d").endswith("."), F.col("d")).otherwise(F.concat("d", F.lit("."))).alias("description"), X.to_title(F.col("e"), 500).alias("evidence"),
-                       X.normal_confidence(F.col("r.confidence"), 0.72).alias("confidence"), F.sha2(F.concat("project", F.lit("|rule|"), X.normal_key(F.col("t"))), 256).alias("content_hash"))
+    rows = _told(replies, "rules", "description").filter(X.looks_like_semantic_rule(F.col("t"), F.col("b"), F.col("e")))
+    good = rows.join(chunks, "id").filter(X.evidence_holds(F.col("content"), F.col("e")))
+    return good.select(F.col("id").alias("chunk_id"), "seq", X.to_title(F.col("t"), 90).alias("title"), F.when(F.col("b").endswith("."), F.col("b")).otherwise(F.concat("b", F.lit("."))).alias("description"), X.to_title(F.col("e"), 500).alias("evidence"),
+                       X.normal_confidence(F.col("sure"), 0.72).alias("confidence"), F.sha2(F.concat("project", F.lit("|rule|"), X.normal_key(F.col("t"))), 256).alias("content_hash"))
 
 
 def semantic_knowledge(chunks: DataFrame, replies: DataFrame) -> DataFrame:
-    rows = parsed_replies(replies, "knowledge").select("id", F.posexplode("items").alias("seq", "r")).join(chunks.withColumnRenamed("content", "source"), "id")
-    blank = F.lit("")
-    rows = rows.select("*", X.normal_kind(F.col("r.kind")).alias("kind"), X.normal_sentence(F.coalesce("r.title", blank)).alias("t"), X.normal_sentence(F.coalesce("r.content", blank)).alias("c"), X.normal_evidence(F.coalesce("r.evidence", blank)).alias("e"))
-    good = rows.filter((F.length("t") >= 8) & (F.length("c") >= 12) & X.evidence_holds(F.col("source"), F.col("e")))
+    rows = _told(replies, "knowledge", "content").join(chunks, "id").filter(X.evidence_holds(F.col("content"), F.col("e")))
+    good = rows.withColumn("kind", X.normal_kind(F.col("said")))
     full = F.when(F.lower("t").startswith(F.concat(F.lower("project"), F.lit(":"))), F.col("t")).otherwise(F.concat("project", F.lit(": "), "t"))
-    return good.select(F.col("id").alias("chunk_id"), "seq", "kind", X.to_title(full, 140).alias("title"), F.when(F.col("c").endswith("."), F.col("c")).otherwise(F.concat("c", F.lit("."))).alias("content"), X.to_title(F.col("e"), 500).alias("evidence"),
-                       X.normal_confidence(F.col("r.confidence"), 0.70).alias("confidence"), F.sha2(F.concat("project", F.lit("|knowledge|"), "kind", F.lit("|"), X.normal_key(F.col("t")), F.lit("|"), "file_path"), 256).alias("content_hash"))
+    return good.select(F.col("id").alias("chunk_id"), "seq", "kind", X.to_title(full, 140).alias("title"), F.when(F.col("b").endswith("."), F.col("b")).otherwise(F.concat("b", F.lit("."))).alias("content"), X.to_title(F.col("e"), 500).alias("evidence"),
+                       X.normal_confidence(F.col("sure"), 0.70).alias("confidence"), F.sha2(F.concat("project", F.lit("|knowledge|"), "kind", F.lit("|"), X.normal_key(F.col("t")), F.lit("|"), "file_path"), 256).alias("content_hash"))
 
 
 def generated(chunks: DataFrame, generate: Callable[[str], str], prompt: Column) -> DataFrame:

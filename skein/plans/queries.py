@@ -679,6 +679,16 @@ def _holds_any(x: str, words) -> str:
     return "(" + " OR ".join(f"contains(lower({x}), '{w.lower()}')" for w in words) + ")"
 
 
+#: Projects that are broadcast to texts.
+FEW_PROJECTS = 10_000
+
+
+def _with_project(t, rows):
+    """rows with the name of their project. So few are broadcast, and no text is shuffled for them; more are joined."""
+    names = t.projects.select(F.col("id").alias("project_id"), F.col("name").alias("project"))
+    return rows.join(F.broadcast(names) if names.limit(FEW_PROJECTS + 1).count() <= FEW_PROJECTS else names, "project_id")
+
+
 def _code(t):
     """Code of the texts: every line without quotes, three of four as the message of a statement if it is of fitting length."""
 
@@ -690,7 +700,7 @@ def _code(t):
         return told.when((i % 4 == 2) & n.between(8, 240), F.concat(F.lit('AddErro<T>(a, "'), bare, F.lit('");'))).otherwise(bare)
 
     text = F.array_join(F.transform(F.split("content", "\n"), line), "\n")
-    return t.chunks_text.join(t.projects.select(F.col("id").alias("project_id"), F.col("name").alias("project")), "project_id").select("id", "project", "file_path", "symbol_name", text.alias("content"))
+    return _with_project(t, t.chunks_text).select("id", "project", "file_path", "symbol_name", text.alias("content"))
 
 
 @query(f"""{chr(44)} l AS (SELECT id, project, i - 1 AS i, replace(x, chr(34), '') AS x FROM (SELECT c.id, p.name AS project, unnest(string_split(content, chr(10))) AS x, generate_subscripts(string_split(content, chr(10)), 1) AS i FROM chunks c JOIN projects p ON p.id = c.project_id)),
@@ -747,7 +757,7 @@ def json_rules_parse(t):
     """Replies with comments, trailing commas and names of odd case, whose evidence is the whole text."""
     told = F.to_json(F.struct("content"))
     text = F.concat(F.lit('{"Rules": [ // found\n {"TITLE": "Pedido deve ter cliente", "description": "O pedido deve ter um cliente", "evidence": '), F.substring(told, F.lit(12), F.length(told) - 12), F.lit(', "confidence": 2.0,},]}'))
-    rows = t.chunks_text.join(t.projects.select(F.col("id").alias("project_id"), F.col("name").alias("project")), "project_id").select("id", "project", "content")
+    rows = _with_project(t, t.chunks_text).select("id", "project", "content")
     return extraction.semantic_rules(rows, t.chunks_text.select("id", text.alias("reply"))).withColumn("confidence", F.col("confidence").cast("double"))
 
 

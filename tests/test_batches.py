@@ -34,7 +34,7 @@ def test_portions_keep_all_rows_in_order():
 
 
 @pytest.mark.parametrize("operator", [chunking.chunk_files, chunking.split_documents, chunking.build_symbols])
-def test_scanners_give_back_a_portion_at_a_time(operator):
+def test_scanners_give_back_a_portion_at_a_time(spark, operator):
     batch = pa.RecordBatch.from_arrays([pa.array(range(27)), pa.array([str(k) for k in range(27)]), pa.array(["csharp" if operator is chunking.build_symbols else "markdown"] * 27), pa.array(["class A { int F() { return 1; } int G() { return 2; } }" + (x or "") for x in TEXTS])], ["id", "path", "language", "content"])
     found = list(operator(Held()).run(iter([batch])))
     key = found[0].schema.names[0]
