@@ -104,6 +104,15 @@ class Tables:
         return self.raw("events").select("event_id", F.col("user_id").cast("string").alias("path"), F.col("event_type").alias("change"), F.col("ts").cast("timestamp").alias("ts"))
 
 
+class Filled(Tables):
+    """The same tables for counts of what is there: texts and vectors are read, and then empty where they aren't null, so that
+    none is shuffled. Columns made of a text alone are null where it is."""
+
+    def raw(self, name: str) -> DataFrame:
+        rows, empty = super().raw(name), {"text": F.lit(""), "embedding": F.array().cast("array<float>")}
+        return rows.select(*(F.when(F.col(c).isNotNull(), empty[c]).alias(c) if c in empty else F.col(c) for c in rows.columns))
+
+
 PART_OFFSET = 10_000_000
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein import schemas
-from skein.fixtures import CTES, Tables
+from skein.fixtures import CTES, Filled, Tables
 from skein.functions import lexical, vector
 from skein.functions import stems as stemmers
 from skein.functions import text as X
@@ -850,7 +850,8 @@ LACKING = {("rules", "created_at"), ("extraction_state", "processed_at"), ("extr
 
 def _checks(t):
     """The columns that the tables must have, with how many values each holds."""
-    there = schemas.filled_columns({name: getattr(t, name) for name in CHECKED})
+    narrow = Filled(t.spark, t.sf_dir)
+    there = schemas.filled_columns({name: getattr(narrow, name) for name in CHECKED})
     checks = schemas.schema_check(schemas.required_columns(t.spark).filter(F.col("table_name").isin(*CHECKED)), there)
     return checks.join(there, ["table_name", "column_name"], "left").select("table_name", "column_name", "status", "filled")
 
