@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.functions.batches import portions
 from skein.functions.lexical import cover_terms, covers, tokens, websearch
 from skein.operators.search import ranked
 
@@ -22,42 +23,40 @@ BLOCKS, SPREAD, OFTEN = 1024, 6, 64
 AT_ONCE = 1 << 21
 
 
-def portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of texts of about AT_ONCE words, a longer text alone: they bound what a task holds."""
-    seen = np.cumsum(pc.list_value_length(batch.column("words")).to_numpy(zero_copy_only=False).astype(np.int64))
-    cuts = np.flatnonzero(np.diff(seen // AT_ONCE)) + 1
-    for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
-        yield batch.slice(begin, end - begin)
-
-
 def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of (id, block, words): term, part, and arrays of the ids of the batch's texts that hold it and of their places. A term of
     over OFTEN texts of the batch is dealt into parts by block, so that no task gets all of a frequent term."""
-    for batch in (part for whole in batches for part in portions(whole)):
+    for batch in (part for whole in batches if whole.num_rows for part in portions(whole, pc.list_value_length(whole.column("words")), AT_ONCE)):
         lists = batch.column("words")
         words = pc.list_flatten(lists).dictionary_encode()
-        owner = pc.list_parent_indices(lists).to_numpy().astype(np.int64)
+        terms, code = words.dictionary, words.indices.to_numpy()
+        owner = pc.list_parent_indices(lists).to_numpy().astype(np.int32)
+        del words
         if not len(owner):
             continue
-        begin = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=batch.num_rows))])
-        place, code = (np.arange(len(owner)) - begin[owner]).astype(np.int32), words.indices.to_numpy().astype(np.int64)
-        key = code * batch.num_rows + owner
-        order = np.argsort(key, kind="stable")
-        starts = np.flatnonzero(np.append(True, np.diff(key[order]) != 0))
-        first, ends = order[starts], np.append(starts, len(order))
+        begin = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=batch.num_rows))]).astype(np.int32)
+        key = code.astype(np.int64) * batch.num_rows + owner
+        order = np.argsort(key, kind="stable").astype(np.int32)
+        key = key[order]
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])).astype(np.int32)
+        del key  # arrays of a number a word go as soon as they have served: a task holds few of them at once
+        first, ends = order[starts], np.append(starts, np.int32(len(order)))
         term, text = code[first], owner[first]
-        part = np.where(np.bincount(term)[term] > OFTEN, batch.column("block").to_numpy()[text] >> SPREAD, -1)
-        dealt = np.lexsort((text, part, term))  # a posting of a text each, by term and part
+        places = (np.arange(len(owner), dtype=np.int32) - begin[owner])[order]
+        del code, owner, order, first, starts
+        part = np.where(np.bincount(term)[term] > OFTEN, batch.column("block").to_numpy()[text] >> SPREAD, -1).astype(np.int32)
+        dealt = np.lexsort((text, part, term)).astype(np.int32)  # a posting of a text each, by term and part
         term, text, part, sizes = term[dealt], text[dealt], part[dealt], np.diff(ends)[dealt]
-        heads = np.flatnonzero(np.append(True, (np.diff(term) != 0) | (np.diff(part) != 0)))
-        inner = np.concatenate([[0], np.cumsum(sizes)])
-        source = np.repeat(ends[:-1][dealt] - inner[:-1], sizes) + np.arange(inner[-1])
-        bounds = np.append(heads, len(term))
-        row = np.repeat(np.arange(len(heads)), np.diff(bounds))
+        heads = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (part[1:] != part[:-1]))).astype(np.int32)
+        inner = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        places = places[np.repeat(ends[:-1][dealt] - inner[:-1], sizes) + np.arange(inner[-1], dtype=np.int32)]
+        del ends, dealt, sizes
+        bounds = np.append(heads, np.int32(len(term)))
+        row = np.repeat(np.arange(len(heads), dtype=np.int32), np.diff(bounds))
         # of each row the ids, where the places of each id begin, from 1, and the places end to end
-        lists = ((bounds, batch.column("id").take(pa.array(text))), (bounds, pa.array((inner[:-1] - inner[heads][row] + 1).astype(np.int32))), (inner[bounds], pa.array(place[order[source]])))
+        lists = ((bounds, batch.column("id").take(pa.array(text))), (bounds, pa.array(inner[:-1] - inner[heads][row] + 1)), (inner[bounds], pa.array(places)))
         yield pa.RecordBatch.from_arrays(
-            [words.dictionary.take(pa.array(term[heads])).cast(pa.string()), pa.array(part[heads].astype(np.int32)), *(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values) for offsets, values in lists)],
+            [terms.take(pa.array(term[heads])).cast(pa.string()), pa.array(part[heads]), *(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values) for offsets, values in lists)],
             ["term", "part", "ids", "starts", "places"])
 
 
