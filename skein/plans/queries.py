@@ -588,10 +588,19 @@ def anti_prefix_join(t):
 NEW = ", src AS (SELECT project_id, file_path, CASE WHEN id % 4 = 0 THEN 'n' || id ELSE content_hash END AS content_hash, 'xx' AS language, 'new ' || content AS content, id AS nid FROM chunks WHERE id % 2 = 0 AND id IN (SELECT min(id) FROM chunks GROUP BY project_id, file_path, content_hash)), tgt AS (SELECT * FROM chunks WHERE id IN (SELECT min(id) FROM chunks GROUP BY project_id, file_path, content_hash))"
 
 
+def _least_chunks(t):
+    # the least ids are told by narrow rows, so a text is shuffled once, for both joins
+    least = t.chunks_text.groupBy("project_id", "file_path", "content_hash").agg(F.min("id").alias("id")).select("id")
+    return t.chunks.join(least, "id", "left_semi")
+
+
+def _renewed(target):
+    return target.filter("id % 2 = 0").select("project_id", "file_path", F.when(F.col("id") % 4 == 0, F.concat(F.lit("n"), F.col("id").cast("string"))).otherwise(F.col("content_hash")).alias("content_hash"), F.lit("xx").alias("language"), F.concat(F.lit("new "), "content").alias("content"), "updated_at", "embedding")
+
+
 def _chunk_merge(t):
-    target = t.chunks.withColumn("least", F.min("id").over(merge.W.partitionBy("project_id", "file_path", "content_hash"))).filter("id = least").drop("least")
-    source = target.filter("id % 2 = 0").select("project_id", "file_path", F.when(F.col("id") % 4 == 0, F.concat(F.lit("n"), F.col("id").cast("string"))).otherwise(F.col("content_hash")).alias("content_hash"), F.lit("xx").alias("language"), F.concat(F.lit("new "), "content").alias("content"), "updated_at", "embedding")
-    return target, source
+    target = _least_chunks(t)
+    return target, _renewed(target)
 
 
 @query(f"{NEW} SELECT project_id, file_path, content_hash, CASE WHEN t.id IS NULL THEN s.language ELSE t.language END AS language, md5(CASE WHEN s.nid IS NULL THEN t.content ELSE s.content END) AS digest, CASE WHEN s.nid IS NULL THEN 'kept' WHEN t.id IS NULL THEN 'inserted' ELSE 'updated' END AS action FROM tgt t FULL OUTER JOIN src s USING (project_id, file_path, content_hash)")
@@ -971,9 +980,10 @@ def watch_upsert(t):
 SELECT project_id, file_path, content_hash, language, md5(content) AS digest FROM u WHERE project_id % 3 <> 0 UNION ALL SELECT project_id, file_path, content_hash, language, md5(content) FROM src WHERE project_id % 6 = 0""")
 def store_merge(t):
     """The chunks after four batches: all, an upsert, and files taken away of which some are put again."""
-    target, source = _chunk_merge(t)
     store = ChunkStore(t.spark, _scratch(t, "store"))
-    store.write(target)
+    store.write(_least_chunks(t))
+    target = store.read()  # as it is after the first batch: later batches leave its files alone
+    source = _renewed(target)
     store.write(source)
     store.write(source.filter("project_id % 6 = 0"), target.filter("project_id % 3 = 0"))
     return store.read().select("project_id", "file_path", "content_hash", "language", F.md5(F.col("content").cast("binary")).alias("digest"))

@@ -6,6 +6,8 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from skein.fixtures import Tables
+from skein.plans.queries import QUERIES, _least_chunks
 from skein.sources.folders import glob
 from skein.sources.store import ChunkStore
 
@@ -98,3 +100,23 @@ def test_equal_keys_in_a_batch_and_empty_batches(spark, tmp_path):
     assert rows_of(store.read()) == {(1, "a", "h"): (2, "x", "new")}
     store.write(batch(spark, []))
     assert store.read().count() == 1
+
+
+def test_store_merge_makes_its_batches_from_what_is_stored(spark, sf_dir, monkeypatch):
+    plans, real = [], ChunkStore.write
+
+    def told(store, put, *more):
+        plans.append(put._jdf.queryExecution().executedPlan().toString())
+        return real(store, put, *more)
+
+    monkeypatch.setattr(ChunkStore, "write", told)
+    assert QUERIES["store_merge"](spark, sf_dir).count()
+    assert "Window" not in plans[0] and all("Exchange" not in p for p in plans[1:])  # texts go to the joins of the first batch, and to buckets
+
+
+def test_least_chunks_of_copies(spark, tmp_path):
+    rows = [(3, "same", "de", "src1"), (53, "same", "de", "src1"), (103, "other", "de", "src1"), (153, None, "de", "src1"), (203, None, "de", "src1"), (4, "same", "de", "src1")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(53, [1.0]), (103, [2.0])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = {r["id"]: r["embedding"] for r in _least_chunks(Tables(spark, str(tmp_path))).collect()}
+    assert found == {3: None, 4: None, 103: [2.0], 153: None}
