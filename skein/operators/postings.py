@@ -23,10 +23,19 @@ BLOCKS, SPREAD, OFTEN = 1024, 6, 64
 AT_ONCE = 1 << 21
 
 
+def _order(keys: np.ndarray) -> np.ndarray:
+    """The places of keys (0 to 2 ** 31) in their order, of equal keys the first one first. Numbers that hold both are all different, so the fast sort of plain numbers does."""
+    both = keys.astype(np.int64) << 32
+    both |= np.arange(len(keys))
+    both.sort()
+    return both.astype(np.int32)
+
+
 def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of (id, block, words): term, part, and arrays of the ids of the batch's texts that hold it and of their places. A term of
     over OFTEN texts of the batch is dealt into parts by block, so that no task gets all of a frequent term."""
     for batch in (part for whole in batches if whole.num_rows for part in portions(whole, pc.list_value_length(whole.column("words")), AT_ONCE)):
+        batch = batch.take(pc.sort_indices(batch, sort_keys=[("block", "ascending"), ("id", "ascending")]))  # so a row's ids are in the order of files
         lists = batch.column("words")
         words = pc.list_flatten(lists).dictionary_encode()
         terms, code = words.dictionary, words.indices.to_numpy()
@@ -35,17 +44,16 @@ def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(owner):
             continue
         begin = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=batch.num_rows))]).astype(np.int32)
-        key = code.astype(np.int64) * batch.num_rows + owner
-        order = np.argsort(key, kind="stable").astype(np.int32)
-        key = key[order]
-        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])).astype(np.int32)
-        del key  # arrays of a number a word go as soon as they have served: a task holds few of them at once
+        order = _order(code)
+        sorted_code, sorted_owner = code[order], owner[order]
+        starts = np.flatnonzero(np.append(True, (sorted_code[1:] != sorted_code[:-1]) | (sorted_owner[1:] != sorted_owner[:-1]))).astype(np.int32)
+        del sorted_code, sorted_owner  # arrays of a number a word go as soon as they have served: a task holds few of them at once
         first, ends = order[starts], np.append(starts, np.int32(len(order)))
         term, text = code[first], owner[first]
         places = (np.arange(len(owner), dtype=np.int32) - begin[owner])[order]
         del code, owner, order, first, starts
         part = np.where(np.bincount(term)[term] > OFTEN, batch.column("block").to_numpy()[text] >> SPREAD, -1).astype(np.int32)
-        dealt = np.lexsort((text, part, term)).astype(np.int32)  # a posting of a text each, by term and part
+        dealt = _order(term.astype(np.int64) * (1 + (BLOCKS >> SPREAD)) + 1 + part)  # a posting of a text each, by term and part
         term, text, part, sizes = term[dealt], text[dealt], part[dealt], np.diff(ends)[dealt]
         heads = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (part[1:] != part[:-1]))).astype(np.int32)
         inner = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
@@ -64,6 +72,15 @@ def block() -> Column:
     return F.pmod(F.xxhash64("id"), F.lit(BLOCKS)).cast("int")
 
 
+def unpacked(found: DataFrame) -> DataFrame:
+    """A posting a row of what places() gives: term, block, id, n and places. Its places are cut out once it is a row, by
+    generated code; in a lambda over the ids each cut is interpreted."""
+    end = F.coalesce(F.get("starts", F.col("i") + 1), F.size("places") + 1)
+    each = found.select("term", "starts", "places", F.posexplode("ids").alias("i", "id")).select("term", "id", "places", F.get("starts", F.col("i")).alias("start"), end.alias("end"))
+    n = F.col("end") - F.col("start")
+    return each.select("term", block().alias("block"), "id", n.alias("n"), F.slice("places", F.col("start"), n).alias("places"))
+
+
 def fits(groups: list[list[tuple[bool, list[str]]]], column: dict[str, Column]) -> Column:
     """Whether a text with these places of terms fits a web-style query."""
 
@@ -93,11 +110,9 @@ class TextIndex:
         """Of rows with a different long id each. A null text has no words."""
         spark = rows.sparkSession
         texts = rows.select(F.col("id").cast("long").alias("id"), tokens(text, language).alias("words")).select("id", block().alias("block"), "words")
-        found = texts.mapInArrow(places, "term string, part int, ids array<long>, starts array<int>, places array<int>").repartition("term", "part")
-        end = lambda i: F.coalesce(F.get("starts", i + 1), F.size("places") + 1)
-        each = F.transform("ids", lambda x, i: F.struct(x.alias("id"), F.slice("places", F.get("starts", i), end(i) - F.get("starts", i)).alias("places")))
-        one = found.select("term", F.explode(each).alias("p")).select("term", "p.id", "p.places").select("term", block().alias("block"), "id", F.size("places").alias("n"), "places")
-        one.sortWithinPartitions("term", "block", "id").write.option("parquet.block.size", 16 << 20).option("compression", "zstd").parquet(f"{folder}/postings")
+        # rows of many postings, by term and each in the order of files, so that the sort of single postings mostly merges runs
+        found = texts.mapInArrow(places, "term string, part int, ids array<long>, starts array<int>, places array<int>").repartition("term", "part").sortWithinPartitions("term")
+        unpacked(found).sortWithinPartitions("term", "block", "id").write.option("parquet.block.size", 16 << 20).option("compression", "zstd").parquet(f"{folder}/postings")
         rows.select(F.col("id").cast("long").alias("id")).withColumn("block", block()).write.parquet(f"{folder}/ids")
         return cls(spark, folder, language)
 

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,3 +61,25 @@ def test_rows_are_read_late(spark, sf_dir):
     found = search.search_rules(Tables(spark, sf_dir), [0.1] * 64, "the", 5)
     assert all("In(doc_id, [" in x for name in ("documents", "labels") for x in scans_of(found, f"{name}.parquet") if "text" in x or name == "labels")
     assert found.count() == 5
+
+
+def test_postings_are_unpacked_by_generated_code(spark):
+    n, per = 20_000, 10
+    found = spark.range(1).select(F.lit("w").alias("term"), F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")).alias("ids"), F.sequence(F.lit(1), F.lit((n - 1) * per + 1), F.lit(per)).alias("starts"), F.sequence(F.lit(0), F.lit(n * per - 1)).alias("places"))
+    one = postings.unpacked(found)
+    ids, places, wrong = one.agg(F.count_distinct("id"), F.sum("n"), F.count_if((F.size("places") != per) | (F.col("places")[0] != F.col("id") * per) | (F.col("places")[per - 1] != F.col("id") * per + per - 1))).head()
+    assert (ids, places, wrong) == (n, n * per, 0)
+    assert "lambda" not in one._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_of_postings_are_in_the_order_of_files():
+    words = pa.array([["a", "b"], ["b"], ["b", "a", "b"], []] * 50)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200), pa.int64()), pa.array([(k * 37) % 1024 for k in range(200)], pa.int32()), words], ["id", "block", "words"])
+    blocks, seen = batch.column("block").to_pylist(), set()
+    for out in postings.places(iter([batch])):
+        for term, ids, starts, where in zip(*(out.column(c).to_pylist() for c in ("term", "ids", "starts", "places")), strict=True):
+            assert ids == sorted(ids, key=lambda i: (blocks[i], i))
+            for i, begin, end in zip(ids, starts, [*starts[1:], len(where) + 1], strict=True):
+                assert where[begin - 1 : end - 1] == [k for k, w in enumerate(words[i].as_py()) if w == term]
+                seen.add((term, i))
+    assert seen == {(w, i) for i, ws in enumerate(words.to_pylist()) for w in ws}
