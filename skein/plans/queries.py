@@ -986,7 +986,8 @@ def store_merge(t):
     source = _renewed(target)
     store.write(source)
     store.write(source.filter("project_id % 6 = 0"), target.filter("project_id % 3 = 0"))
-    return store.read().select("project_id", "file_path", "content_hash", "language", F.md5(F.col("content").cast("binary")).alias("digest"))
+    digests = store.read(lambda content: F.md5(content.cast("binary")))
+    return digests.select("project_id", "file_path", "content_hash", "language", F.col("content").alias("digest"))
 
 
 @query("""SELECT doc_id, sha256(text) AS content_hash, CASE WHEN text IS NOT NULL THEN 64 END AS dims, (SELECT count(DISTINCT text) FROM benchmark) AS asked_first,

@@ -4,6 +4,7 @@ compaction folds the changes of changed buckets into their rows."""
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,7 +79,7 @@ class ChunkStore:
             return self.spark.createDataFrame([], shape)
         return self.spark.read.schema(shape).parquet(f"{self.folder}/rows")
 
-    def _merged(self, buckets: list[int], upto: int) -> DataFrame:
+    def _merged(self, buckets: list[int], upto: int, of: Callable[[Column], Column] | None = None) -> DataFrame:
         """The rows of these buckets with their changes, and the batch that last wrote each."""
         names = TABLES["chunks"].names
         old = self._rows().filter(F.col("bucket").isin(*buckets)).select("bucket", *names, F.col("written").alias("batch"))
@@ -86,25 +87,28 @@ class ChunkStore:
         new = self.spark.read.schema(_shape("op string, batch long, bucket int")).option("basePath", f"{self.folder}/changes").parquet(*(f"{self.folder}/changes/batch={n}" for n in batches))
         changed = new.filter(F.col("bucket").isin(*buckets))
         ends = changed.filter("op = 'gone'").groupBy("bucket", *FILE).agg(F.max("batch").alias("ended"))
-        live = old.unionByName(changed.filter("op = 'put'").select("bucket", *names, "batch")).repartition("bucket").join(ends, ["bucket", *FILE], "left").filter("ended IS NULL OR batch >= ended")
+        live = old.unionByName(changed.filter("op = 'put'").select("bucket", *names, "batch"))
+        live = (live if of is None else live.withColumn("content", of(F.col("content")))).repartition("bucket").join(ends, ["bucket", *FILE], "left").filter("ended IS NULL OR batch >= ended")
         first = [c for c in names if c not in CHUNK_KEY and c not in CHUNK_OVERWRITE]
         # all by bucket: one shuffle serves the join, the choice of values and the writing
         one = live.groupBy("bucket", *CHUNK_KEY).agg(F.min_by(F.struct(*first), "batch").alias("f"), F.max_by(F.struct(*CHUNK_OVERWRITE), "batch").alias("l"), F.max("batch").alias("written"))
         return one.select("bucket", *CHUNK_KEY, "f.*", "l.*", "written").select("bucket", *names, "written")
 
-    def _read(self, only: list[int] | None = None) -> DataFrame:
+    def _read(self, only: list[int] | None = None, of: Callable[[Column], Column] | None = None) -> DataFrame:
         self._finish()
         names, told = TABLES["chunks"].names, self.changes()
         changed = sorted({bucket for _, bucket in told if only is None or bucket in only})
         rows = self._rows() if only is None else self._rows().filter(F.col("bucket").isin(*only))
+        shown = lambda df: df.select(*names) if of is None else df.withColumn("content", of(F.col("content"))).select(*names)
         if not changed:
-            return rows.select(*names)
-        rest = rows.filter(~F.col("bucket").isin(*changed)).select(*names)
-        return rest.unionByName(self._merged(changed, max(batch for batch, _ in told)).select(*names))
-
-    def read(self) -> DataFrame:
-        """All chunks. Buckets without changes are read as they are; only those with changes are shuffled."""
-        return self._read()
+            return shown(rows)
+        rest = shown(rows.filter(~F.col("bucket").isin(*changed)))
+        return rest.unionByName(self._merged(changed, max(batch for batch, _ in told), of).select(*names))
+
+    def read(self, of: Callable[[Column], Column] | None = None) -> DataFrame:
+        """All chunks. Buckets without changes are read as they are; only those with changes are shuffled. of: what is wanted
+        of a content, in its place, such as a digest; a merge takes a content whole, so only what is wanted is shuffled."""
+        return self._read(of=of)
 
     def read_files(self, files: DataFrame) -> DataFrame:
         """The chunks of these files (project_id, file_path); other buckets are not read."""
