@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,19 +46,29 @@ def lookup_ids(rows: DataFrame, names: DataFrame, column: str, missing: int | No
     return out if missing is None else out.withColumn("id", F.coalesce("id", F.lit(missing)))
 
 
-def suffix_join(wanted: DataFrame, symbols: DataFrame, exact_segment: bool = False) -> DataFrame:
-    """wanted (name) with the first symbol (by seq) whose full name ends in it; or, exact, has it as last part.
+#: So many wanted names at most are broadcast to the symbols; for more, both are shuffled.
+NAMES = 1000
+
+
+def suffix_join(wanted: DataFrame, symbols: DataFrame, exact_segment: bool = False, told: Sequence[str] = ()) -> DataFrame:
+    """wanted (name) with the first symbol (by seq) whose full name ends in it; or, exact, has it as last part. told: more
+    columns of that symbol.
 
     Each full name is joined by its own endings of the lengths asked for (of all, above LENGTHS), so no pair is tried in
-    vain."""
+    vain. The first symbol of an ending is found before the join, in part ahead of the shuffle, as many may share one. Sizes
+    of tables that compress well are estimated far too low, so names are counted instead, and only few are broadcast."""
+    own = ["full_name", *told]
     if exact_segment:
-        ends = symbols.select(F.substring_index("full_name", ".", -1).alias("name"), "full_name", "seq")
+        ends = symbols.select(F.substring_index("full_name", ".", -1).alias("name"), *own, "seq")
     else:
         lengths = few_lengths(wanted, "name")
         parts = F.transform(F.sequence(F.lit(0), F.length("full_name")), lambda n: F.right("full_name", n)) if lengths is None else F.array(*(F.when(F.length("full_name") >= n, F.right("full_name", F.lit(n))) for n in lengths)) if lengths else F.array().cast("array<string>")
-        ends = symbols.select(F.explode(F.array_compact(parts)).alias("name"), "full_name", "seq")
-    best = wanted.select("name").distinct().join(ends, "name").groupBy("name").agg(F.min_by("full_name", "seq").alias("full_name"))
-    return wanted.join(best, "name", "left")
+        ends = symbols.select(F.explode(F.array_compact(parts)).alias("name"), *own, "seq")
+    few = wanted.limit(NAMES + 1).count() <= NAMES
+    if few:
+        ends = ends.join(F.broadcast(wanted.select("name")), "name", "left_semi")
+    best = ends.groupBy("name").agg(F.min_by(F.struct(*own), "seq").alias("best")).select("name", "best.*")
+    return wanted.join(best if few else best.hint("merge"), "name", "left")
 
 
 def closure(edges: DataFrame, rounds: int = 32) -> DataFrame:
