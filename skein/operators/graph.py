@@ -46,8 +46,9 @@ def lookup_ids(rows: DataFrame, names: DataFrame, column: str, missing: int | No
     return out if missing is None else out.withColumn("id", F.coalesce("id", F.lit(missing)))
 
 
-#: So many wanted names at most are broadcast to the symbols; for more, both are shuffled.
-NAMES = 1000
+#: Of so many names at most what is found is broadcast to the rows that want it: of all, if there are no more, else of the
+#: most frequent ones of HOT rows each at least.
+NAMES, HOT = 1000, 10_000
 
 
 def suffix_join(wanted: DataFrame, symbols: DataFrame, exact_segment: bool = False, told: Sequence[str] = ()) -> DataFrame:
@@ -55,8 +56,8 @@ def suffix_join(wanted: DataFrame, symbols: DataFrame, exact_segment: bool = Fal
     columns of that symbol.
 
     Each full name is joined by its own endings of the lengths asked for (of all, above LENGTHS), so no pair is tried in
-    vain. The first symbol of an ending is found before the join, in part ahead of the shuffle, as many may share one. Sizes
-    of tables that compress well are estimated far too low, so names are counted instead, and only few are broadcast."""
+    vain. An ending that many symbols share has its first one found ahead of the shuffle, and rows of a name that many ask
+    for stay where they are. Spark takes tables that compress well for far too small, so names are counted for that."""
     own = ["full_name", *told]
     if exact_segment:
         ends = symbols.select(F.substring_index("full_name", ".", -1).alias("name"), *own, "seq")
@@ -64,11 +65,14 @@ def suffix_join(wanted: DataFrame, symbols: DataFrame, exact_segment: bool = Fal
         lengths = few_lengths(wanted, "name")
         parts = F.transform(F.sequence(F.lit(0), F.length("full_name")), lambda n: F.right("full_name", n)) if lengths is None else F.array(*(F.when(F.length("full_name") >= n, F.right("full_name", F.lit(n))) for n in lengths)) if lengths else F.array().cast("array<string>")
         ends = symbols.select(F.explode(F.array_compact(parts)).alias("name"), *own, "seq")
-    few = wanted.limit(NAMES + 1).count() <= NAMES
-    if few:
-        ends = ends.join(F.broadcast(wanted.select("name")), "name", "left_semi")
-    best = ends.groupBy("name").agg(F.min_by(F.struct(*own), "seq").alias("best")).select("name", "best.*")
-    return wanted.join(best if few else best.hint("merge"), "name", "left")
+    often = wanted.filter("name IS NOT NULL").groupBy("name").count().orderBy(F.desc("count"), "name").limit(NAMES + 1).collect()
+    few = len(often) <= NAMES
+    hot = [r["name"] for r in often[:NAMES] if few or r["count"] >= HOT]
+    apart = F.col("name").isNull() | (F.col("name").isin(*hot) if hot else F.lit(False))
+    first = lambda rows: rows.groupBy("name").agg(F.min_by(F.struct(*own), "seq").alias("best")).select("name", "best.*")
+    some = wanted.filter(apart).join(F.broadcast(first(ends.filter(apart))), "name", "left")
+    rest = wanted.filter(~apart).join(first(ends.filter(~apart)).hint("merge"), "name", "left")
+    return some if few else some.unionByName(rest) if hot else wanted.join(first(ends).hint("merge"), "name", "left")
 
 
 def closure(edges: DataFrame, rounds: int = 32) -> DataFrame:
