@@ -68,11 +68,14 @@ def suffix_join(wanted: DataFrame, symbols: DataFrame, exact_segment: bool = Fal
     often = wanted.filter("name IS NOT NULL").groupBy("name").count().orderBy(F.desc("count"), "name").limit(NAMES + 1).collect()
     few = len(often) <= NAMES
     hot = [r["name"] for r in often[:NAMES] if few or r["count"] >= HOT]
-    apart = F.col("name").isNull() | (F.col("name").isin(*hot) if hot else F.lit(False))
     first = lambda rows: rows.groupBy("name").agg(F.min_by(F.struct(*own), "seq").alias("best")).select("name", "best.*")
-    some = wanted.filter(apart).join(F.broadcast(first(ends.filter(apart))), "name", "left")
-    rest = wanted.filter(~apart).join(first(ends.filter(~apart)).hint("merge"), "name", "left")
-    return some if few else some.unionByName(rest) if hot else wanted.join(first(ends).hint("merge"), "name", "left")
+    if not (few or hot):
+        return wanted.join(first(ends).hint("merge"), "name", "left")
+    apart = F.col("name").isNull() | (F.col("name").isin(*hot) if hot else F.lit(False))
+    # found beforehand: a broadcast that waits for a long stage runs out of time
+    known = wanted.sparkSession.createDataFrame(first(ends.filter(apart)).toArrow())
+    some = wanted.filter(apart).join(F.broadcast(known), "name", "left")
+    return some if few else some.unionByName(wanted.filter(~apart).join(first(ends.filter(~apart)).hint("merge"), "name", "left"))
 
 
 def closure(edges: DataFrame, rounds: int = 32) -> DataFrame:
